@@ -1,9 +1,10 @@
 """The subpackage's queries, one per operator, and their SQL where SQL can express them."""
 
-from tracewell.llm import decontaminate
+from tracewell.llm import decontaminate, simhash
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op7_simhash": simhash.op7_simhash,
 }
 
 SQL = {
