@@ -1,12 +1,14 @@
 """The subpackage's queries, one per operator, and their SQL where SQL can express them."""
 
-from tracewell.llm import decontaminate, simhash
+from tracewell.llm import decontaminate, simhash, substrings
 
 QUERIES = {
+    "op3_substrings": substrings.op3_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_simhash": simhash.op7_simhash,
 }
 
 SQL = {
+    "op3_substrings": substrings.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
 }
