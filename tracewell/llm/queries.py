@@ -1,8 +1,9 @@
 """The subpackage's queries, one per operator, and their SQL where SQL can express them."""
 
-from tracewell.llm import decontaminate, simhash, substrings
+from tracewell.llm import decontaminate, packing, simhash, substrings
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op3_substrings": substrings.op3_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_simhash": simhash.op7_simhash,
