@@ -1,15 +1,17 @@
 """The subpackage's queries, one per operator, and their SQL where SQL can express them."""
 
-from tracewell.llm import decontaminate, packing, simhash, substrings
+from tracewell.llm import decontaminate, packing, simhash, substrings, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_substrings": substrings.op3_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_simhash": simhash.op7_simhash,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
     "op3_substrings": substrings.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
