@@ -1,17 +1,19 @@
 """The subpackage's queries, one per operator, and their SQL where SQL can express them."""
 
-from tracewell.llm import decontaminate, packing, simhash, substrings, warc
+from tracewell.llm import chat, decontaminate, packing, simhash, substrings, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_substrings": substrings.op3_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_simhash": simhash.op7_simhash,
+    "op9_chat": chat.op9_chat,
     "op10_warc": warc.op10_warc,
 }
 
 SQL = {
     "op3_substrings": substrings.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op9_chat": chat.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
