@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from tracewell.llm.shared import partitions, table
 from tracewell.llm.words import SPACE, Words, cover, mix, rolling, slices, sliding_min
 
-WINDOW, MINIMISER = 35, 12
+WINDOW, MINIMISER = 35, 8
 #: Buckets per shuffle partition: a task holds one bucket at a time.
 BUCKETS = 8
+#: Of the compression of packed strings.
+LEVEL = 5
 #: Bytes of text handled at once, and those whose packed strings are combined before they are sent.
 _CHUNK, _FLUSH = 2 << 20, 16 << 20
 _ROW = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("size", "<i4")])
@@ -78,7 +80,7 @@ def super_kmers(w: Words, window: int = WINDOW, minimiser: int = MINIMISER) -> t
 
 def _packed(rows: np.ndarray, strings: list[bytes]) -> bytes:
     body = b"\n".join(strings)
-    return zstandard.ZstdCompressor(level=1).compress(len(rows).to_bytes(4, "little") + b"".join(rows[f].tobytes() for f in _ROW.names) + body)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(len(rows).to_bytes(4, "little") + b"".join(rows[f].tobytes() for f in _ROW.names) + body)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
