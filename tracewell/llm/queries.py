@@ -1,8 +1,9 @@
 """The subpackage's queries, one per operator, and their SQL where SQL can express them."""
 
-from tracewell.llm import chat, decontaminate, packing, simhash, substrings, warc
+from tracewell.llm import chat, covertree, decontaminate, packing, simhash, substrings, warc
 
 QUERIES = {
+    "op1_covertree": covertree.op1_covertree,
     "op2_packing": packing.op2_packing,
     "op3_substrings": substrings.op3_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_covertree": covertree.OP1_SQL,
     "op3_substrings": substrings.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_chat": chat.OP9_SQL,
