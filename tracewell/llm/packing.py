@@ -18,13 +18,16 @@ its length; repeated rows are packed as often as they occur; an empty table give
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,36 +36,54 @@ from tracewell.llm.shared import cut, table
 LENGTH, END = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of a length that are ranked in one group, about.
-GROUP = 20_000
+GROUP = 2_000
 #: Words whose ids a worker keeps.
 REMEMBERED = 300_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
-class _Known(dict):
-    """Remembered words; others are looked up in ``rest``."""
-
-    rest: dict[bytes, bytes]
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.rest[word]
-
-
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, word by word.
 
     Such a tokenizer treats what stands between white space independently, so the ids of common
     words are remembered. Ids are two bytes each, little-endian.
+
+    Words of plain lower-case letters are one piece for the tokenizer, and their merges are made by
+    a faster library from the same vocabulary: the last letter's symbol, which carries the end of
+    the word, gets a byte value of its own that no such word holds otherwise.
     """
 
+    _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # a-z, and ß to ÿ
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond two bytes")
-        self.known = _Known()
+        self.known: dict[bytes, bytes] = {}
+        self.last, self.merge = self._merges()
+
+    def _merges(self):
+        # Byte-level models name bytes by characters: visible ones by themselves, others from 256 on.
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        names = {chr(x): x for x in visible}
+        names |= {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in visible)}
+        used = [*range(ord("a"), ord("z") + 1), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]
+        last = dict(zip(used, (x for x in range(256) if x not in used)))
+        ranks = {}
+        for token, rank in self.tokenizer.get_vocab().items():
+            stem = token.removesuffix("</w>")
+            value = [names.get(c) for c in stem]
+            if value and all(x in last for x in value):
+                if stem != token:
+                    value[-1] = last[value[-1]]
+                ranks[bytes(value)] = rank
+        for x in range(256):
+            ranks.setdefault(bytes([x]), (1 << 16) + x)  # never in a plain word
+        merges = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+        return bytes(last.get(x, x) for x in range(256)), merges._encode_single_piece
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -70,38 +91,51 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each of many words, from one call."""
-        texts = [w.decode() for w in words]
-        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(e.ids, "<u2")
-        at = np.searchsorted(begin, np.array([o[0] for o in e.offsets], np.int64), side="right") - 1
-        edge = np.searchsorted(at, np.arange(len(words) + 1))
-        raw = ids.tobytes()
-        return [raw[2 * a : 2 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of many words."""
+        out, rest = {}, []
+        plain, last, merge = self._PLAIN.fullmatch, self.last, self.merge
+        for w in words:
+            if plain(w):
+                ids = merge(w[:-1] + w[-1:].translate(last))
+                out[w] = pack_ids(f"<{len(ids)}H", *ids)
+            else:
+                rest.append(w)
+        if rest:  # in one call
+            texts = [w.decode() for w in rest]
+            begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            at = np.searchsorted(begin, np.array([o[0] for o in e.offsets], np.int64), side="right") - 1
+            edge = (2 * np.searchsorted(at, np.arange(len(rest) + 1))).tolist()
+            raw = np.array(e.ids, "<u2").tobytes()
+            out |= {w: raw[a:b] for w, a, b in zip(rest, edge, edge[1:])}
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
+        known, made, missing = self.known, [], set()
         for t in texts:
             raw = (t or "").encode()
             # Lower case is the tokenizer's own first step; a special token's name is matched before it.
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        known, found = self.known, {}
-        new = {w for words in split for w in words if w not in known}
-        if new:
+            words = (raw if b"<|" in raw else raw.lower()).split()
+            ids = list(map(known.get, words))
+            gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else []
+            missed = [words[k] for k in gaps]
+            missing.update(missed)
+            made.append((ids, gaps, missed))
+        if missing:
             # A single mark after a letter is a token of its own.
-            marked = [w for w in new if len(w) > 1 and w[-1] in b",.;:!?" and 97 <= w[-2] <= 122]
+            marked = [w for w in missing if len(w) > 1 and w[-1] in b",.;:!?" and 97 <= w[-2] <= 122]
             stems = {w[:-1] for w in marked} | {w[-1:] for w in marked}
-            plain = sorted((new.difference(marked) | stems).difference(known))
-            found = dict(zip(plain, self._encode(plain))) if plain else {}
+            found = self._encode([w for w in missing.difference(marked) | stems if w not in known])
             for w in marked:
                 stem, mark = w[:-1], w[-1:]
                 found[w] = (known.get(stem) or found[stem]) + (known.get(mark) or found[mark])
+            for ids, gaps, missed in made:
+                for k, w in zip(gaps, missed):
+                    ids[k] = found[w]
             known.update(islice(found.items(), max(0, REMEMBERED - len(known))))
-        known.rest = found
         end = END.to_bytes(2, "little")
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        return [b"".join(ids) + end for ids, _, _ in made]
 
 
 def spfhp(histogram: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -136,19 +170,19 @@ def tokens(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for k in range(0, len(texts), 512):
-                ids = encoder.encode(texts[k : k + 512])
+            for k in range(0, len(b), 512):
+                ids = encoder.encode(b.column("text")[k : k + 512].to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[k : k + 512], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     return rows.mapInArrow(encode, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, ids binary")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, digest: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
-    ``ids`` holds the piece's ids, two bytes each. Sequences of several pieces come first, then
-    those that one text fills.
+    ``ids`` holds the piece's ids, two bytes each; with ``digest``, ``ids_crc32`` takes its place,
+    over the ids as little-endian unsigned 32-bit numbers. Sequences of several pieces come first,
+    then those that one text fills.
     """
     spark = docs.sparkSession
     own = cut(tokens(docs, id_col, text_col, path or public_tokenizers.path(TOKENIZER))).withColumn("row", F.monotonically_increasing_id())
@@ -176,6 +210,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         slots[l] = np.array(sorted(p[1:] for p in placed if p[0] == l), np.int64)
     sent = spark.sparkContext.broadcast((slots, whole))
 
+    def content(ids: bytes) -> bytes | int:
+        return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes()) if digest else ids
+
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, whole = sent.value
         for b in batches:
@@ -183,31 +220,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             cols = [b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "l", "rank", "whole")]
             for doc, n, ids, l, rank, nth in zip(*cols):
                 for k in range(n // length):
-                    out.append((doc, k * length, length, ids[2 * k * length : 2 * (k + 1) * length], n, whole[l] + nth + k, 0))
+                    out.append((doc, k * length, length, content(ids[2 * k * length : 2 * (k + 1) * length]), n, whole[l] + nth + k, 0))
                 if l:
                     s = slots[l]
                     a, _, first, offset = s[np.searchsorted(s[:, 0], rank, side="right") - 1].tolist()
-                    out.append((doc, n - l, l, ids[2 * (n - l) :], n, first + rank - a, offset))
-            names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-            kinds = (b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                    out.append((doc, n - l, l, content(ids[2 * (n - l) :]), n, first + rank - a, offset))
+            names = ("doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens", "sequence_id", "offset")
+            kinds = (b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64() if digest else pa.binary(), pa.int64(), pa.int64(), pa.int64())
             columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
 
-    kind = dict(own.dtypes)["doc_id"]
-    return own.join(ranks, "row").select("doc_id", "n", "ids", "l", "rank", "whole").mapInArrow(cut_up, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
-
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """``ids`` replaced by ``ids_crc32``, of the ids as little-endian unsigned 32-bit numbers."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.schema.get_field_index("ids")
-            sums = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b.column(k).to_pylist()]
-            yield b.set_column(k, "ids_crc32", pa.array(sums, pa.int64()))
-
-    return pieces.mapInArrow(crc, ", ".join(f"{'ids_crc32' if c == 'ids' else c} {'bigint' if c == 'ids' else t}" for c, t in pieces.dtypes))
+    kind, what = dict(own.dtypes)["doc_id"], "ids_crc32 long" if digest else "ids binary"
+    return own.join(ranks, "row").select("doc_id", "n", "ids", "l", "rank", "whole").mapInArrow(cut_up, f"doc_id {kind}, start long, length long, {what}, doc_tokens long, sequence_id long, offset long")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_crc(pack(table(spark, sf_dir, "documents")))
+    return pack(table(spark, sf_dir, "documents"), digest=True)
