@@ -3,9 +3,10 @@ r"""Chat formatting with offset-aligned loss masks.
 A conversation is rendered whole, turn by turn, as ``<|im_start|>role<|im_sep|>text<|im_end|>``. In
 roles and texts each ``<|``, with any backslashes between its two characters, gets one backslash
 more, so no text holds a control string, and taking one away restores it. The rendered text is
-encoded once with offsets by a byte-level tokenizer that knows the three marks as special tokens;
-since these stand at both ends of each text, no token reaches over a text's edge. The tokens under
-an assistant's text are found by binary search of the turn's span in the sorted token offsets.
+encoded once by a byte-level tokenizer that knows the three marks as special tokens; the offsets
+are running sums of the tokens' lengths. Since marks stand at both ends of each text, no token
+reaches over a text's edge. The tokens under an assistant's text are found by binary search of the
+turn's span in the sorted token offsets.
 
 Rows of a conversation meet by one shuffle and are read in order, one conversation at a time. One
 that is longer than ``PART`` characters is rendered and encoded in parts that end with a turn; as
@@ -17,6 +18,7 @@ without a conv_id are one conversation of their own; a turn longer than a part i
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,15 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.shared import partitions, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.tiktoken"
 PART = 2 << 20
-_tokenizers: dict[str, object] = {}
+#: Code points that are encoded before their rows are sent on.
+_BATCH = 1 << 18
+_tokenizers: dict[str, "_Tokenizer"] = {}
 
 
 def escape(text: str) -> str:
@@ -43,14 +48,38 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.add_special_tokens([START, SEP, END])
-        _tokenizers[path] = t
-    return _tokenizers[path]
+class _Tokenizer:
+    """A byte-level vocabulary, three marks added, and the length of each token in bytes."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        marks = {m: len(ranks) + 1 + k for k, m in enumerate((START, SEP, END))}
+        self.encoding = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=marks)
+        self.length = np.zeros(max(marks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.length[rank] = len(token)
+        for m, k in marks.items():
+            self.length[k] = len(m)
+
+    @classmethod
+    def of(cls, path: str) -> "_Tokenizer":
+        if path not in _tokenizers:
+            _tokenizers[path] = cls(path)
+        return _tokenizers[path]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the code points at which each token begins and ends.
+
+        Tokens that share a code point's bytes all have it in their span.
+        """
+        ids = np.array(self.encoding.encode(text, allowed_special="all"), np.int32)
+        end = np.cumsum(self.length[ids])
+        if len(text) == (end[-1] if len(end) else 0):  # all ASCII
+            return ids, end - self.length[ids], end
+        head = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+        place = np.cumsum(head)  # 1 + the code point that each byte belongs to
+        return ids, place[end - self.length[ids]] - 1, place[end - 1]
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -87,17 +116,14 @@ def formatted(conversations: DataFrame, path: str | None = None) -> DataFrame:
     kind = dict(rows.dtypes)["conv_id"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer = _Tokenizer.of(path)
 
         def out(ready: list[tuple[object, int, list[tuple[str, str]]]]) -> pa.RecordBatch:
-            made = [render(turns) for _, _, turns in ready]
-            ids, starts, ends, loss = [], [], [], []
-            for (_, spans), e in zip(made, tokenizer.encode_batch([t for t, _ in made], add_special_tokens=False)):
-                offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
-                ids.append(pa.scalar(e.ids, pa.list_(pa.int32())))
-                starts.append(offsets[:, 0])
-                ends.append(offsets[:, 1])
-                loss.append(mask(offsets[:, 0], offsets[:, 1], spans))
+            made, tokens = [render(turns) for _, _, turns in ready], []
+            for text, spans in made:
+                ids, starts, ends = tokenizer.encode(text)
+                tokens.append((ids, starts.astype(np.int32), ends.astype(np.int32), mask(starts, ends, spans)))
+            ids, starts, ends, loss = zip(*tokens)
             columns = [
                 pa.array([c for c, _, _ in ready], conv),
                 pa.array([p for _, p, _ in ready], pa.int32()),
@@ -118,7 +144,7 @@ def formatted(conversations: DataFrame, path: str | None = None) -> DataFrame:
                         ready.append((now[0], part, turns))
                     part = part + 1 if (c,) == now else 0
                     now, turns, length = (c,), [], 0
-                    if size >= PART // 2:
+                    if size >= _BATCH:
                         yield out(ready)
                         ready, size = [], 0
                 turns.append((role, text))
