@@ -1,6 +1,6 @@
 """The subpackage's queries, one per operator, and their SQL where SQL can express them."""
 
-from tracewell.llm import chat, covertree, decontaminate, packing, simhash, substrings, warc
+from tracewell.llm import chat, covertree, decontaminate, packing, simhash, substrings, urls, warc
 
 QUERIES = {
     "op1_covertree": covertree.op1_covertree,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_substrings": substrings.op3_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_simhash": simhash.op7_simhash,
+    "op8_urls": urls.op8_urls,
     "op9_chat": chat.op9_chat,
     "op10_warc": warc.op10_warc,
 }
