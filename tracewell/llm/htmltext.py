@@ -116,6 +116,54 @@ LABELLED = """
 1 0 1 0 1
 60 0 -1 0 0
 20 0 -1 0 0
+
+1 1 0 1 0
+1 1 0 0 0
+6 6 0 0 0
+12 0 0 0 1
+60 2 0 0 1
+50 0 0 0 1
+8 8 0 0 0
+70 3 0 0 1
+20 0 0 1 0
+30 2 0 1 0
+95 0 0 1 0
+
+5 5 0 1 0
+7 7 0 0 0
+40 1 0 0 1
+3 3 0 0 0
+45 40 0 0 0
+55 2 0 0 1
+25 0 0 0 1
+80 75 0 0 0
+2 0 0 0 0
+
+10 10 0 0 0
+9 0 0 0 1
+30 0 0 0 1
+3 0 0 0 1
+100 10 0 0 1
+16 14 0 0 0
+4 4 0 0 0
+110 0 0 1 0
+60 0 0 1 0
+
+8 0 1 0 1
+60 1 1 0 1
+12 0 1 0 1
+
+5 0 1 0 1
+
+15 0 0 0 1
+40 0 0 0 1
+70 1 0 0 1
+
+25 0 0 0 1
+
+2 2 -1 1 0
+9 0 1 0 1
+1 0 1 0 1
 """
 
 
@@ -202,7 +250,7 @@ def features(rows: list[tuple[int, int, int, bool]]) -> np.ndarray:
 class Tree:
     """A binary decision tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
         self.value = bool(y.mean() >= 0.5) if len(y) else False
         self.at: tuple[int, float] | None = None
         if depth == 0 or len(y) < 2 * least or y.all() or not y.any():

@@ -1,12 +1,14 @@
 """The subpackage's queries, one per operator, and their SQL where SQL can express them."""
 
-from tracewell.llm import chat, covertree, decontaminate, htmltext, packing, simhash, substrings, urls, warc
+from tracewell.llm import chat, covertree, decontaminate, htmltext, language, packing, simhash, substrings, urls, warc
 
 QUERIES = {
     "op1_covertree": covertree.op1_covertree,
     "op2_packing": packing.op2_packing,
     "op3_substrings": substrings.op3_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_language": language.op5_language,
+    "pages_language": language.pages_language,
     "op6_html": htmltext.op6_html,
     "op7_simhash": simhash.op7_simhash,
     "op8_urls": urls.op8_urls,
