@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import cut, table
+from tracewell.llm.shared import cut, fresh, quoted, table
 from tracewell.llm.words import cover, rolling, slices
 
 WIDTH = 10
@@ -157,7 +157,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     key = [F.col("doc_id"), F.xxhash64("text").alias("tag")]
     found = None
     for p in parts:
-        p = p.where(F.size("items") > 0).select(*key, F.arrays_zip("hit.from", "hit.to").alias("spans"), "items")
+        p = p.where(F.size("hit.from") > 0).select(*key, F.arrays_zip("hit.from", "hit.to").alias("spans"), "items")
         found = p if found is None else found.unionAll(p)
     found = cut(found).groupBy("doc_id", "tag").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"))
     base = parts[0].select("doc_id", "text", "n_words", F.xxhash64("text").alias("tag"))
@@ -222,9 +222,10 @@ def strip(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             out = out.mapInArrow(clean, docs.schema)
         return out
     # Several slices: spans meet per (id, hash of text) first.
-    found = hits(docs, benchmark, id_col, text_col, width, most_windows).where(F.size("items") > 0)
-    found = found.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__tag"), F.col("hit").alias("__hit")).dropDuplicates(["__id", "__tag"])
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__tag"]), "left")
+    own, tag, hit = fresh(docs, "own", "tag", "hit")
+    found = hits(docs, benchmark, id_col, text_col, width, most_windows).where(F.exists("hit.from", lambda x: x.isNotNull()))
+    found = found.select("doc_id", F.xxhash64("text"), "hit").toDF(own, tag, hit).dropDuplicates([own, tag])
+    joined = docs.join(found, quoted(id_col).eqNullSafe(quoted(own)) & (F.xxhash64(quoted(text_col)) == quoted(tag)), "left")
 
     def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +233,7 @@ def strip(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             covered = [_merged(h, len(split(t))) if h else np.zeros(0, bool) for t, h in zip(texts, spans)]
             yield without(batch.select(list(range(batch.num_columns - 1))), covered)
 
-    return joined.select(*[docs[c] for c in docs.columns], "__hit").mapInArrow(cut_spans, docs.schema)
+    return joined.select(*map(quoted, docs.columns), quoted(hit)).mapInArrow(cut_spans, docs.schema)
 
 
 def _without(text: str, covered: np.ndarray) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.shared import cut, table
+from tracewell.llm.shared import cut, fresh, quoted, table
 from tracewell.llm.words import slices
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -85,7 +85,7 @@ class TextModel:
 
 def fit(docs: DataFrame, text_col: str, declared: Column) -> TextModel:
     """From at most ``SAMPLE`` texts of known declaration, chosen by their hash."""
-    known = docs.select(declared.alias("language"), F.col(text_col).alias("text")).where(F.col("language").isin(*LANGUAGES) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS // SAMPLE * 10))
+    known = docs.select(declared.alias("language"), quoted(text_col).alias("text")).where(F.col("language").isin(*LANGUAGES) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS // SAMPLE * 10))
     some = known.withColumn("h", F.xxhash64("text")).orderBy("h").limit(SAMPLE).select("language", "text").repartition(4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def _smoothed(above: list[Column]) -> list[Column]:
 
 
 def host_priors(soft: DataFrame) -> DataFrame:
-    """(known, prior_de, ...): log priors of each host from ``soft (host, de, en, es, fr)``."""
+    """(host, prior_de, ...): log priors of each host from ``soft (host, de, en, es, fr)``."""
     total = soft.agg(*(F.sum(k) for k in LANGUAGES)).first()
     base = np.array([x or 0.0 for x in total]) + 1
     base = [F.lit(float(x)) for x in base / base.sum()]
@@ -147,50 +147,53 @@ def host_priors(soft: DataFrame) -> DataFrame:
     with_parent = soft.withColumn("parent", parent)
     above = with_parent.where("parent <> ''").groupBy("parent").agg(*(F.sum(k).alias(k) for k in LANGUAGES)).select("parent", *(v.alias(f"p_{k}") for k, v in zip(LANGUAGES, _smoothed(base))))
     shares = _smoothed([F.coalesce(f"p_{k}", x) for k, x in zip(LANGUAGES, base)])
-    return with_parent.join(above, "parent", "left").select(F.col("host").alias("__known"), *(F.log(v).alias(f"__prior_{k}") for k, v in zip(LANGUAGES, shares)))
+    return with_parent.join(above, "parent", "left").select("host", *(F.log(v).alias(f"prior_{k}") for k, v in zip(LANGUAGES, shares)))
 
 
 def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None = None, host: Column | None = None, address: bool = True) -> DataFrame:
     """All columns of ``docs`` and ``language``, ``probability``, ``accepted``.
 
+    The new columns get an underscore in front where ``docs`` has columns of their names.
     ``declared_col`` holds declared languages; ``host`` is what shares a prior, with dots before
     its parents, and, if ``address``, the host of an address whose last part may be a country.
     Texts are scored twice, for the priors and with them, rather than kept or shuffled in between.
     """
     names, at = docs.columns, docs.columns.index(text_col)
-    declared = _tag(F.col(declared_col)) if declared_col else F.lit(None).cast("string")
+    said, shared, known, *prior_names = fresh(docs, "declared", "host", "known", *(f"prior_{k}" for k in LANGUAGES))
+    outcome = fresh(docs, "language", "probability", "accepted")
+    declared = _tag(quoted(declared_col)) if declared_col else F.lit(None).cast("string")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, declared))
-    extra = docs.withColumns({"__declared": declared, "__host": F.coalesce(host, F.lit("")) if host is not None else F.lit("")})
+    extra = docs.withColumns({said: declared, shared: F.coalesce(host, F.lit("")) if host is not None else F.lit("")})
 
     def evidence(b: pa.RecordBatch, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         score = model.value.score(text.cast(pa.large_binary()).fill_null(b"").to_pylist())
-        more = _declared(b.column("__declared").to_pylist())
-        return score, more + _country(b.column("__host").to_pylist()) if address else more
+        more = _declared(b.column(said).to_pylist())
+        return score, more + _country(b.column(shared).to_pylist()) if address else more
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         even = np.full(len(LANGUAGES), np.log(1 / len(LANGUAGES)))
         for b in batches:
-            p = posterior(*evidence(b, b.column("__text")), even)
-            hosts, own = np.unique(np.array(b.column("__host").to_pylist(), object), return_inverse=True) if len(b) else ([], np.zeros(0, int))
+            p = posterior(*evidence(b, b.column(0)), even)
+            hosts, own = np.unique(np.array(b.column(shared).to_pylist(), object), return_inverse=True) if len(b) else ([], np.zeros(0, int))
             sums = [pa.array(np.bincount(own, p[:, k], len(hosts))) for k in range(len(LANGUAGES))]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *sums], names=["host", *LANGUAGES])
 
-    slim = extra.select(F.col(text_col).alias("__text"), "__declared", "__host")
+    slim = extra.select(*map(quoted, (text_col, said, shared)))
     soft = slim.mapInArrow(count, "host string" + "".join(f", {k} double" for k in LANGUAGES)).groupBy("host").agg(*(F.sum(k).alias(k) for k in LANGUAGES))
-    priors = cut(host_priors(cut(soft)))
-    joined = extra.join(F.broadcast(priors) if priors.count() <= MOST_HOSTS else priors, F.col("__host") == F.col("__known"), "left")
-    joined = joined.select(*extra.columns, *(f"__prior_{k}" for k in LANGUAGES))
+    priors = cut(host_priors(cut(soft))).toDF(known, *prior_names)
+    joined = extra.join(F.broadcast(priors) if priors.count() <= MOST_HOSTS else priors, quoted(shared) == quoted(known), "left")
+    joined = joined.select(*map(quoted, [*extra.columns, *prior_names]))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prior = np.column_stack([b.column(f"__prior_{k}").to_numpy(zero_copy_only=False) for k in LANGUAGES])
+            prior = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in prior_names])
             p = posterior(*evidence(b, b.column(at)), prior)
             best = p.argmax(1)
             kinds = [*LANGUAGES, UNKNOWN]
             out = [pa.array([kinds[k] for k in best], pa.string()), pa.array(p[np.arange(len(b)), best]), pa.array(best < len(LANGUAGES))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *out], names=[*b.schema.names[: len(names)], "language", "probability", "accepted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *out], names=[*b.schema.names[: len(names)], *outcome])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("language", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t()) for c, t in zip(outcome, (T.StringType, T.DoubleType, T.BooleanType)))])
     return joined.mapInArrow(decide, schema)
 
 
@@ -213,4 +216,5 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents, all columns, in one of the languages."""
-    return identify(docs, "text", "lang", F.col("source"), address=False).where("accepted").select(*docs.columns)
+    found = identify(docs, "text", "lang", F.col("source"), address=False)
+    return found.where(quoted(found.columns[-1])).select(*map(quoted, docs.columns))

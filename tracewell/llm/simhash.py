@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import components, cut, partitions, table
+from tracewell.llm.shared import components, cut, fresh, partitions, quoted, table
 from tracewell.llm.words import SPACE, Words, lower_ascii, slices
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -265,11 +265,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = groups(docs, id_col, text_col)
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("copies"))
     kept = cut(kept)
-    once = kept.select(F.col("doc_id").alias("__kept"))
-    out = docs.join(once, docs[id_col] == once["__kept"], "left_semi")
+    (name,) = fresh(docs, "kept")
+    once = kept.select(F.col("doc_id").alias(name))
+    out = docs.join(once, quoted(id_col) == quoted(name), "left_semi")
     if not kept.where("copies > 1").isEmpty():
         out = out.dropDuplicates([id_col])
-    return out.unionAll(docs.where(F.col(id_col).isNull()))
+    return out.unionAll(docs.where(quoted(id_col).isNull()))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import partitions, table
+from tracewell.llm.shared import fresh, partitions, quoted, table
 from tracewell.llm.words import SPACE, Words, cover, mix, rolling, slices, sliding_min
 
 WINDOW, MINIMISER = 35, 8
@@ -256,18 +256,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 strings += s
         yield from out()
 
-    source = docs.select(F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    source = docs.select(F.coalesce(quoted(id_col), F.lit(0)).alias("id"), F.xxhash64(quoted(text_col)).alias("tag"), quoted(text_col).alias("text"))
     packed = source.mapInArrow(send, schema).repartition(width, "bucket").sortWithinPartitions("bucket")
     spans = packed.mapInArrow(solve, "id long, tag long, a int, b int")
     return spans.groupBy("id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """All columns of ``docs`` and ``__spans``."""
-    found = repeated_spans(docs, id_col, text_col, window).select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    here = docs.select("*", F.coalesce(F.col(id_col), F.lit(0)).alias("__own"), F.xxhash64(F.col(text_col)).alias("__text"))
-    joined = here.join(found, (here["__own"] == found["__id"]) & (here["__text"] == found["__tag"]), "left")
-    return joined.select(*docs.columns, F.col("__spans.a").alias("__a"), F.col("__spans.b").alias("__b"))
+    """All columns of ``docs``, and after them the beginnings and the ends of the ranges."""
+    own, text, there, tag, spans = fresh(docs, "own", "text_hash", "id_found", "tag_found", "spans_found")
+    found = repeated_spans(docs, id_col, text_col, window).toDF(there, tag, spans)
+    here = docs.withColumns({own: F.coalesce(quoted(id_col), F.lit(0)), text: F.xxhash64(quoted(text_col))})
+    joined = here.join(found, (quoted(own) == quoted(there)) & (quoted(text) == quoted(tag)), "left")
+    return joined.select(*map(quoted, docs.columns), quoted(spans)["a"].alias(own), quoted(spans)["b"].alias(text))
 
 
 def _left(batch: pa.RecordBatch, k: int, a: int, b: int) -> Iterator[tuple[int, bytes | None, Words, np.ndarray]]:
