@@ -1,0 +1,221 @@
+"""Substring dedup, decontamination, packing and language against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tracewell.llm import decontaminate, language, packing, substrings
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs(spark, texts, ids=None):
+    rows = [(i, t) for i, t in zip(ids or range(len(texts)), texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as own", "2 as tag", "3 as `a.b`", "'x' as hit")
+
+
+def passages(seed, n=40, vocabulary=2000):
+    rng = random.Random(seed)
+    word = lambda: f"é{rng.randrange(vocabulary)}"
+    shared = [[word() for _ in range(k)] for k in (20, 34, 35, 36, 80)]
+    out = []
+    for _ in range(n):
+        t = []
+        for _ in range(rng.randint(0, 6)):
+            t += rng.choice(shared) if rng.random() < 0.5 else [word() for _ in range(rng.randint(1, 50))]
+        out.append("".join(w + rng.choice([" ", "\n", "  ", "\t"]) for w in t))
+    return out + [out[0], None, "", "a " * 100, " ".join(f"u{k}" for k in range(3000))]
+
+
+def brute_substrings(texts, window=35):
+    words = [WORD.findall(t or "") for t in texts]
+    count = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if count[tuple(w[i : i + window])] > 1:
+                gone.update(range(i, i + window))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("flush", [1, 1 << 24])
+def test_substrings_equal_brute_force(spark, monkeypatch, flush):
+    monkeypatch.setattr(substrings, "_FLUSH", flush)
+    texts = passages(1)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.report(docs(spark, texts).repartition(3)).collect()}
+    assert got == dict(enumerate(brute_substrings(texts)))
+
+
+def test_substrings_with_repeated_rows_ids_and_null_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in substrings.report(docs(spark, [a, a, b, a + " x"], [7, 7, 7, None])).collect())
+    assert got == [(-1, 40), (7, 0), (7, 40), (7, 40)]
+    assert substrings.report(docs(spark, [a]).limit(0)).count() == 0
+
+
+def test_what_is_left_keeps_its_white_space(spark):
+    p = " ".join(f"p{k}" for k in range(40))
+    df = docs(spark, [f"one\ttwo\n{p}\nthree  four", f"x {p}", None, "as  it\nis "])
+    out = substrings.remove_repeats(df)
+    assert out.columns == df.columns
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: "one\ttwo\nthree  four", 1: "x", 2: None, 3: "as  it\nis "}
+
+
+def fold(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def brute_decontaminate(texts, items, width=10):
+    wins = [(i, tuple(w[k : k + min(width, len(w))])) for i, t in items if (w := fold(t)) for k in range(len(w) - min(width, len(w)) + 1)]
+    out = []
+    for t in texts:
+        w, hit, found = fold(t), set(), set()
+        for i, win in wins:
+            for k in range(len(w) - len(win) + 1):
+                if tuple(w[k : k + len(win)]) == win:
+                    hit.update(range(k, k + len(win)))
+                    found.add(i)
+        ids = ",".join(sorted(str(i) for i in found if i is not None))
+        out.append((len(w), len(hit), len(found - {None}), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
+    return out
+
+
+LEAKS = ["It was the BEST of times, it was the worst of times; it was", "short item", "ü-x", "", None, "one two three four five six seven eight nine ten eleven twelve"]
+
+
+def leaking():
+    rng = random.Random(4)
+    plain = lambda: " ".join(f"q{rng.randrange(500)}" for _ in range(30))
+    texts = [plain() + " " + rng.choice(["", *[x for x in LEAKS if x]]).replace(" ", "\n- ") + " " + plain() for _ in range(30)]
+    return texts + [None, "", "Ü x", "eight nine ten eleven twelve", LEAKS[0] * 3, "z" * 50_000]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_decontamination_equals_brute_force(spark, most):
+    items = [(10 * k, t) for k, t in enumerate(LEAKS)] + [(7, LEAKS[1]), (None, "q1 q2"), (10, "another short item")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = leaking()
+    found = decontaminate.report(decontaminate.hits(docs(spark, texts), bench, most_windows=most))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in found.collect()}
+    assert got == dict(enumerate(brute_decontaminate(texts, items)))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_spans_or_documents_go(spark, most):
+    bench = spark.createDataFrame(list(enumerate(LEAKS)), "item_id long, text string")
+    df = docs(spark, ["Before, it was the best of times it was the worst of TIMES it was. After", "nothing", None])
+    out = decontaminate.strip(df, bench, most_windows=most)
+    assert out.columns == df.columns
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: "Before, . After", 1: "nothing", 2: None}
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, bench, most_windows=most).collect()) == [1, 2]
+    assert decontaminate.hits(df.limit(0), bench).count() == 0
+    assert {r["n_items"] for r in decontaminate.report(decontaminate.hits(df, bench.limit(0))).collect()} == {0}
+
+
+ODD = ["", None, " ", "<|endoftext|> <|ENDOFTEXT|> x", "It's DON'T we'll", "Σς ÉÈ é é ½ 漢字  \x1c\x85 a\x0bb", "don't, stop. a!? b., (c) d, é, ß. œ,", "1234 5a a5", "x" * 5000]
+
+
+def test_word_encoder_equals_the_tokenizer():
+    path = public_tokenizers.path(packing.TOKENIZER)
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿABC.,;:!?'0<|>"
+    texts = ODD + [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(200)) for _ in range(100)]
+    encoder = packing.WordEncoder(path)
+    for _ in range(2):  # the second time from memory
+        for t, raw in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(raw, "<u2").tolist() == plain.encode(t or "", add_special_tokens=False).ids + [1]
+
+
+def test_spfhp_fills_packs_within_their_length():
+    rng = random.Random(3)
+    histogram = {l: rng.randint(1, 50) for l in rng.sample(range(1, 2048), 400)}
+    placed, packs = packing.spfhp(histogram)
+    content, seen = {}, Counter()
+    for l, a, b, pack, offset in placed:
+        seen[l] += b - a
+        for k in range(b - a):
+            content.setdefault(pack + k, []).append((offset, l))
+    assert seen == Counter(histogram) and set(content) == set(range(packs))
+    for parts in content.values():
+        at = 0
+        for offset, l in sorted(parts):
+            assert offset == at
+            at += l
+        assert at <= 2048
+
+
+def test_packing_covers_every_id_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 3)
+    rng = random.Random(5)
+    texts = ODD + ["word " * rng.randint(0, 300) for _ in range(60)] + ["same"] * 20 + ["long " * 2047, "long " * 2048, "long " * 9000]
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    rows = packing.pack(docs(spark, texts).repartition(3), digest=True).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(by_doc) == set(range(len(texts)))
+    for i, parts in by_doc.items():
+        ids, at = np.array(plain.encode(texts[i] or "", add_special_tokens=False).ids + [1], "<u4"), 0
+        for r in sorted(parts, key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids))
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : at].tobytes())
+        assert at == len(ids)
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+GERMAN = "Der schnelle braune Fuchs springt über den faulen Hund und die Katze schläft auf dem Dach weil es warm ist"
+ENGLISH = "The quick brown fox jumps over the lazy dog and the cat sleeps on the roof because it is warm up there"
+FRENCH = "Le renard brun saute par dessus le chien paresseux et le chat dort sur le toit parce qu'il fait chaud là haut"
+SPANISH = "El zorro marrón salta sobre el perro perezoso y el gato duerme en el tejado porque hace mucho calor allí arriba"
+
+
+def test_language_fuses_its_evidence(spark):
+    known = [(GERMAN, "de"), (ENGLISH, "en"), (FRENCH, "fr"), (SPANISH, "es")]
+    rng = random.Random(6)
+    rows, i = [], 0
+    for _ in range(40):
+        for t, l in known:
+            w = t.split()
+            rows.append((i, " ".join(rng.sample(w, 12)), l if rng.random() < 0.9 else "xx", f"a.{l}host.org"))
+            i += 1
+    extra = [(900, None, "de", "a.dehost.org"), (901, "12 34 !!", "de", None), (902, "zzqx", "fr", "a.frhost.org"), (903, ENGLISH, "fr", None), (904, GERMAN, None, "x.example.de")]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, source string").selectExpr("*", "true as accepted", "1 as host")
+    from pyspark.sql import functions as F
+
+    out = language.identify(df, "text", "lang", F.col("source"))
+    assert out.columns == [*df.columns, "language", "probability", "_accepted"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    want = {k: known[k % 4][1] for k in range(i)}
+    assert sum(got[k]["language"] == want[k] for k in want) >= 0.98 * len(want)
+    assert {got[k]["language"] for k in (900, 901)} == {"und"} and not got[900]["_accepted"]
+    assert (got[903]["language"], got[904]["language"]) == ("en", "de")
+    kept = language.keep_identified(df)
+    assert kept.columns == df.columns and {900, 901}.isdisjoint(r["doc_id"] for r in kept.select("doc_id").collect())
+    assert language.identify(df.limit(0), "text", "lang", F.col("source")).count() == 0
+
+
+def test_host_priors_follow_their_hosts_and_parents(spark):
+    soft = spark.createDataFrame([("a.x.org", 90.0, 5.0, 5.0, 0.0), ("b.x.org", 0.0, 0.0, 0.0, 0.0), ("y.org", 0.0, 50.0, 0.0, 0.0)], "host string, de double, en double, es double, fr double")
+    p = {r["host"]: np.exp(list(r[1:])) for r in language.host_priors(soft).collect()}
+    assert all(abs(v.sum() - 1) < 1e-9 for v in p.values())
+    assert p["a.x.org"].argmax() == 0 and p["b.x.org"].argmax() == 0 and p["y.org"].argmax() == 1
+    assert p["a.x.org"][0] > p["b.x.org"][0]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import cut, fresh, quoted, table
+from tracewell.llm.shared import cut, fresh, map_batches, quoted, table
 from tracewell.llm.words import cover, rolling, slices
 
 WIDTH = 10
@@ -219,7 +219,7 @@ def strip(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     for a, b in slices([t or "" for t in texts], _CHUNK):
                         yield without(batch.slice(a, b - a), [c for _, c, _ in sent.value.scan(texts[a:b])])
 
-            out = out.mapInArrow(clean, docs.schema)
+            out = map_batches(out, clean, docs.schema)
         return out
     # Several slices: spans meet per (id, hash of text) first.
     own, tag, hit = fresh(docs, "own", "tag", "hit")
@@ -233,7 +233,7 @@ def strip(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             covered = [_merged(h, len(split(t))) if h else np.zeros(0, bool) for t, h in zip(texts, spans)]
             yield without(batch.select(list(range(batch.num_columns - 1))), covered)
 
-    return joined.select(*map(quoted, docs.columns), quoted(hit)).mapInArrow(cut_spans, docs.schema)
+    return map_batches(joined.select(*map(quoted, docs.columns), quoted(hit)), cut_spans, docs.schema)
 
 
 def _without(text: str, covered: np.ndarray) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.shared import cut, fresh, quoted, table
+from tracewell.llm.shared import cut, fresh, map_batches, quoted, table
 from tracewell.llm.words import slices
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -51,15 +51,12 @@ _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 e
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the trigrams that hold two letters' bytes or more, and the text of each."""
-    joined = _FOLD[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    if len(joined) < 3:
-        joined = np.concatenate((np.full(2, 32, np.uint8), joined))
-        ends = ends + 2
+    joined = _FOLD[np.frombuffer(b"\n" + b"\n\n".join(texts) + b"\n\n", np.uint8)]
+    ends = 1 + np.cumsum([len(t) + 2 for t in texts])  # two gaps keep texts out of each other's trigrams
     letter = (joined != 32).view(np.int8)
     at = np.flatnonzero(letter[:-2] + letter[1:-1] + letter[2:] >= 2)
     code = joined[at].astype(np.uint32) << 16 | joined[at + 1].astype(np.uint32) << 8 | joined[at + 2]
-    return (code * np.uint32(2654435761)) >> np.uint32(17), np.searchsorted(ends, at, side="right")
+    return (code * np.uint32(2654435761)) >> np.uint32(17), np.searchsorted(ends, at + 1, side="right")
 
 
 class TextModel:
@@ -84,9 +81,11 @@ class TextModel:
 
 
 def fit(docs: DataFrame, text_col: str, declared: Column) -> TextModel:
-    """From at most ``SAMPLE`` texts of known declaration, chosen by their hash."""
+    """From at most ``SAMPLE`` different texts of known declaration, those of the least hashes."""
     known = docs.select(declared.alias("language"), quoted(text_col).alias("text")).where(F.col("language").isin(*LANGUAGES) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS // SAMPLE * 10))
-    some = known.withColumn("h", F.xxhash64("text")).orderBy("h").limit(SAMPLE).select("language", "text").repartition(4)
+    known = known.withColumn("h", F.xxhash64("text"))
+    least = known.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # of hashes, not texts
+    some = known.where(F.col("h") <= F.lit(least).cast("long")).dropDuplicates(["h"]).select("language", "text").coalesce(4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -179,7 +178,7 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *sums], names=["host", *LANGUAGES])
 
     slim = extra.select(*map(quoted, (text_col, said, shared)))
-    soft = slim.mapInArrow(count, "host string" + "".join(f", {k} double" for k in LANGUAGES)).groupBy("host").agg(*(F.sum(k).alias(k) for k in LANGUAGES))
+    soft = map_batches(slim, count, "host string" + "".join(f", {k} double" for k in LANGUAGES)).groupBy("host").agg(*(F.sum(k).alias(k) for k in LANGUAGES))
     priors = cut(host_priors(cut(soft))).toDF(known, *prior_names)
     joined = extra.join(F.broadcast(priors) if priors.count() <= MOST_HOSTS else priors, quoted(shared) == quoted(known), "left")
     joined = joined.select(*map(quoted, [*extra.columns, *prior_names]))
@@ -194,7 +193,7 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *out], names=[*b.schema.names[: len(names)], *outcome])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t()) for c, t in zip(outcome, (T.StringType, T.DoubleType, T.BooleanType)))])
-    return joined.mapInArrow(decide, schema)
+    return map_batches(joined, decide, schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

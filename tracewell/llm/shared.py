@@ -30,6 +30,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` for any column names: it can't take dots in them."""
+    names = df.columns
+
+    def run(batches):
+        yield from function(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

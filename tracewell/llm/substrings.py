@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import fresh, partitions, quoted, table
+from tracewell.llm.shared import fresh, map_batches, partitions, quoted, table
 from tracewell.llm.words import SPACE, Words, cover, mix, rolling, slices, sliding_min
 
 WINDOW, MINIMISER = 35, 8
@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kind = rows.schema.field(at)
             yield rows.set_column(at, kind, pa.array(new, pa.large_binary()).cast(pa.large_string()).cast(kind.type))
 
-    return _with_spans(docs, id_col, text_col, window).mapInArrow(clean, docs.schema)
+    return map_batches(_with_spans(docs, id_col, text_col, window), clean, docs.schema)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
