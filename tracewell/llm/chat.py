@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import partitions, table
+from tracewell.llm.shared import map_batches, partitions, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -155,7 +155,7 @@ def formatted(conversations: DataFrame, path: str | None = None) -> DataFrame:
         if ready:
             yield out(ready)
 
-    return ordered.mapInArrow(build, f"conv_id {kind}, part int, text string, ids array<int>, starts array<int>, ends array<int>, loss array<tinyint>")
+    return map_batches(ordered, build, f"conv_id {kind}, part int, text string, ids array<int>, starts array<int>, ends array<int>, loss array<tinyint>")
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -211,7 +211,7 @@ def report(made: DataFrame) -> DataFrame:
         if rows:
             yield out(rows)
 
-    return made.mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_batches(made, read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

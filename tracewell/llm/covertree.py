@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import components, cut, partitions, table
+from tracewell.llm.shared import components, cut, map_batches, partitions, table
 
 THRESHOLD = 0.98
 BLOCK = 8192
@@ -210,7 +210,7 @@ def _clean(vectors: DataFrame) -> DataFrame:
 
     named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("v"))
     named = named.withColumn("able", F.col("vec_id").isNotNull() & F.col("label").isNotNull())
-    return named.mapInArrow(scan, "vec_id long, label string, dim int, v binary").withColumn("digest", F.sha2("v", 256))
+    return map_batches(named, scan, "vec_id long, label string, dim int, v binary").withColumn("digest", F.sha2("v", 256))
 
 
 def _pairs(one: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -261,7 +261,7 @@ def _pairs(one: DataFrame, threshold: float, block: int) -> DataFrame:
         if parts:
             yield from out(now, parts)
 
-    return dealt.mapInArrow(solve, "u long, v long, n long")
+    return map_batches(dealt, solve, "u long, v long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:

@@ -150,7 +150,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                         names=["doc_id", "text", "n_words", "hit", "items"],
                     )
 
-        parts.append(rows.mapInArrow(scan, schema))
+        parts.append(map_batches(rows, scan, schema))
     if len(parts) == 1:
         return parts[0]
     # The same texts under the same id have the same hits: the slices meet per (id, hash of text).
@@ -185,7 +185,7 @@ def report(found: DataFrame) -> DataFrame:
             )
 
     kind = dict(found.dtypes)["doc_id"]
-    return found.select("doc_id", "n_words", "hit", "items").mapInArrow(digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_batches(found.select("doc_id", "n_words", "hit", "items"), digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

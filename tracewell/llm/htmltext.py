@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import table
+from tracewell.llm.shared import map_batches, table
 
 # Element names by role, and words in classes and ids that mark page furniture.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -316,7 +316,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h) for h in b.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(scan, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
+    return map_batches(rows, scan, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def fit(docs: DataFrame, text_col: str, declared: Column) -> TextModel:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<f8").tobytes() for v in sums.values()], pa.binary())], names=["language", "counts"])
 
     counts: dict[str, np.ndarray] = {}
-    for r in some.mapInArrow(count, "language string, counts binary").collect():  # four tasks, four languages at most
+    for r in map_batches(some, count, "language string, counts binary").collect():  # four tasks, four languages at most
         counts[r["language"]] = counts.get(r["language"], 0) + np.frombuffer(r["counts"], "<f8")
     return TextModel(counts)
 

@@ -31,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import cut, table
+from tracewell.llm.shared import cut, map_batches, table
 
 LENGTH, END = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -174,7 +174,7 @@ def tokens(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
                 ids = encoder.encode(b.column("text")[k : k + 512].to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[k : k + 512], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
-    return rows.mapInArrow(encode, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, ids binary")
+    return map_batches(rows, encode, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, ids binary")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, digest: bool = False) -> DataFrame:
@@ -231,7 +231,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
 
     kind, what = dict(own.dtypes)["doc_id"], "ids_crc32 long" if digest else "ids binary"
-    return own.join(ranks, "row").select("doc_id", "n", "ids", "l", "rank", "whole").mapInArrow(cut_up, f"doc_id {kind}, start long, length long, {what}, doc_tokens long, sequence_id long, offset long")
+    return map_batches(own.join(ranks, "row").select("doc_id", "n", "ids", "l", "rank", "whole"), cut_up, f"doc_id {kind}, start long, length long, {what}, doc_tokens long, sequence_id long, offset long")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

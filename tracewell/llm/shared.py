@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +32,29 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bytes of an Arrow batch between the JVM and Python, at most; its default suits short rows.
+BATCH_BYTES = 8 << 20
+
+
+def _release() -> None:
+    """Give freed memory back to the system, since workers idle on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` for any column names: it can't take dots in them."""
-    names = df.columns
+    """``mapInArrow`` in batches that suit long texts, for any column names: it can't take dots in them."""
+    names, conf = df.columns, df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
     def run(batches):
-        yield from function(b.rename_columns(names) for b in batches)
+        try:
+            yield from function(b.rename_columns(names) for b in batches)
+        finally:
+            _release()
 
     return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import components, cut, fresh, partitions, quoted, table
+from tracewell.llm.shared import components, cut, fresh, map_batches, partitions, quoted, table
 from tracewell.llm.words import SPACE, Words, lower_ascii, slices
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -104,7 +104,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return map_batches(rows, scan, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 class BKTree:
@@ -212,7 +212,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 at = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), b.column("fp").take(at), b.column("id").take(at)], names=["shard", "fp", "id"])
 
-        return distinct.mapInArrow(scan, "shard string, fp long, id long")
+        return map_batches(distinct, scan, "shard string, fp long, id long")
 
     n = distinct.count()
     cuts = 1 if n <= EVEN << 16 else 2  # so that a shard of evenly spread fingerprints stays small
@@ -245,7 +245,7 @@ def links(distinct: DataFrame) -> DataFrame:
             yield r
 
     dealt = deal(full).repartition(partitions(spark), "shard").sortWithinPartitions("shard", "fp")
-    return dealt.mapInArrow(solve, "u long, v long")
+    return map_batches(dealt, solve, "u long, v long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -257,8 +257,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from out()
 
     source = docs.select(F.coalesce(quoted(id_col), F.lit(0)).alias("id"), F.xxhash64(quoted(text_col)).alias("tag"), quoted(text_col).alias("text"))
-    packed = source.mapInArrow(send, schema).repartition(width, "bucket").sortWithinPartitions("bucket")
-    spans = packed.mapInArrow(solve, "id long, tag long, a int, b int")
+    packed = map_batches(source, send, schema).repartition(width, "bucket").sortWithinPartitions("bucket")
+    spans = map_batches(packed, solve, "id long, tag long, a int, b int")
     return spans.groupBy("id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
@@ -326,7 +326,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 sha.append(hashlib.sha256(b" ".join(_kept(where, gone))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_spans(rows, "doc_id", "text", window).mapInArrow(digest, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
+    return map_batches(_with_spans(rows, "doc_id", "text", window), digest, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

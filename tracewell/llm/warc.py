@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import cut, shared_dir, table
+from tracewell.llm.shared import cut, map_batches, shared_dir, table
 
 MIN_PAYLOAD = 100
 #: Bytes of an archive that one task reads.
@@ -109,7 +109,7 @@ def write(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD) -> Data
             size = fs.get_file_info(path).size
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64())], names=["path", "size"])
 
-    done = cut(with_payload(pages, min_payload).mapInArrow(dump, "path string, size long"))
+    done = cut(map_batches(with_payload(pages, min_payload), dump, "path string, size long"))
     names = {r["path"] for r in done.select("path").collect()}  # one per task
     fs, root = _files(folder)
     for f in fs.get_file_info(pa.fs.FileSelector(root, allow_not_found=True)):
@@ -208,7 +208,7 @@ def read(archives: DataFrame, split: int = SPLIT, folder: str = "", payload: boo
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return ranges.select("path", "start").mapInArrow(scan, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload)
+    return map_batches(ranges.select("path", "start"), scan, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
