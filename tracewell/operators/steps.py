@@ -5,6 +5,8 @@ Every window is partitioned by run, or by run and more, so one shuffle by ``uid`
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,17 +94,28 @@ def step_features(steps: DataFrame) -> DataFrame:
     )
 
 
+def hashed_runs(text: str | None, dim: int = TEXT_DIM) -> np.ndarray:
+    """Counts of a text's hashed 3-character runs in ``dim`` buckets, at unit length."""
+    c = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(c) < 3:
+        return np.zeros(dim)
+    code = (c[:-2] << np.uint64(42)) ^ (c[1:-1] << np.uint64(21)) ^ c[2:]
+    counts = np.bincount(((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % dim, minlength=dim)
+    return counts / np.sqrt((counts * counts).sum())
+
+
 def text_hash(text: Column, dim: int = TEXT_DIM) -> Column:
-    """Counts of the text's hashed 3-character runs in ``dim`` buckets, at unit length."""
-    t = F.coalesce(text, F.lit(""))
-    grams = F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.pmod(F.xxhash64(F.substring(t, i, F.lit(3))), F.lit(dim)))).otherwise(F.array().cast("array<bigint>"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(grams, lambda g: g == b)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """``hashed_runs`` of a column. An Arrow UDF: nested array lambdas would hash anew per bucket."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hashed_runs(t, dim))
+
+    return run(text)
 
 
 def with_text_hash(steps: DataFrame, dim: int = TEXT_DIM) -> DataFrame:
-    hashed = steps.select("*", F.explode(F.array(text_hash(F.col("text"), dim))).alias("__hash"))  # a generator: computed once
+    hashed = steps.withColumn("__hash", text_hash(F.col("text"), dim))
     return hashed.withColumns({f"text_hash_{k:02d}": F.col("__hash")[k] for k in range(dim)}).drop("__hash")
 
 
