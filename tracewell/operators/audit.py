@@ -77,9 +77,9 @@ def cost_table(calls: DataFrame, price_in: float, price_out: float, by: list[str
 
 def channel_attribution(steps: DataFrame, channels: list[str], by: list[str]) -> DataFrame:
     """How often each channel holds the highest running maximum at a step; ``tie`` if several do."""
-    from tracewell.operators.steps import SO_FAR
+    from tracewell.operators.steps import so_far
 
-    tops = steps.withColumns({f"__{c}": F.max(c).over(SO_FAR) for c in channels})
+    tops = steps.withColumns({f"__{c}": F.max(c).over(so_far()) for c in channels})
     best = F.greatest(*(F.col(f"__{c}") for c in channels))
     holders = F.filter(F.array(*(F.when(F.col(f"__{c}") == best, F.lit(c)) for c in channels)), lambda x: x.isNotNull())
     named = F.when(F.size(holders) > 1, F.lit("tie")).otherwise(F.get(holders, F.lit(0)))

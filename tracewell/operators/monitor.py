@@ -113,9 +113,9 @@ def episode_scores(scores: DataFrame, theta: float) -> DataFrame:
 
 def carried_forward(steps: DataFrame, columns: list[str], step: int) -> DataFrame:
     """The signal of one step replaced by that of the step before."""
-    from tracewell.operators.steps import RUN
+    from tracewell.operators.steps import in_run
 
-    return steps.withColumns({c: F.when(F.col("step_idx") == step, F.coalesce(F.lag(c).over(RUN), c)).otherwise(F.col(c)) for c in columns})
+    return steps.withColumns({c: F.when(F.col("step_idx") == step, F.coalesce(F.lag(c).over(in_run()), c)).otherwise(F.col(c)) for c in columns})
 
 
 def logprob_coverage(steps: DataFrame) -> DataFrame:

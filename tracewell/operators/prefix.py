@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.steps import LAST3, SO_FAR
+from tracewell.operators.steps import last3, so_far
 from tracewell.schema import AGGREGATES, FEATURES, TEXT_DIM
 
 
@@ -22,27 +22,27 @@ def prefix_features(rows: DataFrame, checkpoints, text: bool = False) -> DataFra
     for name, (group, kind) in features.items():
         x = F.col(name)
         all_of = {
-            "count": lambda x=x: F.sum(x).over(SO_FAR),
-            "rate": lambda x=x: F.sum(x).over(SO_FAR) / (F.col("step_idx") + 1),
-            "last3": lambda x=x: F.sum(x).over(LAST3),
-            "mean": lambda x=x: F.avg(x).over(SO_FAR),
-            "max": lambda x=x: F.max(x).over(SO_FAR),
+            "count": lambda x=x: F.sum(x).over(so_far()),
+            "rate": lambda x=x: F.sum(x).over(so_far()) / (F.col("step_idx") + 1),
+            "last3": lambda x=x: F.sum(x).over(last3()),
+            "mean": lambda x=x: F.avg(x).over(so_far()),
+            "max": lambda x=x: F.max(x).over(so_far()),
             "last": lambda x=x: x,
-            "last3_mean": lambda x=x: F.avg(x).over(LAST3),
+            "last3_mean": lambda x=x: F.avg(x).over(last3()),
         }
         for a in AGGREGATES[kind]:
             made[f"{group}__{name}__{a}"] = all_of[a]().cast("double")
-    made["tl__distinct_tools_per_call"] = F.try_divide(F.sum("new_tool").over(SO_FAR), F.sum("is_tool_call").over(SO_FAR)).cast("double")
+    made["tl__distinct_tools_per_call"] = F.try_divide(F.sum("new_tool").over(so_far()), F.sum("is_tool_call").over(so_far())).cast("double")
     wide = rows.select("uid", F.col("step_idx").alias("t"), *(v.alias(k) for k, v in made.items()))
     return wide.where(F.col("t").isin(*checkpoints))
 
 
 def masked_prefix_features(rows: DataFrame, columns: list[str], how: str, checkpoints) -> DataFrame:
     """Prefix features with some step features hidden at the onset; ``rows`` have ``tau``."""
-    from tracewell.operators.steps import RUN, masked_at_onset
+    from tracewell.operators.steps import in_run, masked_at_onset
 
     out = masked_at_onset(rows, columns, how)
     if "is_error" in columns:
-        last = F.max(F.when(F.col("is_error") == 1, F.col("step_idx"))).over(RUN.rowsBetween(Window.unboundedPreceding, 0))
+        last = F.max(F.when(F.col("is_error") == 1, F.col("step_idx"))).over(in_run().rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumn("steps_since_error", F.col("step_idx") - F.coalesce(last, F.lit(-1)))
     return prefix_features(out, checkpoints)

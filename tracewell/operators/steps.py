@@ -7,15 +7,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import call_key, log1p_or_null, starts_with_error, step_label
 from tracewell.schema import TEXT_DIM
 
-RUN = Window.partitionBy("uid").orderBy("step_idx")
-SO_FAR = RUN.rowsBetween(Window.unboundedPreceding, 0)
-LAST3 = RUN.rowsBetween(-2, 0)
+def in_run() -> WindowSpec:
+    return Window.partitionBy("uid").orderBy("step_idx")
+
+
+def so_far() -> WindowSpec:
+    """The run's steps up to this one."""
+    return in_run().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def last3() -> WindowSpec:
+    return in_run().rowsBetween(-2, 0)
 
 
 def tool_calls(steps: Column) -> Column:
@@ -63,14 +71,14 @@ def step_features(steps: DataFrame) -> DataFrame:
     """
     call = F.col("tool_name").isNotNull()
     keyed = steps.withColumn("__key", call_key(F.col("tool_name"), F.col("args")))
-    same = F.col("__key").eqNullSafe(F.lag("__key").over(RUN)) & (F.col("step_idx") > 0)
-    last_error = F.max(F.when(F.col("is_error") == 1, F.col("step_idx"))).over(SO_FAR)
+    same = F.col("__key").eqNullSafe(F.lag("__key").over(in_run())) & (F.col("step_idx") > 0)
+    last_error = F.max(F.when(F.col("is_error") == 1, F.col("step_idx"))).over(so_far())
     in_order = lambda *by: F.row_number().over(Window.partitionBy("uid", *by).orderBy("step_idx"))
     surprisal = F.transform("token_logprobs", lambda x: -x)
     n = F.size("token_logprobs")
     return (
         keyed.withColumn("is_error", (F.coalesce("tool_error", F.lit(False)) & call).cast("int"))
-        .withColumn("__island", F.sum(F.when(same, 0).otherwise(1)).over(SO_FAR))
+        .withColumn("__island", F.sum(F.when(same, 0).otherwise(1)).over(so_far()))
         .withColumn("steps_since_error", F.col("step_idx") - F.coalesce(last_error, F.lit(-1)))
         .withColumns(
             {
@@ -121,19 +129,19 @@ def with_text_hash(steps: DataFrame, dim: int = TEXT_DIM) -> DataFrame:
 
 def running_max(steps: DataFrame, score: str, out: str = "running_max") -> DataFrame:
     """Highest score so far; nulls are skipped, and it is null until there is one."""
-    return steps.withColumn(out, F.max(score).over(SO_FAR))
+    return steps.withColumn(out, F.max(score).over(so_far()))
 
 
 def cusum(steps: DataFrame, excess: str, out: str = "cusum") -> DataFrame:
     """max(0, previous + excess), from its closed form over running sums."""
-    total = F.sum(F.coalesce(F.col(excess), F.lit(0.0))).over(SO_FAR)
-    return steps.withColumn("__total", total).withColumn(out, F.col("__total") - F.least(F.lit(0.0), F.min("__total").over(SO_FAR))).drop("__total")
+    total = F.sum(F.coalesce(F.col(excess), F.lit(0.0))).over(so_far())
+    return steps.withColumn("__total", total).withColumn(out, F.col("__total") - F.least(F.lit(0.0), F.min("__total").over(so_far()))).drop("__total")
 
 
 def masked_at_onset(steps: DataFrame, columns: list[str], how: str) -> DataFrame:
     """Hide features at the step of the onset: as null, or carried over from the step before."""
     if how not in ("nan", "carry"):
         raise ValueError(f"unknown way to mask: {how}")
-    hidden = lambda c: F.lag(c).over(RUN) if how == "carry" else F.lit(None)
+    hidden = lambda c: F.lag(c).over(in_run()) if how == "carry" else F.lit(None)
     at = F.col("step_idx") == F.col("tau")
     return steps.withColumns({c: F.when(at, hidden(c)).otherwise(F.col(c)) for c in columns})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import conformal_rank
-from tracewell.operators.steps import SO_FAR
+from tracewell.operators.steps import so_far
 
 
 def _finite(df: DataFrame, score: str) -> DataFrame:
@@ -46,7 +46,7 @@ def thresholds(cal: DataFrame, by: list[str], alphas=(0.05, 0.10), score: str =
 
 def calibration_scores(steps: DataFrame, t: int, score: str = "score") -> DataFrame:
     """Each run's running maximum at step t; a run whose step t has no score fails the query."""
-    top = steps.withColumn("__max", F.max(score).over(SO_FAR)).where(F.col("step_idx") == t)
+    top = steps.withColumn("__max", F.max(score).over(so_far())).where(F.col("step_idx") == t)
     there = F.when(F.col(score).isNotNull(), F.col("__max")).otherwise(F.raise_error(F.lit("a calibration run is not scored at t")))
     return top.select("uid", there.alias("score"))
 
@@ -143,7 +143,7 @@ def draw_summary(draws: DataFrame, value: str, by: list[str], level: float) -> D
 
 def standardised_running_max(steps: DataFrame, validation: DataFrame, t: int, score: str = "score") -> DataFrame:
     """(uid, score): the running maximum at t in units of the validation runs'; centred only if those are all equal."""
-    at = steps.withColumn("__max", F.max(score).over(SO_FAR)).where(F.col("step_idx") == t).select("uid", F.col("__max").alias("x"))
+    at = steps.withColumn("__max", F.max(score).over(so_far())).where(F.col("step_idx") == t).select("uid", F.col("__max").alias("x"))
     val = at.join(validation.select("uid"), "uid", "left_semi").agg(F.avg("x").alias("__mean"), F.stddev_pop("x").alias("__std"), F.count("x").alias("__n"))
     few = F.raise_error(F.lit("fewer than two validation runs"))
     centred = F.col("x") - F.col("__mean")
