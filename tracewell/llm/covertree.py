@@ -267,7 +267,7 @@ def _pairs(one: DataFrame, threshold: float, block: int) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors (vec_id, embedding, label)``."""
     own = cut(_clean(vectors))
-    one = cut(own.where("v is not null").groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    one = cut(own.where("v is not null").groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), small=True)
     found = cut(_pairs(one, threshold, block))
     n = found.where("n is not null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     reached = components(found.where("n is null").select("u", "v")).withColumnRenamed("node", "id")

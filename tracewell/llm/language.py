@@ -179,7 +179,7 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
 
     slim = extra.select(*map(quoted, (text_col, said, shared)))
     soft = map_batches(slim, count, "host string" + "".join(f", {k} double" for k in LANGUAGES)).groupBy("host").agg(*(F.sum(k).alias(k) for k in LANGUAGES))
-    priors = cut(host_priors(cut(soft))).toDF(known, *prior_names)
+    priors = cut(host_priors(cut(soft, small=True)), small=True).toDF(known, *prior_names)
     joined = extra.join(F.broadcast(priors) if priors.count() <= MOST_HOSTS else priors, quoted(shared) == quoted(known), "left")
     joined = joined.select(*map(quoted, [*extra.columns, *prior_names]))
 

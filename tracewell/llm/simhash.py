@@ -251,7 +251,7 @@ def links(distinct: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``, none of which is shuffled whole."""
     prints = cut(with_fingerprint(docs, id_col, text_col))
-    distinct = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")))
+    distinct = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")), small=True)
     found = components(links(distinct))
     named = distinct.join(found, distinct["id"] == found["node"], "left").select(F.col("fp").alias("own"), F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, prints["fp"] == named["own"], "left").select("doc_id", "fp", "component_id")
@@ -264,7 +264,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = groups(docs, id_col, text_col)
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = cut(kept)
+    kept = cut(kept, small=True)
     (name,) = fresh(docs, "kept")
     once = kept.select(F.col("doc_id").alias(name))
     out = docs.join(once, quoted(id_col) == quoted(name), "left_semi")

@@ -79,13 +79,13 @@ def by_form(segment: Column) -> Column:
 def templates(paths: DataFrame) -> DataFrame:
     """``paths (host, path, n, labelled, bad)`` with ``template``, the leaf of each path."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    now = cut(paths.withColumn("segments", segments).withColumn("template", F.lit("")))
+    now = cut(paths.withColumn("segments", segments).withColumn("template", F.lit("")), small=True)
     deepest = now.agg(F.max(F.size("segments"))).first()[0] or 0
     for d in range(min(deepest, DEPTH)):
         now = now.withColumn("form", by_form(F.get("segments", F.lit(d))))
         open_ = F.size("segments") > d
         children = now.where(open_).groupBy("host", "template", "form").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        children = cut(children)
+        children = cut(children, small=True)
         nodes = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         both = children.join(nodes, ["host", "template"])
         rare = (F.col("kinds") >= MANY) & (F.col("all_n") < REPEATS * F.col("kinds"))
@@ -97,7 +97,7 @@ def templates(paths: DataFrame) -> DataFrame:
         kept = both.where(~rare & apart).select("host", "template", "form", F.lit(True).alias("apart"))
         step = F.when(F.col("apart"), F.col("form")).otherwise("*")
         now = now.join(kept, ["host", "template", "form"], "left").withColumn("template", F.when(open_, F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))).drop("apart", "form")
-        now = cut(now)
+        now = cut(now, small=True)
     return now.withColumn("template", F.when(F.size("segments") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
 
 

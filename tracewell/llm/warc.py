@@ -49,7 +49,7 @@ def with_payload(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, refers_to) of each page."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(F.encode(html, "UTF-8"), 256).alias("payload_digest"))
-    firsts = cut(rows.where((F.col("payload_bytes") >= min_payload) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    firsts = cut(rows.where((F.col("payload_bytes") >= min_payload) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), small=True)
     refers = F.when((F.col("page_id") > F.col("first")) & (F.col("payload_bytes") >= min_payload), F.col("first")).alias("refers_to")
     keep = ["page_id", "url", "html", "payload_bytes", "payload_digest"]
     if firsts.count() <= MOST_BROADCAST:
