@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tracewell.functions.scalars import call_key, log1p_or_null, starts_with_error, step_label
+from tracewell.functions.scalars import call_key, changed_chars, hidden_result, log1p_or_null, starts_with_error, step_label
 from tracewell.schema import TEXT_DIM
 
 def in_run() -> WindowSpec:
@@ -26,6 +26,24 @@ def last3() -> WindowSpec:
     return in_run().rowsBetween(-2, 0)
 
 
+def blinded(steps: Column) -> Column:
+    """Steps with each tool result, in the text and in the event, replaced by filler of its length."""
+
+    def blind(s: Column) -> Column:
+        event = only_event(s["tool_events"])
+        events = F.transform(s["tool_events"], lambda e: e.withField("result", F.repeat(F.lit("x"), F.length(e["result"]))))
+        return F.when(event.isNotNull(), s.withField("text", hidden_result(s["text"], event["result"])).withField("tool_events", events)).otherwise(s)
+
+    return F.transform(steps, blind)
+
+
+def blinding_counts(episodes: DataFrame) -> DataFrame:
+    """Per corpus: steps whose text blinding changes, and by how many characters."""
+    both = episodes.select("corpus", F.explode(F.arrays_zip(F.col("steps").alias("a"), blinded(F.col("steps")).alias("b"))).alias("s"))
+    changed = both.withColumn("n", changed_chars(F.col("s.a.text"), F.col("s.b.text")))
+    return changed.groupBy("corpus").agg(F.count_if(F.col("n") > 0).alias("blinded_steps"), F.sum("n").alias("changed_chars"))
+
+
 def tool_calls(steps: Column) -> Column:
     """Number of tool events in all steps; missing lists are empty."""
     return F.aggregate(steps, F.lit(0), lambda n, s: n + F.coalesce(F.size(s["tool_events"]), F.lit(0)))

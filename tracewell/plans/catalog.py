@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars
-from tracewell.operators import audit, bootstrap, groups, judge, labels, metrics, models, monitor, prefix, recalibrate, splits, steps, thresholds
+from tracewell.operators import audit, bootstrap, curve, groups, judge, labels, metrics, models, monitor, prefix, recalibrate, splits, steps, thresholds
 from tracewell.plans import scratch
 from tracewell.schema import HEADLINE_CLASSES
 from tracewell.sources import events
@@ -585,6 +585,23 @@ def _(runs, evals):
     return bootstrap.matched_step_ci(evals.withColumn("length", F.col("len").cast("double")), 200, 1, ("score", "length"))
 
 
+@on_steps("calibration_curve")
+def _(runs, rows):
+    fold = (F.substring("task_group", 2, 20).cast("long") % 3).cast("int")
+    folds = runs.select("uid", fold.alias("fold"))
+    maxima = curve.run_maxima(scored(rows).withColumn("arm", F.lit("latency")), runs, (3, 4))
+    pool = maxima.where("failure_class IS NULL").select("uid", "t", fold.alias("own"), F.explode(F.array(*map(F.lit, range(3)))).alias("fold")).where("own <> fold")
+    drawn = pool.withColumn("draw", F.explode(F.array(*map(F.lit, range(10)))))
+    nth = F.row_number().over(Window.partitionBy("t", "fold", "draw").orderBy(F.xxhash64("draw", "uid"), "uid"))
+    draws = drawn.withColumn("k", nth).where("k <= 20").select(F.lit(20).alias("n"), "t", "fold", "draw", "uid")
+    return curve.curve_summary(curve.cells(curve.calibration_curve(maxima, draws, folds, HEADLINE_CLASSES)), (3, 4))
+
+
+@on_steps("unit_disjoint_split")
+def _(runs, rows):
+    return curve.unit_disjoint_split(runs, "task_group", 40, 20, 1)
+
+
 @on_features("gbt_score")
 def _(runs, feats):
     table = scratch.cut(prefix.prefix_features(feats, (2, 3, 4)))
