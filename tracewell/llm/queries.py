@@ -20,6 +20,7 @@ SQL = {
     "op1_covertree": covertree.OP1_SQL,
     "op3_substrings": substrings.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op8_urls": urls.OP8_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }

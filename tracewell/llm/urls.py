@@ -132,3 +132,43 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages carry the labels of the documents with their ids: bad is junk or toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return filter_urls(table(spark, sf_dir, "pages"), labels)
+
+
+def _sql() -> str:
+    """The same in SQL, level by level."""
+    at = "instr(coalesce(url, ''), '://')"
+    rest = f"CASE WHEN {at} > 0 THEN substr(url, {at} + 3) ELSE '' END"
+    parts = [
+        f"r AS (SELECT page_id, {rest} AS rest FROM pages)",
+        "h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM r)",
+        f"u AS (SELECT page_id, translate(raw, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)",
+        "lb AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id)",
+        "p0 AS (SELECT host, path, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, '' AS template FROM u LEFT JOIN lb USING (page_id) GROUP BY host, path)",
+    ]
+    for d in range(DEPTH):
+        s = f"seg[{d + 1}]"
+        parts += [
+            f"f{d} AS (SELECT *, len(seg) > {d} AS more, CASE WHEN regexp_matches({s}, '^\\d+$') THEN '{{n}}' WHEN regexp_matches({s}, '^\\d+\\.\\w+$') THEN regexp_replace({s}, '^\\d+', '{{n}}') WHEN regexp_matches({s}, '^[0-9a-fA-F-]{{12,}}$') THEN '{{id}}' ELSE {s} END AS form FROM p{d})",
+            f"c{d} AS (SELECT host, template, form, sum(n) AS n, sum(labelled) AS l, sum(bad) AS b FROM f{d} WHERE more GROUP BY ALL)",
+            f"n{d} AS (SELECT host, template, count(*) AS kinds, sum(n) AS an, sum(l) AS al, sum(b) AS ab FROM c{d} GROUP BY ALL)",
+            f"k{d} AS (SELECT host, template, form FROM (SELECT *, ab / CAST(greatest(al, 1) AS DOUBLE) AS share FROM c{d} JOIN n{d} USING (host, template)) WHERE NOT (kinds >= {MANY} AND an < {REPEATS} * kinds) AND l > 0 AND al - l > 0"
+            f" AND abs(b / CAST(greatest(l, 1) AS DOUBLE) - (ab - b) / CAST(greatest(al - l, 1) AS DOUBLE)) > {DIFFERENT} * sqrt(share * (1 - share) * (1 / CAST(greatest(l, 1) AS DOUBLE) + 1 / CAST(greatest(al - l, 1) AS DOUBLE))))",
+            f"p{d + 1} AS (SELECT host, path, n, labelled, bad, seg, CASE WHEN more THEN f.template || '/' || CASE WHEN k.form IS NOT NULL THEN f.form ELSE '*' END ELSE f.template END AS template FROM f{d} f LEFT JOIN k{d} k USING (host, template, form))",
+        ]
+    fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
+    ordered = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))
+    pick = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in ordered) + " END"
+    parts += [
+        f"lf AS (SELECT host, path, labelled, bad, CASE WHEN len(seg) > {DEPTH} THEN template || '/**' ELSE template END AS template FROM p{DEPTH})",
+        "ev AS (SELECT sum(bad) / CAST(greatest(sum(labelled), 1) AS DOUBLE) AS every FROM lf)",
+        "ct AS (SELECT host, template, sum(labelled) AS l, sum(bad) AS b FROM lf GROUP BY ALL)",
+        f"hs AS (SELECT host, (sum(b) + {PRIOR} * any_value(every)) / (sum(l) + {PRIOR}) AS hs FROM ct, ev GROUP BY host)",
+        f"rj AS (SELECT host, template FROM ct JOIN hs USING (host) WHERE (b + {PRIOR} * hs) / (l + {PRIOR}) >= {REJECT})",
+        "bl AS (SELECT host, path FROM lf SEMI JOIN rj USING (host, template))",
+    ]
+    return f"WITH {', '.join(parts)} SELECT page_id, u.host, u.path, {pick(lambda r: r[1] + r[2])} AS rule, coalesce({pick(lambda r: r[0])}, CASE WHEN bl.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM (SELECT * FROM u) u LEFT JOIN bl USING (host, path)".replace(
+        "(host = ", "(u.host = "
+    ).replace("ends_with(host,", "ends_with(u.host,").replace("starts_with(path,", "starts_with(u.path,")
+
+
+OP8_SQL = _sql()
