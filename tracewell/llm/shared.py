@@ -89,26 +89,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Neighbours from which a vertex's minimum is broadcast, unless a share of all edges is more.
+HUB, HUB_SHARE = 200, 1 / 500
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 
     ``edges`` has long columns ``u`` and ``v`` in any direction and with repeats. Returns one row
     per vertex on an edge: ``node`` and ``component``, the smallest vertex that it reaches. Rounds
-    grow with the logarithm of a component's diameter. Each round aggregates minima (combined
-    before the shuffle) and joins them back; the joined side is unique, so a hub splits freely.
+    grow with the logarithm of a component's diameter. Each round aggregates minima, combined before
+    the shuffle, and joins them back: those of hubs, of which there are two per ``HUB_SHARE`` at most,
+    by broadcast, so that no task gets all edges of a hub; the others by a shuffle.
     """
 
-    def star(e: DataFrame, small: bool) -> DataFrame:
-        if small:  # each vertex with its smaller neighbours
-            n = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            least = n.groupBy("u").agg(F.min("v").alias("m"))
-            out = n.join(least, "u").select(
-                F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct(F.col("u"), F.col("m").alias("v")))).otherwise(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("e")
-            )
-            return out.select("e.u", "e.v").where("u <> v").distinct()
+    def with_least(pairs: DataFrame, n: int, itself: bool) -> DataFrame:
+        """``pairs (u, v)`` with m, the least v of each u, or u if ``itself`` and that is less."""
+        m = F.least(F.min("v"), F.first("u")) if itself else F.min("v")
+        least = pairs.groupBy("u").agg(m.alias("m"), F.count("*").alias("d"))
+        hub = F.col("d") > max(HUB, int(n * HUB_SHARE))
+        known = pairs.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("hub"))), "u", "left")
+        others = known.where("hub is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
+        return known.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionAll(others.select("u", "v", "m"))
+
+    def large(e: DataFrame, n: int) -> DataFrame:
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        return with_least(both, n, itself=True).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    def small(e: DataFrame, n: int) -> DataFrame:
+        down = with_least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), n, itself=False)
+        return down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -116,7 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), small=True)
     before = None
     while (now := mark(e)) != before and now[0]:
-        before = now
+        before, n = now, now[0]
         # Edges never get more: no more files than they fill.
-        e = cut(star(star(e, small=False), small=True).coalesce(max(1, min(partitions(edges.sparkSession), now[0] // 20_000))))
+        e = cut(small(large(e, n), n).coalesce(max(1, min(partitions(edges.sparkSession), n // 20_000))))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
