@@ -7,6 +7,7 @@ import pytest
 
 from tracewell.operators import audit, bootstrap, groups, labels, metrics, recalibrate, splits, thresholds
 
+# Runs by hand.
 RUNS = [("h1", 6, None, None, "g1"), ("h2", 5, None, None, "g2"), ("h3", 4, None, None, "g3"), ("h4", 3, None, None, "g1"), ("f1", 6, "looping", 1, "g1"), ("f2", 6, "goal_drift", 3, "g2"), ("f3", 6, "looping", 5, "g3"), ("f4", 4, "goal_drift", 2, "g3")]
 
 
@@ -78,6 +79,7 @@ def test_bad_labels_and_scores_fail(spark):
             labels.checked(pairs(spark, [y], [s])).collect()
 
 
+# Number of scores 1 to m, level, threshold.
 CONFORMAL = [(5, 0.10, np.inf), (5, 0.05, np.inf), (9, 0.10, 9), (9, 0.05, np.inf), (19, 0.10, 18), (19, 0.05, 19), (39, 0.05, 38)]
 PLUGIN = [(5, 0.10, 4.6), (9, 0.10, 8.2), (19, 0.10, 17.2), (19, 0.05, 18.1)]
 
