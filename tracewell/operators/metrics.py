@@ -14,21 +14,26 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def running_counts(df: DataFrame, by: list[str], score: str = "score", label: str = "y", ranges: int = RANGES) -> DataFrame:
-    """Per distinct score: pos, neg, pos_below, neg_below, and the group's n_pos, n_neg."""
-    counts = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+def running_totals(counts: DataFrame, by: list[str], x: str, sums: list[str], ranges: int = RANGES) -> DataFrame:
+    """``counts`` (one row per group and distinct x) with ``<c>_below``, the sum of c over smaller x, and
+    ``<c>_total`` of the group, for each c of ``sums``."""
     cuts = [k / ranges for k in range(1, ranges)]
-    bounds = counts.groupBy(*by).agg(F.percentile_approx("s", cuts, 1000).alias("__bounds"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    dealt = (counts.join(bounds, by) if by else counts.crossJoin(F.broadcast(bounds))).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col("s")))).drop("__bounds")
-    own = Window.partitionBy(*by, "__range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = counts.groupBy(*by).agg(F.percentile_approx(x, cuts, 1000).alias("__bounds"), *(F.sum(c).alias(f"{c}_total") for c in sums))
+    dealt = counts.join(bounds, by) if by else counts.crossJoin(F.broadcast(bounds))  # without groups, bounds are one row
+    dealt = dealt.withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(x)))).drop("__bounds")
+    own = Window.partitionBy(*by, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    totals = dealt.groupBy(*by, "__range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    bases = totals.select(*by, "__range", zero(F.sum("p").over(before)).alias("__p0"), zero(F.sum("q").over(before)).alias("__q0"))
-    inside = dealt.withColumns({"pos_below": zero(F.sum("pos").over(own)), "neg_below": zero(F.sum("neg").over(own))})
-    return inside.join(bases, [*by, "__range"]).select(
-        *by, "s", "pos", "neg", (F.col("pos_below") + F.col("__p0")).alias("pos_below"), (F.col("neg_below") + F.col("__q0")).alias("neg_below"), "n_pos", "n_neg"
-    )
+    totals = dealt.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
+    bases = totals.select(*by, "__range", *(zero(F.sum(f"__{c}").over(before)).alias(f"__{c}_base") for c in sums))
+    inside = dealt.withColumns({f"__{c}_in": zero(F.sum(c).over(own)) for c in sums}).join(bases, [*by, "__range"])
+    return inside.select(*counts.columns, *((F.col(f"__{c}_in") + F.col(f"__{c}_base")).alias(f"{c}_below") for c in sums), *(f"{c}_total" for c in sums))
+
+
+def running_counts(df: DataFrame, by: list[str], score: str = "score", label: str = "y", ranges: int = RANGES) -> DataFrame:
+    """Per distinct score: pos, neg, pos_below, neg_below, and the group's n_pos, n_neg."""
+    counts = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    return running_totals(counts, by, "s", ["pos", "neg"], ranges).withColumnsRenamed({"pos_total": "n_pos", "neg_total": "n_neg"})
 
 
 def auroc_of(counts: DataFrame, by: list[str]) -> DataFrame:

@@ -1,14 +1,16 @@
 """Features re-expressed against healthy runs: mid-rank percentiles and z-scores.
 
 A long table (grp, t, feature, value) is the reference. Percentiles come from running counts over
-distinct values of reference and probes together, not from a range join.
+distinct values of reference and probes together, taken range by range, not from a range join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.metrics import running_totals
+
 
 def unpivoted(prefix: DataFrame, features: list[str], keep=("uid", "t")) -> DataFrame:
     """(uid, t, feature, x), NaN as null."""
@@ -47,10 +49,8 @@ def percentile(probes: DataFrame, reference: DataFrame, keys=("grp", "t", "featu
     h = reference.groupBy(*keys, F.col("value").alias("x")).agg(F.count("*").alias("h"))
     p = probes.where("x is not null").groupBy(*keys, "x").agg(F.lit(0).cast("long").alias("h"))
     merged = h.unionByName(p).groupBy(*keys, "x").agg(F.sum("h").alias("h"))
-    w = Window.partitionBy(*keys)
-    le = F.sum("h").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = merged.withColumns({"__le": le, "__n": F.sum("h").over(w)})
-    pct = F.try_divide(2.0 * F.col("__le") - F.col("h"), 2.0 * F.col("__n"))
+    ranked = running_totals(merged, keys, "x", ["h"])
+    pct = F.try_divide(2.0 * F.col("h_below") + F.col("h"), 2.0 * F.col("h_total"))
     return probes.join(ranked.select(*keys, "x", pct.alias("pct")), [*keys, "x"], "left")
 
 
