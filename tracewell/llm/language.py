@@ -13,7 +13,8 @@ A background language with equal trigrams competes, so text in none of the langu
 any letters, is ``und`` and not accepted.
 
 Cases: null and empty texts are ``und``; a null or unknown declaration, host or url is no evidence;
-ties go to the first language by name; repeated rows get equal results.
+ties go to the first language by name; repeated rows get equal results; where no text at all has a
+known declaration there is nothing to fit on, and all are ``und``.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 
 import pyarrow as pa
@@ -44,10 +45,16 @@ def _release() -> None:
         trim(0)
 
 
+def _bytes(setting: str) -> int:
+    """Bytes of a size setting like 8m or 8388608b; negative for none."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` in batches that suit long texts, for any column names: it can't take dots in them."""
     names, conf = df.columns, df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+    if not 0 < _bytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
     def run(batches):
