@@ -97,7 +97,7 @@ class Monitor:
         """(uid, step_idx, score, one column per channel), run by run."""
         names, me = list(self.channels), self
 
-        def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values("step_idx")
             s = me.streams(me._signal(g))
             return pd.DataFrame({"uid": g["uid"], "step_idx": g["step_idx"], "score": np.max([s[n] for n in names], axis=0), **s})
