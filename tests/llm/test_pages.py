@@ -106,6 +106,14 @@ def test_templates_generalise_variable_segments(spark):
     assert {r["template"] for r in leaves.collect()} == {"/*/*/*/*", ""}
 
 
+def test_a_bad_branch_among_one_off_segments_is_rejected(spark):
+    slugs = [f"w{'abcdefghij'[k % 10]}{k}x" for k in range(1000)]
+    rows = [(k, f"http://h.net/{slug}/{k}") for k, slug in enumerate(slugs)] + [(1000 + k, f"http://h.net/casino/{k}") for k in range(500)]
+    labels = [(i, i >= 1000) for i, _ in rows]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean"))
+    assert {(r["page_id"] >= 1000, r["verdict"]) for r in got.collect()} == {(False, "allow"), (True, "block")}
+
+
 def payloads():
     rng = random.Random(7)
     big = "".join(chr(rng.randrange(32, 0x2FF)) for _ in range(300_000))
