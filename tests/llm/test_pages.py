@@ -114,6 +114,17 @@ def test_a_bad_branch_among_one_off_segments_is_rejected(spark):
     assert {(r["page_id"] >= 1000, r["verdict"]) for r in got.collect()} == {(False, "allow"), (True, "block")}
 
 
+def test_branches_that_part_below_many_segments_are_told_apart(spark):
+    rows = [(("h", f"/a/b/c/2024/01/02/x/{'bad' if k % 2 else 'good'}/p{k}/q/r", 1, 1, k % 2)) for k in range(80)]
+    rows += [("h", "/a/b/c/2024/01/02/x", 1, 0, 0), ("g", "/" + "s/" * 3000, 1, 1, 1), ("g", "/" + "s/" * 50, 1, 0, 0)]
+    leaves = urls.templates(spark.createDataFrame(rows, "host string, path string, n long, labelled long, bad long"))
+    deep = "/*" * 7
+    assert {(r["host"], r["template"], r["bad"]) for r in leaves.collect() if r["labelled"]} == {("h", f"{deep}/good/**", 0), ("h", f"{deep}/bad/**", 1), ("g", "/*/*/*/*/*/*/**", 1)}
+    labels = spark.createDataFrame([(k, bool(k % 2)) for k in range(80)], "page_id long, bad boolean")
+    pages = spark.createDataFrame([(k, f"http://h.net{r[1]}") for k, r in enumerate(rows[:80])], "page_id long, url string")
+    assert {(r["page_id"] % 2, r["verdict"]) for r in urls.filter_urls(pages, labels).collect()} == {(0, "allow"), (1, "block")}
+
+
 def payloads():
     rng = random.Random(7)
     big = "".join(chr(rng.randrange(32, 0x2FF)) for _ in range(300_000))

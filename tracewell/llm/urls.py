@@ -8,14 +8,16 @@ and how many of those are labelled, and bad. From the host down, one path segmen
 - sibling branches are merged into one wildcard branch unless their share of bad labels differs
   from that of the rest of their node by more than chance (a two-proportion z-test), however many
   siblings there are; so one-off segments share a wildcard, and a branch that stands out does not;
-- what is left below ``DEPTH`` segments is one tail, ``**``.
+- below ``DEPTH`` segments, only nodes that hold both bad and clean labels are taken further, as
+  long as there are any; what is left of the others is one tail, ``**``.
 
 A template is rejected if its smoothed share of bad labels reaches ``REJECT``; shares are smoothed
 towards the host's, which is smoothed towards that of all labels. The longest rule that fits a url
 decides before any template.
 
 Minima of work under skew: counts are combined before each shuffle, and only counts per (host,
-path), per child and per node are joined, the last unique on their key, so a hot host splits.
+path), per child and per node are joined, the last unique on their key, so a hot host splits. There are as many rounds
+as segments down to the last node with labels to tell apart.
 
 Cases: a null url, or one without ``://``, has an empty host and path; such pages form one template
 of their own; a null page_id has no label; repeated labels of a page count once, as bad if any is.
@@ -36,6 +38,7 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
+#: Segments that are looked at in any case.
 DEPTH = 6
 #: Of the SQL alone, which also makes all children of a node one wildcard from so many on, if fewer
 #: than so many pages share each; no verdict on the test tables depends on it.
@@ -81,11 +84,19 @@ def by_form(segment: Column) -> Column:
 def templates(paths: DataFrame) -> DataFrame:
     """``paths (host, path, n, labelled, bad)`` with ``template``, the leaf of each path."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    now = cut(paths.withColumn("segments", segments).withColumn("template", F.lit("")), small=True)
+    now = cut(paths.withColumn("segments", segments).withColumns({"template": F.lit(""), "tail": F.lit(False)}), small=True)
     deepest = now.agg(F.max(F.size("segments"))).first()[0] or 0
-    for d in range(min(deepest, DEPTH)):
+    done = 0
+    for d in range(deepest):
+        open_ = (F.size("segments") > d) & ~F.col("tail")
+        if d >= DEPTH:
+            mixed = now.where(open_).groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")).where("all_bad > 0 and all_bad < all_labelled")
+            mixed = cut(mixed.select("host", "template", F.lit(True).alias("mixed")), small=True)
+            if mixed.isEmpty():
+                break
+            # What holds nothing to tell apart goes no further.
+            now = now.join(mixed, ["host", "template"], "left").withColumn("tail", F.col("tail") | (open_ & F.col("mixed").isNull())).drop("mixed")
         now = now.withColumn("form", by_form(F.get("segments", F.lit(d))))
-        open_ = F.size("segments") > d
         children = now.where(open_).groupBy("host", "template", "form").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         children = cut(children, small=True)
         nodes = children.groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
@@ -99,7 +110,9 @@ def templates(paths: DataFrame) -> DataFrame:
         step = F.when(F.col("apart"), F.col("form")).otherwise("*")
         now = now.join(kept, ["host", "template", "form"], "left").withColumn("template", F.when(open_, F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))).drop("apart", "form")
         now = cut(now, small=True)
-    return now.withColumn("template", F.when(F.size("segments") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+        done = d + 1
+    deeper = F.col("tail") | (F.size("segments") > done)
+    return now.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments", "tail")
 
 
 def judge(leaves: DataFrame) -> DataFrame:
