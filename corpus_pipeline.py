@@ -25,8 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near duplicates stays, that with the smallest id.
+
+    SimHash links, and all pairs with a similarity of 0.8 or more on 5-word shingles.
+    """
+    return simhash.keep_first(docs, width=5, threshold=0.8)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

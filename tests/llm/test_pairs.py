@@ -158,3 +158,31 @@ def test_groups_and_the_one_that_stays(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 4, 6, None], key=str)
     assert simhash.groups(df.limit(0)).count() == 0
+
+
+def test_all_pairs_of_similar_shingle_sets_link(spark):
+    rng, texts = random.Random(5), []
+    for _ in range(25):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([3, 5, 9, 40, 120]))]
+        for changes in [0, 0, 1, 1, 2, 3, 4, 6][: rng.randint(1, 8)]:
+            own = list(words)
+            for _ in range(changes):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(own).upper() if changes == 2 else " ".join(own))
+    base = [f"b{k}" for k in range(200)]
+    texts += [" ".join([*base[:k], "odd", *base[k:], *(["end"] * (k % 3))]) for k in range(0, 200, 5)] + [None, "", " "]
+    texts += [f"this line stands in very many texts of the table {' '.join(f'y{rng.randrange(9999)}' for _ in range(8))}" for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    s, fp = [shingles(t) for t in texts], [brute_fingerprint(t) for t in texts]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    near = [(a, b) for a, b in pairs if s[a] and s[b] and len(s[a] & s[b]) / len(s[a] | s[b]) >= 0.8]
+    close = [(a, b) for a, b in pairs if (fp[a] ^ fp[b]).bit_count() <= 3]
+    want = least_reachable(range(len(texts)), near + close)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(df, width=5, threshold=0.8).collect()}
+    assert got == want and want != least_reachable(range(len(texts)), close)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df, width=5).collect()) == sorted(set(want.values()))

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm import overlap
 from tracewell.llm.shared import components, cut, fresh, map_batches, partitions, quoted, table
 from tracewell.llm.words import SPACE, Words, lower_ascii, slices
 
@@ -95,16 +96,19 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; with a ``width``, also ``sid, n`` of the text's set of shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints(b.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            texts = b.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
+            out = {"doc_id": b.column("doc_id"), "fp": pa.array(fingerprints(texts).view(np.int64), pa.int64())}
+            if width is not None:
+                out |= zip(("sid", "n"), map(pa.array, overlap.set_ids(texts, width)))
+            yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, scan, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return map_batches(rows, scan, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long" + (", sid long, n long" if width is not None else ""))
 
 
 class BKTree:
@@ -248,21 +252,29 @@ def links(distinct: DataFrame) -> DataFrame:
     return map_batches(dealt, solve, "u long, v long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``, none of which is shuffled whole."""
-    prints = cut(with_fingerprint(docs, id_col, text_col))
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``.
+
+    With a ``width``, documents also link whose sets of shingles of so many words have a Jaccard
+    similarity of ``threshold`` or more; whole texts are then shuffled once.
+    """
+    prints = cut(with_fingerprint(docs, id_col, text_col, width))
     distinct = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")), small=True)
-    found = components(links(distinct))
+    found = links(distinct)
+    if width is not None:
+        nodes = prints.where("doc_id is not null").join(distinct, "fp").select("doc_id", "sid", "n", F.col("id").alias("node"))
+        found = overlap.links(docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")), nodes, cut(found, small=True), width, threshold)
+    found = components(found)
     named = distinct.join(found, distinct["id"] == found["node"], "left").select(F.col("fp").alias("own"), F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, prints["fp"] == named["own"], "left").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, threshold: float = 0.8) -> DataFrame:
     """All columns of one document per group, that with the smallest id.
 
     Of rows that share the id, too, one stays. Rows with a null id can't be told apart and stay.
     """
-    found = groups(docs, id_col, text_col)
+    found = groups(docs, id_col, text_col, width, threshold)
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("copies"))
     kept = cut(kept, small=True)
     (name,) = fresh(docs, "kept")
