@@ -30,7 +30,9 @@ from tracewell.llm.shared import components, cut, map_batches
 from tracewell.llm.words import Words, lower_ascii, rolling, slices
 
 #: One in so many texts is sampled for common shingles; sampled texts that make one common; the most kept.
-SAMPLED, COMMON, MOST_COMMON = 16, 5, 200_000
+SAMPLED, COMMON, MOST_COMMON = 16, 3, 200_000
+#: Ids and hashes that are broadcast at most.
+MOST_SENT = 500_000
 _CHUNK = 2 << 20
 _EPS = 1e-9
 
@@ -130,24 +132,31 @@ def links(docs: DataFrame, prints: DataFrame, known: DataFrame, width: int, thre
     equal = prints.where("n > 0").join(homes, "sid").where("node <> home").select(F.col("home").alias("u"), F.col("node").alias("v")).distinct()
     links = cut(known.select("u", "v").unionAll(equal), small=True)
 
-    shingles = cut(_prefixes(docs.where("doc_id is not null and text is not null"), width, threshold))
+    # Made twice rather than kept: they are a fifth of all shingles.
+    shingles = _prefixes(docs.where("doc_id is not null and text is not null"), width, threshold)
     shared = shingles.groupBy("h").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least <> most").select("h")
-    members = cut(shingles.join(cut(shared, small=True), "h", "left_semi").distinct().join(homes.select("sid", "home"), "sid"))
+    shared = cut(shared, small=True)
+    members = shingles.join(F.broadcast(shared) if shared.count() <= MOST_SENT else shared, "h", "left_semi").distinct()
+    members = cut(members.join(homes.select("sid", "home"), "sid"), small=True)
     if members.isEmpty():
         return links
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(shingle_sets(_bytes(b.column("text")), width))
-            sids = np.array([set_id(s) for s in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["sid", "shingles"])
-
-    needed = homes.join(members.select("sid").distinct(), "sid", "left_semi").select("rep").distinct()
-    sets = map_batches(docs.join(needed, docs["doc_id"] == needed["rep"], "left_semi").select("text"), scan, "sid long, shingles array<long>")
-    sets = cut(sets.dropDuplicates(["sid"]))
+            for s in shingle_sets(_bytes(b.column("text")), width):
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s)], pa.uint64()).view(pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["sid", "shingles"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"), F.when(F.col("x.sid") < F.col("y.sid"), F.col("x.home")).otherwise(F.col("y.home")).alias("u"), F.when(F.col("x.sid") < F.col("y.sid"), F.col("y.home")).otherwise(F.col("x.home")).alias("v")).distinct()
+        turned = F.col("x.sid") > F.col("y.sid")
+        pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"), F.when(turned, F.col("y.home")).otherwise(F.col("x.home")).alias("u"), F.when(turned, F.col("x.home")).otherwise(F.col("y.home")).alias("v"))
+        pairs = cut(pairs.distinct(), small=True)
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        needed = cut(homes.join(needed, "sid", "left_semi").select("rep").distinct(), small=True)
+        n = needed.count()
+        sets = docs.join(F.broadcast(needed) if n <= MOST_SENT else needed, docs["doc_id"] == needed["rep"], "left_semi").select("text")
+        sets = cut(map_batches(sets, scan, "sid long, shingles array<long>"))
+        if sets.count() > n:  # of repeated ids
+            sets = sets.dropDuplicates(["sid"])
         pairs = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("t")), "b")
         both = F.size(F.array_intersect("s", "t"))
         return cut(pairs.where(both * (1 + threshold) >= threshold * (F.size("s") + F.size("t")) - _EPS).select("u", "v").distinct(), small=True)
