@@ -256,7 +256,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """(doc_id, fp, component_id) for every row of ``docs``.
 
     With a ``width``, documents also link whose sets of shingles of so many words have a Jaccard
-    similarity of ``threshold`` or more; whole texts are then shuffled once.
+    similarity of ``threshold`` or more. Without, no text is shuffled.
     """
     prints = cut(with_fingerprint(docs, id_col, text_col, width))
     distinct = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")), small=True)
