@@ -3,6 +3,10 @@
 import math
 import os
 import random
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -51,6 +55,17 @@ def test_the_contract_imports():
     assert callable(e.entry)
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_rest_lives_without_the_corpus_operators(tmp_path, pipeline):
+    here = Path(__file__).parent.parent
+    shutil.copytree(here / "tracewell", tmp_path / "tracewell", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py", "bench.py", *(["corpus_pipeline.py"] if pipeline else [])]:
+        if (here / name).exists():
+            shutil.copy(here / name, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+
+
 def signals(spark, seed, n, broken=False, steps=8):
     rng = np.random.default_rng(seed)
     return [(f"{'b' if broken else 'h'}{k}", i, float(np.sin(i) + rng.normal() * 0.1 + (3.0 if broken and i >= 4 else 0.0)), float(rng.normal())) for k in range(n) for i in range(steps)]
