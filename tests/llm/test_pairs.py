@@ -140,13 +140,33 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, full):
     base = random.Random(9).getrandbits(64)
     values = near_values(2) + [base ^ (1 << a) ^ (1 << b) for a in range(0, 30, 3) for b in range(40, 60, 4)]
     signed = [v - (1 << 64) if v >> 63 else v for v in dict.fromkeys(values)]
-    df = spark.createDataFrame([(v, k) for k, v in enumerate(signed)], "fp long, id long")
-    got = [(r["u"], r["v"]) for r in simhash.links(df).collect()]
+    df = spark.createDataFrame([(v,) for v in signed], "fp long")
+    place = {v: k for k, v in enumerate(signed)}
+    got = [(place[r["u"]], place[r["v"]]) for r in simhash.links(df).collect()]
     every = [(a, b) for a in range(len(signed)) for b in range(a) if ((signed[a] ^ signed[b]) & (1 << 64) - 1).bit_count() <= 3]
     assert set(map(frozenset, got)) <= set(map(frozenset, every))
     assert least_reachable(range(len(signed)), got) == least_reachable(range(len(signed)), every)
 
 
+@pytest.mark.parametrize("most", [1, 3, 10_000])
+def test_a_shard_is_cut_on_until_its_parts_are_small(most):
+    rng = random.Random(most)
+    base = rng.getrandbits(64)
+    values = sorted({base} | {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for _ in range(300)})
+    x = np.array([v for v in values if v & 0xFFFF == base & 0xFFFF], np.uint64)
+    found = list(simhash.parts(x, (0, 0), most))
+    assert all(len(p) <= most or most < 4 for p in found)
+    shared = {frozenset(e) for p in found for e in ((a, b) for a in p.tolist() for b in p.tolist() if a < b)}
+    assert all(frozenset((a, b)) in shared for a in x.tolist() for b in x.tolist() if a < b and (a ^ b).bit_count() <= 3)
+
+
+def test_a_null_id_links_others(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda docs, *_: docs.selectExpr("doc_id", "fp0 as fp"))
+    rows = [(1, 0), (None, 7), (2, 63), (None, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, fp0 long")
+    assert sorted(((r["fp"], r["component_id"]) for r in simhash.groups(df).collect())) == [(-1, None), (0, 1), (7, 1), (63, 1)]
+
+
 def test_groups_and_the_one_that_stays(spark):
     long = " ".join(f"w{k}" for k in range(400))
     rows = [(3, long), (2, long), (2, long), (9, long.replace("w7 ", "v7 ")), (4, None), (5, ""), (6, "alone in here"), (None, long)]

@@ -125,11 +125,12 @@ def _possible(threshold: float) -> Column:
 def links(docs: DataFrame, prints: DataFrame, known: DataFrame, width: int, threshold: float) -> DataFrame:
     """Links (u, v) between nodes that connect, with those of ``known (u, v)``, all similar texts.
 
-    ``docs`` are (doc_id, text), ``prints`` (doc_id, sid, n, node) of each document with an id: its
-    set and the node that stands for it.
+    ``docs`` are (doc_id, text), ``prints`` (doc_id, fp, sid, n) of each document with an id: its
+    set and the fingerprint that stands for it.
     """
-    homes = cut(prints.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("node").alias("home")), small=True)
-    equal = prints.where("n > 0").join(homes, "sid").where("node <> home").select(F.col("home").alias("u"), F.col("node").alias("v")).distinct()
+    prints = prints.where("doc_id is not null and n > 0")
+    homes = cut(prints.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("home")), small=True)
+    equal = prints.join(homes, "sid").where("fp <> home").select(F.col("home").alias("u"), F.col("fp").alias("v")).distinct()
     links = cut(known.select("u", "v").unionAll(equal), small=True)
 
     # Made twice rather than kept: they are a fifth of all shingles.

@@ -15,11 +15,15 @@ distinct fingerprints can be proven, and a broadcast of all of them would grow w
 
 A shard that is too full (a family of texts with the same boilerplate) is dealt again by the bits
 outside its band, which still may differ in three bits at most, so that four bands of 12 bits and
-after that four of 9 lose no link either. Which shards are full is counted beforehand; there
-are at most a fixed number of them, since the limit rises with the number of fingerprints.
+after that four of 9 lose no link either. The fullest shards are found by a count and dealt to other
+tasks that way; at most ``MOST_FULL`` of them are named, so one that stays has no more than 1/1250 of
+all distinct fingerprints, 8 bytes each. Within its task it is cut on, as often as it takes, until no
+tree has more than ``FULL`` members, however many fingerprints there are.
 
 Cases: null and empty texts have the fingerprint zero and link like any other; fewer than three
-words are one shingle; repeated rows get a row each; a null doc_id links, but names no component.
+words are one shingle; very long texts are hashed whole, in bounded memory per chunk of texts;
+repeated rows get a row each; a null doc_id links and connects others, but names no component (null,
+where all of a component's ids are).
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from tracewell.llm.shared import components, cut, fresh, map_batches, partitions
 from tracewell.llm.words import SPACE, Words, lower_ascii, slices
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Members of a shard beyond which it is dealt again, and the most shards of which that holds.
+#: Members of a tree at most, and the shards at most that are dealt to other tasks for being fuller.
 FULL, MOST_FULL = 2048, 20_000
 #: Members that a shard has on average before all are cut twice.
 EVEN = 64
@@ -195,12 +199,35 @@ def shards(x: np.ndarray, cuts: int = 1, full: frozenset[tuple[int, ...]] = froz
                 yield here, own
 
 
+def parts(x: np.ndarray, path: tuple[int, ...], most: int) -> Iterator[np.ndarray]:
+    """A shard's distinct fingerprints, cut on by the bits outside its bands until no part has more than ``most``.
+
+    Parts overlap, and any two within the radius share one. Equal in all bits is the same fingerprint,
+    so cutting ends.
+    """
+    free = list(range(64))
+    for k in path[::2]:
+        size = len(free) // (RADIUS + 1)
+        run = free[k * size : (k + 1) * size if k < RADIUS else len(free)]
+        free = [b for b in free if b not in run]
+    todo = [(x, free)]
+    while todo:
+        own, left = todo.pop()
+        if len(own) <= most or len(left) <= RADIUS:
+            yield own
+            continue
+        for _, value, rest in _bands(own, left, RADIUS + 1):
+            order = np.argsort(value, kind="stable")
+            edge = np.flatnonzero(np.diff(value[order])) + 1
+            todo += [(own[at], rest) for at in np.split(order, edge) if len(at) > 1]
+
+
 def _key(path: tuple[int, ...]) -> str:
     return ".".join(map(str, path))
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) between the ids of distinct fingerprints ``(fp, id)``, enough to connect them."""
+    """Links (u, v) between distinct fingerprints ``(fp)``, enough to connect them."""
     spark = distinct.sparkSession
 
     def deal(full: frozenset[tuple[int, ...]]) -> DataFrame:
@@ -214,9 +241,9 @@ def links(distinct: DataFrame) -> DataFrame:
                     keys += [_key(path)] * len(own)
                     at.append(own)
                 at = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), b.column("fp").take(at), b.column("id").take(at)], names=["shard", "fp", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), b.column("fp").take(at)], names=["shard", "fp"])
 
-        return map_batches(distinct, scan, "shard string, fp long, id long")
+        return map_batches(distinct, scan, "shard string, fp long")
 
     n = distinct.count()
     cuts = 1 if n <= EVEN << 16 else 2  # so that a shard of evenly spread fingerprints stays small
@@ -230,24 +257,31 @@ def links(distinct: DataFrame) -> DataFrame:
         full = new
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(members: list[tuple[int, int]]) -> pa.RecordBatch | None:
-            if len(members) > 1:
-                found = forest([m[0] & 0xFFFFFFFFFFFFFFFF for m in members])
+        def out(shard: str, members: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(members)
+            path = tuple(map(int, shard.split(".")))
+            for own in parts(x, path, most):
+                found = forest(own.tolist())
                 if found:
-                    return pa.RecordBatch.from_arrays([pa.array([members[k][1] for k in side], pa.int64()) for side in zip(*found)], names=["u", "v"])
-            return None
+                    ends = own[np.array(found)].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
 
         now, members = None, []
         for b in batches:
-            for shard, fp, i in zip(b.column("shard").to_pylist(), b.column("fp").to_pylist(), b.column("id").to_pylist()):
-                if shard != now:
-                    if (r := out(members)) is not None:
-                        yield r
-                    now, members = shard, []
-                members.append((fp, i))
-        if (r := out(members)) is not None:
-            yield r
-
+            fp, shard = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), b.column("shard").to_pylist()
+            edge = [0, *(k for k in range(1, len(shard)) if shard[k] != shard[k - 1]), len(shard)]
+            for x, y in zip(edge, edge[1:]):
+                if x == y:
+                    continue
+                if shard[x] != now:
+                    if members:
+                        yield from out(now, members)
+                    now, members = shard[x], []
+                members.append(fp[x:y].copy())
+        if members:
+            yield from out(now, members)
+
+    most = FULL
     dealt = deal(full).repartition(partitions(spark), "shard").sortWithinPartitions("shard", "fp")
     return map_batches(dealt, solve, "u long, v long")
 
@@ -259,13 +293,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     similarity of ``threshold`` or more. Without, no text is shuffled.
     """
     prints = cut(with_fingerprint(docs, id_col, text_col, width))
-    distinct = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")), small=True)
-    found = links(distinct)
+    # Vertices are the fingerprints themselves, so those that only null ids have link as well.
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")), small=True)
+    found = links(distinct.select("fp"))
     if width is not None:
-        nodes = prints.where("doc_id is not null").join(distinct, "fp").select("doc_id", "sid", "n", F.col("id").alias("node"))
-        found = overlap.links(docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")), nodes, cut(found, small=True), width, threshold)
+        found = overlap.links(docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")), prints, cut(found, small=True), width, threshold)
     found = components(found)
-    named = distinct.join(found, distinct["id"] == found["node"], "left").select(F.col("fp").alias("own"), F.coalesce("component", "id").alias("component_id"))
+    placed = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = cut(placed, small=True)
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = placed.join(names, "component").select(F.col("fp").alias("own"), "component_id")
     return prints.join(named, prints["fp"] == named["own"], "left").select("doc_id", "fp", "component_id")
 
 
