@@ -4,7 +4,8 @@ Texts are compared by the sets of 64-bit hashes of their shingles of ``width`` w
 lower case; equal sets are one set, ``sid``. All sets share one order of the shingles, rare ones
 first. Two sets of similarity ``t`` or more share one of their first n - ceil(t n) + 1 shingles each
 (prefix filter), so the sets with such a shingle in common hold all pairs; sizes and the places of the
-shared shingle rule out others. Which shingles are common is estimated on a sample of the texts: the
+shared shingle rule out others, and so does having too little in common among all of the first ones;
+only what is left is decided on whole sets. Which shingles are common is estimated on a sample of the texts: the
 order changes the work, never the pairs.
 
 Pairs within a component known already need no check. So the members of a shingle are first held
@@ -94,26 +95,25 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], (len(h) - np.arange(len(h)))[order]
 
 
-def _prefixes(texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(h, sid, n, pos): the prefix shingles of all texts, with size and place."""
+def _sets(texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(sid, n, prefix): the set of each text, its size and its prefix shingles in order. Copies may repeat it."""
     sent = texts.sparkSession.sparkContext.broadcast(_common(texts, width))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, sid, n, pos, seen = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int32)], set()
+            h, sid, n, seen = [np.zeros(0, np.uint64)], [], [], set()
             for s in shingle_sets(_bytes(b.column("text")), width):
                 i = set_id(s)
                 if len(s) and i not in seen:
                     seen.add(i)
                     h.append(prefix(s, *sent.value, threshold))
-                    pos.append(np.arange(len(h[-1]), dtype=np.int32))
                     sid.append(i)
                     n.append(len(s))
-            each = [len(x) for x in h[1:]]
-            columns = [np.concatenate(h).view(np.int64), np.repeat(np.array(sid, np.uint64).view(np.int64), each), np.repeat(np.array(n, np.int32), each), np.concatenate(pos)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "sid", "n", "pos"])
+            ends = pa.array(np.cumsum([len(x) for x in h]), pa.int32())
+            parts = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(h).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), parts], names=["sid", "n", "prefix"])
 
-    return map_batches(texts.select("text"), scan, "h long, sid long, n int, pos int")
+    return map_batches(texts.select("text"), scan, "sid long, n int, prefix array<long>")
 
 
 def _possible(threshold: float) -> Column:
@@ -122,6 +122,17 @@ def _possible(threshold: float) -> Column:
     return (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= least) & (F.col("x.component") != F.col("y.component"))
 
 
+def _enough(threshold: float) -> Column:
+    """Whether sets a and b can be similar enough by their prefixes.
+
+    What they share and is not in both prefixes lies beyond that prefix which ends first, so it is at
+    most the larger remainder. In common the prefixes have at most their equal codes of 31 bits and
+    those shingles of one of them that share a code.
+    """
+    both = F.size(F.array_intersect("codes_a", "codes_b")) + F.least(F.col("p_a") - F.size("codes_a"), F.col("p_b") - F.size("codes_b"))
+    return both + F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - _EPS
+
+
 def links(docs: DataFrame, prints: DataFrame, known: DataFrame, width: int, threshold: float) -> DataFrame:
     """Links (u, v) between nodes that connect, with those of ``known (u, v)``, all similar texts.
 
@@ -133,15 +144,26 @@ def links(docs: DataFrame, prints: DataFrame, known: DataFrame, width: int, thre
     equal = prints.join(homes, "sid").where("fp <> home").select(F.col("home").alias("u"), F.col("fp").alias("v")).distinct()
     links = cut(known.select("u", "v").unionAll(equal), small=True)
 
-    # Made twice rather than kept: they are a fifth of all shingles.
-    shingles = _prefixes(docs.where("doc_id is not null and text is not null"), width, threshold)
-    shared = shingles.groupBy("h").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least <> most").select("h")
+    sets = cut(_sets(docs.where("doc_id is not null and text is not null"), width, threshold))
+    shared = sets.select("sid", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least <> most").select("h")
     shared = cut(shared, small=True)
-    members = shingles.join(F.broadcast(shared) if shared.count() <= MOST_SENT else shared, "h", "left_semi").distinct()
+    members = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "h"))
+    members = members.join(F.broadcast(shared) if shared.count() <= MOST_SENT else shared, "h", "left_semi").distinct()
     members = cut(members.join(homes.select("sid", "home"), "sid"), small=True)
     if members.isEmpty():
         return links
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose prefixes have enough in common; see ``_enough``."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        codes = F.array_distinct(F.transform("prefix", lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")))
+        known = sets.join(needed, "sid", "left_semi").select("sid", "n", F.size("prefix").alias("p"), codes.alias("codes")).dropDuplicates(["sid"])
+        known = cut(known, small=True)
+        out = pairs
+        for k in "ab":
+            out = out.join(known.select(F.col("sid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "p", "codes"))), k)
+        return cut(out.where(_enough(threshold)).select("a", "b", "u", "v"), small=True)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in shingle_sets(_bytes(b.column("text")), width):
@@ -150,7 +172,7 @@ def links(docs: DataFrame, prints: DataFrame, known: DataFrame, width: int, thre
     def verified(pairs: DataFrame) -> DataFrame:
         turned = F.col("x.sid") > F.col("y.sid")
         pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"), F.when(turned, F.col("y.home")).otherwise(F.col("x.home")).alias("u"), F.when(turned, F.col("x.home")).otherwise(F.col("y.home")).alias("v"))
-        pairs = cut(pairs.distinct(), small=True)
+        pairs = possible(cut(pairs.distinct(), small=True))
         needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         needed = cut(homes.join(needed, "sid", "left_semi").select("rep").distinct(), small=True)
         n = needed.count()
