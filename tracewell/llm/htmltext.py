@@ -1,17 +1,28 @@
 """HTML extraction: flat text blocks, classified by a small decision tree.
 
 A page is cut into text blocks at the tags that break lines. A block has its number of words and its
-link density (the share of its words within links), those of the blocks before and after it, and two
-marks: whether an article or main element encloses it (or none on the page does), and whether what
-encloses it (a nav, footer,
-form and the like, or a class or id that says so) is page furniture. A decision tree trained here on
-the small labelled table ``LABELLED`` says which blocks are main text.
+link density (the share of its words within links), those of the blocks before and after it, whether
+it is a heading, and three marks of what encloses it:
+
+- place: an article or main element encloses it (1), or doesn't on a page that has one (-1), or the
+  page has none (0);
+- role: an element whose name says what it is (nav, footer, aside, dialog, a form, a header outside
+  an article, something hidden);
+- hint: a class or id that names page furniture in one of several languages, or a heading that opens
+  the readers' comments. A hint holds for what it names, not for a layout that has such a part: words
+  after ``has`` or ``with`` don't count, nor does the hint of an element that holds the article or,
+  with the page's first heading, most of its unlinked words. The same goes for a form round a page.
+
+A decision tree, trained here on the blocks of the small labelled pages ``LABELLED``, says which
+blocks are main text.
 
 Markup is read leniently: scripts, styles, comments and the head are passed over; closing tags
 without an opening one are ignored, and an element that is never closed ends with its parent.
 
 Cases: null and empty html, and pages without main text, give an empty text; blocks of one word
-count like any other; nothing is capped; rows that repeat give rows that repeat.
+count like any other; very long pages are taken whole, in time that grows with their length; nothing
+is capped; elements with ``hidden`` or ``display:none`` are furniture; rows that repeat give rows
+that repeat, an empty table gives none; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,220 +39,232 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.shared import map_batches, table
 
-# Element names by role, and words in classes and ids that mark page furniture.
+# Element names by role, and the beginnings of words in classes and ids that name page
+# furniture, in English, German, Spanish and French.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _PASSED_OVER = frozenset("script style noscript template svg math iframe object textarea select option title head canvas audio video".split())
-_FURNITURE = frozenset("nav footer aside form menu dialog button fieldset".split())
+_ROLE = frozenset("nav footer aside menu dialog button".split())
+_FORM = frozenset("form fieldset".split())
 _ARTICLE = frozenset("article main".split())
-_SAID = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer form header "
-    "legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar "
-    "signup skip social sponsor sponsored subscribe tags toolbar widget".split()
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_COMMENTS = tuple("comment komment coment leserbrief disqus discussion diskussion discusion replies antworten respuestas".split())
+_HEADER = tuple("header kopfzeile masthead".split())
+_TITLE = frozenset("article beitrag content entry page post section story".split())
+_NAMES = tuple(
+    "advert anzeige werbung anuncio publici sponsor promo banner breadcrumb consent cookie datenschutz copyright disclaimer impressum legal footer fusszeile menu modal popup "
+    "navbar navig newsletter notice pager pagin related verwandt relacionad login logout signup anmeld search suche buscar recherche teilen compartir partag sidebar seitenleiste "
+    "skip social subscri suscri abonn toolbar widget privacy".split()
 )
+_WORDS = frozenset("ad ads nav aside form tags pie share shares sharing reply respond responses".split())
+_LAYOUT = frozenset("has with no without hat mit con avec is js".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([!?/]?)([a-zA-Z][^\s/>]*|(?=[!?]))((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTRIBUTE = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role|style|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s"'/]|$)""", re.I)
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in _PASSED_OVER}
 
-#: words, words in links, place (1 inside an article, -1 outside on a page that has one, 0 on a page
-#: without), furniture, main text. A blank line ends a page.
+#: Pages with a plus before each block of main text; ``{n}`` stands for n words. A blank line ends a page.
 LABELLED = """
-1 1 -1 1 0
-2 2 -1 1 0
-1 1 -1 1 0
-9 0 -1 1 0
-8 0 1 0 1
-95 2 1 0 1
-40 0 1 0 1
-1 0 1 0 1
-3 0 1 0 1
-120 9 1 0 1
-6 0 -1 1 0
-
-4 4 0 0 0
-3 3 0 0 0
-6 0 0 0 1
-60 3 0 0 1
-85 0 0 0 1
-30 1 0 0 1
-110 6 0 0 1
-5 5 0 0 0
-4 0 0 0 0
-3 3 0 0 0
-
-2 2 -1 1 0
-2 0 1 0 1
-1 0 1 0 1
-2 2 1 0 1
-14 14 1 0 1
-2 0 1 0 1
-45 0 1 1 0
-25 1 1 1 0
-70 4 1 1 0
-5 5 1 1 0
-
-30 30 -1 1 0
-80 0 -1 1 0
-12 0 -1 0 0
-7 0 1 0 1
-65 65 1 0 1
-7 1 1 0 1
-50 0 -1 0 0
-35 2 -1 0 0
-9 9 -1 0 0
-
-2 2 0 0 0
-2 2 0 0 0
-1 1 0 0 0
-5 0 0 0 0
-4 4 0 0 0
-3 3 0 0 0
-2 0 0 0 0
-
-12 0 0 0 1
-48 0 0 0 1
-22 0 0 0 1
-75 5 0 0 1
-18 0 0 0 1
-90 8 0 0 1
-6 6 0 0 0
-2 2 0 0 0
-7 0 0 1 0
-
-3 3 -1 1 0
-1 1 1 0 1
-1 0 1 0 1
-4 4 1 0 1
-1 0 1 0 1
-60 0 -1 0 0
-20 0 -1 0 0
-
-1 1 0 1 0
-1 1 0 0 0
-6 6 0 0 0
-12 0 0 0 1
-60 2 0 0 1
-50 0 0 0 1
-8 8 0 0 0
-70 3 0 0 1
-20 0 0 1 0
-30 2 0 1 0
-95 0 0 1 0
-
-5 5 0 1 0
-7 7 0 0 0
-40 1 0 0 1
-3 3 0 0 0
-45 40 0 0 0
-55 2 0 0 1
-25 0 0 0 1
-80 75 0 0 0
-2 0 0 0 0
-
-10 10 0 0 0
-9 0 0 0 1
-30 0 0 0 1
-3 0 0 0 1
-100 10 0 0 1
-16 14 0 0 0
-4 4 0 0 0
-110 0 0 1 0
-60 0 0 1 0
-
-8 0 1 0 1
-60 1 1 0 1
-12 0 1 0 1
-
-5 0 1 0 1
-
-15 0 0 0 1
-40 0 0 0 1
-70 1 0 0 1
-
-25 0 0 0 1
-
-2 2 -1 1 0
-9 0 1 0 1
-1 0 1 0 1
+<nav><ul><li><a>{1}</a><li><a>{2}</a><li><a>{1}</a></ul></nav><div class=ad>{9}</div><article><h1>+{8}</h1><p>+{95} <a>{2}</a></p><p>+{40}</p><p>+{1}</p><p>+{3}</p><p>+{120}</p></article><footer>{6}</footer>
+
+<div><a>{4}</a></div><div><a>{3}</a></div><h1>+{6}</h1><p>+{60} <a>{3}</a></p><p>+{85}</p><p>+{30}</p><h2>+{2}</h2><p>+{110} <a>{6}</a></p><div><a>{5}</a></div><div>{4}</div><div><a>{3}</a></div>
+
+<header><a>{2}</a><p>{4}</p></header><main><h1>+{2}</h1><p>+{1}</p><p>+<a>{2}</a></p><p>+<a>{14}</a></p><p>+{2}</p><div class=advert>{45}</div><section id=comments><h3>{1}</h3><p>{25}</p><p>{70} <a>{4}</a></p></section></main><div><a>{5}</a></div>
+
+<nav><a>{30}</a></nav><div>{80}</div><div>{12}</div><article><p>+{7}</p><p>+{65}</p><p>+{50} <a>{1}</a></p></article><p>{35} <a>{2}</a></p><p><a>{9}</a></p><p>{50}</p>
+
+<ul><li><a>{2}</a><li><a>{2}</a><li><a>{1}</a></ul><p>{5}</p><ul><li><a>{4}</a><li><a>{3}</a></ul><p>{2}</p>
+
+<p>+{12}</p><p>+{48}</p><p>+{22}</p><p>+{75} <a>{5}</a></p><p>+{18}</p><p>+{90} <a>{8}</a></p><ul><li><a>{6}</a><li><a>{2}</a></ul><div class="newsletter">{17}</div><footer>{7}</footer>
+
+<article><h1>+{5}</h1><p>+{60}</p><ul><li><a>{1}</a><li><a>{2}</a><li><a>{2}</a><li><a>{1}</a></ul><p>+{45}</p><p>+{3}</p></article><div>{60}</div><div>{20}</div>
+
+<main><ul><li><a>{2}</a><li><a>{3}</a><li><a>{1}</a><li><a>{2}</a></ul><h1>+{4}</h1><p>+{30}</p><p>+{9}</p><h2>+{3}</h2><p>+{44}</p><aside><p>{33}</p><p><a>{6}</a></p></aside><div><a>{7}</a></div><div><a>{8}</a></div><div><a>{6}</a></div></main>
+
+<form><div><a>{2}</a></div><div><a>{1}</a></div><article><h1>+{7}</h1><p>+{50}</p><p>+{50}</p></article><div>{8}</div></form>
+
+<div class="layout has-sidebar"><article><h1>+{5}</h1><p>+{44}</p><p>+{70}</p><ul><li>+{5}<li>+{7}<li>+{3}</ul></article><div class=sidebar><p>{30}</p><p><a>{4}</a></p></div></div>
+
+<div><h1>+{7}</h1><p>+{40} <a>{1}</a></p><p>+{55} <a>{2}</a></p><p>+{25}</p><div class=kommentare><p>{18}</p><p>{35}</p><p>{4}</p></div></div><div><a>{3}</a></div><div><a>{8}</a> {1}</div><div>{2}</div>
+
+<div><a>{10}</a></div><h1>+{9}</h1><p>+{30}</p><p>+{100} <a>{10}</a></p><div><a>{14}</a> {2}</div><div><a>{4}</a></div><aside><p>{110}</p><p>{60}</p></aside>
+
+<main><p>+{8}</p><p>+{60} <a>{1}</a></p><p>+{12}</p></main>
+
+<article><p>+{5}</p></article>
+
+<h1>+{4}</h1><p>+{15}</p><p>+{40}</p><p>+{70} <a>{1}</a></p>
+
+<p>+{25}</p>
+
+<nav><a>{2}</a></nav><article><h1>+{9}</h1><p>+{1}</p></article><footer><p>{9}</p></footer>
+
+<div><a>{1}</a></div><div><a>{2}</a></div><div><a>{1}</a></div><h2>+{6}</h2><p>+{33}</p><ul><li>+{8}<li>+{6}<li>+{9}</ul><p>+{27}</p><div>{3}</div><div><a>{2}</a></div><div><a>{2}</a></div>
+
+<article><h1>+{5}</h1><p>+{20}</p><p>+<a>{6}</a></p><p>+{8}</p><p>+<a>{3}</a></p><p>+{60}</p><p>+<a>{12}</a></p><p>+{2}</p><p>+<a>{2}</a></p><p>+{30}</p></article>
+
+<main><h1>+{2}</h1><p>+<a>{5}</a></p><p>+{4}</p><p>+<a>{1}</a></p><p>+{16}</p><p>+<a>{9}</a></p></main><p><a>{3}</a></p><p>{12}</p><p><a>{30}</a></p>
+
+<h1>+{5}</h1><p>+{9}</p><p><a>{6}</a></p><p>+{14}</p><p>+{31}</p><p><a>{13}</a></p><p>+{50}</p><p><a>{3}</a></p>
+
+<article><h1>+{3}</h1><ul><li><a>{3}</a><li><a>{12}</a><li><a>{7}</a></ul><p>+{45}</p><ul><li><a>{14}</a><li><a>{1}</a></ul><p>+{7}</p><p>+{1}</p></article><ul><li><a>{6}</a><li><a>{9}</a></ul>
+
+<div><a>{2}</a></div><div><a>{1}</a></div><h1>+{4}</h1><div>+{5}</div><div>+{6}</div><div>+{14}</div><div>+{4}</div><div>+{60}</div><div>{1}</div><div><a>{2}</a></div><div><a>{3}</a></div>
+
+<ul><li><a>{2}</a><li><a>{1}</a><li><a>{3}</a></ul><div>{4}</div><h1>+{3}</h1><p>+{12}</p><p>+{8}</p><h2>+{2}</h2><p>+{17}</p><h2>+{4}</h2><p>+{7}</p><div>{3}</div><div>{4}</div>
+
+<div><a>{3}</a></div><h1>+{4}</h1><ul><li><a>{2}</a><li><a>{1}</a><li><a>{3}</a></ul><p>+{10}</p><h3>+{1}</h3><p>+{6}</p><div>{2}</div><div>{5}</div><div><a>{2}</a></div>
+
+<article><h1>+{6}</h1><p>+{50}</p><p>+{6} <a>{3}</a></p><p>+<a>{5}</a></p><p>+{34}</p><blockquote>+{12}</blockquote><nav><ul><li><a>{3}</a><li><a>{2}</a></ul></nav><div class=share>{3}</div></article><article><h2>+{7}</h2><p>+{41}</p></article>
 """
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, inside an article, furniture) of each non-empty block."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: name, inside, furniture
-    inside = furniture = False
-    parts: list[str] = []
-    links, in_link, at = 0, False, 0
-
-    def close() -> None:
-        nonlocal parts, links
-        text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
-        if text:
-            n = len(text.split())
-            out.append((text, n, min(links, n), inside, furniture))
-        parts, links = [], 0
-
-    def add(text: str) -> None:
-        nonlocal links
-        if text:
-            parts.append(text)
-            if in_link:
-                links += len(entities.unescape(text).split())
-
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        mark, name = m[1], (m[2] or "").lower()
-        if not name or mark in ("!", "?"):
-            continue
-        if name in _PASSED_OVER:
-            if mark != "/" and not m[3].rstrip().endswith("/"):
-                end = _END[name].search(page, at)
-                if end:
-                    at = end.end()
-                elif name in ("script", "style"):
-                    at = len(page)
-            continue
-        if name in _INLINE:
-            if name == "a":
-                in_link = mark != "/"
-            continue
+def _said(names: str) -> tuple[bool, bool, bool]:
+    """Whether classes or an id name a header, page furniture, and readers' comments."""
+    header = furniture = comments = False
+    for name in names.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        for k, part in enumerate(parts):
+            before = parts[k - 1] if k else ""
+            if before in _LAYOUT:
+                continue
+            header |= part.startswith(_HEADER) and before not in _TITLE
+            comments |= part.startswith(_COMMENTS)
+            furniture |= part in _WORDS or part.startswith(_NAMES)
+    return header, furniture or comments, comments
+
+
+class Page:
+    """The blocks of a page: ``texts``, ``counts`` (words, words in links), and their ``marks``."""
+
+    def __init__(self, page: str):
+        self.texts: list[str] = []
+        self.counts: list[tuple[int, int]] = []
+        self.at: list[int] = []  # the element of each block
+        self.heads: list[bool] = []
+        # Elements in the order they open: parent, whether an article, role, form, header, hint, comments.
+        self.elements: list[tuple[int, bool, bool, bool, bool, bool, bool]] = [(0, *[False] * 6)]
+        self.tops: set[int] = set()  # elements of the first heading
+        self.read(page)
+
+    def read(self, page: str) -> None:
+        stack: list[tuple[str, int]] = []
+        parts: list[str] = []
+        links, in_link, at = 0, False, 0
+        comments_from: list[int] = []  # elements in which a heading has opened the comments
+
+        def here() -> int:
+            return stack[-1][1] if stack else 0
+
+        def open_element(name: str, mark: tuple[bool, bool, bool, bool, bool, bool]) -> None:
+            self.elements.append((here(), *mark))
+            stack.append((name, len(self.elements) - 1))
+
+        def close() -> None:
+            nonlocal parts, links
+            text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
+            if text:
+                n = len(text.split())
+                head = any(name in _HEADING for name, _ in stack[-2:])
+                self.texts.append(text)
+                self.counts.append((n, min(links, n)))
+                self.heads.append(head)
+                self.at.append(here())
+                if head and not self.tops:
+                    self.tops.add(here())
+                if head and n <= 6 and any(w.lower().startswith(_COMMENTS) for w in _PART.findall(text)):
+                    # What follows in the heading's parent is the readers'.
+                    outer = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in _HEADING), -1)
+                    element = stack[outer][1] if outer >= 0 else 0
+                    self.elements.append((element, False, False, False, False, True, True))
+                    self.at[-1] = len(self.elements) - 1
+                    if outer >= 0:
+                        stack[outer] = (stack[outer][0], len(self.elements) - 1)
+                    else:
+                        stack.insert(0, ("", len(self.elements) - 1))
+            parts, links = [], 0
+
+        def add(text: str) -> None:
+            nonlocal links
+            if text:
+                parts.append(text)
+                if in_link:
+                    links += len(entities.unescape(text).split())
+
+        while True:
+            m = _TAG.search(page, at)
+            if m is None:
+                break
+            add(page[at : m.start()])
+            at = m.end()
+            mark, name = m[1], (m[2] or "").lower()
+            if not name or mark in ("!", "?"):
+                continue
+            if name in _PASSED_OVER:
+                if mark != "/" and not m[3].rstrip().endswith("/"):
+                    end = _END[name].search(page, at)
+                    if end:
+                        at = end.end()
+                    elif name in ("script", "style"):
+                        at = len(page)
+                continue
+            if name in _INLINE:
+                if name == "a":
+                    in_link = mark != "/"
+                continue
+            close()
+            if name in _VOID:
+                continue
+            if mark == "/":
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        del stack[k:]
+                        break
+                in_link = False
+            else:
+                if name == "p" and stack and stack[-1][0] == "p":
+                    stack.pop()
+                elif name == "li" and stack and stack[-1][0] == "li":
+                    stack.pop()
+                found = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in _ATTRIBUTE.finditer(m[3])} if "=" in m[3] or "hidden" in m[3] else {}
+                header, furniture, comments = _said(f"{found.get('class', '')} {found.get('id', '')}") if name not in ("html", "body") else (False, False, False)
+                hidden = "hidden" in found or re.search(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", found.get("style", ""), re.I) is not None
+                role = name in _ROLE or hidden or found.get("role", "").lower() in _ROLES
+                open_element(name, (name in _ARTICLE or found.get("role", "").lower() in _ARTICLE, role, name in _FORM, name == "header" or header, furniture, comments))
+        add(page[at:])
         close()
-        if name in _VOID:
-            continue
-        if mark == "/":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            in_link = False
-        else:
-            if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            here_in, here_out = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            said = {w for v in _NAMED.findall(m[3]) for w in re.split(r"[^a-z]+", "".join(v).lower())}
-            if name in _ARTICLE:
-                here_in = True
-            elif name not in ("html", "body"):
-                here_out = here_out or name in _FURNITURE or (name == "header" and not here_in) or not said.isdisjoint(_SAID)
-            stack.append((name, here_in, here_out))
-        inside, furniture = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-    add(page[at:])
-    close()
-    return out
-
-
-def features(rows: list[tuple[int, int, int, bool]]) -> np.ndarray:
-    """Of the blocks of one page: words and link density of each, the one before, the one after; marks."""
-    x = np.zeros((len(rows), 8))
-    for k, (words, links, place, furniture) in enumerate(rows):
-        x[k, :2] = words, links / max(words, 1)
-        x[k, 6:] = place, furniture
+
+    def marks(self) -> list[tuple[int, bool, bool]]:
+        """(place, role, hint) of each block."""
+        n = len(self.elements)
+        plain, holds, first = [0] * n, [e[1] for e in self.elements], [k in self.tops for k in range(n)]
+        for k, (words, links) in zip(self.at, self.counts):
+            plain[k] += words - links
+        for k in range(n - 1, 0, -1):  # parents open before their children
+            up = self.elements[k][0]
+            plain[up] += plain[k]
+            holds[up] |= holds[k]
+            first[up] |= first[k]
+        place, role, hint = [0] * n, [False] * n, [False] * n
+        for k in range(1, n):
+            up, article, is_role, is_form, is_header, is_hint, is_comments = self.elements[k]
+            most = 2 * plain[k] >= plain[0]
+            page = holds[k] and not article or (most and (first[k] or not self.tops) and not is_comments)
+            place[k] = 1 if article and not role[up] and not hint[up] else place[up]
+            role[k] = role[up] or is_role or (is_form and not page) or (is_header and place[up] != 1 and not holds[k])
+            hint[k] = hint[up] or (is_hint and not page and not (article and not is_comments and plain[k] * 4 >= plain[0]))
+        some = any(place[k] == 1 for k in self.at)
+        return [(1 if place[k] == 1 else -some, role[k], hint[k]) for k in self.at]
+
+
+def features(page: Page) -> np.ndarray:
+    """Of the blocks of one page: words and link density of each, the one before, the one after; a heading; marks."""
+    x = np.zeros((len(page.texts), 10))
+    for k, ((words, links), head, marks) in enumerate(zip(page.counts, page.heads, page.marks())):
+        x[k, :2] = words, links / words
+        x[k, 6:] = head, *marks
     x[1:, 2:4] = x[:-1, :2]
     x[:-1, 4:6] = x[1:, :2]
     return x
@@ -250,7 +273,7 @@ def features(rows: list[tuple[int, int, int, bool]]) -> np.ndarray:
 class Tree:
     """A binary decision tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 1):
         self.value = bool(y.mean() >= 0.5) if len(y) else False
         self.at: tuple[int, float] | None = None
         if depth == 0 or len(y) < 2 * least or y.all() or not y.any():
@@ -287,8 +310,13 @@ def self_impurity(y: np.ndarray) -> float:
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    pages = [[tuple(map(int, line.split())) for line in page.split("\n") if line] for page in LABELLED.split("\n\n")]
-    return np.concatenate([features([r[:4] for r in p]) for p in pages]), np.array([r[4] for p in pages for r in p], bool)
+    """Features and labels of the blocks of ``LABELLED``."""
+    x, y = [], []
+    for text in LABELLED.strip().split("\n\n"):
+        page = Page(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), text))
+        x.append(features(page))
+        y += [t.startswith("+") for t in page.texts]
+    return np.concatenate(x), np.array(y, bool)
 
 
 @lru_cache(maxsize=1)
@@ -297,12 +325,10 @@ def classifier() -> Tree:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if not found:
+    found = Page(page or "")
+    if not found.texts:
         return ""
-    some = any(b[3] for b in found)
-    keep = classifier().predict(features([(n, links, 1 if inside else -some, furniture) for _, n, links, inside, furniture in found]))
-    return "\n".join(b[0] for b, k in zip(found, keep) if k)
+    return "\n".join(t for t, k in zip(found.texts, classifier().predict(features(found))) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
