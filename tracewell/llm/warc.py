@@ -13,11 +13,13 @@ that. So ranges can be of any size, and every record has one owner.
 
 Cases: null html is an empty payload; a null page_id is always a response and nobody's first; rows
 with equal ids and payloads are all responses; a null url gives no target; control characters in
-a url are percent-encoded; an empty table gives no archive.
+a url are percent-encoded; an empty table gives no archive; very long payloads are one record each,
+decoded whole in one task; damaged members are passed over; other columns are left out.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -69,10 +71,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     name = "null" if page_id is None else page_id
+    own = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}>"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {url} {digest}')}>",
+        f"WARC-Record-ID: {own(f'{name} {url}') if refers_to is not None or page_id is None else own(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Page-Id: {name}",
@@ -82,7 +85,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x1f\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url))
     if refers_to is not None:
-        head += [f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"X-Refers-To-Page: {refers_to}", f"WARC-Refers-To: {own(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(block)}")
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
@@ -118,6 +121,60 @@ def write(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD) -> Data
     return done
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """A header's fields by their names in lower case; the first of repeats, folded lines joined."""
+    out: dict[str, str] = {}
+    for line in re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")[1:]:
+        name, colon, value = line.decode(errors="replace").partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value is not None and re.fullmatch(r"-?\d{1,18}", value) else None
+
+
+def _digest(value: str | None) -> str | None:
+    """A declared SHA-256 as bare hex in lower case, also from base 32; null for any other kind."""
+    kind, _, text = (value or "").partition(":")
+    if kind.lower().replace("-", "") != "sha256":
+        return None
+    if re.fullmatch(r"[0-9a-fA-F]{64}", text):
+        return text.lower()
+    try:
+        return base64.b32decode(text.upper() + "=" * (-len(text) % 8)).hex()
+    except ValueError:
+        return None
+
+
+def _payload(head: dict[str, str], block: bytes) -> bytes:
+    """The block without the headers of HTTP, if it is such a message; undone chunks and compression."""
+    if "application/http" not in head.get("content-type", "").lower():
+        return block
+    top, _, body = block.partition(b"\r\n\r\n")
+    http = _fields(top)
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        parts, rest = [], body
+        while m := re.match(rb"([0-9a-fA-F]{1,8})[^\r\n]*\r\n", rest):
+            size = int(m[1], 16)
+            parts.append(rest[m.end() : m.end() + size])
+            rest = rest[m.end() + size + 2 :]
+            if not size:
+                break
+        body = b"".join(parts) if parts else body
+    if http.get("content-encoding", "").strip().lower() in ("gzip", "x-gzip"):
+        try:
+            body = zlib.decompressobj(31).decompress(body)
+        except zlib.error:
+            pass  # served under a wrong name: as it stands
+    return body
+
+
+#: Types of records that carry a page.
+PAGES = ("response", "revisit", "resource")
+
+
 class _Archive:
     """Members of one archive, from any byte position."""
 
@@ -145,7 +202,7 @@ class _Archive:
 
     def valid(self, at: int) -> bool:
         head = self.decode(at, 512)
-        return head is not None and re.match(rb"WARC/\d\.\d\r\n(?:[!-~]+:[^\r\n]*\r\n)*", head[0]) is not None and b"\r\nWARC-Type:" in head[0]
+        return head is not None and re.match(rb"WARC/\d\.\d\r\n(?:[!-~]+:[^\r\n]*\r\n)*", head[0]) is not None and b"\r\nwarc-type:" in head[0].lower()
 
     def find(self, at: int, end: int) -> int | None:
         """Where the first valid member begins, from ``at`` on and before ``end``."""
@@ -171,14 +228,18 @@ class _Archive:
                 continue
             content, at = member
             head, _, block = content.partition(b"\r\n\r\n")
-            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-            yield fields, block[: int(fields["Content-Length"])]
+            fields = _fields(head)
+            length = _number(fields.get("content-length"))
+            yield fields, block if length is None else block[:length]
 
 
 def read(archives: DataFrame, split: int = SPLIT, folder: str = "", payload: bool = True) -> DataFrame:
     """Records of the archives ``(path, size)``: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    Sizes and digests of responses are those of the payload as read.
+    Any archive of one gzip member per record will do. Records that carry no page (warcinfo, request,
+    metadata and others) are passed over. Sizes and digests of responses are those of the payload as
+    read, without HTTP headers, chunks and compression; those of revisits as declared. What a record
+    doesn't declare is null, as are page ids of archives that were not written here.
     """
     spans = archives.where("size > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
     n = archives.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1
@@ -193,13 +254,16 @@ def read(archives: DataFrame, split: int = SPLIT, folder: str = "", payload: boo
                 rows, held = [], 0
                 with fs.open_input_file(path) as file:
                     for head, block in _Archive(file).records(start, start + split):
-                        body = block.partition(b"\r\n\r\n")[2]
-                        page, first = head["X-Page-Id"], head.get("X-Refers-To-Page")
-                        if first is None:
-                            size, digest = len(body), hashlib.sha256(body).hexdigest()
+                        kind = head.get("warc-type", "").lower()
+                        if kind not in PAGES:
+                            continue
+                        body = b"" if kind == "revisit" else _payload(head, block)
+                        if kind == "revisit":
+                            size, digest = _number(head.get("x-payload-length")), _digest(head.get("warc-payload-digest"))
                         else:
-                            size, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].partition(":")[2]
-                        row = (None if page == "null" else int(page), head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], None if first is None else int(first))
+                            size, digest = len(body), hashlib.sha256(body).hexdigest()
+                        url = head.get("warc-target-uri")
+                        row = (_number(head.get("x-page-id")), url and url.removeprefix("<").removesuffix(">"), size, digest, kind, _number(head.get("x-refers-to-page")))
                         rows.append((*row, body) if payload else row)
                         held += len(body)
                         if held > 8 << 20 or len(rows) >= 5000:
