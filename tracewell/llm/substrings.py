@@ -9,13 +9,17 @@ occur more than once; what a hash calls equal is compared word by word.
 
 Map tasks combine before the shuffle: a packed string that occurs twice in a task's chunk marks its
 own occurrences there and then, and is sent once, marked as known to repeat. So a passage of a third
-of all texts is sent once per chunk. Strings of a chunk are compressed per bucket.
+of all texts is sent once per chunk. Strings of a chunk are compressed per bucket. A task holds one
+bucket, compressed; a bucket of more than ``PART_BYTES`` is unpacked and sorted in parts by further
+bits of the minimiser's hash, so that only the strings of one minimiser must fit in memory.
 
 The texts themselves are shuffled once, by (id, hash of text), to meet the ranges of words to
 remove; texts under one id with equal hashes are equal for all purposes here.
 
-Cases: a null text has no words; a text of fewer words than a window loses nothing; repeated rows
-repeat each other's windows, and each gets its own result row; windows are judged on the input.
+Cases: a null text has no words; a text of fewer words than a window loses nothing; very long texts
+are taken whole, ``MOST_WINDOWS`` windows at a time; repeated rows repeat each other's windows, and
+each gets its own result row; windows are judged on the input; of equally small minimisers the
+leftmost counts; an empty table gives no rows; other columns are passed on as they are.
 """
 
 from __future__ import annotations
@@ -33,8 +37,12 @@ from tracewell.llm.shared import fresh, map_batches, partitions, quoted, table
 from tracewell.llm.words import SPACE, Words, cover, mix, rolling, slices, sliding_min
 
 WINDOW, MINIMISER = 35, 8
-#: Buckets per shuffle partition: a task holds one bucket at a time.
-BUCKETS = 8
+#: Buckets per shuffle partition at least; bytes of the input's files for each, unless there are more than so many.
+BUCKETS, BUCKET_BYTES, MOST_BUCKETS = 8, 8 << 20, 1 << 20
+#: Bytes of packed strings that are unpacked together: a larger bucket is taken part by part.
+PART_BYTES = 24 << 20
+#: Windows whose minimisers are looked for together, 2**24 less a window at most.
+MOST_WINDOWS = 1 << 23
 #: Of the compression of packed strings.
 LEVEL = 5
 #: Bytes of text handled at once, and those whose packed strings are combined before they are sent.
@@ -55,27 +63,35 @@ def _normal(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data[keep].tobytes(), begin, begin + length
 
 
-def super_kmers(w: Words, window: int = WINDOW, minimiser: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(w: Words, window: int = WINDOW, minimiser: int = MINIMISER, most: int = MOST_WINDOWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows that share a minimiser: (first window, past the last, its hash).
 
-    Windows are named by their first word; none crosses from one text into the next.
+    Windows are named by their first word; none crosses from one text into the next. ``most`` windows
+    are looked at together, so that a place among them fits in 24 bits; a run that goes on behind them
+    is two runs of the same minimiser.
     """
     n = len(w.start)
     none = np.zeros(0, np.int64)
+    firsts, pasts, keys = [none], [none], [none.view(np.uint64)]
     if n < window:
-        return none, none, none.view(np.uint64)
+        return none, none, keys[0]
     h = rolling(w.hashes(), minimiser)
-    # 40 bits of hash, then the position: the least is the leftmost of the least.
-    least = sliding_min((h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64), window - minimiser + 1)
-    inside = w.doc[: n - window + 1] == w.doc[window - 1 :]
-    new = np.concatenate(([True], least[1:] != least[:-1]))
-    new[1:] |= inside[1:] != inside[:-1]
-    # Texts shorter than a window leave no window between them, but two long texts may touch.
-    new[1:] |= w.doc[1 : n - window + 1] != w.doc[: n - window]
-    first = np.flatnonzero(new)
-    past = np.concatenate((first[1:], [n - window + 1]))
-    good = inside[first]
-    return first[good], past[good], least[first[good]] >> np.uint64(24)
+    for base in range(0, n - window + 1, most):
+        count = min(most, n - window + 1 - base)
+        part = h[base : base + count + window - minimiser]
+        # 40 bits of hash, then the place: the least is the leftmost of the least.
+        least = sliding_min((part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64), window - minimiser + 1)
+        doc = w.doc[base : base + count]
+        inside = doc == w.doc[base + window - 1 : base + count + window - 1]
+        # Texts shorter than a window leave no window between them, but two long texts may touch.
+        new = np.concatenate(([True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]) | (doc[1:] != doc[:-1])))
+        first = np.flatnonzero(new)
+        past = np.concatenate((first[1:], [count]))
+        good = inside[first]
+        firsts.append(first[good] + base)
+        pasts.append(past[good] + base)
+        keys.append(least[first[good]] >> np.uint64(24))
+    return np.concatenate(firsts), np.concatenate(pasts), np.concatenate(keys)
 
 
 def _packed(rows: np.ndarray, strings: list[bytes]) -> bytes:
@@ -197,6 +213,40 @@ def _repeated(rows: np.ndarray, strings: list[bytes], window: int) -> Iterator[p
         yield _ranges(r["id"], r["tag"], a, a + (past - begin) + window - 1)
 
 
+def _input_bytes(docs: DataFrame) -> int:
+    """What the planner knows of the size of the input's files; 0 for what it knows nothing of."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def _parts(blobs: list[bytes], sizes: list[int], window: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """A bucket's super-k-mers, in parts of about ``PART_BYTES`` by other bits of their minimisers' hashes.
+
+    The bucket is held as it came, compressed, and unpacked blob by blob for each part.
+    """
+    n = -(-sum(sizes) // PART_BYTES)
+    parts = []
+    for blob in blobs if n > 1 else []:
+        w = Words(_unpacked(blob)[1])
+        first, _, key = super_kmers(w, window)
+        # Each string is one super-k-mer; of one that is several, all share the hash.
+        parts.append((mix(key[np.searchsorted(first, w.first[:-1])] ^ np.uint64(1)) % np.uint64(n)).astype(np.int32))
+    for part in range(max(n, 1)):
+        rows, strings = [], []
+        for k, blob in enumerate(blobs):
+            if n > 1 and not (parts[k] == part).any():
+                continue
+            r, s = _unpacked(blob)
+            if n > 1:
+                at = np.flatnonzero(parts[k] == part)
+                r, s = r[at], [s[j] for j in at.tolist()]
+            rows.append(r)
+            strings += s
+        if strings:
+            yield np.concatenate(rows), strings
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, tag, spans): the word ranges [a, b) of each text that repeated windows cover.
 
@@ -204,7 +254,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     width = partitions(spark)
-    buckets = width * BUCKETS
+    buckets = max(width * BUCKETS, min(_input_bytes(docs) // BUCKET_BYTES, MOST_BUCKETS))
     schema = "bucket int, blob binary, id long, tag long, a int, b int"
 
     def sent(bucket, blob) -> pa.RecordBatch:
@@ -235,11 +285,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from flush()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, strings = None, [], []
+        now, blobs, sizes = None, [], []
 
         def out():
-            if rows:
-                yield from _repeated(np.concatenate(rows), strings, window)
+            for rows, strings in _parts(blobs, sizes, window):
+                yield from _repeated(rows, strings, window)
 
         for batch in batches:
             done = batch.filter(batch.column("id").is_valid())
@@ -250,10 +300,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     continue
                 if bucket != now:
                     yield from out()
-                    now, rows, strings = bucket, [], []
-                r, s = _unpacked(blob)
-                rows.append(r)
-                strings += s
+                    now, blobs, sizes = bucket, [], []
+                blobs.append(blob)
+                sizes.append(zstandard.frame_content_size(blob))
         yield from out()
 
     source = docs.select(F.coalesce(quoted(id_col), F.lit(0)).alias("id"), F.xxhash64(quoted(text_col)).alias("tag"), quoted(text_col).alias("text"))
