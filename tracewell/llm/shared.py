@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty() and not jsc.isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if jsc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
     return jsc.getCheckpointDir().get()
@@ -96,10 +100,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Distinct edges that one task connects by itself at most: 16 bytes each.
+FEW_EDGES = 200_000
 #: Neighbours from which a vertex's minimum is broadcast, unless a share of all edges is more.
 HUB, HUB_SHARE = 200, 1 / 500
 
 
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges at once, by union-find on vertices in their order."""
+    parts = [np.stack([b.column(c).to_numpy() for c in "uv"]) for b in batches]
+    ids, ends = np.unique(np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64), return_inverse=True)
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for u, v in ends.reshape(2, -1).T.tolist():
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[[find(i) for i in range(len(ids))]] if len(ids) else ids)], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 
@@ -107,7 +131,8 @@ def components(edges: DataFrame) -> DataFrame:
     per vertex on an edge: ``node`` and ``component``, the smallest vertex that it reaches. Rounds
     grow with the logarithm of a component's diameter. Each round aggregates minima, combined before
     the shuffle, and joins them back: those of hubs, of which there are two per ``HUB_SHARE`` at most,
-    by broadcast, so that no task gets all edges of a hub; the others by a shuffle.
+    by broadcast, so that no task gets all edges of a hub; the others by a shuffle. No more than
+    ``FEW_EDGES``, counted first, need no rounds: one task connects them.
     """
 
     def with_least(pairs: DataFrame, n: int, itself: bool) -> DataFrame:
@@ -131,9 +156,12 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), small=True)
-    before = None
-    while (now := mark(e)) != before and now[0]:
+    before, now = None, mark(e)
+    if now[0] <= FEW_EDGES:
+        return map_batches(e.coalesce(1), _connect, "node long, component long")
+    while now != before:
         before, n = now, now[0]
         # Edges never get more: no more files than they fill.
         e = cut(small(large(e, n), n).coalesce(max(1, min(partitions(edges.sparkSession), n // 20_000))))
+        now = mark(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
