@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tracewell.llm import covertree, simhash
+from tracewell.llm import covertree, shared, simhash
 from tracewell.llm.shared import components
 
 
@@ -25,13 +25,17 @@ def least_reachable(ids, linked):
     return {i: find(i) for i in ids}
 
 
-def test_components_of_a_path_a_star_and_a_ring(spark):
-    edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(200 + k, 200 + (k + 1) % 9) for k in range(9)] + [(1, 1), (2, 1)]
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_a_path_a_star_and_a_ring(spark, monkeypatch, few):
+    monkeypatch.setattr(shared, "FEW_EDGES", few)
+    edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 400)] + [(900 + k, 900 + (k + 1) % 9) for k in range(9)] + [(1, 1), (2, 1)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == least_reachable({x for e in edges for x in e}, edges)
 
 
-def test_components_of_no_edges(spark):
+@pytest.mark.parametrize("few", [-1, 200_000])
+def test_components_of_no_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(shared, "FEW_EDGES", few)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -67,6 +71,32 @@ def test_cover_tree_finds_exactly_the_pairs(spark, block):
     assert found[None]["n_links"] == 0 and len(found) == len(rows) + len(odd)
 
 
+def test_an_id_with_several_vectors_counts_for_each(spark):
+    rows = [(1, [1.0, 0.0], "A"), (2, [0.999, 0.01], "A"), (1, [0.0, 1.0], "B"), (3, [0.01, 0.999], "B"), (9, [0.02, 0.998], "B"), (4, [1.0, 1.0], "A")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in covertree.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 0, 4), (9, 2, 1)]
+
+
+@pytest.mark.parametrize("n", [600, 2400])
+def test_copies_of_clustered_vectors_do_not_grow_with_the_label(spark, n):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(n // 10, 16))
+    x = np.repeat(centres, 10, axis=0) + rng.normal(size=(n, 16)) * 0.1
+    rows = [(k, v.astype(np.float64).tobytes(), f"{k:064x}") for k, v in enumerate(x)]
+    one = spark.createDataFrame(rows, "id long, v binary, digest string").selectExpr("'a' as label", "16 as dim", "*", "id as node", "1L as copies")
+    placed = covertree.cells(one, 0.98, 64).select("cell", "home", "id").collect()
+    assert sorted(r["id"] for r in placed if r["home"]) == list(range(n))
+    assert len(placed) < 6 * n and len({r["cell"] for r in placed}) > n / 200
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    there = {}
+    for r in placed:
+        there.setdefault(r["cell"], set()).add(r["id"])
+    homes = {r["id"]: r["cell"] for r in placed if r["home"]}
+    for i, j in zip(*np.nonzero(unit @ unit.T >= 0.98)):
+        assert int(j) in there[homes[int(i)]]
+
+
 def test_cover_tree_counts_copies_and_repeated_rows(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0], 7) for i in (5, 5, 6, 9)] + [(1, [2.0, -1.0], 7)], "vec_id long, embedding array<float>, label int")
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in covertree.near_duplicates(df).collect())

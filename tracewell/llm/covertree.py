@@ -8,13 +8,19 @@ radius. The dual traversal goes down pairs of nodes; a pair is dropped if its ce
 apart than the threshold and both covering radii, and taken whole if they are so near that all its
 points link. Pairs of points that remain are decided by their cosine.
 
-Identical vectors under a label are put together first and count as often as they occur. The rest of
-a label is dealt to blocks of about ``BLOCK`` vectors, each pair of blocks is a task of its own with
-one tree per block, so a hot label spreads over many tasks. A task returns, per vector, how many it
-links with, and for components one edge per vector at most; pairs are never written out.
+Identical vectors under a label are put together first and count as often as they occur. A label of
+more than ``BLOCK`` others is split at the upper levels of a tree: centres far from each other, taken
+from a bounded sample and broadcast, each vector in the cell of its nearest centre and as a visitor in
+the cells that may hold others within the threshold of it; large cells are split again. So copies of a
+vector grow with the cells near it, not with the label. A cell that centres don't split (vectors that
+lie everywhere, or all in one place) is dealt to blocks of about ``BLOCK``, each pair of blocks a task.
+A task builds one tree per side and returns, per vector, how many it links with, and for components
+one edge per vector at most; pairs are never written out.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing,
-nor do rows with a null label or a null vec_id; repeated rows are vectors of their own, which link.
+nor do rows with a null label or a null vec_id; repeated rows are vectors of their own, which link;
+an id with several vectors has a row and a count for each, and connects what any of them links with;
+a cosine of exactly the threshold links; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -33,6 +39,9 @@ BLOCK = 8192
 #: Points that a node holds without children, and rows of a distance matrix made at once.
 LEAF, ROWS = 32, 1024
 _SLACK = 1e-7
+#: Vectors of a cell that its centres are chosen among, about; centres of a cell, levels, and bytes of
+#: all centres of a level, at most.
+SAMPLED, MOST_CENTRES, MOST_LEVELS, MOST_CENTRE_BYTES = 768, 256, 12, 64 << 20
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,14 +100,14 @@ class CoverTree:
 
 
 class Links:
-    """Gathers how many each point links with, and what is connected."""
+    """Gathers how many each point links with, and what is connected, over the points of several sides."""
 
-    def __init__(self, a: "Side", b: "Side", threshold: float):
-        self.a, self.b, self.threshold = a, b, threshold
+    def __init__(self, sides: list["Side"], threshold: float):
+        self.sides, self.threshold = sides, threshold
         self.eps = float(np.sqrt(2 - 2 * threshold))
-        self.count = [np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64)] if a is not b else [np.zeros(len(a.x), np.int64)] * 2
-        self.shift = 0 if a is b else len(a.x)
-        self.root = np.arange(len(a.x) if a is b else len(a.x) + len(b.x))
+        self.counts = [np.zeros(len(s.x), np.int64) for s in sides]
+        self.first = np.cumsum([0] + [len(s.x) for s in sides])
+        self.root = np.arange(self.first[-1])
 
     def find(self, i: int) -> int:
         root = self.root
@@ -112,8 +121,11 @@ class Links:
         if p != q:
             self.root[max(p, q)] = min(p, q)
 
-    def run(self) -> None:
-        same = self.a is self.b
+    def run(self, i: int, j: int) -> None:
+        """All links between sides i and j."""
+        same = i == j
+        self.a, self.b, self.count = self.sides[i], self.sides[j], (self.counts[i], self.counts[j])
+        self.base, self.shift = int(self.first[i]), int(self.first[j])
         todo = [(self.a.tree.root, self.b.tree.root)]
         while todo:
             m, n = todo.pop()
@@ -152,9 +164,9 @@ class Links:
         else:
             self.count[0][m.points] += wb[n.points].sum()
             self.count[1][n.points] += wa[m.points].sum()
-        first = int(m.points[0])
+        first = int(m.points[0]) + self.base
         for i in m.points[1:].tolist():
-            self.join(first, i)
+            self.join(first, i + self.base)
         for j in n.points.tolist():
             self.join(first, j + self.shift)
 
@@ -179,7 +191,7 @@ class Links:
                 if (new_row == row).all() and (new_col == col).all():
                     break
                 row, col = new_row, new_col
-            ids = np.concatenate((rows, b + self.shift))
+            ids = np.concatenate((rows + self.base, b + self.shift))
             for k, l in enumerate(np.concatenate((row, col)).tolist()):
                 if l != k:
                     self.join(int(ids[k]), int(ids[l]))
@@ -213,53 +225,166 @@ def _clean(vectors: DataFrame) -> DataFrame:
     return map_batches(named, scan, "vec_id long, label string, dim int, v binary").withColumn("digest", F.sha2("v", 256))
 
 
+def _reach(x: np.ndarray, centres: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each unit vector, and which centres' cells may hold others within ``eps`` of it.
+
+    A vector in the cell of another centre lies on that centre's side of the plane between the two, so
+    one that is further than ``eps`` from the plane has nothing there.
+    """
+    d2 = np.maximum(2 - 2 * (x @ centres.T), 0)
+    own = d2.argmin(1)
+    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
+    return own, d2 - d2[np.arange(len(x)), own][:, None] <= 2 * (eps + _SLACK) * apart[own] + _SLACK
+
+
+def top_level(x: np.ndarray, n: int, eps: float, block: int) -> np.ndarray | None:
+    """Centres that split a cell of n vectors, of which the unit vectors x are a sample.
+
+    They are the furthest from each other, like those of a tree's upper level, and as many of them as
+    leave the least work; None if blocks would take no more copies of the vectors, or little more work.
+    """
+    chosen, far = [0], _distance(x[:1], x)[0]
+    while len(chosen) < min(MOST_CENTRES, len(x) // 2, max(2, 8 * n // block)) and far.max() > _SLACK:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _distance(x[chosen[-1:]], x)[0])
+    best, least = None, 0.25
+    k = len(chosen)
+    while k > 1:
+        own, there = _reach(x, x[chosen[:k]], eps)
+        work = float((np.bincount(own, minlength=k) / len(x)) @ (there.sum(0) / len(x)))
+        if there.sum(1).mean() < max(1.5, n / block / 2) and work < least:
+            best, least = x[chosen[:k]], work
+        k //= 2
+    return best
+
+
+KEY = ["label", "dim", "cell"]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each run of equal keys, from batches sorted by key."""
+    now, parts = None, []
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in key)))
+        edge = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+        for x, y in zip(edge, edge[1:]):
+            if x == y:
+                continue
+            if keys[x] != now:
+                if parts:
+                    yield now, pa.Table.from_batches(parts)
+                now, parts = keys[x], []
+            parts.append(b.slice(x, y - x))
+    if parts:
+        yield now, pa.Table.from_batches(parts)
+
+
+def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), dim)
+
+
+def _unit(raw: np.ndarray) -> np.ndarray:
+    return raw / np.sqrt((raw * raw).sum(1))[:, None]
+
+
+def cells(one: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``one`` with ``cell`` and ``home``: each vector in the cell of its nearest centre, and in others as a visitor.
+
+    All links of a vector are with what is in its home cell. Cells of more than ``block`` vectors are
+    split, level by level, as long as that pays.
+    """
+    spark, eps = one.sparkSession, float(np.sqrt(2 - 2 * threshold))
+    now, done = one.withColumns({"cell": F.lit(""), "home": F.lit(True)}), []
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _runs(batches, KEY):
+            found = top_level(_unit(_vectors(rows.column("v"), key[1])), rows.column("n")[0].as_py(), eps, block)
+            if found is not None:
+                yield pa.RecordBatch.from_pydict({"label": [key[0]], "dim": pa.array([key[1]], pa.int32()), "cell": [key[2]], "centres": pa.array([found.tobytes()], pa.binary())})
+
+    for level in range(MOST_LEVELS):
+        n = F.count("*")
+        large = cut(now.groupBy(*KEY).agg(n.alias("n"), F.max("home").alias("some")).where((F.col("n") > block) & F.col("some")).select(*KEY, "n"), small=True)
+        if large.isEmpty():
+            break
+        sample = now.join(large, KEY).where(F.pmod(F.xxhash64("digest", F.lit(level)), F.col("n")) < SAMPLED).select(*KEY, "n", "v")
+        sample = sample.repartition(partitions(spark), *KEY).sortWithinPartitions(*KEY, "v")
+        chosen = cut(map_batches(sample, choose, "label string, dim int, cell string, centres binary"), small=True)
+        # What is broadcast is bounded: cells beyond that wait for the next level.
+        rows, sent_bytes = [], 0
+        for r in chosen.orderBy(F.length("centres"), *KEY).limit(MOST_CENTRE_BYTES // (2 << 10)).toLocalIterator():
+            sent_bytes += len(r["centres"])
+            if sent_bytes > MOST_CENTRE_BYTES:
+                break
+            rows.append(r)
+        if not rows:
+            break
+        sent = spark.sparkContext.broadcast({(r["label"], r["dim"], r["cell"]): np.frombuffer(bytes(r["centres"]), np.float64).reshape(-1, r["dim"]) for r in rows})
+        marked = now.join(chosen.select(*KEY, F.lit(True).alias("split")), KEY, "left").select(*now.columns, "split")
+        done.append(marked.where("split is null").drop("split"))
+
+        def deal(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = list(zip(*(b.column(c).to_pylist() for c in KEY)))
+                for key in dict.fromkeys(keys):
+                    at = np.array([k for k, other in enumerate(keys) if other == key])
+                    mine = b.take(pa.array(at))
+                    if key not in sent.value:
+                        yield mine
+                        continue
+                    for a in range(0, len(at), ROWS):
+                        part = mine.slice(a, ROWS)
+                        own, there = _reach(_unit(_vectors(part.column("v"), key[1])), sent.value[key], eps)
+                        row, centre = np.nonzero(there)
+                        out = part.take(pa.array(row))
+                        cell = pa.array([f"{key[2]}.{c}" for c in centre.tolist()], pa.string())
+                        home = pa.array(out.column("home").to_numpy(zero_copy_only=False) & (own[row] == centre))
+                        out = out.set_column(out.schema.get_field_index("cell"), "cell", cell)
+                        yield out.set_column(out.schema.get_field_index("home"), "home", home)
+
+        now = cut(map_batches(marked.where("split").drop("split"), deal, now.schema))
+    for part in done:
+        now = now.unionAll(part.select(*now.columns))
+    return now
+
+
 def _pairs(one: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(u, v, n): vector u links with n others; or, n null, u and v are connected."""
+    """(u, v, n): vector u links with n others; or, n null, ids u and v are connected."""
     spark = one.sparkSession
-    # Only labels of more than a block need more than one: at most their rows divided by the block.
-    large = one.groupBy("label", "dim").count().where(F.col("count") > block).select("label", "dim", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    dealt = one.join(large, ["label", "dim"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id", "digest"), F.col("blocks")).cast("int"))
+    now = cells(one, threshold, block)
+    # Cells that no centres split go by pairs of blocks.
+    large = now.groupBy(*KEY).count().where(F.col("count") > block).select(*KEY, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    dealt = now.join(large, KEY, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = dealt.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v", "copies")
-    key = ["label", "dim", "i", "j"]
+    key = [*KEY, "i", "j"]
+    task = dealt.select(*KEY, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "node", "id", "v", "copies")
     dealt = task.repartition(partitions(spark), *key).sortWithinPartitions(*key, "own")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, parts):
-            rows = pa.Table.from_batches(parts)
-            own, ids = rows.column("own").to_numpy(), rows.column("id").to_numpy()
-            raw = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(len(ids), key[1])
-            copies = rows.column("copies").to_numpy()
-            sides = [Side(raw[own == k], copies[own == k]) for k in dict.fromkeys(key[2:]) if (own == k).any()]
-            if len(sides) < len(set(key[2:])):
-                return
-            links = Links(sides[0], sides[-1], threshold)
-            links.run()
-            n = np.zeros(len(ids), np.int64)
-            n[: len(sides[0].x)] = links.count[0]
-            if len(sides) == 2:
-                n[len(sides[0].x) :] = links.count[1]
+        for key_, rows in _runs(batches, key):
+            own, home = rows.column("own").to_numpy(), rows.column("home").to_numpy()
+            raw, copies = _vectors(rows.column("v"), key_[1]), rows.column("copies").to_numpy()
+            kinds = [(block_, h) for block_ in dict.fromkeys(key_[3:]) for h in (True, False)]
+            at = [np.flatnonzero((own == block_) & (home == h)) for block_, h in kinds]
+            kinds, at = [k for k, a in zip(kinds, at) if len(a)], [a for a in at if len(a)]
+            if not any(h for _, h in kinds):
+                continue
+            links = Links([Side(raw[a], copies[a]) for a in at], threshold)
+            for x in range(len(kinds)):
+                for y in range(x, len(kinds)):
+                    # Visitors meet in their home cells; a block meets itself in one task.
+                    if (kinds[x][1] or kinds[y][1]) and (kinds[x][0] != kinds[y][0]) == (key_[3] != key_[4]):
+                        links.run(x, y)
+            order = np.concatenate(at)
+            node, ids = rows.column("node").to_numpy()[order], rows.column("id").to_numpy()[order]
+            n = np.concatenate(links.counts) * home[order]
             some = np.flatnonzero(n)
-            u, v = ids[some], ids[[links.find(int(k)) for k in some]] if len(some) else ids[:0]
             none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(u), none, pa.array(n[some])], names=["u", "v", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none], names=["u", "v", "n"]).filter(pa.array(u != v))
-
-        now, parts = None, []
-        for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in key)))
-            edge = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for x, y in zip(edge, edge[1:]):
-                if x == y:
-                    continue
-                if keys[x] != now:
-                    if parts:
-                        yield from out(now, parts)
-                    now, parts = keys[x], []
-                parts.append(b.slice(x, y - x))
-        if parts:
-            yield from out(now, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), none, pa.array(n[some])], names=["u", "v", "n"])
+            u, v = ids, ids[[links.find(k) for k in range(len(ids))]]
+            joined = np.flatnonzero(u != v)
+            yield pa.RecordBatch.from_arrays([pa.array(u[joined]), pa.array(v[joined]), pa.nulls(len(joined), pa.int64())], names=["u", "v", "n"])
 
     return map_batches(dealt, solve, "u long, v long, n long")
 
@@ -267,11 +392,17 @@ def _pairs(one: DataFrame, threshold: float, block: int) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors (vec_id, embedding, label)``."""
     own = cut(_clean(vectors))
-    one = cut(own.where("v is not null").groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), small=True)
+    able = own.where("v is not null")
+    one = able.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    one = cut(one.withColumn("node", F.monotonically_increasing_id()), small=True)
     found = cut(_pairs(one, threshold, block))
-    n = found.where("n is not null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
-    reached = components(found.where("n is null").select("u", "v")).withColumnRenamed("node", "id")
-    named = one.select("label", "dim", "digest", "id", "copies").join(n, "id", "left").join(reached, "id", "left")
+    n = found.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    # An id with several vectors connects what they link with.
+    several = able.groupBy("vec_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.min("label").alias("first"), F.max("label").alias("last")).where("least <> most or first <> last")
+    through = able.join(several.select("vec_id"), "vec_id", "left_semi").join(one.select("label", "dim", "digest", "id"), ["label", "dim", "digest"])
+    edges = found.where("n is null").select("u", "v").unionAll(through.select("vec_id", "id"))
+    reached = components(edges).withColumnRenamed("node", "id")
+    named = one.select("label", "dim", "digest", "id", "copies", "node").join(n, "node", "left").join(reached, "id", "left")
     named = named.select("label", "dim", "digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     rows = own.select("vec_id", "label", "dim", "digest").join(named, ["label", "dim", "digest"], "left")
     component = F.coalesce("component_id", "vec_id")
