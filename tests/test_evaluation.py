@@ -48,7 +48,7 @@ def test_metrics_by_hand(spark):
     assert metrics.ece(p, []).first()["ece"] == pytest.approx(0.10)
 
 
-def numpy_metrics(y, s):
+def numpy_metrics(y, s, alpha=0.1):
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
     ap, best, before = 0.0, 0.0, 0.0
     for c in sorted(set(s), reverse=True):
@@ -56,7 +56,7 @@ def numpy_metrics(y, s):
         recall = tp / (y == 1).sum()
         ap += (recall - before) * tp / (tp + fp)
         before = recall
-        if fp / (y == 0).sum() <= 0.1:
+        if fp / (y == 0).sum() <= alpha:
             best = max(best, recall)
     return auc, ap, best
 
@@ -180,27 +180,48 @@ def test_long_chains_of_runs_are_one_group(spark):
     assert len(got) == 60 and {r["task_group"] for r in got} == {"u000"}
 
 
-def test_bootstrap_equals_resampled_rows(spark):
+@pytest.mark.parametrize("metric, place", [("auroc", 0), ("auprc", 1), ("tpr_at_fpr", 2)])
+def test_bootstrap_equals_resampled_rows(spark, metric, place):
     rng = np.random.default_rng(4)
     rows = [(f"u{k}", 3, int(rng.integers(0, 2)), f"g{k % 12}", float(rng.integers(0, 9))) for k in range(120)]
     evals = spark.createDataFrame(rows, "uid string, t int, y int, task_group string, score double")
-    got = {r["rep"]: r["auroc"] for r in bootstrap.replicate_aurocs(evals, 30, 7).collect()}
+    got = {r["rep"]: r["value"] for r in bootstrap.replicates(evals, 30, 7, metric).collect()}
     names = sorted({r[3] for r in rows})
-    draws = np.random.default_rng(7)
-    for rep in range(30):
-        picked = [r for g in draws.integers(0, 12, 12) for r in rows if r[3] == names[g]]
-        y, s = np.array([r[2] for r in picked]), np.array([r[4] for r in picked])
-        assert got[rep] == pytest.approx(numpy_metrics(y, s)[0])
-    assert got[-1] == pytest.approx(numpy_metrics(np.array([r[2] for r in rows]), np.array([r[4] for r in rows]))[0])
+    for rep in range(-1, 30):
+        groups_ = range(12) if rep < 0 else np.random.default_rng([7, rep]).integers(0, 12, 12)
+        picked = [r for g in groups_ for r in rows if r[3] == names[g]]
+        assert got[rep] == pytest.approx(numpy_metrics(np.array([r[2] for r in picked]), np.array([r[4] for r in picked]), 0.05)[place])
 
 
-def test_large_bootstraps_take_the_other_way(spark, monkeypatch):
+def test_any_function_can_be_the_metric(spark):
+    rows = [(k, 3, k % 2, f"g{k % 4}", float(k)) for k in range(40)]
+    evals = spark.createDataFrame(rows, "uid long, t int, y int, task_group string, score double")
+    got = {r["rep"]: r["value"] for r in bootstrap.replicates(evals, 5, 1, lambda pos, neg, value: float(pos.sum() / (pos.sum() + neg.sum()))).collect()}
+    assert got[-1] == 0.5 and len(got) == 6
+
+
+@pytest.mark.parametrize("metric", ["auroc", "auprc", "tpr_at_fpr"])
+def test_large_bootstraps_take_the_other_way(spark, monkeypatch, metric):
     rng = np.random.default_rng(5)
     rows = [(k, 3, int(rng.integers(0, 2)), f"g{k % 6}", float(rng.integers(0, 5))) for k in range(60)]
     evals = spark.createDataFrame(rows, "uid long, t int, y int, task_group string, score double")
-    small = {r["rep"]: r["auroc"] for r in bootstrap.replicate_aurocs(evals, 8, 3).collect()}
+    small = bootstrap.intervals(bootstrap.replicates(evals, 60, 3, metric), 60).collect()
     monkeypatch.setattr(bootstrap, "MOST_SENT", 0)
-    assert {r["rep"]: r["auroc"] for r in bootstrap.replicate_aurocs(evals, 8, 3).collect()} == pytest.approx(small)
+    # Units have other places there, so replicates differ; the sample itself does not.
+    large = bootstrap.intervals(bootstrap.replicates(evals, 60, 3, metric), 60).collect()
+    assert {r["set"]: r["point"] for r in large} == pytest.approx({r["set"]: r["point"] for r in small})
+    drawn = spark.createDataFrame([(0, f"g{k}", k % 3) for k in range(6)], "rep int, unit string, w int")
+    counts = bootstrap.unit_counts(evals, "task_group", "t", ["score"])
+    (value,) = [r["value"] for r in bootstrap.weighted_metric(counts, drawn, metric).collect()]
+    picked = [r for r in rows for _ in range(int(r[3][1]) % 3)]
+    y, s = np.array([r[2] for r in picked]), np.array([r[4] for r in picked])
+    assert value == pytest.approx(numpy_metrics(y, s, 0.05)[["auroc", "auprc", "tpr_at_fpr"].index(metric)])
+
+
+def test_undefined_intervals(spark):
+    evals = spark.createDataFrame([("a", 3, 1, "g1", 1.0), ("b", 3, 0, "g2", 0.0)], "uid string, t int, y int, task_group string, score double")
+    (r,) = [r for r in bootstrap.intervals(bootstrap.replicates(evals, 50, 1), 50, strict=False).collect() if r["set"] == "3"]
+    assert r["point"] == 1.0 and r["lo"] is None and r["hi"] is None and r["n_skipped"] > 5
 
 
 def test_too_many_one_class_replicates_fail(spark):
@@ -213,7 +234,7 @@ def test_paired_differences_share_their_draws(spark):
     rng = np.random.default_rng(6)
     rows = [(f"u{k}", t, int(rng.integers(0, 2)), f"g{k % 9}", float(rng.normal()), float(rng.normal())) for k in range(80) for t in (3, 4)]
     evals = spark.createDataFrame(rows, "uid string, t int, y int, task_group string, a double, b double")
-    values = bootstrap.replicate_aurocs(evals, 40, 2, scorers=("a", "b"))
+    values = bootstrap.replicates(evals, 40, 2, scorers=("a", "b"))
     diff = bootstrap.intervals(bootstrap.paired_difference(values, "a", "b"), 40)
     point = {(r["set"], r["scorer"]): r["point"] for r in bootstrap.intervals(values, 40).collect()}
     for r in diff.collect():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.metrics import matched, quantiles
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n), null as ``none``."""
@@ -12,10 +14,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Count, mean, standard deviation, extremes and exact quartiles."""
     x = F.col(column).cast("double")
-    q = F.percentile(x, F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75))))
-    out = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("__q"), F.max(x).alias("max"))
-    return out.select(*by, "count", "mean", "std", "min", *(F.col("__q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))), "max")
+    out = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(df, by, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return matched(out, q, by, "left").select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def nested_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -64,9 +67,8 @@ def top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:
 def quantile_table(df: DataFrame, column: str, by: list[str], low: float = 0.05) -> DataFrame:
     """10th, 50th and 90th percentile, and the share below ``low``."""
     x = F.col(column).cast("double")
-    q = F.percentile(x, F.array(*(F.lit(p) for p in (0.1, 0.5, 0.9))))
-    out = df.groupBy(*by).agg(q.alias("__q"), F.avg((x < low).cast("int")).alias("share_low"), F.count("*").alias("n"))
-    return out.select(*by, *(F.col("__q")[k].alias(n) for k, n in enumerate(("q10", "q50", "q90"))), "share_low", "n")
+    out = df.groupBy(*by).agg(F.avg((x < low).cast("int")).alias("share_low"), F.count("*").alias("n"))
+    return matched(out, quantiles(df, by, column, {"q10": 0.1, "q50": 0.5, "q90": 0.9}), by, "left").select(*by, "q10", "q50", "q90", "share_low", "n")
 
 
 def cost_table(calls: DataFrame, price_in: float, price_out: float, by: list[str]) -> DataFrame:
@@ -98,3 +100,35 @@ def differences(ours: DataFrame, theirs: DataFrame, keys: list[str], values: lis
 def filled_left(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """A left join with missing values as zero."""
     return left.join(right.select(*keys, *values), keys, "left").fillna(0, values)
+
+
+def shares(df: DataFrame, by: list[str], conditions: dict) -> DataFrame:
+    """Per group: how many rows, and the share of them for which each condition holds; null counts as no."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(n) for n, c in conditions.items()))
+
+
+def family_summary(runs: DataFrame, by: str = "family") -> DataFrame:
+    """Per family: runs, task groups, runs of unknown group, and how many share a group with another family."""
+    spread = runs.groupBy("task_group").agg(F.min(by).alias("__least"), F.max(by).alias("__most"))
+    marked = runs.join(spread.select("task_group", (F.col("__least") != F.col("__most")).alias("__shared")), "task_group")
+    return marked.groupBy(by).agg(F.count("*").alias("n_runs"), F.countDistinct("task_group").alias("n_groups"), F.count_if(F.col("task_group").startswith("unknown:")).alias("n_unknown"), F.count_if("__shared").alias("n_shared"))
+
+
+def onset_audit(runs: DataFrame, early: int = 2) -> DataFrame:
+    """Per failure class: runs, mean and spread of the onset and the length, and the share of onsets at ``early``."""
+    return runs.groupBy(F.coalesce("failure_class", F.lit("none")).alias("failure_class")).agg(
+        F.count("*").alias("n"), F.avg("tau").alias("tau_mean"), F.stddev_samp("tau").alias("tau_std"), F.avg((F.col("tau") == early).cast("int")).alias("share_early"), F.avg("len").alias("len_mean"), F.stddev_samp("len").alias("len_std")
+    )
+
+
+def key_sets(df: DataFrame, json: str) -> DataFrame:
+    """(keys, n): which sets of top-level keys a JSON column has, and how often."""
+    keys = F.array_join(F.array_sort(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))), ",")
+    return df.groupBy(keys.alias("keys")).agg(F.count("*").alias("n"))
+
+
+def truthy_keys(df: DataFrame, json: str, names: list[str]) -> DataFrame:
+    """(key, n_there, n_true) of label-like keys of a JSON column: how often there, and how often neither null, false, 0 nor empty."""
+    found = F.explode(F.array(*(F.struct(F.lit(n).alias("key"), F.get_json_object(json, f"$.{n}").alias("value")) for n in names)))
+    rows = df.select(found.alias("f")).select("f.*")
+    return rows.groupBy("key").agg(F.count("value").alias("n_there"), F.count_if(F.col("value").isNotNull() & ~F.col("value").isin("", "false", "0", "0.0", "null")).alias("n_true"))

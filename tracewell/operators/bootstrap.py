@@ -1,100 +1,184 @@
 """Bootstrap intervals: whole units are resampled, and metrics recomputed under their weights.
 
-Rows are first counted per (set, unit, score). If those counts fit a checked bound, they are sent to
-all tasks once, and each task computes its share of the replicates exactly, by running sums over
-sorted scores. Beyond the bound, replicates become a key of the counts, one chunk at a time, and the
-same sums are taken by windows.
+Rows are first counted per (set, unit, scorer, score). If those counts fit a checked bound, they are
+sent to all tasks once, and each task draws the weights of its replicates from (seed, replicate) and
+computes any metric exactly, by running sums over sorted scores. Beyond the bound, the weights become
+rows, and the metrics known by name are taken by running totals over value ranges, so that no task
+holds all scores of a replicate. Given weights go that way in any case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators import metrics
+
 MOST_SENT = 2_000_000
 MAX_SKIPPED = 0.01
 
+#: A metric of weighted rows with sorted scores: (positives, negatives, number of the distinct score).
+Metric = Callable[[np.ndarray, np.ndarray, np.ndarray], float]
+
+
+def weights(n_units: int, replicate: int, seed: int) -> np.ndarray:
+    """How often each unit is drawn in a replicate; the sample itself is replicate -1."""
+    if replicate < 0:
+        return np.ones(n_units, np.int64)
+    return np.bincount(np.random.default_rng([seed, replicate]).integers(0, n_units, n_units), minlength=n_units) if n_units else np.zeros(0, np.int64)
 
-def weights(n_units: int, replicates: int, seed: int) -> np.ndarray:
-    """How often each unit is drawn, per replicate."""
-    rng = np.random.default_rng(seed)
-    return np.stack([np.bincount(rng.integers(0, n_units, n_units), minlength=n_units) for _ in range(replicates)]) if n_units else np.zeros((replicates, 0), int)
+
+def _sums(pos: np.ndarray, neg: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.bincount(value, pos), np.bincount(value, neg)
 
 
 def weighted_auroc(pos: np.ndarray, neg: np.ndarray, value: np.ndarray) -> float:
-    """Of sorted rows with weights; ``value`` numbers the distinct scores. NaN for one class."""
-    p, n = np.bincount(value, pos), np.bincount(value, neg)
+    """NaN for one class."""
+    p, n = _sums(pos, neg, value)
     total = p.sum() * n.sum()
     return float((p * (np.cumsum(n) - n / 2)).sum() / total) if total else float("nan")
 
 
-def replicate_aurocs(evals: DataFrame, replicates: int, seed: int, unit: str = "task_group", sets: str = "t", scorers=("score",)) -> DataFrame:
-    """(rep, set, scorer, auroc) on shared resamples of units; rep -1 is the sample itself."""
+def weighted_auprc(pos: np.ndarray, neg: np.ndarray, value: np.ndarray) -> float:
+    """Precision at each threshold, weighted by the recall it adds; NaN without positives."""
+    p, n = (x[::-1] for x in _sums(pos, neg, value))
+    tp, fp = np.cumsum(p), np.cumsum(n)
+    there = tp + fp > 0
+    return float((p[there] * tp[there] / (tp + fp)[there]).sum() / tp[-1]) if len(tp) and tp[-1] else float("nan")
+
+
+def weighted_tpr_at_fpr(pos: np.ndarray, neg: np.ndarray, value: np.ndarray, alpha: float = 0.05) -> float:
+    """The highest true positive rate at a false positive rate of alpha at most; NaN for one class."""
+    p, n = (x[::-1] for x in _sums(pos, neg, value))
+    tp, fp = np.cumsum(p), np.cumsum(n)
+    if not len(tp) or not tp[-1] or not fp[-1]:
+        return float("nan")
+    return float(max([0.0, *(tp[fp / fp[-1] <= alpha] / tp[-1])]))
+
+
+#: Metrics by name: of arrays, and of running counts.
+METRICS: dict[str, tuple[Metric, Callable[[DataFrame, list[str]], DataFrame]]] = {
+    "auroc": (weighted_auroc, metrics.auroc_of),
+    "auprc": (weighted_auprc, metrics.auprc_of),
+    "tpr_at_fpr": (weighted_tpr_at_fpr, metrics.tpr_at_fpr_of),
+}
+
+
+def unit_counts(evals: DataFrame, unit: str, sets: str, scorers) -> DataFrame:
+    """(set, unit, scorer, s, pos, neg) of rows with y and a column per scorer."""
+    long = evals.select(F.col(sets).cast("string").alias("set"), F.col(unit).cast("string").alias("unit"), "y", F.explode(F.array(*(F.struct(F.lit(s).alias("scorer"), F.col(s).cast("double").alias("s")) for s in scorers))).alias("x"))
+    return long.groupBy("set", "unit", "x.scorer", "x.s").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
+
+
+def weighted_metric(counts: DataFrame, drawn: DataFrame, metric: str = "auroc") -> DataFrame:
+    """(rep, set, scorer, value) of ``unit_counts`` under the weights ``drawn (rep, unit, w)``."""
+    by = ["rep", "set", "scorer"]
+    spread = counts.join(drawn, "unit").where("w > 0").groupBy(*by, "s").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
+    running = metrics.running_totals(spread, by, "s", ["pos", "neg"]).withColumnsRenamed({"pos_total": "n_pos", "neg_total": "n_neg"})
+    return METRICS[metric][1](running, by).select(*by, F.col(metric).alias("value"))
+
+
+def replicates(evals: DataFrame, n: int, seed: int, metric: str | Metric = "auroc", unit: str = "task_group", sets: str = "t", scorers=("score",)) -> DataFrame:
+    """(rep, set, scorer, value) on shared resamples of units; rep -1 is the sample itself.
+
+    ``metric`` is a name of ``METRICS`` or a function of weighted rows; the latter needs counts that fit the bound.
+    """
     spark = evals.sparkSession
-    long = evals.select(F.col(sets).cast("string").alias("set"), F.col(unit).alias("unit"), "y", F.explode(F.array(*(F.struct(F.lit(s).alias("scorer"), F.col(s).cast("double").alias("s")) for s in scorers))).alias("x"))
-    counts = long.groupBy("set", "unit", "x.scorer", "x.s").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
-    units = [r[0] for r in counts.select("unit").distinct().orderBy("unit").collect()]
-    w = np.vstack((np.ones((1, len(units)), int), weights(len(units), replicates, seed)))
-    reps = spark.createDataFrame([(k - 1, row.astype("<i4").tobytes()) for k, row in enumerate(w)], "rep int, w binary").repartition(max(1, min(replicates // 50, 200)))
+    counts = unit_counts(evals, unit, sets, scorers)
+    reps = spark.range(-1, n, 1, max(1, min(n // 50, 400)))
     if counts.count() > MOST_SENT:
-        place = spark.createDataFrame(list(enumerate(units)), "i int, unit string")
-        keyed = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(units) - 1)), lambda i: F.conv(F.hex(F.reverse(F.substring("w", i * 4 + 1, F.lit(4)))), 16, 10).cast("int"))).alias("i", "n")).where("n > 0").join(F.broadcast(place), "i")
-        from tracewell.operators.metrics import auroc_of
-
-        spread = counts.join(keyed, "unit").groupBy("rep", "set", "scorer", "s").agg(F.sum(F.col("pos") * F.col("n")).alias("pos"), F.sum(F.col("neg") * F.col("n")).alias("neg"))
-        by = ["rep", "set", "scorer"]
-        own = Window.partitionBy(*by)
-        below = own.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        full = spread.withColumns({"neg_below": F.coalesce(F.sum("neg").over(below), F.lit(0.0)), "n_pos": F.sum("pos").over(own), "n_neg": F.sum("neg").over(own)})
-        return auroc_of(full, by).select(*by, "auroc")
-    pdf = counts.toPandas()
-    at = {u: k for k, u in enumerate(units)}
+        if callable(metric):
+            raise ValueError(f"a metric of its own needs {MOST_SENT} counts at most; name one of {sorted(METRICS)}")
+        # Places of units by ranges of their names, not by one sort.
+        names = counts.select("unit").distinct().withColumn("__order", F.md5("unit"))
+        from tracewell.operators.folds import ranked
+
+        placed = ranked(names, "__order", ["unit"]).select((F.col("nth") - 1).alias("i"), "unit")
+        n_units = placed.count()
+
+        def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for rep in f["id"]:
+                    w = weights(n_units, int(rep), seed)
+                    at = np.flatnonzero(w)
+                    for a in range(0, len(at), 100_000):
+                        part = at[a : a + 100_000]
+                        yield pd.DataFrame({"rep": int(rep), "i": part, "w": w[part]})
+
+        drawn = reps.repartition(n + 1).mapInPandas(draw, "rep int, i long, w long").join(placed, "i").select("rep", "unit", "w")
+        return weighted_metric(counts, drawn, metric)
+    kernel = metric if callable(metric) else METRICS[metric][0]
+    pdf = counts.toPandas()  # of a checked size
+    units = {u: k for k, u in enumerate(sorted(pdf["unit"].unique()))}
     cells = []
     for (s, scorer), g in pdf.groupby(["set", "scorer"], sort=True):
         g = g.sort_values("s")
-        cells.append((s, scorer, g["unit"].map(at).to_numpy(), g["pos"].to_numpy(), g["neg"].to_numpy(), np.unique(g["s"].to_numpy(), return_inverse=True)[1]))
-    sent = spark.sparkContext.broadcast(cells)
+        cells.append((s, scorer, g["unit"].map(units).to_numpy(), g["pos"].to_numpy(), g["neg"].to_numpy(), np.unique(g["s"].to_numpy(), return_inverse=True)[1]))
+    sent, n_units = spark.sparkContext.broadcast(cells), len(units)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for rep, raw in zip(f["rep"], f["w"]):
-                row = np.frombuffer(raw, "<i4")
-                out += [(rep, s, scorer, weighted_auroc(pos * row[u], neg * row[u], v)) for s, scorer, u, pos, neg, v in sent.value]
-            yield pd.DataFrame(out, columns=["rep", "set", "scorer", "auroc"])
+            for rep in f["id"]:
+                w = weights(n_units, int(rep), seed)
+                for s, scorer, u, pos, neg, v in sent.value:
+                    there = w[u] > 0
+                    out.append((int(rep), s, scorer, kernel((pos * w[u])[there], (neg * w[u])[there], np.unique(v[there], return_inverse=True)[1])))
+            yield pd.DataFrame(out, columns=["rep", "set", "scorer", "value"])
 
-    got = reps.mapInPandas(run, "rep int, set string, scorer string, auroc double")
-    return got.withColumn("auroc", F.nanvl("auroc", F.lit(None).cast("double")))
+    got = reps.mapInPandas(run, "rep int, set string, scorer string, value double")
+    return got.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
-def intervals(values: DataFrame, replicates: int, value: str = "auroc", by=("scorer",)) -> DataFrame:
+def intervals(values: DataFrame, n: int, by=("scorer",), strict: bool = True, most_skipped: float = MAX_SKIPPED) -> DataFrame:
     """Per set, and for the mean over sets: point, lo, hi, n_skipped.
 
-    A replicate in which any set lacks the metric is left out; too many such fail the query.
+    A replicate in which any set lacks the metric is left out. If too many are, the query fails, or,
+    unless ``strict``, the interval is undefined: its ends are null.
     """
     by = list(by)
     n_sets = values.select("set").distinct().count()
-    whole = values.groupBy("rep", *by).agg(F.count(value).alias("__n"), F.avg(value).alias(value)).where(F.col("__n") == n_sets).drop("__n")
+    whole = values.groupBy("rep", *by).agg(F.count("value").alias("__n"), F.avg("value").alias("value")).where(F.col("__n") == n_sets).drop("__n")
     per_set = values.join(whole.select("rep", *by), ["rep", *by], "left_semi")
-    every = per_set.select("rep", "set", *by, value).unionByName(whole.withColumn("set", F.lit("mean")).select("rep", "set", *by, value))
+    every = per_set.select("rep", "set", *by, "value").unionByName(whole.withColumn("set", F.lit("mean")).select("rep", "set", *by, "value"))
     drawn = F.col("rep") >= 0
-    q = F.percentile(F.when(drawn, F.col(value)), F.array(F.lit(0.025), F.lit(0.975)))
-    out = every.groupBy("set", *by).agg(F.max(F.when(~drawn, F.col(value))).alias("point"), q.alias("__q"), (F.lit(replicates) - F.count_if(drawn)).alias("n_skipped"))
-    few = F.raise_error(F.lit("too many replicates with one class only"))
-    return out.select("set", *by, F.when(F.col("n_skipped") <= MAX_SKIPPED * replicates, F.col("point")).otherwise(few).alias("point"), F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi"), "n_skipped")
+    q = F.percentile(F.when(drawn, F.col("value")), F.array(F.lit(0.025), F.lit(0.975)))  # of replicates
+    out = every.groupBy("set", *by).agg(F.max(F.when(~drawn, F.col("value"))).alias("point"), q.alias("__q"), (F.lit(n) - F.count_if(drawn)).alias("n_skipped"))
+    fine = F.col("n_skipped") <= most_skipped * n
+    few = F.raise_error(F.lit("too many replicates with one class only")) if strict else F.lit(None)
+    ends = [F.when(fine, F.col("__q")[k]).otherwise(few).alias(name) for k, name in enumerate(("lo", "hi"))]
+    return out.select("set", *by, "point", *ends, "n_skipped")
 
 
 def paired_difference(values: DataFrame, a: str, b: str) -> DataFrame:
     """Scorer b minus scorer a on the same resamples."""
-    x = values.where(F.col("scorer") == a).select("rep", "set", F.col("auroc").alias("__a"))
-    y = values.where(F.col("scorer") == b).select("rep", "set", F.col("auroc").alias("__b"))
-    return x.join(y, ["rep", "set"]).select("rep", "set", F.lit(f"{b}-{a}").alias("scorer"), (F.col("__b") - F.col("__a")).alias("auroc"))
+    x = values.where(F.col("scorer") == a).select("rep", "set", F.col("value").alias("__a"))
+    y = values.where(F.col("scorer") == b).select("rep", "set", F.col("value").alias("__b"))
+    return x.join(y, ["rep", "set"]).select("rep", "set", F.lit(f"{b}-{a}").alias("scorer"), (F.col("__b") - F.col("__a")).alias("value"))
+
+
+def median_difference(values: DataFrame, reference: str) -> DataFrame:
+    """Per replicate: the median over the other scorers (fits, say) of their mean over sets, less the reference's."""
+    mean = values.groupBy("rep", "scorer").agg(F.avg("value").alias("value"))
+    base = mean.where(F.col("scorer") == reference).select("rep", F.col("value").alias("__base"))
+    rest = mean.where(F.col("scorer") != reference).join(base, "rep")
+    return rest.groupBy("rep").agg(F.median(F.col("value") - F.col("__base")).alias("value")).select("rep", F.lit("mean").alias("set"), F.lit(f"median-{reference}").alias("scorer"), "value")
+
+
+def matched_step_ci(evals: DataFrame, n: int, seed: int, scorers=("score",), metric: str | Metric = "auroc") -> DataFrame:
+    """Cluster-bootstrap intervals of a metric at each step and their mean."""
+    return intervals(replicates(evals, n, seed, metric, scorers=scorers), n)
 
 
-def matched_step_ci(evals: DataFrame, replicates: int, seed: int, scorers=("score",)) -> DataFrame:
-    """Cluster-bootstrap intervals of the matched-step AUROCs and their mean."""
-    return intervals(replicate_aurocs(evals, replicates, seed, scorers=scorers), replicates)
+def headline(evals: DataFrame, n: int, seed: int, a: str, b: str, unit: str = "task_group", sets: str = "t", names=tuple(METRICS)) -> DataFrame:
+    """(metric, set, scorer, point, lo, hi, n_skipped): two scorers and their difference, by each metric."""
+    out = None
+    for name in names:
+        values = replicates(evals, n, seed, name, unit, sets, (a, b))
+        one = intervals(values.unionByName(paired_difference(values, a, b)), n, strict=False).withColumn("metric", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

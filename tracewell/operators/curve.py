@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.thresholds import pooled, thresholds
+from tracewell.functions.scalars import seeded_order
+from tracewell.operators.splits import held_before
+from tracewell.operators.thresholds import pooled, thresholds_of_few
 
 CELL = ["arm", "n", "t", "draw", "rule", "alpha"]
 
@@ -36,7 +38,7 @@ def calibration_curve(maxima: DataFrame, draws: DataFrame, folds: DataFrame, cla
     ``draws`` are (n, t, fold, draw, uid): runs outside the fold that set its threshold.
     """
     cal = maxima.join(draws, ["uid", "t"]).withColumnRenamed("top", "cal")
-    theta = thresholds(cal, ["arm", "n", "t", "fold", "draw"], alphas, "cal")
+    theta = thresholds_of_few(cal, ["arm", "n", "t", "fold", "draw"], alphas, "cal")  # n scores each
     held = maxima.join(folds, "uid")
     healthy = F.col("failure_class").isNull()
     pos = F.coalesce(F.col("failure_class").isin(*classes) & (F.col("tau") <= F.col("t")), F.lit(False))
@@ -90,14 +92,14 @@ def unit_disjoint_split(runs: DataFrame, unit: str, n_fit: int, n_val: int, seed
     A unit that overflows is trimmed and its other runs dropped, as are failed runs of its kind;
     what is in no used unit is test.
     """
-    order = F.xxhash64(F.lit(seed), unit)
     healthy = F.col("failure_class").isNull()
-    sizes = runs.groupBy(unit).agg(F.count_if(healthy).alias("h"))
-    before = F.coalesce(F.sum("h").over(Window.orderBy(order, unit).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("__before", before)
+    sizes = runs.groupBy(unit).agg(F.count_if(healthy).alias("h")).withColumn("__order", seeded_order(seed, unit))
+    sizes = held_before(sizes, "__order", "h", unit)
     part = F.when(F.col("__before") < n_fit, "fit").when(F.col("__before") < n_fit + n_val, "validation").otherwise("test")
     placed = runs.join(sizes.select(unit, part.alias("part"), "__before"), unit)
-    nth = F.row_number().over(Window.partitionBy("part").orderBy(F.when(healthy, 0).otherwise(1), "__before", "uid"))
+    nth = F.col("__before") + F.row_number().over(Window.partitionBy(unit).orderBy(F.when(healthy, 0).otherwise(1), "uid")) - F.when(F.col("part") == "validation", F.col("__start")).otherwise(0)
+    starts = sizes.where(F.col("__before") >= n_fit).agg(F.coalesce(F.min("__before"), F.lit(0)).alias("__start"))
+    placed = placed.crossJoin(F.broadcast(starts))
     size = F.when(F.col("part") == "fit", n_fit).otherwise(n_val)
     role = F.when(F.col("part") == "test", "test").when(healthy & (F.col("__nth") <= size), F.col("part")).otherwise("dropped")
     return placed.withColumn("__nth", nth).select("uid", role.alias("role"))

@@ -9,25 +9,32 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import call_key
 
+#: Share of all ties from which a key is a hub.
+HUB_SHARE = 1 / 500
+
 
 def task_groups(rows: DataFrame, keys: list[str], uid: str = "uid", unknown=None, save=None) -> DataFrame:
     """(uid, task_group): runs that share the value of a key, directly or through others.
 
     Null keys tie nothing. A run without any key is a group of its own, named by ``unknown``. A group
     is named after its least run. ``save`` writes a frame and reads it back, to cut the lineage of the
-    rounds; by default a reliable checkpoint where the session has a folder for it.
+    rounds; by default a reliable checkpoint in the shared folder.
     """
-    spark = rows.sparkSession
     if save is None:
-        has = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-        save = lambda df: df.checkpoint() if has else df.cache()
+        from tracewell.plans.scratch import cut as save
     tied = reduce(DataFrame.unionByName, [rows.where(F.col(k).isNotNull()).select(F.col(uid).alias("u"), F.concat(F.lit(f"{i}:"), k).alias("k")) for i, k in enumerate(keys)])
     tied = save(tied.distinct())
     label = tied.groupBy("u").agg(F.min("u").alias("c"))
+    # Keys of more than a share of all ties, of which there are 1/HUB_SHARE at most, go by broadcast:
+    # so no task gets all runs of a common key.
+    most = max(1000, int(tied.count() * HUB_SHARE))
+    hubs = save(tied.groupBy("k").count().where(F.col("count") > most).select("k"))
+    common, rest = tied.join(F.broadcast(hubs), "k", "left_semi"), tied.join(F.broadcast(hubs), "k", "left_anti")
     while True:
         # The least label of each key, then of each run's keys, then of the run that this label names.
         by_key = tied.join(label, "u").groupBy("k").agg(F.min("c").alias("c"))
-        near = tied.join(by_key, "k").groupBy("u").agg(F.min("c").alias("c"))
+        of_hubs = common.join(F.broadcast(by_key.join(F.broadcast(hubs), "k", "left_semi")), "k")
+        near = of_hubs.unionByName(rest.join(by_key, "k")).groupBy("u").agg(F.min("c").alias("c"))
         jumped = near.alias("a").join(near.alias("b"), F.col("a.c") == F.col("b.u")).select(F.col("a.u").alias("u"), F.least("a.c", "b.c").alias("c"))
         new = save(jumped)
         moved = new.join(label.withColumnRenamed("c", "before"), "u").where("c <> before").limit(1).count()

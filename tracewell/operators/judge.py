@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import canonical_json, forbidden_hits, parse_score
+from tracewell.operators.metrics import running_totals
 from tracewell.sources.episodes import CACHE_KEY, new_responses
 
 
@@ -19,6 +20,8 @@ def render_traces(steps: DataFrame, t: int) -> DataFrame:
     failed = F.when(F.col("tool_error"), " (error)").otherwise("")
     call = F.concat(F.lit("  tool call: "), "tool_name", F.lit("("), F.coalesce(canonical_json(F.col("args")), F.lit("null")), F.lit(")\n  tool result"), failed, F.lit(": "), F.coalesce("result", F.lit("")))
     said = F.concat(F.lit("  model: "), F.coalesce("text", F.lit("")))
+    # The lines of a prompt. Arguments are compact JSON with sorted keys, so scores that
+    # were cached for prompts rendered otherwise don't count for these.
     line = F.concat(F.lit("Step "), (F.col("step_idx") + 1).cast("string"), F.lit(":\n"), F.when(F.col("tool_name").isNotNull(), call).otherwise(said))
     rows = steps.where(F.col("step_idx") <= t).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("step_idx", line.alias("line")))).alias("lines"))
     return rows.select("uid", F.concat_ws("\n", F.transform("lines", lambda x: x["line"])).alias("trace"))
@@ -75,10 +78,14 @@ def call_judge(prompts: DataFrame, client: Callable[[str], dict], tries: int = 3
     return prompts.select(*CACHE_KEY, "prompt").mapInPandas(ask, f"{key}, response struct<text: string, input_tokens: long, output_tokens: long, latency_s: double>")
 
 
-def collect_scores(prompts: DataFrame, cached: DataFrame, client: Callable[[str], dict]) -> DataFrame:
-    """Responses to all prompts, of which only those that the cache lacks are asked for."""
+def collect_scores(prompts: DataFrame, cached: DataFrame, client: Callable[[str], dict], save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Responses to all prompts, of which only those that the cache lacks are asked for.
+
+    Calls may cost money: ``save`` should write the frame once (``scratch.cut``), so that using the
+    scores and adding them to the cache don't ask twice.
+    """
     missing = prompts.join(cached.select(*CACHE_KEY), list(CACHE_KEY), "left_anti")
-    asked = new_responses(cached, call_judge(missing, client))
+    asked = save(new_responses(cached, call_judge(missing, client)))
     return prompts.join(cached.select(*CACHE_KEY, "response").unionByName(asked.select(*CACHE_KEY, "response")), list(CACHE_KEY))
 
 
@@ -93,18 +100,47 @@ def run_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.sum("n_failed").alias("n_failed"), F.sum("n").alias("n"), F.avg((F.col("sd") == 0).cast("int")).alias("same_share"), F.percentile("sd", 0.5).alias("sd_median"))
 
 
-def under_budget(calls: DataFrame, cost: str, cap: float, order: list[str]) -> DataFrame:
-    """The first calls in order whose running cost stays within the cap."""
-    from pyspark.sql import Window
+def spent(calls: DataFrame, price_in: float, price_out: float) -> DataFrame:
+    """What the calls cost, per token in and out."""
+    return calls.agg(F.coalesce(F.sum(F.col("input_tokens") * price_in + F.col("output_tokens") * price_out), F.lit(0.0)).alias("spent"), F.count("*").alias("n"))
+
+
+def under_budget(calls: DataFrame, cost: str, cap: float, order: str) -> DataFrame:
+    """The first calls in the order of a column whose running cost stays within the cap."""
+    counts = calls.groupBy(F.col(order).alias("__o")).agg(F.sum(cost).alias("__c"))
+    total = running_totals(counts.withColumn("__o", F.col("__o").cast("double")), [], "__o", ["__c"])
+    fits = total.where(F.col("__c_below") + F.col("__c") <= cap).select("__o")
+    return calls.join(fits, calls[order].cast("double") == fits["__o"], "left_semi")
+
+
+def label_invariant(prompts: DataFrame, relabelled: DataFrame, keys=("uid", "t")) -> DataFrame:
+    """Prompts that differ when only the labels of their runs do: there should be none."""
+    other = relabelled.select(*keys, F.col("prompt").alias("__other"))
+    return prompts.join(other, list(keys)).where(F.col("prompt") != F.col("__other")).select(*keys)
+
+
+def preflight(prompts: DataFrame, context_tokens: int, chars_per_token: float = 3.0) -> DataFrame:
+    """Per judge and model: prompts, the longest, those that may not fit the context, and those with words that give a label away."""
+    long = F.length("prompt") / chars_per_token > context_tokens
+    hits = F.size(forbidden_hits(F.col("prompt"))) > 0
+    return prompts.groupBy("judge", "model").agg(F.count("*").alias("n"), F.max(F.length("prompt")).alias("longest"), F.count_if(long).alias("n_too_long"), F.count_if(hits).alias("n_leaking"))
+
+
+def truncated(responses: DataFrame, context_tokens: int) -> DataFrame:
+    """Responses whose prompt filled the context, so that its start may have been cut off."""
+    return responses.where(F.col("response.input_tokens") >= context_tokens)
+
 
-    total = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return calls.withColumn("__total", total).where(F.col("__total") <= cap).drop("__total")
+def content_key(template: str, model_digest: str) -> str:
+    """The part of a cache key that changes with the prompt's text and with the model's weights."""
+    return hashlib.sha256(f"{prompt_hash(template)}:{model_digest}".encode()).hexdigest()
 
 
 def missing_scores(evals: DataFrame, scores: DataFrame) -> DataFrame:
     """Pairs without a score. One of a healthy run fails the query; those of failed runs are left out of sets."""
     gone = evals.join(scores.where("score is not null").select("uid", "t"), ["uid", "t"], "left_anti")
-    return gone.where(F.when(F.col("y") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a healthy run has no score"))))
+    # In a projection: a filter would move below the join and meet all runs.
+    return gone.withColumn("uid", F.when(F.col("y") == 1, F.col("uid")).otherwise(F.raise_error(F.lit("a healthy run has no score"))))
 
 
 def worst_case(evals: DataFrame, scores: DataFrame) -> DataFrame:

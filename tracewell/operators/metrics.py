@@ -8,29 +8,43 @@ exact, since the bounds only say how the work is dealt.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Value ranges that a group's distinct scores are dealt to at least, and at most: as many as shuffle partitions in between.
+RANGES, MOST_RANGES = 64, 512
+
+
+def matched(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a with the columns of b for equal keys, null equal to null; without keys, b is one row."""
+    if not keys:
+        return a.crossJoin(F.broadcast(b))
+    other = b.select(*(F.col(k).alias(f"__key_{k}") for k in keys), *(c for c in b.columns if c not in keys))
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys))
+    return a.join(other, on, how).drop(*(f"__key_{k}" for k in keys))
 
 
-def running_totals(counts: DataFrame, by: list[str], x: str, sums: list[str], ranges: int = RANGES) -> DataFrame:
+def running_totals(counts: DataFrame, by: list[str], x: str, sums: list[str], ranges: int | None = None) -> DataFrame:
     """``counts`` (one row per group and distinct x) with ``<c>_below``, the sum of c over smaller x, and
     ``<c>_total`` of the group, for each c of ``sums``."""
+    ranges = ranges or min(MOST_RANGES, max(RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = [k / ranges for k in range(1, ranges)]
     bounds = counts.groupBy(*by).agg(F.percentile_approx(x, cuts, 1000).alias("__bounds"), *(F.sum(c).alias(f"{c}_total") for c in sums))
-    dealt = counts.join(bounds, by) if by else counts.crossJoin(F.broadcast(bounds))  # without groups, bounds are one row
+    dealt = matched(counts, bounds, by)
     dealt = dealt.withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(x)))).drop("__bounds")
     own = Window.partitionBy(*by, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     totals = dealt.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
     bases = totals.select(*by, "__range", *(zero(F.sum(f"__{c}").over(before)).alias(f"__{c}_base") for c in sums))
-    inside = dealt.withColumns({f"__{c}_in": zero(F.sum(c).over(own)) for c in sums}).join(bases, [*by, "__range"])
+    inside = matched(dealt.withColumns({f"__{c}_in": zero(F.sum(c).over(own)) for c in sums}), bases, [*by, "__range"])
     return inside.select(*counts.columns, *((F.col(f"__{c}_in") + F.col(f"__{c}_base")).alias(f"{c}_below") for c in sums), *(f"{c}_total" for c in sums))
 
 
-def running_counts(df: DataFrame, by: list[str], score: str = "score", label: str = "y", ranges: int = RANGES) -> DataFrame:
+def running_counts(df: DataFrame, by: list[str], score: str = "score", label: str = "y", ranges: int | None = None) -> DataFrame:
     """Per distinct score: pos, neg, pos_below, neg_below, and the group's n_pos, n_neg."""
     counts = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
     return running_totals(counts, by, "s", ["pos", "neg"], ranges).withColumnsRenamed({"pos_total": "n_pos", "neg_total": "n_neg"})
@@ -53,6 +67,19 @@ def curve(df: DataFrame, by: list[str], score: str = "score", label: str = "y")
     return c.select(*by, "s", "pos", tp.alias("tp"), fp.alias("fp"), F.try_divide(tp, F.col("n_pos")).alias("tpr"), F.try_divide(fp, F.col("n_neg")).alias("fpr"), (tp / (tp + fp)).alias("precision"), "n_pos", "n_neg")
 
 
+def auprc_of(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Of running counts: precision at each threshold, weighted by the recall it adds; null without positives."""
+    tp, fp = F.col("n_pos") - F.col("pos_below"), F.col("n_neg") - F.col("neg_below")
+    return counts.groupBy(*by).agg(F.sum(F.try_divide(F.col("pos"), F.col("n_pos")) * F.try_divide(tp, tp + fp)).alias("auprc"))
+
+
+def tpr_at_fpr_of(counts: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """Of running counts: the highest true positive rate at a false positive rate of alpha at most; null for one class."""
+    tpr, fpr = F.try_divide(F.col("n_pos") - F.col("pos_below"), F.col("n_pos")), F.try_divide(F.col("n_neg") - F.col("neg_below"), F.col("n_neg"))
+    best = F.coalesce(F.max(F.when(fpr <= F.lit(float(alpha)), tpr)), F.lit(0.0))
+    return counts.groupBy(*by).agg(F.when((F.first("n_pos") > 0) & (F.first("n_neg") > 0), best).alias("tpr_at_fpr"))
+
+
 def auprc(df: DataFrame, by: list[str], score: str = "score", label: str = "y") -> DataFrame:
     """Precision at each threshold, weighted by the recall it adds."""
     c = curve(df, by, score, label)
@@ -86,13 +113,38 @@ def univariate_auroc(wide: DataFrame, features: list[str], by: list[str], label:
     return auroc(filled, ["feature", *by], "score", label)
 
 
-def spearman(df: DataFrame, a: str, b: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Correlation of mid-ranks."""
+def quantiles(df: DataFrame, by: list[str], x: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact linear quantiles per group, a column each, from running counts; nulls are left out.
 
-    def mid(c: str):
-        return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0
+    No task holds all values of a group.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
+    ranked = running_totals(counts, by, "__x", ["__n"])
+    here = lambda rank: (F.col("__n_below") <= rank) & (rank < F.col("__n_below") + F.col("__n"))
+    parts = {}
+    for name, p in probabilities.items():
+        at = (F.col("__n_total") - 1) * F.lit(float(p))
+        parts[name] = F.max(F.when(here(F.floor(at)), F.col("__x"))), F.max(F.when(here(F.ceil(at)), F.col("__x"))), F.first(at - F.floor(at))
+    out = ranked.groupBy(*by).agg(*(c.alias(f"__{k}_{name}") for name, three in parts.items() for k, c in enumerate(three)))
+    between = {n: F.col(f"__0_{n}") + (F.col(f"__1_{n}") - F.col(f"__0_{n}")) * F.col(f"__2_{n}") for n in probabilities}
+    return out.select(*by, *(c.alias(n) for n, c in between.items()))
 
-    return df.withColumns({"__a": mid(a), "__b": mid(b)}).groupBy(*by).agg(F.corr("__a", "__b").alias("spearman"))
+
+def spearman(df: DataFrame, a: str, b: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Correlation of mid-ranks, from counts of distinct pairs; rows with a null are left out."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, x.alias("__a"), y.alias("__b")).agg(F.count("*").alias("__w"))
+
+    def ranked(side: str) -> DataFrame:
+        counts = cells.groupBy(*by, side).agg(F.sum("__w").alias("__n"))
+        return running_totals(counts, by, side, ["__n"]).select(*by, side, (F.col("__n_below") + (F.col("__n") + 1) / 2.0).alias(f"__r{side}"))
+
+    j = matched(matched(cells, ranked("__a"), [*by, "__a"]), ranked("__b"), [*by, "__b"])
+    w, u, v = F.col("__w").cast("double"), F.col("__r__a"), F.col("__r__b")
+    sums = j.groupBy(*by).agg(*(F.sum(c).alias(n) for n, c in {"__n": w, "__u": w * u, "__v": w * v, "__uu": w * u * u, "__vv": w * v * v, "__uv": w * u * v}.items()))
+    cov = F.col("__uv") - F.col("__u") * F.col("__v") / F.col("__n")
+    spread = F.sqrt((F.col("__uu") - F.col("__u") * F.col("__u") / F.col("__n")) * (F.col("__vv") - F.col("__v") * F.col("__v") / F.col("__n")))
+    return sums.select(*by, F.try_divide(cov, spread).alias("spearman"))
 
 
 def per_fold_mean(per_fold: DataFrame, value: str, by: list[str]) -> DataFrame:

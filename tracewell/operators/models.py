@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.scalars import seeded_order
+from tracewell.operators.folds import ranked
 from tracewell.operators.metrics import auroc
 
 
@@ -73,15 +75,16 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, features: list[str], label: s
     return parts
 
 
-def permutation_importance(model: BoostedTrees, rows: DataFrame, k: int = 10, seed: int = 0) -> list[tuple[str, float]]:
-    """The k features whose shuffling lowers the AUROC most."""
-    from pyspark.sql import Window
+def permutation_importance(model, rows: DataFrame, k: int = 10, seed: int = 0) -> list[tuple[str, float]]:
+    """The k features whose shuffling lowers the AUROC most. ``model`` has ``features`` and ``score``.
 
+    Rows are numbered in two seeded orders, share by share, and swap values by number.
+    """
     whole = auroc(model.score(rows), []).first()["auroc"]
-    numbered = rows.withColumn("__n", F.row_number().over(Window.orderBy("uid", "t")))
+    numbered = ranked(rows.withColumn("__order", seeded_order(f"{seed}", "uid", "t")), "__order", ["uid", "t"]).withColumnRenamed("nth", "__n").drop("__order")
     out = []
     for f in model.features:
-        moved = rows.select(F.col(f).alias("__v"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.lit(f), "uid", "t"))).alias("__n"))
+        moved = ranked(rows.select("uid", "t", F.col(f).alias("__v")).withColumn("__order", seeded_order(f"{seed}:{f}", "uid", "t")), "__order", ["uid", "t"]).select("__v", F.col("nth").alias("__n"))
         shuffled = numbered.join(moved, "__n").withColumn(f, F.col("__v")).drop("__n", "__v")
         out.append((f, whole - auroc(model.score(shuffled), []).first()["auroc"]))
     return sorted(out, key=lambda x: -x[1])[:k]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.steps import last3, so_far
+from tracewell.operators.steps import last3, masked_at_onset, so_far, step_features, with_text_hash
 from tracewell.schema import AGGREGATES, FEATURES, TEXT_DIM
 
 
@@ -37,12 +37,12 @@ def prefix_features(rows: DataFrame, checkpoints, text: bool = False) -> DataFra
     return wide.where(F.col("t").isin(*checkpoints))
 
 
+def prefix_table(steps: DataFrame, checkpoints, text: bool = False) -> DataFrame:
+    """Prefix features straight from steps. All frames look back only, so later steps are left out first."""
+    early = steps.where(F.col("step_idx") <= max(checkpoints))
+    return prefix_features(with_text_hash(step_features(early)) if text else step_features(early), checkpoints, text)
+
+
 def masked_prefix_features(rows: DataFrame, columns: list[str], how: str, checkpoints) -> DataFrame:
-    """Prefix features with some step features hidden at the onset; ``rows`` have ``tau``."""
-    from tracewell.operators.steps import in_run, masked_at_onset
-
-    out = masked_at_onset(rows, columns, how)
-    if "is_error" in columns:
-        last = F.max(F.when(F.col("is_error") == 1, F.col("step_idx"))).over(in_run().rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn("steps_since_error", F.col("step_idx") - F.coalesce(last, F.lit(-1)))
-    return prefix_features(out, checkpoints)
+    """Prefix features with some step features hidden at the onset, and at no later step; ``rows`` have ``tau``."""
+    return prefix_features(masked_at_onset(rows, columns, how), checkpoints)

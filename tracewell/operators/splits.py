@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.scalars import seeded_order
 from tracewell.schema import EVAL_ONLY
 
 
@@ -37,21 +38,38 @@ def grouped_kfold(runs: DataFrame, k: int, seed: int, family: str | None = None,
     return own.select("uid", "task_group").join(folds, "task_group").select("uid", "fold")
 
 
-def healthy_subset(runs: DataFrame, n: int, seed: int, without_groups: DataFrame | None = None) -> DataFrame:
-    """n healthy runs, by the order of a seeded hash."""
+def healthy_subset(runs: DataFrame, n: int, seed: int, without_groups: DataFrame | None = None, corpora: list[str] | None = None) -> DataFrame:
+    """n healthy runs in a seeded order, outside of some task groups, of some corpora."""
     pool = runs.where("failure_class is null")
+    if corpora is not None:
+        pool = pool.where(F.col("corpus").isin(*corpora))
     if without_groups is not None:
         pool = pool.join(without_groups, "task_group", "left_anti")
-    return pool.orderBy(F.xxhash64(F.lit(seed), "uid"), "uid").limit(n).select("uid")
+    return pool.orderBy(seeded_order(seed, "uid"), "uid").limit(n).select("uid")
 
 
 def split_by_task_group(runs: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """(uid, part): whole groups go to validation until they hold the fraction of runs."""
-    sizes = runs.groupBy("task_group").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.xxhash64(F.lit(seed), "task_group"), "task_group").rowsBetween(Window.unboundedPreceding, -1)
-    total = runs.count()
-    placed = sizes.withColumn("part", F.when(F.coalesce(F.sum("n").over(order), F.lit(0)) < fraction * total, "validation").otherwise("fit"))
-    return runs.join(placed.select("task_group", "part"), "task_group").select("uid", "part")
+    """(uid, part): whole groups go to validation, in a seeded order, until they hold the fraction of runs.
+
+    Fewer than two groups, or none left for one of the parts, fails the query.
+    """
+    sizes = runs.groupBy("task_group").agg(F.count("*").alias("n")).withColumn("__order", seeded_order(seed, "task_group"))
+    before = held_before(sizes, "__order", "n", "task_group")
+    total = F.broadcast(runs.agg(F.count("*").alias("__total"), F.countDistinct("task_group").alias("__groups")))
+    placed = before.crossJoin(total).withColumn("part", F.when(F.col("__before") < fraction * F.col("__total"), "validation").otherwise("fit"))
+    sides = F.broadcast(placed.agg(F.countDistinct("part").alias("__sides")))
+    few = F.raise_error(F.lit("a split needs a task group on each side"))
+    checked = placed.crossJoin(sides).withColumn("part", F.when(F.col("__sides") == 2, F.col("part")).otherwise(few))
+    return runs.join(checked.select("task_group", "part"), "task_group").select("uid", "part")
+
+
+def held_before(rows: DataFrame, order: str, n: str, tie: str) -> DataFrame:
+    """``rows`` with ``__before``, the sum of ``n`` over the rows that come before in the order of a column of hexadecimal digits."""
+    share = rows.withColumn("__share", F.substring(order, 1, 2))
+    sums = share.groupBy("__share").agg(F.sum(n).alias("__sum"))
+    base = sums.select("__share", F.coalesce(F.sum("__sum").over(Window.orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # 256 rows
+    own = F.coalesce(F.sum(n).over(Window.partitionBy("__share").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return share.withColumn("__own", own).join(F.broadcast(base), "__share").withColumn("__before", F.col("__own") + F.col("__base")).drop("__share", "__own", "__base")
 
 
 def three_way(spark: SparkSession, uids: list[str], seed: int, shares=(0.6, 0.2)) -> DataFrame:

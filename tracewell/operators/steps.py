@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import call_key, changed_chars, hidden_result, log1p_or_null, starts_with_error, step_label
-from tracewell.schema import TEXT_DIM
+from tracewell.schema import FEATURES, TEXT_DIM
 
 def in_run() -> WindowSpec:
     return Window.partitionBy("uid").orderBy("step_idx")
@@ -157,9 +157,21 @@ def cusum(steps: DataFrame, excess: str, out: str = "cusum") -> DataFrame:
 
 
 def masked_at_onset(steps: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """Hide features at the step of the onset: as null, or carried over from the step before."""
+    """Hide features at the step of the onset: as null, or carried over from the step before.
+
+    Only continuous features can be null, as a count over a null is no count. The position is never
+    hidden; steps since the last error go on as the carried error says. An onset at the first step has
+    nothing before it and fails the query; one beyond the run's last step hides nothing.
+    """
     if how not in ("nan", "carry"):
         raise ValueError(f"unknown way to mask: {how}")
-    hidden = lambda c: F.lag(c).over(in_run()) if how == "carry" else F.lit(None)
-    at = F.col("step_idx") == F.col("tau")
-    return steps.withColumns({c: F.when(at, hidden(c)).otherwise(F.col(c)) for c in columns})
+    if how == "nan" and (counts := [c for c in columns if FEATURES.get(c, ("", "continuous"))[1] != "continuous"]):
+        raise ValueError(f"only continuous features can be null, not {counts}")
+    before = lambda c: F.lag(c).over(in_run())
+    first = (F.col("tau") < 1) & (F.col("step_idx") == 0)
+    checked = F.when(first, F.raise_error(F.lit("an onset at the first step can't be masked"))).otherwise(F.col("step_idx") == F.col("tau"))
+    hidden = {c: before(c) if how == "carry" else F.lit(None) for c in columns if c not in ("step_index", "steps_since_error")}
+    if how == "carry" and "steps_since_error" in columns:
+        hidden["steps_since_error"] = F.when(before("is_error") == 1, F.lit(0)).otherwise(before("steps_since_error") + 1)
+    marked = steps.withColumn("__at", checked)
+    return marked.withColumns({c: F.when(F.col("__at"), v).otherwise(F.col(c)) for c, v in hidden.items()}).drop("__at")

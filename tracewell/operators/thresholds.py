@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import conformal_rank
+from tracewell.operators.metrics import matched, quantiles, running_totals
 from tracewell.operators.steps import so_far
 
 
@@ -23,15 +24,19 @@ def _level(alpha: float) -> float:
 def conformal_threshold(cal: DataFrame, by: list[str], alpha: float, score: str = "score") -> DataFrame:
     """The k-th smallest of m scores, k = ceil((m + 1)(1 - alpha)); infinite if k > m."""
     alpha = _level(alpha)
-    w = Window.partitionBy(*by)
-    ranked = _finite(cal, score).withColumns({"__k": F.row_number().over(w.orderBy(score)), "__m": F.count("*").over(w)})
-    theta = F.max(F.when(F.col("__k") == conformal_rank(F.col("__m"), alpha), F.col(score)))
-    return ranked.groupBy(*by).agg(F.coalesce(theta, F.lit(float("inf"))).alias("theta"), F.first("__m").alias("m"))
+    counts = _finite(cal, score).groupBy(*by, F.col(score).cast("double").alias("__s")).agg(F.count("*").alias("__n"))
+    ranked = running_totals(counts, by, "__s", ["__n"])
+    k = conformal_rank(F.col("__n_total"), alpha)
+    theta = F.min(F.when(F.col("__n_below") + F.col("__n") >= k, F.col("__s")))
+    return ranked.groupBy(*by).agg(F.coalesce(theta, F.lit(float("inf"))).alias("theta"), F.first("__n_total").alias("m"))
 
 
 def plugin_threshold(cal: DataFrame, by: list[str], alpha: float, score: str = "score") -> DataFrame:
     """The linear quantile of 1 - alpha."""
-    return _finite(cal, score).groupBy(*by).agg(F.percentile(score, 1.0 - _level(alpha)).alias("theta"), F.count("*").alias("m"))
+    fine = _finite(cal, score)
+    sizes = fine.groupBy(*by).agg(F.count("*").alias("m"))
+    theta = quantiles(fine, by, score, {"theta": 1.0 - _level(alpha)})
+    return matched(theta, sizes, by).select(*by, "theta", "m")
 
 
 def thresholds(cal: DataFrame, by: list[str], alphas=(0.05, 0.10), score: str = "score") -> DataFrame:
@@ -44,6 +49,20 @@ def thresholds(cal: DataFrame, by: list[str], alphas=(0.05, 0.10), score: str =
     return out
 
 
+def thresholds_of_few(cal: DataFrame, by: list[str], alphas=(0.05, 0.10), score: str = "score") -> DataFrame:
+    """``thresholds`` where each group is a draw of a bounded number of scores: one aggregation for all rules and levels."""
+    few = _finite(cal, score).groupBy(*by).agg(F.sort_array(F.collect_list(F.col(score).cast("double"))).alias("__s"))
+    s, m = F.col("__s"), F.size("__s").cast("long")
+    out = []
+    for a in map(_level, alphas):
+        k, at = conformal_rank(m, a), (m - 1) * F.lit(1.0 - a)
+        lo, hi = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+        conformal = F.when(k <= m, F.get(s, (k - 1).cast("int"))).otherwise(float("inf"))
+        for rule, theta in (("conformal", conformal), ("plugin", lo + (hi - lo) * (at - F.floor(at)))):
+            out.append(F.struct(F.lit(rule).alias("rule"), F.lit(a).alias("alpha"), theta.alias("theta")))
+    return few.select(*by, F.explode(F.array(*out)).alias("__t"), m.alias("m")).select(*by, "__t.*", "m")
+
+
 def calibration_scores(steps: DataFrame, t: int, score: str = "score") -> DataFrame:
     """Each run's running maximum at step t; a run whose step t has no score fails the query."""
     top = steps.withColumn("__max", F.max(score).over(so_far())).where(F.col("step_idx") == t)

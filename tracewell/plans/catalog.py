@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars
-from tracewell.operators import audit, bootstrap, curve, groups, judge, labels, metrics, models, monitor, prefix, recalibrate, splits, steps, thresholds
+from tracewell.operators import audit, curve, groups, judge, labels, metrics, models, monitor, prefix, recalibrate, splits, steps, thresholds
 from tracewell.plans import scratch
 from tracewell.schema import HEADLINE_CLASSES
 from tracewell.sources import events
@@ -108,9 +108,20 @@ def r6(c, name: str):
 # Steps, labels and features
 
 
-@on_steps("step_table", "SELECT uid, step_idx, tool_name, args, tool_error, result, CAST(length(result) AS INTEGER) AS result_chars, latency_s, output_tokens FROM steps")
+def episodes_of(runs, rows):
+    """Runs with a list of steps, as a run table has them."""
+    event = F.struct(F.lit(None).cast("string").alias("id"), F.col("tool_name").alias("name"), "args", "result", "result_chars", F.lit(False).alias("result_truncated"), F.col("tool_error").alias("is_error"), F.col("tool_latency_s").alias("latency_s"))
+    step = F.struct("step_idx", "text", "token_logprobs", F.lit(False).alias("logprobs_available"), F.when(F.col("tool_name").isNull(), "synthesis").otherwise("tool_call").alias("action"), "latency_s", "output_tokens", "tool_error", F.lit("task").alias("task"), F.lit("v1").alias("schema"), F.when(F.col("tool_name").isNotNull(), F.array(event)).alias("tool_events"))
+    listed = rows.groupBy("uid").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    steps_ = F.transform("steps", lambda s: s.withField("error", s["tool_error"]).dropFields("step_idx", "tool_error"))
+    return runs.join(listed, "uid").withColumn("steps", steps_)
+
+
+@on_steps("step_table", """SELECT s.uid, step_idx, corpus, family, coalesce(failure_class IS NOT NULL AND step_idx >= tau, false) AS label, tool_name, args, coalesce(tool_error AND tool_name IS NOT NULL, false) AS tool_error, result, CAST(length(result) AS INTEGER) AS result_chars, latency_s, output_tokens,
+    CAST(CASE WHEN tool_name IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_tool_events FROM steps s JOIN runs USING (uid)""")
 def _(runs, rows):
-    return rows.select("uid", F.col("step_idx").cast("long").alias("step_idx"), "tool_name", "args", "tool_error", "result", "result_chars", "latency_s", "output_tokens")
+    out = steps.step_table(episodes_of(runs, rows))
+    return out.select("uid", F.col("step_idx").cast("long").alias("step_idx"), "corpus", "family", "label", "tool_name", "args", "tool_error", "result", "result_chars", "latency_s", "output_tokens", "n_tool_events")
 
 
 @on_steps("run_counts", "SELECT family, failure_class, count(*) AS n, CAST(sum(len) AS BIGINT) AS n_steps, max(len) AS longest FROM runs GROUP BY ALL")
@@ -166,9 +177,9 @@ for _name, _names in {
     "prefix_state": ["tl__steps_since_error__last", "tl__step_index__last"],
 }.items():
 
-    @on_features(_name, _prefix_sql(_names))
-    def _(runs, feats, names=_names):
-        return prefix.prefix_features(feats, range(2, 9)).select("uid", F.col("t").cast("long").alias("t"), *(r6(c, c) for c in names))
+    @query(_name, _prefix_sql(_names), FEATURE_CTES)
+    def _(spark, sf, names=_names):
+        return prefix.prefix_table(events.load(spark, sf)[1], range(2, 9)).select("uid", F.col("t").cast("long").alias("t"), *(r6(c, c) for c in names))
 
 
 @on_features("distinct_tools_per_call", "SELECT * FROM (SELECT uid, step_idx AS t, round(sum(new_tool) OVER w / nullif(CAST(sum(is_tool_call) OVER w AS DOUBLE), 0), 6) AS ratio FROM feat WINDOW w AS (PARTITION BY uid ORDER BY step_idx)) WHERE t IN (2, 3, 4)")
@@ -191,9 +202,9 @@ def _(runs, rows):
     return thresholds.first_alarms(rows, 100.0, "latency_s").select("uid", F.col("first_alarm").cast("long").alias("first_alarm"))
 
 
-@on_features("masked_at_onset", "SELECT f.uid, step_idx, round(CASE WHEN step_idx = tau THEN lag(log_latency) OVER (PARTITION BY f.uid ORDER BY step_idx) ELSE log_latency END, 6) AS log_latency FROM feat f JOIN runs USING (uid)")
+@on_features("masked_at_onset", "SELECT f.uid, step_idx, round(CASE WHEN step_idx = tau THEN lag(log_latency) OVER (PARTITION BY f.uid ORDER BY step_idx) ELSE log_latency END, 6) AS log_latency FROM feat f JOIN runs USING (uid) WHERE coalesce(tau, 1) >= 1")
 def _(runs, feats):
-    out = steps.masked_at_onset(feats.join(runs.select("uid", "tau"), "uid"), ["log_latency"], "carry")
+    out = steps.masked_at_onset(feats.join(runs.where("coalesce(tau, 1) >= 1").select("uid", "tau"), "uid"), ["log_latency"], "carry")
     return out.select("uid", F.col("step_idx").cast("long").alias("step_idx"), r6("log_latency", "log_latency"))
 
 
@@ -549,10 +560,11 @@ def _(spark, sf):
     return _t("events")(spark, sf).select("event_id", scalars.tool_text(s).alias("e")).select("event_id", "e.*")
 
 
-@query("number_extract", "SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(text, '[^0-9]+', ' ', 'g'), '[0-9]+')) AS BIGINT) AS n FROM (SELECT doc_id, regexp_replace(text, '[^0-9 ]', '', 'g') AS text FROM documents)")
+@query("number_extract", """SELECT doc_id, CAST(len(v) AS BIGINT) AS n, round(coalesce(list_sum(list_filter(v, lambda x: x < 1e9)), 0), 2) AS total FROM (SELECT doc_id, list_transform(regexp_extract_all(text,
+    '(?:^|[^\\pL\\pM\\p{Nd}\\p{Pc}.])\\$?\\s*((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\\.[0-9]+)?)', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) AS v FROM documents)""")
 def _(spark, sf):
-    digits = F.regexp_replace("text", "[^0-9 ]", "")
-    return _t("documents")(spark, sf).select("doc_id", F.size(scalars.numbers_in(digits)).cast("long").alias("n"))
+    v = scalars.numbers_in(F.col("text"))
+    return _t("documents")(spark, sf).select("doc_id", F.size(v).cast("long").alias("n"), F.round(F.aggregate(F.filter(v, lambda x: x < 1e9), F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
 @query("strict_label", "SELECT event_id, abs(floor(value) - CAST(regexp_extract(props, '[0-9]+') AS DOUBLE)) <= 0.5 AS label FROM events")
@@ -575,29 +587,18 @@ def _(runs, rows):
 # Beyond SQL
 
 
-@query("text_hash")
+@query("text_hash", """WITH c AS (SELECT conv_id, turn, unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: ((CAST(unicode(substr(text, i, 1)) AS HUGEINT) * 4398046511104
+    + xor(CAST(unicode(substr(text, i + 1, 1)) AS HUGEINT) * 2097152, CAST(unicode(substr(text, i + 2, 1)) AS HUGEINT))) * 11400714819323198485 % 18446744073709551616) // 8589934592 % 32)) AS bucket FROM conversations WHERE length(text) >= 3),
+n AS (SELECT conv_id, turn, bucket, count(*) AS n FROM c GROUP BY ALL) SELECT conv_id, turn, CAST(bucket AS BIGINT) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS value FROM n""")
 def _(spark, sf):
-    return steps.with_text_hash(_t("conversations")(spark, sf).select("conv_id", "turn", "text"))
-
-
-@on_scores("bootstrap_ci")
-def _(runs, evals):
-    return bootstrap.matched_step_ci(evals.withColumn("length", F.col("len").cast("double")), 200, 1, ("score", "length"))
-
-
-@on_steps("calibration_curve")
-def _(runs, rows):
-    fold = (F.substring("task_group", 2, 20).cast("long") % 3).cast("int")
-    folds = runs.select("uid", fold.alias("fold"))
-    maxima = curve.run_maxima(scored(rows).withColumn("arm", F.lit("latency")), runs, (3, 4))
-    pool = maxima.where("failure_class IS NULL").select("uid", "t", fold.alias("own"), F.explode(F.array(*map(F.lit, range(3)))).alias("fold")).where("own <> fold")
-    drawn = pool.withColumn("draw", F.explode(F.array(*map(F.lit, range(10)))))
-    nth = F.row_number().over(Window.partitionBy("t", "fold", "draw").orderBy(F.xxhash64("draw", "uid"), "uid"))
-    draws = drawn.withColumn("k", nth).where("k <= 20").select(F.lit(20).alias("n"), "t", "fold", "draw", "uid")
-    return curve.curve_summary(curve.cells(curve.calibration_curve(maxima, draws, folds, HEADLINE_CLASSES)), (3, 4))
+    hashed = _t("conversations")(spark, sf).dropDuplicates(["conv_id", "turn"]).withColumn("v", steps.text_hash(F.col("text")))
+    return hashed.select("conv_id", "turn", F.posexplode("v").alias("bucket", "value")).where("value > 0").select("conv_id", "turn", F.col("bucket").cast("long").alias("bucket"), r6("value", "value"))
 
 
-@on_steps("unit_disjoint_split")
+@on_steps("unit_disjoint_split", """SELECT uid, CASE WHEN part = 'test' THEN 'test' WHEN failure_class IS NULL AND before + nth <= last THEN part ELSE 'dropped' END AS role FROM
+    (SELECT *, CASE WHEN before < 40 THEN 'fit' WHEN before < 60 THEN 'validation' ELSE 'test' END AS part, CASE WHEN before < 40 THEN 40 ELSE 20 + (SELECT min(before) FROM u WHERE before >= 40) END AS last FROM
+    (WITH u AS (SELECT task_group, coalesce(sum(h) OVER (ORDER BY md5('1:' || task_group), task_group ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT task_group, count(*) FILTER (failure_class IS NULL) AS h FROM runs GROUP BY 1)) SELECT runs.*, before, row_number() OVER (PARTITION BY task_group ORDER BY CASE WHEN failure_class IS NULL THEN 0 ELSE 1 END, uid) AS nth FROM runs JOIN u USING (task_group))
+    , LATERAL (SELECT 1))""".replace("(SELECT min(before) FROM u WHERE before >= 40)", "(SELECT min(b) FROM (SELECT coalesce(sum(h) OVER (ORDER BY md5('1:' || task_group), task_group ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT task_group, count(*) FILTER (failure_class IS NULL) AS h FROM runs GROUP BY 1)) WHERE b >= 40)"))
 def _(runs, rows):
     return curve.unit_disjoint_split(runs, "task_group", 40, 20, 1)
 
@@ -629,12 +630,54 @@ def _(runs, feats):
     return monitor.episode_scores(scores, 5.0)
 
 
-@on_steps("judge_cache")
+_TRACE = "SELECT uid, string_agg('Step ' || CAST(step_idx + 1 AS VARCHAR) || ':' || chr(10) || CASE WHEN tool_name IS NULL THEN '  model: ' || text ELSE '  tool call: ' || tool_name || '(' || replace(args, ' ', '') || ')' || chr(10) || '  tool result' || CASE WHEN tool_error THEN ' (error)' ELSE '' END || ': ' || result END, chr(10) ORDER BY step_idx) AS trace FROM steps WHERE step_idx <= 2 GROUP BY uid"
+
+
+def _prompts(rows):
+    return judge.render_traces(rows, 2).select(F.lit("stub").alias("judge"), F.lit("none").alias("model"), F.lit(judge.prompt_hash("$trace")).alias("prompt_hash"), "uid", F.lit(2).alias("t"), F.lit(0).alias("sample"), judge.prompt("$trace", F.lit(""), F.col("trace")).alias("prompt"))
+
+
+def _answers(rows):
+    """Scores of all prompts; those of runs whose name ends in 1 are in the cache, as 100."""
+    prompts = _prompts(rows)
+    cached = prompts.where(F.col("uid").endswith("1")).drop("prompt").withColumn("response", F.struct(F.lit("100").alias("text"), F.lit(1).cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.lit(0.0).alias("latency_s")))
+    stub = lambda p: {"text": str(len(p) % 101) if len(p) % 7 else "none", "input_tokens": len(p), "output_tokens": 1}
+    return judge.collect_scores(prompts, cached, stub, scratch.cut)
+
+
+_STUB = f"sb AS (SELECT uid, ends_with(uid, '1') AS hit, length(trace) AS n FROM ({_TRACE})), sr AS (SELECT uid, CASE WHEN hit THEN 100 WHEN n % 7 <> 0 THEN n % 101 END AS score, CASE WHEN hit THEN 1 ELSE n END AS tokens FROM sb)"
+
+
+@on_steps("judge_cache", f"SELECT uid, 2 AS t, CAST(score AS DOUBLE) AS score, CAST(score IS NULL AS BIGINT) AS n_failed FROM (WITH {_STUB} SELECT * FROM sr)")
+def _(runs, rows):
+    return judge.mean_scores(_answers(rows)).select("uid", "t", "score", "n_failed")
+
+
+@on_steps("judge_summary", f"SELECT CAST(count(*) FILTER (score IS NULL) AS BIGINT) AS n_failed, count(*) AS n FROM (WITH {_STUB} SELECT * FROM sr)")
+def _(runs, rows):
+    return judge.run_summary(judge.mean_scores(_answers(rows))).select("n_failed", "n")
+
+
+@on_steps("judge_spent", f"SELECT round(sum(tokens * 0.01::DOUBLE + 0.02::DOUBLE), 6) AS spent, count(*) AS n FROM (WITH {_STUB} SELECT * FROM sr)")
+def _(runs, rows):
+    return judge.spent(_answers(rows).select("response.*"), 0.01, 0.02).select(r6("spent", "spent"), "n")
+
+
+@on_steps("judge_preflight", f"SELECT 'stub' AS judge, 'none' AS model, count(*) AS n, CAST(max(length(trace)) AS INTEGER) AS longest, count(*) FILTER (length(trace) > 300) AS n_too_long FROM ({_TRACE})")
+def _(runs, rows):
+    return judge.preflight(_prompts(rows), 100).select("judge", "model", "n", "longest", "n_too_long")
+
+
+@on_steps("label_invariant", "SELECT uid, 2 AS t FROM runs WHERE false")
+def _(runs, rows):
+    flipped = rows.join(runs.select("uid", "failure_class"), "uid").withColumn("failure_class", F.when(F.col("failure_class").isNull(), "looping"))
+    return judge.label_invariant(_prompts(rows), _prompts(flipped))
+
+
+@on_steps("under_budget", "SELECT uid, step_idx FROM steps WHERE step_idx <= (SELECT max(step_idx) FROM (SELECT step_idx, sum(sum(latency_s)) OVER (ORDER BY step_idx) AS total FROM steps GROUP BY step_idx) WHERE total <= (SELECT sum(latency_s) * 0.5::DOUBLE FROM steps))")
 def _(runs, rows):
-    prompts = judge.render_traces(rows, 2).select(F.lit("stub").alias("judge"), F.lit("none").alias("model"), F.lit(judge.prompt_hash("$trace")).alias("prompt_hash"), "uid", F.lit(2).alias("t"), F.lit(0).alias("sample"), judge.prompt("$trace", F.lit(""), F.col("trace")).alias("prompt"))
-    empty = prompts.limit(0).withColumn("response", F.lit(None).cast("struct<text: string, input_tokens: long, output_tokens: long, latency_s: double>"))
-    stub = lambda p: {"text": str(len(p) % 101), "input_tokens": len(p), "output_tokens": 1}
-    return judge.mean_scores(judge.collect_scores(prompts, empty, stub)).select("uid", "t", "score", "n_failed")
+    cap = rows.agg(F.sum("latency_s")).first()[0] * 0.5
+    return judge.under_budget(rows, "latency_s", cap, "step_idx").select("uid", F.col("step_idx").cast("long").alias("step_idx"))
 
 
 @query("streaming_alarm", """SELECT f.uid, f.step_idx, exact_repeat, steps_since_error, round(max(s.latency_s) OVER (PARTITION BY f.uid ORDER BY f.step_idx), 6) AS running_max,
@@ -642,9 +685,14 @@ def _(runs, rows):
 def streaming_alarm(spark, sf):
     _, rows = events.load(spark, sf)
     source, sink = scratch.folder(spark, "steps"), scratch.folder(spark, "alarms")
-    rows.select("uid", "step_idx", "tool_name", "args", "tool_error", "latency_s").repartitionByRange(3, "step_idx").sortWithinPartitions("step_idx").write.parquet(source)
-    stream = online.score_stream(online.replay(spark, source, spark.read.parquet(source).schema, files_per_batch=100), 100.0)
+    keep = scratch.cut(rows.select("uid", "step_idx", "tool_name", "args", "tool_error", "latency_s"))
+    third = [float("-inf"), *keep.approxQuantile("step_idx", [0.34, 0.67], 0.01), float("inf")]
+    for low, high in zip(third, third[1:]):  # a file and a micro-batch each; runs go on from one to the next
+        keep.where((F.col("step_idx") > low) & (F.col("step_idx") <= high)).coalesce(1).write.mode("append").parquet(source)
+    stream = online.score_stream(online.replay(spark, source, keep.schema, files_per_batch=1), 100.0)
     stream.writeStream.format("parquet").option("checkpointLocation", f"{sink}-log").outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
+    scratch.removed(spark, source)
+    scratch.removed(spark, f"{sink}-log")
     return spark.read.parquet(sink).select("uid", "step_idx", "exact_repeat", "steps_since_error", r6("running_max", "running_max"), "first_alarm")
 
 

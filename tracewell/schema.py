@@ -78,8 +78,24 @@ FEATURES = {
 AGGREGATES = {"binary": ("count", "rate", "last3"), "continuous": ("mean", "max", "last", "last3_mean"), "state": ("last",), "vector": ("mean", "last")}
 
 
-def prefix_columns(group: str | None = None) -> list[str]:
-    """Names of the prefix features, of one group (tl, ms, env, text) or of all: 118."""
+def prefix_columns(group: str | None = None, without: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> list[str]:
+    """Names of the prefix features, of one group (tl, ms, env, text) or of all: 118.
+
+    ``without`` and ``only`` name step features, or parts of their names.
+    """
     text = {f"text_hash_{k:02d}": ("text", "vector") for k in range(TEXT_DIM)}
-    out = [f"{g}__{name}__{a}" for name, (g, kind) in (FEATURES | text).items() if group in (None, g) for a in AGGREGATES[kind]]
-    return out + ["tl__distinct_tools_per_call"] * (group in (None, "tl"))
+    named = {n: f for n, f in (FEATURES | text).items() if group in (None, f[0]) and not any(w in n for w in without) and (not only or any(o in n for o in only))}
+    out = [f"{g}__{name}__{a}" for name, (g, kind) in named.items() for a in AGGREGATES[kind]]
+    return out + ["tl__distinct_tools_per_call"] * (group in (None, "tl") and not only)
+
+
+def ablations(group: str = "ms", part: str = "surprisal") -> dict[str, list[str]]:
+    """A group's columns: all, without a part, and the part alone."""
+    return {"all": prefix_columns(group), f"without_{part}": prefix_columns(group, (part,)), f"only_{part}": prefix_columns(group, only=(part,))}
+
+
+def without_channel(channels: dict[str, list[str]], name: str) -> dict[str, list[str]]:
+    """A monitor's channels without one of them."""
+    if name not in channels:
+        raise ValueError(f"no channel {name}")
+    return {k: v for k, v in channels.items() if k != name}

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.functions.scalars import family_of, not_nan, numbers_in, strict_label, tool_text
+from tracewell.functions.scalars import family_of, not_nan, numbers_in, six_digits, strict_label, tool_text
 from tracewell.schema import EPISODE, METADATA, STEP
 
 ORGANIC = ("organic_llama8b", "organic_llama8b_cold")
+GROUP_COUNTS = ("n_healthy", "n_healthy_alarm", "n_pos", "n_pos_alarm", "n_pos_alarm_pre_tau", "n_pos_alarm_post")
 CACHE_KEY = ("judge", "model", "prompt_hash", "uid", "t", "sample")
 
 
@@ -109,13 +113,14 @@ def finite_or_null(df: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    finite_or_null(df).write.mode("overwrite").json(path)
+    """One document per row; what is null, NaN or infinite is written as null, not left out."""
+    finite_or_null(df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Doubles with six significant digits."""
-    short = {f.name: F.format_string("%.6g", F.col(f.name)) for f in df.schema if f.dataType == T.DoubleType()}
-    df.withColumns(short).write.mode("overwrite").option("header", True).csv(path)
+    """Doubles with six significant digits, without zeros at the end; NaN is empty."""
+    short = {f.name: six_digits(F.col(f.name)) for f in df.schema if f.dataType == T.DoubleType()}
+    df.withColumns(short).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -125,3 +130,56 @@ def write_parquet(df: DataFrame, path: str) -> None:
 def numbers_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, number) of every number in a text column."""
     return df.select(key, F.posexplode(numbers_in(F.coalesce(text, F.lit("")))).alias("position", "number"))
+
+
+def read_group_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counts per task group, as ``write_parquet`` leaves them; a missing count column fails the query."""
+    counts = spark.read.parquet(path)
+    missing = [c for c in GROUP_COUNTS if c not in counts.columns]
+    if missing:
+        raise ValueError(f"no columns {missing} in {path}")
+    return counts
+
+
+def read_template(path: str) -> str:
+    """A prompt template; its hash must not depend on how the file was checked out."""
+    with open(path, encoding="utf-8", newline="") as f:
+        return f.read().replace("\r\n", "\n")
+
+
+def read_config(path: str) -> dict:
+    """A configuration in JSON, or in YAML where a parser for that is installed."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if not path.endswith((".yaml", ".yml")):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError(f"{path} needs a YAML parser; write it as JSON instead") from e
+    return yaml.safe_load(text)
+
+
+def flat_metrics(results: DataFrame, run: str) -> DataFrame:
+    """(run, key, value): every numeric column of every row, the others of the row joined as the key's prefix."""
+    numeric = [f.name for f in results.schema if isinstance(f.dataType, T.NumericType)]
+    keys = [c for c in results.columns if c not in numeric]
+    prefix = F.concat_ws(".", *(F.col(c).cast("string") for c in keys))
+    pairs = F.array(*(F.struct(F.concat_ws(".", F.nullif(prefix, F.lit("")), F.lit(c)).alias("key"), F.col(c).cast("double").alias("value")) for c in numeric))
+    return results.select(F.lit(run).alias("run"), F.explode(pairs).alias("p")).select("run", "p.*")
+
+
+def log_metrics(results: DataFrame, run: str, path: str) -> None:
+    """Add a run's metrics to a tracking table."""
+    flat_metrics(results, run).write.mode("append").partitionBy("run").parquet(path)
+
+
+def source_state(folder: str = ".") -> dict:
+    """Commit and cleanliness of a work tree, for results to name what made them; nulls outside of one."""
+
+    def git(*words: str) -> str | None:
+        done = subprocess.run(["git", "-C", folder, *words], capture_output=True, text=True)
+        return done.stdout.strip() if done.returncode == 0 else None
+
+    status = git("status", "--porcelain")
+    return {"commit": git("rev-parse", "HEAD"), "clean": None if status is None else not status}

@@ -16,16 +16,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracewell.functions.scalars import call_key
 
 OUT = "uid string, step_idx long, exact_repeat int, steps_since_error long, score double, running_max double, first_alarm boolean"
-STATE = "last long, last_error long, top double, alarmed boolean, seen string"
+STATE = "last long, last_error long, top double, alarmed boolean, seen array<long>"
 
 
-def score_stream(steps: DataFrame, theta: float, score: str = "latency_s") -> DataFrame:
-    """Streaming or batch ``steps`` with uid, step_idx, tool_name, args, tool_error and a score column."""
+def score_stream(steps: DataFrame, theta: float, score: str = "latency_s", idle: str | None = None) -> DataFrame:
+    """Streaming or batch ``steps`` with uid, step_idx, tool_name, args, tool_error and a score column.
+
+    With ``idle`` (``1 hour``), the state of a run that has had no step for so long is dropped.
+    """
     keyed = steps.select("uid", F.col("step_idx").cast("long").alias("step_idx"), F.xxhash64(call_key(F.col("tool_name"), F.col("args"))).alias("key"), F.col("tool_name").isNotNull().alias("call"), F.coalesce("tool_error", F.lit(False)).alias("failed"), F.col(score).cast("double").alias("score"))
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, last_error, top, alarmed, seen = state.get if state.exists else (-1, -1, None, False, "")
-        known = set(map(int, seen.split())) if seen else set()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, last_error, top, alarmed, seen = state.get if state.exists else (-1, -1, None, False, [])
+        known = set(seen)
         rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.step_idx)
         out = []
         for r in rows:
@@ -42,10 +48,12 @@ def score_stream(steps: DataFrame, theta: float, score: str = "latency_s") -> Da
             first = not alarmed and pd.notna(r.score) and r.score > theta
             alarmed = alarmed or first
             out.append((r.uid, r.step_idx, int(repeat), r.step_idx - last_error, r.score, top, first))
-        state.update((last, last_error, top, alarmed, " ".join(map(str, sorted(known)))))
+        state.update((last, last_error, top, alarmed, sorted(known)))
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["uid", "step_idx", "exact_repeat", "steps_since_error", "score", "running_max", "first_alarm"])
 
-    return keyed.groupBy("uid").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("uid").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def replay(spark, path: str, schema, files_per_batch: int = 1) -> DataFrame:
