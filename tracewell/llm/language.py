@@ -30,7 +30,7 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ from tracewell.llm.words import slices
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
-#: Different texts of each language that the text model is fitted on at most: those of the least hashes.
+#: Different texts of each language that the text model is fitted on, about: those of the least hashes, or all of fewer.
 SAMPLE = 500
 #: Share of the evidence of a text's trigrams that counts; least share of probability for unseen ones.
 TEMPER, UNSEEN = 0.25, 0.02
@@ -49,7 +49,8 @@ DECLARED, COUNTRY = 0.9, 0.7
 PRIOR = 20.0
 #: Hosts that are broadcast at most; beyond that, the share of rows from which a host is hot and still is.
 MOST_HOSTS, HOT = 200_000, 1 / 1000
-_CHUNK = 2 << 20
+#: Bytes of text that are scored together: some fifty times as many are held meanwhile.
+_CHUNK = 1 << 19
 
 # Country suffixes by language.
 COUNTRIES = {"de": ["at", "de", "li"], "en": ["au", "ie", "nz", "uk", "us"], "es": ["ar", "cl", "co", "es", "mx", "pe", "uy", "ve"], "fr": ["fr", "re", "sn"]}
@@ -150,22 +151,13 @@ class TextModel:
 
 
 def fit(docs: DataFrame, text_col: str, declared: Column) -> TextModel:
-    """From at most ``SAMPLE`` different whole texts of each declared language, those of the least hashes."""
+    """From about ``SAMPLE`` different whole texts of each declared language, those of the least hashes, or all of fewer."""
     known = docs.select(declared.alias("language"), quoted(text_col).alias("text")).where(F.col("language").isin(*LANGUAGES) & F.col("text").isNotNull())
     known = known.withColumn("h", F.xxhash64("text"))
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {k: np.zeros(0, np.int64) for k in LANGUAGES}
-        for b in batches:
-            names, h = np.array(b.column("language").to_pylist(), object), b.column("h").to_numpy()
-            for k in best:
-                best[k] = np.unique(np.concatenate((best[k], h[names == k])))[:SAMPLE]
-        for k, v in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), pa.string()), pa.array(v)], names=["language", "h"])
-
-    hashes = map_batches(known.select("language", "h"), least, "language string, h long").distinct()
-    nth = F.row_number().over(Window.partitionBy("language").orderBy("h"))
-    bounds = {r["language"]: r["h"] for r in hashes.withColumn("nth", nth).where(F.col("nth") <= SAMPLE).groupBy("language").agg(F.max("h").alias("h")).collect()}  # one of each language
+    # The least hashes are those below a share of their range, so that no task ranks a language's texts.
+    sizes = {r["language"]: r["n"] for r in known.groupBy("language").agg(F.approx_count_distinct("h").alias("n")).collect()}  # four at most
+    bounds = {k: min(2**63 - 1, int(SAMPLE / max(n, 1) * 2**64) - 2**63) for k, n in sizes.items()}
     chosen = [(F.col("language") == k) & (F.col("h") <= F.lit(h).cast("long")) for k, h in bounds.items()]
     some = known.where(reduce(or_, chosen, F.lit(False))).dropDuplicates(["language", "h"]).select("language", "text").coalesce(4)
 
