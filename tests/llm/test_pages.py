@@ -153,7 +153,10 @@ def test_hosts_paths_and_rules(spark):
     assert urls.filter_urls(df.limit(0), labels).count() == 0
 
 
-def test_bad_branches_are_rejected_and_others_not(spark):
+@pytest.mark.parametrize("sent, hot", [(200_000, 0.001), (0, 0.01), (0, 2.0)])
+def test_bad_branches_are_rejected_and_others_not(spark, monkeypatch, sent, hot):
+    monkeypatch.setattr(urls, "MOST_SENT", sent)
+    monkeypatch.setattr(urls, "HOT", hot)
     rows, labels, i = [], [], 0
     for k in range(400):
         for branch, bad in (("news", 0.02), ("spam", 0.97), ("blog", 0.03)):

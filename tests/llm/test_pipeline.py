@@ -8,7 +8,7 @@ from test_texts import ENGLISH, FRENCH, GERMAN, WORD, brute_decontaminate, brute
 
 import corpus_pipeline
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept int, fp string, declared string, own long, hit string"
 
 
 def made():
@@ -27,6 +27,7 @@ def made():
     long = " ".join(f"w{rng.randrange(300)}" for _ in range(800)) + " " + ENGLISH
     rows += [(70, rows[3][1], "en", None, 5), (71, rows[3][1], None, "src1", None), (72, long, "en", "src0", 1), (73, long + " end", "en", "src0", 1)]
     rows += [(80, None, "en", "src0", None), (81, "", "de", "src0", 0), (82, "12 34 56", "en", "src1", 8), (5, rows[5][1], "fr", "src1", rows[5][4])]
+    rows = [(*r, k, f"x{k}", "de", None, "y") for k, r in enumerate(rows)]  # columns of names that the operators use, too
     return rows, [(1, leak), (2, None), (3, "unrelated text of no more than ten words")]
 
 

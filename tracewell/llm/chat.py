@@ -13,7 +13,9 @@ that is longer than ``PART`` characters is rendered and encoded in parts that en
 marks split the text for the tokenizer, that gives the same tokens, and memory stays bounded.
 
 Cases: null texts and roles are empty; turns of equal number are ordered by role and text; rows
-without a conv_id are one conversation of their own; a turn longer than a part is a part.
+without a conv_id are one conversation of their own; a turn longer than a part is a part, so very long
+texts are encoded whole; repeated rows are repeated turns; an empty table gives no rows; other columns
+are left out.
 """
 
 from __future__ import annotations

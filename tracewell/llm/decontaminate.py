@@ -12,7 +12,9 @@ slices are brought together per text afterwards. The result does not depend on t
 
 Cases: null and empty texts have no words, so nothing is hit; items without words are ignored; an
 item with a null id hits words, but is neither counted nor listed; items that repeat count as often
-as their ids differ; each row of documents, repeated or not, gets its own result row.
+as their ids differ; each row of documents, repeated or not, gets its own result row; very long texts
+are scanned whole; an empty benchmark hits nothing; empty documents give no rows; other columns stay
+where texts are cut or dropped, and are left out of reports.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ path), per child and per node are joined, the last unique on their key, so a hot
 as segments down to the last node with labels to tell apart.
 
 Cases: a null url, or one without ``://``, has an empty host and path; such pages form one template
-of their own; a null page_id has no label; repeated labels of a page count once, as bad if any is.
+of their own; a null page_id has no label; repeated labels of a page count once, as bad if any is;
+very long urls are taken whole; branches of equal shares are not apart; of equally long rules the one
+with the longer host decides; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ DEPTH = 6
 MANY, REPEATS = 8, 4
 #: Standard errors by which a branch differs from its siblings; weight of a prior; share to reject.
 DIFFERENT, PRIOR, REJECT = 2.58, 10.0, 0.6
+#: Blocked urls that are broadcast at most; beyond that, the share of their pages from which one is hot and still is.
+MOST_SENT, HOT = 200_000, 1 / 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -137,9 +141,17 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=tuple(RULES)) -> Data
     )
     leaves = templates(paths)
     rejected = judge(leaves).where(F.col("share") >= REJECT).select("host", "template")
-    blocked = leaves.join(rejected, ["host", "template"], "left_semi").select("host", "path", F.lit("block").alias("method"))
+    blocked = cut(leaves.join(rejected, ["host", "template"], "left_semi").select("host", "path", "n", F.lit("block").alias("method")), small=True)
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    return urls.join(blocked, ["host", "path"], "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "method", F.lit("allow")).alias("verdict"))
+    total = blocked.agg(F.count("*"), F.sum("n")).first()
+    if total[0] <= MOST_SENT:
+        marked = urls.join(F.broadcast(blocked.drop("n")), ["host", "path"], "left")
+    else:
+        # The urls with the most pages, 1/HOT of them at most, go by broadcast: so no task gets all pages of one.
+        hot = urls.join(F.broadcast(blocked.where(F.col("n") >= total[1] * HOT).drop("n")), ["host", "path"], "left")
+        others = hot.where("method IS NULL").drop("method").join(blocked.where(F.col("n") < total[1] * HOT).drop("n"), ["host", "path"], "left")
+        marked = hot.where("method IS NOT NULL").unionByName(others)
+    return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "method", F.lit("allow")).alias("verdict"))
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
