@@ -6,14 +6,27 @@ the largest over channels. Scores are not negative, and those of the first ``WAS
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WASHOUT = 3
-#: Rows that a fit reads at most: healthy runs for calibration are few.
-MOST_FIT = 200_000
+
+
+def whole_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The runs of frames sorted by uid and step; a run may go on from one frame to the next."""
+    held: list[pd.DataFrame] = []
+    for f in frames:
+        for uid, g in f.groupby("uid", sort=False):
+            if held and held[0]["uid"].iloc[0] != uid:
+                yield pd.concat(held)
+                held = []
+            held.append(g)
+    if held:
+        yield pd.concat(held)
 
 
 class Reservoir:
@@ -34,10 +47,14 @@ class Reservoir:
             h = (1 - self.leak) * h + self.leak * np.tanh(self.w @ h + self.win @ np.append(row, 1.0))
         return np.array(out).reshape(len(x), -1)
 
-    def fit(self, runs: list[np.ndarray]) -> None:
-        s = np.concatenate([self.states(x) for x in runs])
-        y = np.concatenate(runs)
-        self.readout = np.linalg.solve(s.T @ s + self.ridge * np.eye(s.shape[1]), s.T @ y)
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """What a run adds to the readout's normal equations: states by states, then states by signal."""
+        s = self.states(x)
+        return np.concatenate(((s.T @ s).ravel(), (s.T @ x).ravel()))
+
+    def solve(self, sums: np.ndarray) -> None:
+        n = len(self.readout)
+        self.readout = np.linalg.solve(sums[: n * n].reshape(n, n) + self.ridge * np.eye(n), sums[n * n :].reshape(n, -1))
 
     def errors(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(((x - self.states(x) @ self.readout) ** 2).mean(1)) if len(x) else np.zeros(0)
@@ -53,24 +70,49 @@ class Monitor:
         return [c for cs in self.channels.values() for c in cs]
 
     def fit(self, healthy: DataFrame) -> "Monitor":
-        """``healthy`` has uid, step_idx and the signal columns, of at most ``MOST_FIT`` rows."""
-        if healthy.count() > MOST_FIT:
-            raise ValueError(f"more than {MOST_FIT} rows to fit on: draw runs first")
-        pdf = healthy.select("uid", "step_idx", *self._columns()).toPandas().sort_values(["uid", "step_idx"])
-        values = pdf[self._columns()].astype(float)
-        self.mean, self.std = values.mean().fillna(0.0), values.std(ddof=0).replace(0, 1.0).fillna(1.0)
-        runs = [self._signal(g) for _, g in pdf.groupby("uid")]
-        self.models, self.scale = {}, {}
+        """``healthy`` has uid, step_idx and the signal columns, of any number of runs.
+
+        Runs are gone through in tasks, which add up the normal equations; only those, of a size that
+        the channels and reservoirs give, come to the driver.
+        """
+        columns, me = self._columns(), self
+        x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+        clean = healthy.select("uid", "step_idx", *(v.alias(c) for c, v in x.items()))
+        stats = clean.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop)))).first()
+        self.mean = pd.Series({c: stats[f"mean_{c}"] or 0.0 for c in columns})
+        self.std = pd.Series({c: stats[f"std_{c}"] or 1.0 for c in columns})
+        placed = clean.repartition("uid").sortWithinPartitions("uid", "step_idx")
+        self.models = {name: [Reservoir(len(cs), self.seed + 97 * k + j) for j in range(self.n)] for k, (name, cs) in enumerate(self.channels.items())}
+
+        def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[tuple[str, int], np.ndarray] = {}
+            for g in whole_runs(frames):
+                for name, part in me._parts(me._signal(g)):
+                    for j, m in enumerate(me.models[name]):
+                        total[name, j] = total.get((name, j), 0) + m.sums(part)
+            for (name, j), v in total.items():
+                yield pd.DataFrame({"name": name, "j": j, "i": np.arange(len(v)), "v": v})
+
+        added = placed.mapInPandas(sums, "name string, j int, i int, v double").groupBy("name", "j", "i").agg(F.sum("v").alias("v")).toPandas()
+        for (name, j), g in added.groupby(["name", "j"]):
+            self.models[name][j].solve(g.sort_values("i")["v"].to_numpy())
+
+        def errors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in whole_runs(frames):
+                for name, part in me._parts(me._signal(g)):
+                    yield pd.DataFrame({"name": name, "e": me._error(name, part)[WASHOUT:]})
+
+        found = placed.mapInPandas(errors, "name string, e double").groupBy("name").agg(F.avg("e").alias("mean"), F.stddev_pop("e").alias("std")).collect()
+        scale = {r["name"]: (r["mean"], r["std"] or 1.0) for r in found}
+        self.scale = {name: scale.get(name, (0.0, 1.0)) for name in self.channels}
+        return self
+
+    def _parts(self, x: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+        """Each channel's columns of a signal."""
         at = 0
-        for k, (name, cs) in enumerate(self.channels.items()):
-            part = [x[:, at : at + len(cs)] for x in runs]
-            self.models[name] = [Reservoir(len(cs), self.seed + 97 * k + j) for j in range(self.n)]
-            for m in self.models[name]:
-                m.fit(part)
-            e = np.concatenate([self._error(name, x)[WASHOUT:] for x in part] + [np.zeros(0)])
-            self.scale[name] = (float(e.mean()) if len(e) else 0.0, float(e.std()) or 1.0 if len(e) else 1.0)
+        for name, cs in self.channels.items():
+            yield name, x[:, at : at + len(cs)]
             at += len(cs)
-        return self
 
     def _signal(self, g: pd.DataFrame) -> np.ndarray:
         return ((g[self._columns()].astype(float) - self.mean) / self.std).fillna(0.0).to_numpy()
@@ -80,17 +122,16 @@ class Monitor:
 
     def streams(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """Each channel's CUSUM of standardised errors."""
-        out, at = {}, 0
-        for name, cs in self.channels.items():
+        out = {}
+        for name, part in self._parts(x):
             mean, std = self.scale[name]
-            z = (self._error(name, x[:, at : at + len(cs)]) - mean) / std - self.drift
+            z = (self._error(name, part) - mean) / std - self.drift
             z[:WASHOUT] = 0
             s, level = np.zeros(len(z)), 0.0
             for k, v in enumerate(z):
                 level = max(0.0, level + v) if k >= WASHOUT else 0.0
                 s[k] = level
             out[name] = s
-            at += len(cs)
         return out
 
     def score(self, steps: DataFrame) -> DataFrame:
