@@ -12,8 +12,9 @@ The log posterior of a language adds up four pieces of evidence:
   share is taken out of both, so that its text doesn't count twice.
 
 The background competes as a language of its own. A model backs off to the language's byte
-frequencies for trigrams that it hasn't seen, at a cost; so a neighbouring language, code, or text
-without any letters is rather background, which is ``und`` and not accepted.
+frequencies for trigrams that it hasn't seen, at a cost, of which each word adds a bounded amount; so
+a neighbouring language, code, or text without any letters is rather background, which is ``und`` and
+not accepted, while single strange words in a text are not held against it.
 
 Cases: null and empty texts are ``und``; a null or unknown declaration, host or url is no evidence;
 very long texts are scored whole, in chunks of bounded memory; ties go to the first language by name;
@@ -43,6 +44,8 @@ UNKNOWN = "und"
 SAMPLE = 500
 #: Share of the evidence of a text's trigrams that counts; least share of probability for unseen ones.
 TEMPER, UNSEEN = 0.25, 0.02
+#: What one word speaks against a language at most: a name, a key or an address may stand in any text.
+STRANGE = -12.0
 #: How often a declaration is right, and the country's language that of its pages.
 DECLARED, COUNTRY = 0.9, 0.7
 #: Weight of a parent's shares in those of a host, in rows.
@@ -58,14 +61,15 @@ COUNTRIES = {"de": ["at", "de", "li"], "en": ["au", "ie", "nz", "uk", "us"], "es
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
-def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the trigrams that hold two letters' bytes or more, and the text of each."""
+def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the trigrams that hold two letters' bytes or more, the text of each, and the word that its last byte is in or follows."""
     joined = _FOLD[np.frombuffer(b"\n" + b"\n\n".join(texts) + b"\n\n", np.uint8)]
     ends = 1 + np.cumsum([len(t) + 2 for t in texts])  # two gaps keep texts out of each other's trigrams
     letter = (joined != 32).view(np.int8)
     at = np.flatnonzero(letter[:-2] + letter[1:-1] + letter[2:] >= 2)
     code = joined[at].astype(np.uint32) << 16 | joined[at + 1].astype(np.uint32) << 8 | joined[at + 2]
-    return code, np.searchsorted(ends, at + 1, side="right")
+    word = np.cumsum(np.diff(letter, prepend=np.int8(0)) == 1)
+    return code, np.searchsorted(ends, at + 1, side="right"), word[at + 2]
 
 
 def _bytes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,15 +140,17 @@ class TextModel:
         """Tempered log likelihood ratios to the background, per text and language."""
         out = [np.zeros((0, len(LANGUAGES)))]
         for a, b in slices(texts, _CHUNK):
-            code, doc = trigrams(texts[a:b])
+            code, doc, word = trigrams(texts[a:b])
             at = self.find(code)
             new = np.flatnonzero(at < 0)
-            known = np.flatnonzero(at >= 0)
             x, y, z = _bytes(code[new])
+            # Trigrams of a word stand together, so their sums are between the places where it begins.
+            begin = np.flatnonzero(np.diff(word, prepend=-1) | np.diff(doc, prepend=-1))
             sums = np.zeros((b - a, len(LANGUAGES)))
-            for k in range(len(LANGUAGES)):
-                sums[:, k] = np.bincount(doc[known], self.seen[at[known], k], b - a)[: b - a]
-                sums[:, k] += np.bincount(doc[new], self.byte[x, k] + self.byte[y, k] + self.byte[z, k] + self.new[k], b - a)[: b - a]
+            for k in range(len(LANGUAGES) if len(begin) else 0):
+                each = self.seen[at, k].astype(np.float64)
+                each[new] = self.byte[x, k] + self.byte[y, k] + self.byte[z, k] + self.new[k]
+                sums[:, k] = np.bincount(doc[begin], np.maximum(np.add.reduceat(each, begin), STRANGE), b - a)[: b - a]
             sums[:, ~self.fitted] = np.minimum(sums.min(1, initial=0.0), 0)[:, None]
             out.append(sums * TEMPER)
         return np.concatenate(out)
