@@ -22,6 +22,7 @@ MOST_SENT = 2_000_000
 MAX_SKIPPED = 0.01
 
 #: A metric of weighted rows with sorted scores: (positives, negatives, number of the distinct score).
+#: Weights may be zero.
 Metric = Callable[[np.ndarray, np.ndarray, np.ndarray], float]
 
 
@@ -125,9 +126,7 @@ def replicates(evals: DataFrame, n: int, seed: int, metric: str | Metric = "auro
             out = []
             for rep in f["id"]:
                 w = weights(n_units, int(rep), seed)
-                for s, scorer, u, pos, neg, v in sent.value:
-                    there = w[u] > 0
-                    out.append((int(rep), s, scorer, kernel((pos * w[u])[there], (neg * w[u])[there], np.unique(v[there], return_inverse=True)[1])))
+                out += [(int(rep), s, scorer, kernel(pos * w[u], neg * w[u], v)) for s, scorer, u, pos, neg, v in sent.value]
             yield pd.DataFrame(out, columns=["rep", "set", "scorer", "value"])
 
     got = reps.mapInPandas(run, "rep int, set string, scorer string, value double")
