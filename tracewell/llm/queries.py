@@ -1,6 +1,6 @@
 """The subpackage's queries, one per operator, and their SQL where SQL can express them."""
 
-from tracewell.llm import chat, covertree, decontaminate, htmltext, language, packing, simhash, substrings, urls, warc
+from tracewell.llm import chat, codes, covertree, decontaminate, htmltext, language, mixing, packing, phrases, simhash, substrings, urls, warc
 
 QUERIES = {
     "op1_covertree": covertree.op1_covertree,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_chat": chat.op9_chat,
     "op10_warc": warc.op10_warc,
+    "op11_mixing": mixing.op11_mixing,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_codes": codes.op13_codes,
 }
 
 SQL = {
@@ -23,4 +26,6 @@ SQL = {
     "op8_urls": urls.OP8_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_phrases": phrases.OP12_SQL,
+    "op13_codes": codes.OP13_SQL,
 }

@@ -165,3 +165,25 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(small(large(e, n), n).coalesce(max(1, min(partitions(edges.sparkSession), n // 20_000))))
         now = mark(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+#: Keys that are broadcast at most; beyond that, the share of all rows from which a key is hot and still is.
+MOST_SENT, HOT = 200_000, 1 / 1000
+
+
+def look_up(rows: DataFrame, keys: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the columns of ``keys``, which has each key of theirs once, null too, and ``n``, its rows.
+
+    Few keys are broadcast. Of more, the hot ones are, ``1 / HOT`` of them at most, so that no task gets all
+    rows of one; the others meet in a shuffle. ``n`` itself is left out.
+    """
+    own = [c for c in keys.columns if c not in (key, n)]
+    side = keys.withColumnsRenamed({key: "_key"})
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    count, total = keys.agg(F.count("*"), F.sum(n)).first()
+    if count <= MOST_SENT:
+        return rows.join(F.broadcast(side.drop(n)), same, "left").select(*rows.columns, *own)
+    hot = F.col(n) >= total * HOT
+    sent = rows.join(F.broadcast(side.where(hot).select("_key", *own, F.lit(True).alias("_hot"))), same, "left")
+    others = sent.where("_hot IS NULL").select(*rows.columns).join(side.where(~hot).drop(n), same, "left")
+    return sent.where("_hot IS NOT NULL").select(*rows.columns, *own).unionAll(others.select(*rows.columns, *own))
