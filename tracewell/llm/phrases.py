@@ -80,7 +80,7 @@ def runs_of_words(w: Words, lang: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """For 1, 2, ... words: at which words such a run starts, and its hash."""
     h, salt = w.hashes(), np.uint64(xxhash.xxh64_intdigest(lang))
     ends = np.cumsum(w.data == 10)
-    open_ = ends[w.end[:-1]] == ends[w.start[1:]]  # the next word is of the same piece
+    open_ = ends[w.end[:-1] - 1] == ends[w.start[1:]]  # the next word is of the same piece
     out = []
     for k in range(1, LONGEST + 1):
         ok = np.ones(max(0, len(h) - k + 1), bool)
