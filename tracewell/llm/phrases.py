@@ -27,7 +27,6 @@ the phrase's bytes; an empty table gives no rows; other columns are left out.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -35,6 +34,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +45,9 @@ from tracewell.llm.words import Words, mix, rolling
 LEAST, TOP, LONGEST, HALF = 10, 2000, 3, 50
 #: Bytes of text of a block, and of a slice whose words are hashed at once, about.
 BLOCK, SLICE = 8 << 20, 2 << 20
-#: Bits of a cell within its range, and of its count; words and phrases of the corpus for each range, about.
-CELL_BITS, COUNT_BITS, RANGE = 24, 8, 1 << 22
+#: Bits of a cell within its range; words and phrases of the corpus for each range, about.
+CELL_BITS, RANGE = 24, 1 << 22
+LOW = (1 << CELL_BITS) - 1
 #: Lower-case, and one mark each for what ends a piece and what ends a word.
 _MARKS = bytes(0x0A if x in b".,;:!?\n\x0b\x0c\r" else 0x20 if x == 9 else x + 32 if 65 <= x <= 90 else x for x in range(256))
 
@@ -90,17 +91,25 @@ def runs_of_words(w: Words, lang: str) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def packed(cells: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """Ascending cells of a range, by their steps, and their counts; byte by byte, since high bytes are mostly zero."""
+    steps = np.diff(cells, prepend=cells.dtype.type(0)).astype("<u4")
+    planes = steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.compress(planes + (b"" if counts is None else counts.astype(np.uint8).tobytes()), 1)
+
+
+def unpacked(data: bytes, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(5 if counted else 4, -1)
+    return np.cumsum(raw[:4].T.copy().view("<u4").ravel(), dtype=np.uint64), raw[4:].ravel()
+
+
 def _sketch(range_bits: int):
     """Batches of (block, lang, text), sorted by block, to (range, block, cells): cells with their counts."""
     shift = np.uint64(64 - CELL_BITS - range_bits)
 
-    def counted(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cell, where = np.unique(np.concatenate(parts), return_inverse=True)
-        return cell, np.minimum(np.bincount(where, np.concatenate(counts)), LEAST).astype(np.uint32)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (block,), rows in runs(batches, ["block"]):
-            cells, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+            cells, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             langs, texts = rows.column("lang").to_pylist(), rows.column("text")
             for lang in dict.fromkeys(langs):
                 own = (texts[k].as_py() for k, x in enumerate(langs) if x == lang)
@@ -109,66 +118,86 @@ def _sketch(range_bits: int):
                         cell, n = np.unique(h >> shift, return_counts=True)
                         cells.append(cell)
                         counts.append(n)
-            cell, n = counted(cells, counts)
-            yield _by_range(block, cell, (cell & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32) << np.uint32(COUNT_BITS) | n)
+            cell, where = np.unique(np.concatenate(cells), return_inverse=True)
+            n = np.minimum(np.bincount(where, np.concatenate(counts)), LEAST)
+            of, low = cell >> np.uint64(CELL_BITS), cell & np.uint64(LOW)
+            kinds, first = np.unique(of, return_index=True)
+            edge = [*first.tolist(), len(of)]
+            data = [packed(low[a:b], n[a:b]) for a, b in zip(edge, edge[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array([block] * len(kinds), pa.int64()), pa.array(data, pa.binary())], names=["range", "block", "cells"])
 
     return run
 
 
-def _by_range(block: int, cell: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
-    of = cell >> np.uint64(CELL_BITS)
-    kinds, first = np.unique(of, return_index=True)
-    edge = [*first.tolist(), len(of)]
-    data = [packed[a:b].tobytes() for a, b in zip(edge, edge[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array([block] * len(kinds), pa.int64()), pa.array(data, pa.binary())], names=["range", "block", "cells"])
-
-
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (range, block, cells), sorted by range: the cells of each block whose sum is ``LEAST`` or more."""
     for (which,), rows in runs(batches, ["range"]):
-        parts = [np.frombuffer(x, np.uint32) for x in rows.column("cells").to_pylist()]
-        every = np.concatenate(parts)
-        cell, where = np.unique(every >> np.uint32(COUNT_BITS), return_inverse=True)
-        hot = np.bincount(where, every & np.uint32((1 << COUNT_BITS) - 1)) >= LEAST
-        edge = np.cumsum([0] + [len(p) for p in parts])
-        stays = [(p >> np.uint32(COUNT_BITS))[hot[where[a:b]]].tobytes() for p, a, b in zip(parts, edge, edge[1:])]
+        parts = [unpacked(x, True) for x in rows.column("cells").to_pylist()]
+        _, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        hot = np.bincount(where, np.concatenate([n for _, n in parts])) >= LEAST
+        edge = np.cumsum([0] + [len(c) for c, _ in parts])
+        stays = [packed(c[hot[where[a:b]]]) for (c, _), a, b in zip(parts, edge, edge[1:])]
         yield pa.RecordBatch.from_arrays([pa.array([which] * len(parts), pa.int64()), rows.column("block").combine_chunks(), pa.array(stays, pa.binary())], names=["range", "block", "cells"])
 
 
 class Candidates:
-    """Texts of one block and language, and their words and phrases that are in frequent cells."""
+    """Texts of one block and language, and their words and phrases that are in frequent cells.
+
+    Words are counted as they are hashed. Of the texts, what the automaton scans is runs of words of which
+    each two neighbours are a candidate: no other words are in any.
+    """
 
-    def __init__(self, lang: str, frequent: np.ndarray, shift: np.uint64):
-        self.lang, self.frequent, self.shift = lang, frequent, shift
-        self.texts, self.phrases, self.seen, self.words = [], [], np.zeros(0, np.uint64), 0
+    def __init__(self, lang: str, frequent: np.ndarray, likely: np.ndarray, shift: np.uint64):
+        self.lang, self.frequent, self.likely, self.shift = lang, frequent, likely, shift
+        self.texts, self.n_words = [], 0
+        self.strings: list[list[str]] = [[] for _ in range(LONGEST)]
+        self.known = [np.zeros(0, np.uint64) for _ in range(LONGEST)]
+        self.counted = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
 
     def add(self, some: list[bytes]) -> None:
         lines = (b" ".join(x.split()) for s in some for x in s.split(b"\n"))
         w = Words([b"\n".join(x for x in lines if x)])
-        self.words += len(w.start)
-        for k, (at, h) in enumerate(runs_of_words(w, self.lang), 1):
-            h, first = np.unique(h, return_index=True)
-            place = np.minimum(np.searchsorted(self.frequent, h >> self.shift), max(len(self.frequent) - 1, 0))
-            ok = (self.frequent[place] == h >> self.shift) if len(self.frequent) else np.zeros(len(h), bool)
-            new = ok & ~np.isin(h, self.seen, assume_unique=True)
-            at = at[first[new]]
-            self.phrases += [w.raw[a:b].decode("latin-1") for a, b in zip(w.start[at].tolist(), w.end[at + k - 1].tolist())]
-            self.seen = np.concatenate([self.seen, h[new]])
-        # Each piece with a space on both sides; a byte is a character.
-        self.texts.append(b" " + w.raw.replace(b"\n", b" \n "))
+        self.n_words += len(w.start)
+        linked = np.zeros(len(w.start) + 1, bool)  # to the word before
+        for k, (at, h) in enumerate(runs_of_words(w, self.lang)):
+            some_ = self.likely[h >> self.shift & np.uint64(LOW)]
+            at, h = at[some_], h[some_]
+            h, first, where, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            ok = self._is_frequent(h >> self.shift)
+            if k == 0:
+                self.counted.append((h[ok], n[ok]))
+            if k == 1:
+                linked[at[ok[where]] + 1] = True
+            new = ok & ~np.isin(h, self.known[k], assume_unique=True)
+            begin = at[first[new]]
+            self.strings[k] += [w.raw[a:b].decode("latin-1") for a, b in zip(w.start[begin].tolist(), w.end[begin + k].tolist())]
+            self.known[k] = np.concatenate([self.known[k], h[new]])
+        joins = np.flatnonzero(linked[1:] & ~linked[:-1]), np.flatnonzero(linked[:-1] & ~linked[1:])
+        held = [w.raw[a:b] for a, b in zip(w.start[joins[0]].tolist(), w.end[joins[1]].tolist())]
+        # Each run with a space on both sides; a byte is a character.
+        self.texts.append((b" " + b" \n ".join(held) + b" ").decode("latin-1"))
+
+    def _is_frequent(self, cells: np.ndarray) -> np.ndarray:
+        if not len(self.frequent):
+            return np.zeros(len(cells), bool)
+        return self.frequent[np.minimum(np.searchsorted(self.frequent, cells), len(self.frequent) - 1)] == cells
 
     def count(self) -> pa.RecordBatch:
         """(lang, phrase, n), and the number of words under an empty phrase."""
-        found: Counter = Counter()
-        if self.phrases:
+        order = np.argsort(self.known[0])
+        h, n = (np.concatenate(x) for x in zip(*self.counted))
+        words = np.bincount(order[np.searchsorted(self.known[0], h, sorter=order)], n, len(order)).astype(np.int64)
+        phrases = [p for of in self.strings[1:] for p in of]
+        found = np.zeros(len(phrases), np.int64)
+        if phrases:
             automaton = ahocorasick.Automaton()
-            for k, p in enumerate(self.phrases):
+            for k, p in enumerate(phrases):
                 automaton.add_word(f" {p} ", k)
             automaton.make_automaton()
             for t in self.texts:
-                found.update(map(itemgetter(1), automaton.iter(t.decode("latin-1"))))
-        phrase = [b"", *(self.phrases[k].encode("latin-1") for k in found)]
-        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(phrase), pa.string()), pa.array(phrase, pa.binary()), pa.array([self.words, *found.values()], pa.int64())], names=["lang", "phrase", "n"])
+                found += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(t)), np.int64), minlength=len(found))
+        phrase = [b"", *(p.encode("latin-1") for p in self.strings[0] + phrases)]
+        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(phrase), pa.string()), pa.array(phrase, pa.binary()), pa.array(np.concatenate([[self.n_words], words, found]), pa.int64())], names=["lang", "phrase", "n"])
 
 
 def _scan(range_bits: int):
@@ -177,6 +206,7 @@ def _scan(range_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, cells, now, some = None, [], None, []
+        frequent, likely = np.zeros(0, np.uint64), np.zeros(1 << CELL_BITS, bool)
 
         def ended():
             if now is not None:
@@ -190,12 +220,15 @@ def _scan(range_bits: int):
                     yield from ended()
                     block, cells, now, some = at, [], None, []
                 if which is not None:
-                    cells.append(np.uint64(which << CELL_BITS) + np.frombuffer(part, np.uint32).astype(np.uint64))
+                    cells.append(np.uint64(which << CELL_BITS) + unpacked(part, False)[0])
                     continue
+                if now is None:
+                    frequent = np.sort(np.concatenate(cells)) if cells else np.zeros(0, np.uint64)
+                    likely[:] = False
+                    likely[frequent & np.uint64(LOW)] = True
                 if now is None or lang != now.lang:
                     yield from ended()
-                    cells = [np.sort(np.concatenate(cells))] if cells else [np.zeros(0, np.uint64)]
-                    now, some = Candidates(lang, cells[0], shift), []
+                    now, some = Candidates(lang, frequent, likely, shift), []
                 some.append(text)
         yield from ended()
 
