@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import cut, look_up, table
+from tracewell.llm.shared import cut, look_up, partitions, table
 
 #: Copies of a document, and multiples of a source, at most; weights in turn.
 MOST, WEIGHTS = 3, (1, 2, 3)
@@ -183,7 +183,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     # Equal rows share their copies; very many go through several rows first, so that no task makes them all.
     chunks = whole.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))))
     if (keys.agg(F.max("n")).first()[0] or 0) > CHUNK:
-        chunks = chunks.repartition()
+        chunks = chunks.repartition(partitions(docs.sparkSession))
     each = chunks.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK, F.col("n")) - 1)))
     copies = F.floor(F.col("copies") / F.col("n")) + (F.col("k") < F.pmod(F.col("copies"), F.col("n"))).cast("long")
     rows = look_up(each.select("source", "doc_id", "size", copies.alias("copies")), sources, "source", "rows")

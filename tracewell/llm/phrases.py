@@ -60,7 +60,8 @@ def pieces(text: bytes, most: int = SLICE) -> Iterator[bytes]:
         end = text.rfind(b"\n", at, at + most) + 1 or text.find(b"\n", at + most) + 1 or len(text)
         yield text[at:end]
         at = end
-    yield text[at:]
+    if at < len(text):
+        yield text[at:]
 
 
 def slices(texts: Iterator[bytes], most: int = SLICE) -> Iterator[list[bytes]]:
