@@ -6,6 +6,8 @@ on any engine and need no list of names on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,3 +190,17 @@ def stratified(runs: DataFrame, stratum: Column, sizes: dict[str, int], seed: in
 def determinism_subset(prompts: DataFrame, n: int, seed: int, key: str = "uid") -> DataFrame:
     """The prompts that are asked again, to see whether a repeat repeats: n in a seeded order."""
     return prompts.orderBy(seeded_order(seed, key), key).limit(n)
+
+
+def fitted_plans(steps: DataFrame, plans: DataFrame, monitors, raw: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(fold, monitor, uid, raw, score) of the eval rows: A and B of each fold fitted on their own part, in one job.
+
+    ``monitors`` has ``fit(steps, members)`` and ``score(steps, pairs)`` over many models. A run's raw score
+    is its highest, unless ``raw`` makes (model, uid, raw) of the steps' scores.
+    """
+    named = plans.select("*", F.concat_ws(":", F.col("fold").cast("string"), "monitor").alias("model"))
+    monitors.fit(steps, named.where("part = 'fit'").select("model", "uid"))
+    found = monitors.score(steps, named.where("part <> 'fit'").select("model", "uid").distinct())
+    top = raw(found) if raw else found.groupBy("model", "uid").agg(F.max("score").alias("raw"))
+    parts = F.split("model", ":")
+    return standardised(top.select(parts[0].cast("int").alias("fold"), parts[1].alias("monitor"), "uid", "raw"), plans)

@@ -624,9 +624,9 @@ def _(runs, feats):
 @on_features("monitor_scores")
 def _(runs, feats):
     feats = scratch.cut(feats)
-    fit = splits.healthy_subset(runs, 20, 1)
-    m = monitor.Monitor({"m": ["log_latency", "log_output_tokens", "is_error"], "x": ["exact_repeat", "steps_since_error"]}, reservoirs=2)
-    scores = m.fit(feats.join(fit, "uid", "left_semi")).score(feats)
+    healthy = feats.join(runs.where("failure_class IS NULL AND family = 'qwen'").select("uid"), "uid", "left_semi")
+    m = monitor.Monitor({"m": ["log_latency", "log_output_tokens", "is_error"], "x": ["exact_repeat", "steps_since_error"]})
+    scores = m.fit(healthy).score(feats)
     return monitor.episode_scores(scores, 5.0)
 
 

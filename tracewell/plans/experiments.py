@@ -62,7 +62,7 @@ def _standardised(runs, rows):
     return folds.standardised(plans.select("fold", "monitor", "uid").join(raw, "uid"), plans)
 
 
-@on_steps("score_plans", f"SELECT * FROM (WITH all_runs AS (SELECT * FROM runs), {_GROUPED}, {_RAW}, vs AS (SELECT fold, monitor, avg(raw) AS m, stddev_pop(raw) AS s FROM pn JOIN rw USING (uid) WHERE part = 'validation' GROUP BY ALL) SELECT fold, monitor, uid, round((raw - m) / s, 6) AS score FROM pn JOIN rw USING (uid) JOIN vs USING (fold, monitor) WHERE part = 'eval')")
+@on_steps("standardised_plans", f"SELECT * FROM (WITH all_runs AS (SELECT * FROM runs), {_GROUPED}, {_RAW}, vs AS (SELECT fold, monitor, avg(raw) AS m, stddev_pop(raw) AS s FROM pn JOIN rw USING (uid) WHERE part = 'validation' GROUP BY ALL) SELECT fold, monitor, uid, round((raw - m) / s, 6) AS score FROM pn JOIN rw USING (uid) JOIN vs USING (fold, monitor) WHERE part = 'eval')")
 def _(runs, rows):
     return _standardised(runs, rows).select("fold", "monitor", "uid", r6("score", "score"))
 
