@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import folds, refits
+from tracewell.operators import boosting, folds, models, refits
 from tracewell.operators.monitor import Lag, Monitor, Monitors, Reservoir
 
 STEPS = "uid string, step_idx int, a double, b double"
@@ -86,3 +86,95 @@ def test_changed_inputs_are_scored_beside_the_runs_as_they_are(spark):
     evals = spark.createDataFrame([(f"{p}{k:02}", 6, int(p == "b"), "looping" if p == "b" else None) for p in "hb" for k in range(4, 8)], "uid string, t int, y int, failure_class string")
     got = {r["variant"]: (r["auroc"], r["drop"]) for r in refits.input_contrast(m, steps, evals, {"flat": {"a": F.lit(0.0)}, "no_b": {"b": F.lit(None).cast("double")}}).collect()}
     assert got["as_is"][0] == 1.0 and got["as_is"][1] == 0.0 and got["flat"][1] > 0.2 and set(got) == {"as_is", "flat", "no_b"}
+
+
+def brute_trees(x, y, w, edges, depth, rate, rounds, l2, least):
+    """Scores of the rows themselves, grown node by node over raw values; and a function for others."""
+    p = (w * y).sum() / w.sum()
+    base = np.log(p / (1 - p))
+    margin, trees = np.full(len(x), base), []
+
+    def value(g, h):
+        return g * g / (h + l2)
+
+    def grow(rows, level, g, h):
+        best = None
+        if level < depth:
+            for f, cut in enumerate(edges):
+                null = np.isnan(x[rows, f])
+                for c in cut:
+                    for nulls_left in (True, False):
+                        left = np.where(null, nulls_left, x[rows, f] <= c)
+                        if min(left.sum(), (~left).sum()) >= least:
+                            a, b = rows[left], rows[~left]
+                            gain = value(g[a].sum(), h[a].sum()) + value(g[b].sum(), h[b].sum()) - value(g[rows].sum(), h[rows].sum())
+                            if gain > 1e-12 and (best is None or gain > best[0] + 1e-9):
+                                best = (gain, f, c, nulls_left, a, b)
+        if best is None:
+            return float(-rate * g[rows].sum() / (h[rows].sum() + l2))
+        _, f, c, nulls_left, a, b = best
+        return f, c, nulls_left, grow(a, level + 1, g, h), grow(b, level + 1, g, h)
+
+    def leaf(t, row):
+        while isinstance(t, tuple):
+            f, c, nulls_left, a, b = t
+            t = a if (nulls_left if np.isnan(row[f]) else row[f] <= c) else b
+        return t
+
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-margin))
+        t = grow(np.arange(len(x)), 0, w * (q - y), w * q * (1 - q))
+        trees.append(t)
+        margin = margin + np.array([leaf(t, r) for r in x])
+    return lambda rows: 1 / (1 + np.exp(-(base + np.array([sum(leaf(t, r) for t in trees) for r in rows]))))
+
+
+def tabled(spark, n=160):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(n, 3)), 1)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(size=n) * 0.5 > 0.6).astype(float)
+    x[rng.random((n, 3)) < 0.15] = np.nan
+    w = rng.choice([0.5, 1.0, 1 / 3], n)
+    rows = [(f"u{k:03}", 2, *(None if np.isnan(v) else float(v) for v in x[k]), None, float(y[k]), float(w[k]), k % 3) for k in range(n)]
+    return x, y, w, spark.createDataFrame(rows, "uid string, t int, a double, b double, c double, empty double, y double, weight double, part int").repartition(3)
+
+
+def test_trees_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "CUT", 3)
+    monkeypatch.setattr(boosting, "ROWS", 50)
+    x, y, w, df = tabled(spark)
+    m = boosting.BoostedTrees(depth=2, rate=0.3, rounds=7, least=5, bins=20).fit(df, ["a", "b", "c", "empty"])
+    assert m.features == ["a", "b", "c"]
+    got = {r["uid"]: r["score"] for r in m.score(df).collect()}
+    want = brute_trees(x, y, w, m.edges, 2, 0.3, 7, 1.0, 5)(x)
+    assert np.allclose([got[f"u{k:03}"] for k in range(len(x))], want)
+
+
+def test_models_of_folds_grow_side_by_side(spark):
+    x, y, w, df = tabled(spark)
+    folds_ = df.select("uid", F.col("part").alias("fold"))
+    how = boosting.BoostedTrees(depth=2, rate=0.3, rounds=3, least=5, bins=12)
+    got = {r["uid"]: r["score"] for r in boosting.out_of_fold_scores(df, folds_, ["a", "b", "c"], how).collect()}
+    for k in range(3):
+        seen = np.arange(len(x)) % 3 != k
+        want = brute_trees(x[seen], y[seen], w[seen], how.edges, 2, 0.3, 3, 1.0, 5)(x[~seen])
+        assert np.allclose([got[f"u{i:03}"] for i in np.flatnonzero(~seen)], want)
+    both = how.fit(df, ["a", "b", "c"], "part", whole=True)
+    alone = boosting.BoostedTrees(depth=2, rate=0.3, rounds=3, least=5, bins=12).fit(df, ["a", "b", "c"])
+    some = df.withColumn("part", F.lit(None).cast("int"))
+    assert np.allclose([r["score"] for r in both.score(some, fold="part").orderBy("uid").collect()], [r["score"] for r in alone.score(df).orderBy("uid").collect()])
+
+
+def test_trees_without_features_or_rows_of_a_class_give_the_base_rate(spark):
+    df = spark.createDataFrame([(f"u{k}", None, float(k % 2), 1.0) for k in range(10)], "uid string, a double, y double, weight double")
+    assert {round(r["score"], 6) for r in boosting.BoostedTrees(rounds=2).fit(df, ["a"]).score(df).collect()} == {0.5}
+    same = df.withColumns({"a": F.lit(1.0), "y": F.lit(1.0)})
+    assert all(r["score"] > 0.99 for r in boosting.BoostedTrees(rounds=2, least=1).fit(same, ["a"]).score(same).collect())
+
+
+def test_shuffling_what_a_model_uses_costs_most(spark):
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(f"u{k}", 3, float(k % 2 + rng.normal() * 0.3), float(rng.normal()), k % 2) for k in range(200)], "uid string, t int, a double, b double, y int")
+    (first, second) = models.permutation_importance(models.Logistic(df, ["a", "b"]), df).collect()
+    assert first["feature"] == "a" and first["drop"] > 0.3 and abs(second["drop"]) < 0.1
+    assert models.permutation_importance(models.Logistic(df, ["a", "b"]), df, k=1).count() == 1

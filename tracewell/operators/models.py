@@ -1,9 +1,9 @@
-"""Models over prefix features: boosted trees, a logistic pipeline, and importances."""
+"""Models over prefix features: a logistic pipeline, and importances of any model."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -14,38 +14,12 @@ from tracewell.operators.folds import ranked
 from tracewell.operators.metrics import auroc
 
 
-def with_indicators(df: DataFrame, features: list[str], missing: float = -1e3) -> tuple[DataFrame, list[str]]:
-    """Features with nulls as a low value, and a column that says where they were."""
-    filled = df.withColumns({f"__f_{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(missing)) for c in features})
-    filled = filled.withColumns({f"__m_{c}": F.col(c).isNull().cast("double") for c in features})
-    return filled, [f"__f_{c}" for c in features] + [f"__m_{c}" for c in features]
-
-
 def usable(df: DataFrame, features: list[str]) -> list[str]:
     """Features that are not null on every row."""
     n = df.agg(*(F.count(c).alias(c) for c in features)).first()
     return [c for c in features if n[c]]
 
 
-class BoostedTrees:
-    """Gradient-boosted trees; rows weigh 1 / rows of their run."""
-
-    def __init__(self, depth: int = 3, rate: float = 0.05, rounds: int = 300, seed: int = 0):
-        self.how = {"maxDepth": depth, "stepSize": rate, "maxIter": rounds, "seed": seed}
-
-    def fit(self, rows: DataFrame, features: list[str]) -> "BoostedTrees":
-        self.features = usable(rows, features)
-        x, columns = with_indicators(rows, self.features)
-        vector = VectorAssembler(inputCols=columns, outputCol="__x")
-        tree = GBTClassifier(featuresCol="__x", labelCol="y", weightCol="weight", **self.how)
-        self.model = Pipeline(stages=[vector, tree]).fit(x)
-        return self
-
-    def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
-        x, _ = with_indicators(rows, self.features)
-        return self.model.transform(x).select(*rows.columns, vector_to_array("probability")[1].alias(out))
-
-
 def logistic_pipeline(rows: DataFrame, features: list[str], label: str = "y"):
     """Median imputation with indicators, scaling, logistic regression."""
     features = usable(rows, features)
@@ -75,16 +49,27 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, features: list[str], label: s
     return parts
 
 
-def permutation_importance(model, rows: DataFrame, k: int = 10, seed: int = 0) -> list[tuple[str, float]]:
-    """The k features whose shuffling lowers the AUROC most. ``model`` has ``features`` and ``score``.
+class Logistic:
+    """The pipeline as a model with ``features`` and ``score``."""
+
+    def __init__(self, rows: DataFrame, features: list[str], label: str = "y"):
+        self.features = usable(rows, features)
+        self.score = logistic_pipeline(rows, self.features, label)
+
+
+def permutation_importance(model, rows: DataFrame, k: int = 10, seed: int = 0) -> DataFrame:
+    """(feature, drop): the k features whose shuffling lowers the AUROC most. ``model`` has ``features`` and ``score``.
 
-    Rows are numbered in two seeded orders, share by share, and swap values by number.
+    Rows are numbered in two seeded orders, share by share, and one feature at a time takes the values of
+    the row with its number; all features are scored in one job.
     """
-    whole = auroc(model.score(rows), []).first()["auroc"]
-    numbered = ranked(rows.withColumn("__order", seeded_order(f"{seed}", "uid", "t")), "__order", ["uid", "t"]).withColumnRenamed("nth", "__n").drop("__order")
-    out = []
-    for f in model.features:
-        moved = ranked(rows.select("uid", "t", F.col(f).alias("__v")).withColumn("__order", seeded_order(f"{seed}:{f}", "uid", "t")), "__order", ["uid", "t"]).select("__v", F.col("nth").alias("__n"))
-        shuffled = numbered.join(moved, "__n").withColumn(f, F.col("__v")).drop("__n", "__v")
-        out.append((f, whole - auroc(model.score(shuffled), []).first()["auroc"]))
-    return sorted(out, key=lambda x: -x[1])[:k]
+    key = ["uid", "t"]
+    one = lambda s: ranked(rows.withColumn("__order", seeded_order(s, *key)), "__order", key).drop("__order")
+    moved = one(f"{seed}:moved").select("nth", *(F.col(f).alias(f"__v_{f}") for f in model.features))
+    both = one(f"{seed}").join(moved, "nth").drop("nth")
+    each = both.withColumn("__feature", F.explode(F.array(F.lit(""), *map(F.lit, model.features))))
+    changed = each.withColumns({f: F.when(F.col("__feature") == f, F.col(f"__v_{f}")).otherwise(F.col(f)) for f in model.features}).drop(*(f"__v_{f}" for f in model.features))
+    found = auroc(model.score(changed), ["__feature"])
+    whole = found.where("__feature = ''").select(F.col("auroc").alias("__whole"))
+    drops = found.where("__feature <> ''").crossJoin(F.broadcast(whole))  # one row
+    return drops.select(F.col("__feature").alias("feature"), (F.col("__whole") - F.col("auroc")).alias("drop")).orderBy(F.desc("drop"), "feature").limit(k)

@@ -603,16 +603,6 @@ def _(runs, rows):
     return curve.unit_disjoint_split(runs, "task_group", 40, 20, 1)
 
 
-@on_features("gbt_score")
-def _(runs, feats):
-    table = scratch.cut(prefix.prefix_features(feats, (2, 3, 4)))
-    rows = labels.training_rows(table, runs.where("family <> 'llama'"), (2, 3, 4))
-    names = [c for c in table.columns if c.startswith(("tl__", "ms__"))]
-    model = models.BoostedTrees(rounds=10).fit(scratch.cut(rows), names)
-    test = table.join(labels.eval_set(runs.where("family = 'llama'"), (2, 3, 4)).select("uid", "t", "y"), ["uid", "t"])
-    return metrics.auroc(model.score(test), ["t"])
-
-
 @on_features("logistic_oof")
 def _(runs, feats):
     table = prefix.prefix_features(feats, (3,)).join(runs.select("uid", "task_group", (F.col("family") == "llama").cast("int").alias("y")), "uid")

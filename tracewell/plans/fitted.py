@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import folds, labels, refits
+from tracewell.operators import boosting, folds, labels, metrics, models, prefix, refits, thresholds
 from tracewell.operators.monitor import Lag, Monitors, Reservoir
 from tracewell.plans import scratch
 from tracewell.plans.catalog import _AUC, _RANKED, on_features, r6
@@ -119,3 +119,43 @@ def _(runs, feats):
     changes = _CHANGES | {"blind_results": {"is_error": F.lit(0), "steps_since_error": F.col("step_idx") + 1}}
     m = reservoirs().fit(rows, _pool(runs).select(F.lit(0).alias("model"), "uid"))
     return refits.input_contrast(m, rows, scratch.cut(_evals(runs)), changes)
+
+
+def _prefixes(runs, feats):
+    """(prefix features, training rows of families other than llama, feature names)."""
+    table = scratch.cut(prefix.prefix_features(feats, (2, 3, 4)))
+    rows = scratch.cut(labels.training_rows(table, runs.where("family <> 'llama'"), (2, 3, 4)))
+    return table, rows, [c for c in table.columns if c.startswith(("tl__", "ms__"))]
+
+
+@on_features("gbt_score")
+def _(runs, feats):
+    table, rows, names = _prefixes(runs, feats)
+    test = table.join(_tested(runs), ["uid", "t"])
+    return metrics.auroc(boosting.BoostedTrees().fit(rows, names).score(test), ["t"])
+
+
+def _tested(runs):
+    return labels.eval_set(runs.where("family = 'llama'"), (2, 3, 4)).select("uid", "t", "y")
+
+
+@on_features("source_thresholds")
+def _(runs, feats):
+    """Thresholds without any target run, from scores of source runs by trees that never saw their task groups, and the target's rates under them."""
+    table, rows, names = _prefixes(runs, feats)
+    dealt = folds.dealt_folds(runs.where("family <> 'llama'"), 3, 1)
+    placed = scratch.cut(rows.join(dealt, "uid"))
+    model = boosting.BoostedTrees().fit(placed, names, "fold", whole=True)
+    theta = thresholds.thresholds(scratch.cut(model.score(placed, fold="fold").where("y = 0").select("t", "score")), ["t"], (0.1,))
+    target = model.score(table.join(_tested(runs), ["uid", "t"]).withColumn("fold", F.lit(None).cast("int")), fold="fold")
+    alarms = target.select("t", "y", "score").join(theta, "t")
+    above = F.col("score") > F.col("theta")
+    return alarms.groupBy("t", "rule", "alpha", "theta", "m").agg(F.avg(F.when(F.col("y") == 0, above.cast("int"))).alias("fa"), F.avg(F.when(F.col("y") == 1, above.cast("int"))).alias("tpr"))
+
+
+@on_features("importances")
+def _(runs, feats):
+    """The ten features of a logistic model whose shuffling lowers the AUROC on the target most."""
+    table, rows, names = _prefixes(runs, feats)
+    test = scratch.cut(table.join(_tested(runs), ["uid", "t"]))
+    return models.permutation_importance(models.Logistic(rows, names), test)
