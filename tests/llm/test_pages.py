@@ -75,6 +75,43 @@ def held_out(rng):
     return html, "\n".join([title, *want])
 
 
+def running(n, word="wort"):
+    return " ".join(f"{word}{k}" for k in range(n))
+
+
+@pytest.mark.parametrize(
+    "inner, stays",
+    [
+        ("<div class='legal-news'><p>{long} MARK</p></div>", True),
+        ("<section class='search-engine-history'><h2>History</h2><p>{long} MARK</p></section>", True),
+        ("<section id='discussion'><h2>Discussion</h2><p>{long} MARK</p></section>", True),
+        ("<h2>Discussion</h2><p>{long} a</p><h2>Conclusion</h2><p>{long} MARK</p>", True),
+        ("<section><h2>Comments on method</h2><p>{long} MARK</p></section>", True),
+        ("<h2>Diskussion</h2><div><p>Eva, vor 3 Tagen</p><p>{short} MARK</p></div><div><p>Jan, vor 2 Tagen</p><p>{short}</p></div>", False),
+        ("<h2>Replies</h2><p>{long} MARK</p><form><p>{short}</p></form>", False),
+        ("<section id='comments'><p>{long} MARK</p></section>", False),
+        ("<section><h2>3 Comments</h2><p>{long} MARK</p></section>", False),
+        ("<div class='cookie-notice'><p>{long} MARK</p></div>", False),
+        ("<div class='advert'><p>{long} MARK</p></div>", False),
+        ("<div class='related-posts'><a>{long} MARK</a></div>", False),
+    ],
+)
+@pytest.mark.parametrize("page", ["<nav><a>Home</a></nav><article><h1>Its title</h1><p>{first}</p>{inner}</article><footer>fine print</footer>", "<main><h1>Its title</h1><p>{first}</p>{inner}</main>"])
+def test_hints_give_way_to_running_text(page, inner, stays):
+    html = page.format(first=running(60, "x"), inner=inner.format(long=running(50), short=running(6)))
+    text = htmltext.main_text(html)
+    assert ("MARK" in text) == stays and running(60, "x") in text and "fine print" not in text
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    for html in ("<div>" * 50_000 + "x" + "</p>" * 50_000 + "</section>" * 50_000, "<svg>x" * 50_000 + "<title>" * 50_000, "<h2>Discussion</h2>" * 20_000, "<p><h3>Comments</h3>" * 20_000):
+        began = time.process_time()
+        htmltext.Page(html)
+        assert time.process_time() - began < 5
+
+
 def test_the_classifier_on_held_out_pages():
     rng = random.Random(2)
     pages = [held_out(rng) for _ in range(400)]

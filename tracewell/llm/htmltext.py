@@ -12,12 +12,17 @@ it is a heading, and three marks of what encloses it:
   the readers' comments. A hint holds for what it names, not for a layout that has such a part: words
   after ``has`` or ``with`` don't count, nor does the hint of an element that holds the article or,
   with the page's first heading, most of its unlinked words. The same goes for a form round a page.
+  Names that say more than furniture (``legal-news``) give way to running text: enough unlinked words
+  in long blocks. A word that readers' comments share with articles (``discussion``) needs support: a
+  form, a time, a short line that asks for a reply or says when; a heading must say nothing else, and
+  what it opens ends at the next heading of its level.
 
 A decision tree, trained here on the blocks of the small labelled pages ``LABELLED``, says which
 blocks are main text.
 
 Markup is read leniently: scripts, styles, comments and the head are passed over; closing tags
-without an opening one are ignored, and an element that is never closed ends with its parent.
+without an opening one are ignored, and an element that is never closed ends with its parent. Reading
+takes time in proportion to the page, whatever tags are left open or closed too often.
 
 Cases: null and empty html, and pages without main text, give an empty text; blocks of one word
 count like any other; very long pages are taken whole, in time that grows with their length; nothing
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,6 +55,9 @@ _FORM = frozenset("form fieldset".split())
 _ARTICLE = frozenset("article main".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _COMMENTS = tuple("comment komment coment leserbrief disqus discussion diskussion discusion replies antworten respuestas".split())
+_SHARED = tuple("discussion diskussion discusion replies antworten respuestas".split())  # with articles
+_BESIDE = frozenset("a add all an and box block bottom container der die ein el eine einen footer inner item items join la las le leave left les link links list los main no of one outer post right section small text the title top un una und view wrapper write y your et".split())
+_REPLY = re.compile(r"\b(?:reply|antworten|responder|répondre|posted|ago)\b|\bvor \d|\bhace \d|\bil y a\b|\b\d{1,2}[./:-]\d{2}\b", re.I)
 _HEADER = tuple("header kopfzeile masthead".split())
 _TITLE = frozenset("article beitrag content entry page post section story".split())
 _NAMES = tuple(
@@ -93,6 +102,8 @@ LABELLED = """
 
 <main><p>+{8}</p><p>+{60} <a>{1}</a></p><p>+{12}</p></main>
 
+<article><h1>+{5}</h1><p>+{70}</p><div class="related-posts"><a>{6}</a></div><p>+{20}</p><div class=related><p><a>{12}</a></p><p><a>{50}</a></p></div></article>
+
 <article><p>+{5}</p></article>
 
 <h1>+{4}</h1><p>+{15}</p><p>+{40}</p><p>+{70} <a>{1}</a></p>
@@ -121,19 +132,39 @@ LABELLED = """
 """
 
 
-def _said(names: str) -> tuple[bool, bool, bool]:
-    """Whether classes or an id name a header, page furniture, and readers' comments."""
-    header = furniture = comments = False
+#: Words of running text at least, of a block of it on average, and its share of links at most.
+RUNNING, LONG, LINKED = 30, 12, 0.3
+
+
+def _said(names: str) -> tuple[bool, int, int]:
+    """Whether classes or an id name a header; furniture and readers' comments: 2, or 1 if they may name something else."""
+    header, furniture, comments = False, 0, 0
     for name in names.split():
         parts = [p.lower() for p in _PART.findall(name)]
+        named = other = 0
         for k, part in enumerate(parts):
             before = parts[k - 1] if k else ""
             if before in _LAYOUT:
                 continue
             header |= part.startswith(_HEADER) and before not in _TITLE
-            comments |= part.startswith(_COMMENTS)
-            furniture |= part in _WORDS or part.startswith(_NAMES)
-    return header, furniture or comments, comments
+            if part.startswith(_COMMENTS):
+                comments = max(comments, 1 if part.startswith(_SHARED) else 2)
+            elif part in _WORDS or part.startswith(_NAMES):
+                named += 1
+            elif len(part) > 1 and part not in _BESIDE and part not in _LAYOUT:
+                other += 1
+        if named:
+            furniture = max(furniture, 1 if other and named < 2 else 2)
+    return header, furniture, comments
+
+
+def _opens_comments(heading: str) -> int:
+    """2 if a heading says readers' comments and nothing else, 1 if it may be an article's own, else 0."""
+    words = [w.lower() for w in _PART.findall(heading)]
+    said = [w for w in words if w.startswith(_COMMENTS)]
+    if not said or any(w not in said and w not in _BESIDE for w in words):
+        return 0
+    return 1 if all(w.startswith(_SHARED) for w in said) else 2
 
 
 class Page:
@@ -144,8 +175,9 @@ class Page:
         self.counts: list[tuple[int, int]] = []
         self.at: list[int] = []  # the element of each block
         self.heads: list[bool] = []
-        # Elements in the order they open: parent, whether an article, role, form, header, hint, comments.
-        self.elements: list[tuple[int, bool, bool, bool, bool, bool, bool]] = [(0, *[False] * 6)]
+        # Elements in the order they open: parent, whether an article, role, form, header; hint and comments, 0 to 2.
+        self.elements: list[tuple[int, bool, bool, bool, bool, int, int]] = [(0, *[False] * 4, 0, 0)]
+        self.support: set[int] = set()  # elements with something that readers' comments have
         self.tops: set[int] = set()  # elements of the first heading
         self.read(page)
 
@@ -153,37 +185,53 @@ class Page:
         stack: list[tuple[str, int]] = []
         parts: list[str] = []
         links, in_link, at = 0, False, 0
-        comments_from: list[int] = []  # elements in which a heading has opened the comments
+        opened: Counter = Counter()  # names on the stack
+        endless: set[str] = set()  # names whose end has been looked for in vain
+        shared: dict[int, tuple[int, int]] = {}  # what a heading opened that may be an article's: its level, and the element it is in
 
         def here() -> int:
             return stack[-1][1] if stack else 0
 
-        def open_element(name: str, mark: tuple[bool, bool, bool, bool, bool, bool]) -> None:
+        def open_element(name: str, mark: tuple[bool, bool, bool, bool, int, int]) -> None:
             self.elements.append((here(), *mark))
             stack.append((name, len(self.elements) - 1))
+            opened[name] += 1
+            if name in _FORM or mark[-1] == 2:
+                self.support.add(len(self.elements) - 1)
 
         def close() -> None:
             nonlocal parts, links
             text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
             if text:
                 n = len(text.split())
-                head = any(name in _HEADING for name, _ in stack[-2:])
+                level = next((name for name, _ in reversed(stack[-2:]) if name in _HEADING), "")
+                head = bool(level)
+                outer = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in _HEADING), -1) if head else -1
+                if outer >= 0 and (ended := shared.get(stack[outer][1])) and int(level[1]) <= ended[0]:
+                    stack[outer] = (stack[outer][0], ended[1])
+                    for k in range(outer + 1, len(stack)):  # the heading is no part of it
+                        self.elements[stack[k][1]] = (ended[1], *self.elements[stack[k][1]][1:])
                 self.texts.append(text)
                 self.counts.append((n, min(links, n)))
                 self.heads.append(head)
                 self.at.append(here())
                 if head and not self.tops:
                     self.tops.add(here())
-                if head and n <= 6 and any(w.lower().startswith(_COMMENTS) for w in _PART.findall(text)):
+                if not head and n <= 8 and _REPLY.search(text):
+                    self.support.add(here())
+                if head and n <= 6 and (kind := _opens_comments(text)):
                     # What follows in the heading's parent is the readers'.
-                    outer = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in _HEADING), -1)
                     element = stack[outer][1] if outer >= 0 else 0
-                    self.elements.append((element, False, False, False, False, True, True))
-                    self.at[-1] = len(self.elements) - 1
+                    self.elements.append((element, False, False, False, False, 0, kind))
+                    new = len(self.elements) - 1
+                    self.at[-1] = new
+                    if kind == 1:
+                        shared[new] = int(level[1]), element
                     if outer >= 0:
-                        stack[outer] = (stack[outer][0], len(self.elements) - 1)
+                        stack[outer] = (stack[outer][0], new)
                     else:
-                        stack.insert(0, ("", len(self.elements) - 1))
+                        stack.insert(0, ("", new))
+                        opened[""] += 1
             parts, links = [], 0
 
         def add(text: str) -> None:
@@ -203,33 +251,37 @@ class Page:
             if not name or mark in ("!", "?"):
                 continue
             if name in _PASSED_OVER:
-                if mark != "/" and not m[3].rstrip().endswith("/"):
+                if mark != "/" and name not in endless and not m[3].rstrip().endswith("/"):
                     end = _END[name].search(page, at)
                     if end:
                         at = end.end()
                     elif name in ("script", "style"):
                         at = len(page)
+                    else:
+                        endless.add(name)
                 continue
             if name in _INLINE:
                 if name == "a":
                     in_link = mark != "/"
+                elif name == "time":
+                    self.support.add(here())
                 continue
             close()
             if name in _VOID:
                 continue
             if mark == "/":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while opened[name]:  # what stands above it ends with it
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
                         break
                 in_link = False
             else:
-                if name == "p" and stack and stack[-1][0] == "p":
-                    stack.pop()
-                elif name == "li" and stack and stack[-1][0] == "li":
+                if name in ("p", "li") and stack and stack[-1][0] == name:
                     stack.pop()
+                    opened[name] -= 1
                 found = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in _ATTRIBUTE.finditer(m[3])} if "=" in m[3] or "hidden" in m[3] else {}
-                header, furniture, comments = _said(f"{found.get('class', '')} {found.get('id', '')}") if name not in ("html", "body") else (False, False, False)
+                header, furniture, comments = _said(f"{found.get('class', '')} {found.get('id', '')}") if name not in ("html", "body") else (False, 0, 0)
                 hidden = "hidden" in found or re.search(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", found.get("style", ""), re.I) is not None
                 role = name in _ROLE or hidden or found.get("role", "").lower() in _ROLES
                 open_element(name, (name in _ARTICLE or found.get("role", "").lower() in _ARTICLE, role, name in _FORM, name == "header" or header, furniture, comments))
@@ -240,16 +292,24 @@ class Page:
         """(place, role, hint) of each block."""
         n = len(self.elements)
         plain, holds, first = [0] * n, [e[1] for e in self.elements], [k in self.tops for k in range(n)]
-        for k, (words, links) in zip(self.at, self.counts):
-            plain[k] += words - links
+        words, blocks, support = [0] * n, [0] * n, [k in self.support for k in range(n)]
+        for k, (count, links) in zip(self.at, self.counts):
+            plain[k] += count - links
+            words[k] += count
+            blocks[k] += 1
         for k in range(n - 1, 0, -1):  # parents open before their children
             up = self.elements[k][0]
-            plain[up] += plain[k]
+            for sums in (plain, words, blocks):
+                sums[up] += sums[k]
             holds[up] |= holds[k]
             first[up] |= first[k]
+            support[up] |= support[k]
         place, role, hint = [0] * n, [False] * n, [False] * n
         for k in range(1, n):
-            up, article, is_role, is_form, is_header, is_hint, is_comments = self.elements[k]
+            up, article, is_role, is_form, is_header, furniture, comments = self.elements[k]
+            running = plain[k] >= RUNNING and words[k] >= LONG * blocks[k] and words[k] - plain[k] <= LINKED * words[k]
+            is_comments = comments == 2 or comments == 1 and support[k]
+            is_hint = furniture == 2 or furniture == 1 and not running or is_comments
             most = 2 * plain[k] >= plain[0]
             page = holds[k] and not article or (most and (first[k] or not self.tops) and not is_comments)
             place[k] = 1 if article and not role[up] and not hint[up] else place[up]
