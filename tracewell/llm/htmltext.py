@@ -102,7 +102,17 @@ LABELLED = """
 
 <main><p>+{8}</p><p>+{60} <a>{1}</a></p><p>+{12}</p></main>
 
-<article><h1>+{5}</h1><p>+{70}</p><div class="related-posts"><a>{6}</a></div><p>+{20}</p><div class=related><p><a>{12}</a></p><p><a>{50}</a></p></div></article>
+<article><h1>+{3}</h1><p>+{30}</p><p>+<a>{25}</a></p><p>+{30}</p><p>+<a>{50}</a></p></article>
+
+<article><h1>+{3}</h1><p>+{30}</p><div class="related-posts"><a>{25}</a></div><p>+{30}</p><div class="related"><a>{50}</a></div></article>
+
+<main><h1>+{3}</h1><p>+{60}</p><p>+<a>{50}</a></p></main>
+
+<main><h1>+{3}</h1><p>+{60}</p><div class="promo"><a>{50}</a></div></main>
+
+<main><h1>+{3}</h1><p>+{80}</p><p>+<a>{7}</a></p></main>
+
+<main><h1>+{3}</h1><p>+{80}</p><div class="promo-links"><a>{7}</a></div></main>
 
 <article><p>+{5}</p></article>
 
