@@ -232,6 +232,35 @@ def test_branches_that_part_below_many_segments_are_told_apart(spark):
     assert {(r["page_id"] % 2, r["verdict"]) for r in urls.filter_urls(pages, labels).collect()} == {(0, "allow"), (1, "block")}
 
 
+def test_verdicts_of_the_method_equal_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng, rows, labels = random.Random(8), [], []
+    for i in range(1500):
+        host = rng.choice(["a.net", "B.net", "c.info"])
+        branch, bad = rng.choice([("news", 0.05), ("casino", 0.95), ("blog", 0.1), ("x/y", 0.5)])
+        path = f"/{branch}/{rng.choice([rng.randrange(90), f'{rng.randrange(9)}.html', 'deadbeef0123-4567', 'same'])}"
+        if branch == "x/y":  # told apart below the usual depth
+            good = rng.random() < 0.5
+            path, bad = f"/x/y/{'s/' * 5}{'good' if good else 'evil'}/{rng.randrange(50)}", 0.02 if good else 0.98
+        rows.append((i, f"http://{host}{path}{rng.choice(['', '?q', '#f'])}"))
+        if i % 4:
+            evil = rng.random() < bad
+            labels.append((i, int(not evil) if rng.random() < 0.5 else 1, int(evil)))
+    rows += [(3000, None), (3001, "nothing"), (3002, "http://www.example.org/es/1"), (None, "http://a.net/casino/1")]
+    labels += [(3, None, None), (None, 0, 1)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = urls.op8_urls(spark, str(tmp_path)).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urls.OP8_SQL})").fetchall(), key=key)
+    blocked = {r["path"].split("/")[1] + ("/evil" if "evil" in r["path"] else "") for r in got if r["rule"] is None and r["verdict"] == "block"}
+    assert blocked == {"casino", "x/evil"}
+
+
 def payloads():
     rng = random.Random(7)
     big = "".join(chr(rng.randrange(32, 0x2FF)) for _ in range(300_000))

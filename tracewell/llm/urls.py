@@ -42,9 +42,8 @@ RULES = [
 ]
 #: Segments that are looked at in any case.
 DEPTH = 6
-#: Of the SQL alone, which also makes all children of a node one wildcard from so many on, if fewer
-#: than so many pages share each; no verdict on the test tables depends on it.
-MANY, REPEATS = 8, 4
+#: Segments that the SQL follows; the operator goes on as long as there are labels to tell apart.
+SQL_DEPTH = 10
 #: Standard errors by which a branch differs from its siblings; weight of a prior; share to reject.
 DIFFERENT, PRIOR, REJECT = 2.58, 10.0, 0.6
 #: Blocked urls that are broadcast at most; beyond that, the share of their pages from which one is hot and still is.
@@ -169,23 +168,25 @@ def _sql() -> str:
         "h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM r)",
         f"u AS (SELECT page_id, translate(raw, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)",
         "lb AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id)",
-        "p0 AS (SELECT host, path, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, '' AS template FROM u LEFT JOIN lb USING (page_id) GROUP BY host, path)",
+        "p0 AS (SELECT host, path, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, '' AS template, false AS tail FROM u LEFT JOIN lb USING (page_id) GROUP BY host, path)",
     ]
-    for d in range(DEPTH):
+    for d in range(SQL_DEPTH):
         s = f"seg[{d + 1}]"
+        mixed = f"SEMI JOIN (SELECT host, template FROM p{d} WHERE len(seg) > {d} AND NOT tail GROUP BY ALL HAVING sum(bad) > 0 AND sum(bad) < sum(labelled)) USING (host, template)" if d >= DEPTH else ""
         parts += [
-            f"f{d} AS (SELECT *, len(seg) > {d} AS more, CASE WHEN regexp_matches({s}, '^\\d+$') THEN '{{n}}' WHEN regexp_matches({s}, '^\\d+\\.\\w+$') THEN regexp_replace({s}, '^\\d+', '{{n}}') WHEN regexp_matches({s}, '^[0-9a-fA-F-]{{12,}}$') THEN '{{id}}' ELSE {s} END AS form FROM p{d})",
-            f"c{d} AS (SELECT host, template, form, sum(n) AS n, sum(labelled) AS l, sum(bad) AS b FROM f{d} WHERE more GROUP BY ALL)",
-            f"n{d} AS (SELECT host, template, count(*) AS kinds, sum(n) AS an, sum(l) AS al, sum(b) AS ab FROM c{d} GROUP BY ALL)",
-            f"k{d} AS (SELECT host, template, form FROM (SELECT *, ab / CAST(greatest(al, 1) AS DOUBLE) AS share FROM c{d} JOIN n{d} USING (host, template)) WHERE NOT (kinds >= {MANY} AND an < {REPEATS} * kinds) AND l > 0 AND al - l > 0"
+            f"q{d} AS (SELECT DISTINCT host, template, true AS goes_on FROM p{d} {mixed} WHERE len(seg) > {d} AND NOT tail)",
+            f"f{d} AS MATERIALIZED (SELECT p.* EXCLUDE (tail), tail OR (len(seg) > {d} AND goes_on IS NULL) AS tail, len(seg) > {d} AND goes_on IS NOT NULL AND NOT tail AS more, CASE WHEN regexp_matches({s}, '^\\d+$') THEN '{{n}}' WHEN regexp_matches({s}, '^\\d+\\.\\w+$') THEN regexp_replace({s}, '^\\d+', '{{n}}') WHEN regexp_matches({s}, '^[0-9a-fA-F-]{{12,}}$') THEN '{{id}}' ELSE {s} END AS form FROM p{d} p LEFT JOIN q{d} USING (host, template))",
+            f"c{d} AS (SELECT host, template, form, sum(labelled) AS l, sum(bad) AS b FROM f{d} WHERE more GROUP BY ALL)",
+            f"n{d} AS (SELECT host, template, sum(l) AS al, sum(b) AS ab FROM c{d} GROUP BY ALL)",
+            f"k{d} AS (SELECT host, template, form FROM (SELECT *, ab / CAST(greatest(al, 1) AS DOUBLE) AS share FROM c{d} JOIN n{d} USING (host, template)) WHERE l > 0 AND al - l > 0"
             f" AND abs(b / CAST(greatest(l, 1) AS DOUBLE) - (ab - b) / CAST(greatest(al - l, 1) AS DOUBLE)) > {DIFFERENT} * sqrt(share * (1 - share) * (1 / CAST(greatest(l, 1) AS DOUBLE) + 1 / CAST(greatest(al - l, 1) AS DOUBLE))))",
-            f"p{d + 1} AS (SELECT host, path, n, labelled, bad, seg, CASE WHEN more THEN f.template || '/' || CASE WHEN k.form IS NOT NULL THEN f.form ELSE '*' END ELSE f.template END AS template FROM f{d} f LEFT JOIN k{d} k USING (host, template, form))",
+            f"p{d + 1} AS MATERIALIZED (SELECT host, path, n, labelled, bad, seg, tail, CASE WHEN more THEN f.template || '/' || CASE WHEN k.form IS NOT NULL THEN f.form ELSE '*' END ELSE f.template END AS template FROM f{d} f LEFT JOIN k{d} k USING (host, template, form))",
         ]
     fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
     ordered = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))
     pick = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in ordered) + " END"
     parts += [
-        f"lf AS (SELECT host, path, labelled, bad, CASE WHEN len(seg) > {DEPTH} THEN template || '/**' ELSE template END AS template FROM p{DEPTH})",
+        f"lf AS (SELECT host, path, labelled, bad, CASE WHEN tail OR len(seg) > {SQL_DEPTH} THEN template || '/**' ELSE template END AS template FROM p{SQL_DEPTH})",
         "ev AS (SELECT sum(bad) / CAST(greatest(sum(labelled), 1) AS DOUBLE) AS every FROM lf)",
         "ct AS (SELECT host, template, sum(labelled) AS l, sum(bad) AS b FROM lf GROUP BY ALL)",
         f"hs AS (SELECT host, (sum(b) + {PRIOR} * any_value(every)) / (sum(l) + {PRIOR}) AS hs FROM ct, ev GROUP BY host)",
