@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import boosting, folds, models, refits
+from tracewell.operators import boosting, bootstrap, folds, models, refits
 from tracewell.operators.monitor import Lag, Monitor, Monitors, Reservoir
 
 STEPS = "uid string, step_idx int, a double, b double"
@@ -178,3 +178,22 @@ def test_shuffling_what_a_model_uses_costs_most(spark):
     (first, second) = models.permutation_importance(models.Logistic(df, ["a", "b"]), df).collect()
     assert first["feature"] == "a" and first["drop"] > 0.3 and abs(second["drop"]) < 0.1
     assert models.permutation_importance(models.Logistic(df, ["a", "b"]), df, k=1).count() == 1
+
+
+@pytest.mark.parametrize("ranges", [64, 3, 2])
+def test_replicates_by_win_matrices_are_those_by_weighted_rows(spark, monkeypatch, ranges):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(2, 4)), f"g{rng.integers(12)}", float(rng.integers(0, 9)), float(rng.normal()), int(rng.random() < 0.4)) for _ in range(300)]
+    evals = spark.createDataFrame(rows, "t int, task_group string, score double, other double, y int")
+    monkeypatch.setattr(bootstrap, "RANGES", ranges)
+    got = {(r["rep"], r["set"], r["scorer"]): r["value"] for r in bootstrap.replicates(evals, 40, 3, scorers=("score", "other")).collect()}
+    monkeypatch.setattr(bootstrap, "MOST_UNITS", 0)
+    want = {(r["rep"], r["set"], r["scorer"]): r["value"] for r in bootstrap.replicates(evals, 40, 3, scorers=("score", "other")).collect()}
+    assert set(got) == set(want) and len(got) == 41 * 4
+    assert all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_replicates_without_a_class_have_no_value(spark):
+    evals = spark.createDataFrame([(2, "a", 1.0, 1), (2, "b", 2.0, 0)], "t int, task_group string, score double, y int")
+    values = {r["rep"]: r["value"] for r in bootstrap.replicates(evals, 20, 1).collect()}
+    assert values[-1] == 0.0 and None in values.values()

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import judge, monitor
-from tracewell.plans import audits, catalog, experiments  # noqa: F401  all three add to the catalogue
+from tracewell.plans import audits, catalog, experiments, fitted  # noqa: F401  all three add to the catalogue
 from tracewell.streaming import alarms
 
 DATA = "/root/testdata/sf0.001"

@@ -5,6 +5,11 @@ sent to all tasks once, and each task draws the weights of its replicates from (
 computes any metric exactly, by running sums over sorted scores. Beyond the bound, the weights become
 rows, and the metrics known by name are taken by running totals over value ranges, so that no task
 holds all scores of a replicate. Given weights go that way in any case.
+
+The AUROC of a replicate needs less: how often positives of one unit win against negatives of another
+is a matrix that doesn't depend on the weights, and a replicate is w'Kw over its units' totals. Where
+the units are few enough for that matrix, which is checked, it is made once, whatever the number of
+rows and replicates.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import metrics
+from tracewell.plans import scratch
 
 MOST_SENT = 2_000_000
 MAX_SKIPPED = 0.01
@@ -83,6 +89,126 @@ def weighted_metric(counts: DataFrame, drawn: DataFrame, metric: str = "auroc")
     return METRICS[metric][1](running, by).select(*by, F.col(metric).alias("value"))
 
 
+#: Units of a win matrix, bytes of all matrices, and ranges of scores that they are made by, at most.
+MOST_UNITS, MOST_BYTES, RANGES = 1024, 128 << 20, 64
+
+
+def _wins_within(n_units: int):
+    """Sorted batches of (set, scorer, part, s, i, pos, neg): wins among the rows of each part, a row per unit with positives."""
+
+    def emit(key: tuple, wins: np.ndarray) -> Iterator[pd.DataFrame]:
+        if len(at := np.flatnonzero(wins.any(1))):
+            yield pd.DataFrame({"set": key[0], "scorer": key[1], "i": at, "wins": [wins[k] for k in at]})
+
+    def add(wins: np.ndarray, run: np.ndarray, rows: pd.DataFrame) -> None:
+        v = np.unique(rows["s"].to_numpy(), return_inverse=True)[1]
+        i, pos, neg = rows["i"].to_numpy(), rows["pos"].to_numpy(), rows["neg"].to_numpy()
+        same = np.zeros((v.max() + 1, n_units))
+        np.add.at(same, (v, i), neg)
+        below = run + np.cumsum(same, axis=0) - same / 2
+        for u in np.unique(i[pos > 0]):
+            own = (i == u) & (pos > 0)
+            wins[u] += pos[own] @ below[v[own]]
+        run += same.sum(0)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, wins, run, held = None, None, None, None
+        for f in frames:
+            for now, g in f.groupby(["set", "scorer", "part"], sort=False):
+                if now != key:
+                    if key is not None:
+                        add(wins, run, held)
+                        yield from emit(key, wins)
+                    key, wins, run, held = now, np.zeros((n_units, n_units)), np.zeros(n_units), g.iloc[:0]
+                g = pd.concat([held, g]) if len(held) else g
+                # Equal scores may go on in the next frame.
+                last = g["s"].to_numpy() == g["s"].iloc[-1]
+                if not last.all():
+                    add(wins, run, g[~last])
+                held = g[last]
+        if key is not None:
+            add(wins, run, held)
+            yield from emit(key, wins)
+
+    return scan
+
+
+def _wins_between(n_units: int):
+    """Sorted batches of (set, scorer, part, i, pos, neg), a row per part and unit: wins of parts over those below."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = part = None
+        for f in frames:
+            for now, p, i, pos, neg in zip(zip(f["set"], f["scorer"]), f["part"], f["i"], f["pos"], f["neg"]):
+                if now != key:
+                    if key is not None:
+                        yield pd.DataFrame({"set": key[0], "scorer": key[1], "i": np.arange(n_units), "wins": list(wins)})
+                    key, part = now, None
+                    wins, run, ahead = np.zeros((n_units, n_units)), np.zeros(n_units), np.zeros(n_units)
+                if p != part:
+                    run, ahead, part = run + ahead, np.zeros(n_units), p
+                ahead[i] += neg
+                if pos:
+                    wins[i] += pos * run
+        if key is not None:
+            yield pd.DataFrame({"set": key[0], "scorer": key[1], "i": np.arange(n_units), "wins": list(wins)})
+
+    return scan
+
+
+def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key, total = None, 0
+    for f in frames:
+        for s, scorer, i, wins in zip(f["set"], f["scorer"], f["i"], f["wins"]):
+            if (s, scorer, i) != key:
+                if key is not None:
+                    yield pd.DataFrame({"set": [key[0]], "scorer": [key[1]], "i": [key[2]], "wins": [total]})
+                key, total = (s, scorer, i), 0
+            total = total + np.asarray(wins)
+    if key is not None:
+        yield pd.DataFrame({"set": [key[0]], "scorer": [key[1]], "i": [key[2]], "wins": [total]})
+
+
+def win_rows(counts: DataFrame, units: list[str]) -> DataFrame:
+    """(set, scorer, i, wins): per unit i, in the order of ``units``, how often its positives are above each unit's negatives, ties half."""
+    spark, by = counts.sparkSession, ["set", "scorer"]
+    place = spark.createDataFrame(list(enumerate(units)), "i int, unit string")  # as few as the caller has checked
+    bounds = counts.groupBy(*by).agg(F.percentile_approx("s", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 10_000).alias("bounds"))
+    part = F.size(F.filter("bounds", lambda b: b < F.col("s")))  # equal scores are in one part
+    placed = counts.join(F.broadcast(place), "unit").join(F.broadcast(bounds), by).withColumn("part", part).select(*by, "part", "s", "i", "pos", "neg")
+    schema, n = "set string, scorer string, i int, wins array<double>", len(units)
+    within = placed.repartition(*by, "part").sortWithinPartitions(*by, "part", "s").mapInPandas(_wins_within(n), schema)
+    sums = placed.groupBy(*by, "part", "i").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    between = sums.repartition(*by).sortWithinPartitions(*by, "part").mapInPandas(_wins_between(n), schema)
+    both = within.unionByName(between).repartition(*by, "i").sortWithinPartitions(*by, "i")
+    return both.mapInPandas(_added, schema)
+
+
+def _by_wins(counts: DataFrame, reps: DataFrame, units: list[str], seed: int) -> DataFrame:
+    """(rep, set, scorer, value): the AUROC of each replicate from the win matrices."""
+    n, number = len(units), {u: k for k, u in enumerate(units)}
+    totals: dict[tuple, np.ndarray] = {}
+    for r in counts.groupBy("set", "scorer", "unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect():  # a row per unit
+        totals.setdefault((r["set"], r["scorer"]), np.zeros((2, n)))[:, number[r["unit"]]] = r["pos"], r["neg"]
+    wins = {key: np.zeros((n, n)) for key in totals}
+    for r in win_rows(counts, units).toLocalIterator():
+        wins[r["set"], r["scorer"]][r["i"]] = r["wins"]
+    sent = counts.sparkSession.sparkContext.broadcast([(s, scorer, wins[s, scorer], *totals[s, scorer]) for s, scorer in sorted(totals)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a in range(0, len(f), 256):
+                ids = f["id"].iloc[a : a + 256].to_numpy()
+                w = np.stack([weights(n, int(rep), seed) for rep in ids]).astype(float)
+                for s, scorer, k, pos, neg in sent.value:
+                    pairs = (w @ pos) * (w @ neg)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        yield pd.DataFrame({"rep": ids, "set": s, "scorer": scorer, "value": np.where(pairs > 0, ((w @ k) * w).sum(1) / pairs, np.nan)})
+
+    got = reps.mapInPandas(run, "rep int, set string, scorer string, value double")
+    return got.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
 def replicates(evals: DataFrame, n: int, seed: int, metric: str | Metric = "auroc", unit: str = "task_group", sets: str = "t", scorers=("score",)) -> DataFrame:
     """(rep, set, scorer, value) on shared resamples of units; rep -1 is the sample itself.
 
@@ -91,6 +217,13 @@ def replicates(evals: DataFrame, n: int, seed: int, metric: str | Metric = "auro
     spark = evals.sparkSession
     counts = unit_counts(evals, unit, sets, scorers)
     reps = spark.range(-1, n, 1, max(1, min(n // 50, 400)))
+    if metric == "auroc":
+        counts = scratch.cut(counts)
+        kinds = counts.select("set", "scorer").distinct().count()
+        n_units = counts.select("unit").distinct().count()
+        if n_units <= MOST_UNITS and 8 * n_units * n_units * kinds <= MOST_BYTES:
+            units = sorted(r[0] for r in counts.select("unit").distinct().collect())
+            return _by_wins(counts, reps, units, seed)
     if counts.count() > MOST_SENT:
         if callable(metric):
             raise ValueError(f"a metric of its own needs {MOST_SENT} counts at most; name one of {sorted(METRICS)}")

@@ -457,12 +457,6 @@ def _(runs, rows):
     return out.select(*(r6(c, c) for c in out.columns))
 
 
-@query("closed_forms", "SELECT m, round(CASE WHEN ceil((m + 1) * (1.0::DOUBLE - 0.1::DOUBLE)) <= m THEN 1 - ceil((m + 1) * (1.0::DOUBLE - 0.1::DOUBLE)) / (m + 1) ELSE 0 END, 6) AS alpha_eff, round(1 - ((m - 1) * (1.0::DOUBLE - 0.1::DOUBLE) + 1) / (m + 1), 6) AS plugin_fa FROM (SELECT unnest(range(1, 60)) AS m)")
-def _(spark, sf):
-    m = F.col("m")
-    return spark.range(1, 60).select(F.col("id").alias("m")).select("m", r6(scalars.conformal_alpha_eff(m, 0.1).cast("double"), "alpha_eff"), r6(scalars.plugin_expected_fa(m, 0.1), "plugin_fa"))
-
-
 # Audits and reconciliation over the star schema
 
 

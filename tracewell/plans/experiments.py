@@ -207,7 +207,7 @@ def _(runs, evals):
 
 @on_scores("bootstrap_drawn")
 def _(runs, evals):
-    return bootstrap.headline(evals.withColumn("length", F.col("len").cast("double")), 2000, 1, "score", "length")
+    return bootstrap.headline(evals.withColumn("length", F.col("len").cast("double")), 10_000, 1, "score", "length")
 
 
 # The recalibration curve and its diagnostics
@@ -318,22 +318,6 @@ def _(counts):
     return out.select("rule", "alpha", *(r6(c, c) for c in ("median", "p10", "p90", "mean", "share_above_0")), "n")
 
 
-@query("simulated_fa")
-def _(spark, sf):
-    return curve.simulated_fa(spark, "conformal", 0.1, 19, 20_000, 1)
-
-
-@query("power_check")
-def _(spark, sf):
-    return diagnostics.power_check(spark, 60, 120, 0.3, 0.5, 2000, 1)
-
-
-@query("subset_medians")
-def _(spark, sf):
-    values = [float(k * k % 101) for k in range(200)]
-    return diagnostics.subset_medians(spark, values, 50.0, 30, 2000, 1)
-
-
 # Before and after
 
 _TOP = ["tl__is_error__count", "tl__exact_repeat__rate", "tl__steps_since_error__last"]

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import boosting, folds, labels, metrics, models, prefix, refits, thresholds
+from tracewell.operators import boosting, bootstrap, folds, labels, metrics, models, prefix, refits, thresholds
 from tracewell.operators.monitor import Lag, Monitors, Reservoir
 from tracewell.plans import scratch
-from tracewell.plans.catalog import _AUC, _RANKED, on_features, r6
+from tracewell.plans.catalog import _AUC, _RANKED, on_features, on_scores, r6
 from tracewell.plans.experiments import _GROUPED, _plans
 
 _TWO = ["log_latency", "log_output_tokens"]
@@ -95,7 +95,8 @@ def _(runs, feats):
     return refits.sweep_summary(_sweep(runs, feats, reservoirs()))
 
 
-_CHANGES = {"constant_latency": {"log_latency": F.lit(1.0)}, "no_tokens": {"log_output_tokens": F.lit(None).cast("double")}}
+def _changes():
+    return {"constant_latency": {"log_latency": F.lit(1.0)}, "no_tokens": {"log_output_tokens": F.lit(None).cast("double")}}
 
 
 @on_features("input_contrast", f"""SELECT * FROM (WITH {_POOL}, {_EVALS}, mb AS (SELECT 0 AS model, uid FROM pool), {_FS},
@@ -109,14 +110,14 @@ _CHANGES = {"constant_latency": {"log_latency": F.lit(1.0)}, "no_tokens": {"log_
 def _(runs, feats):
     rows = scratch.cut(feats.select("uid", "step_idx", *_TWO))
     m = lagged().fit(rows, _pool(runs).select(F.lit(0).alias("model"), "uid"))
-    out = refits.input_contrast(m, rows, scratch.cut(_evals(runs)), _CHANGES)
+    out = refits.input_contrast(m, rows, scratch.cut(_evals(runs)), _changes())
     return out.select("variant", "class", "t", r6("auroc", "auroc"), r6("drop", "drop"))
 
 
 @on_features("input_contrast_reservoir")
 def _(runs, feats):
     rows = scratch.cut(feats)
-    changes = _CHANGES | {"blind_results": {"is_error": F.lit(0), "steps_since_error": F.col("step_idx") + 1}}
+    changes = _changes() | {"blind_results": {"is_error": F.lit(0), "steps_since_error": F.col("step_idx") + 1}}
     m = reservoirs().fit(rows, _pool(runs).select(F.lit(0).alias("model"), "uid"))
     return refits.input_contrast(m, rows, scratch.cut(_evals(runs)), changes)
 
@@ -159,3 +160,24 @@ def _(runs, feats):
     table, rows, names = _prefixes(runs, feats)
     test = scratch.cut(table.join(_tested(runs), ["uid", "t"]))
     return models.permutation_importance(models.Logistic(rows, names), test)
+
+
+# Bootstrap by win matrices
+
+
+@on_scores("win_matrix", """SELECT p.t, p.task_group AS won, n.task_group AS lost, round(sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END), 6) AS wins
+    FROM d8s p JOIN d8s n ON p.t = n.t AND p.y = 1 AND n.y = 0 GROUP BY ALL HAVING wins > 0""")
+def _(runs, evals):
+    counts = scratch.cut(bootstrap.unit_counts(evals, "task_group", "t", ["score"]))
+    units = sorted(r[0] for r in counts.select("unit").distinct().collect())
+    names = F.array(*map(F.lit, units))
+    rows = bootstrap.win_rows(counts, units).select(F.col("set").cast("int").alias("t"), names[F.col("i")].alias("won"), F.posexplode("wins").alias("j", "wins"))
+    return rows.where("wins > 0").select("t", "won", names[F.col("j")].alias("lost"), r6("wins", "wins"))
+
+
+@on_scores("bootstrap_kernel")
+def _(runs, evals):
+    """10,000 replicates of two scorers and their difference."""
+    values = bootstrap.replicates(evals.withColumn("length", F.col("len").cast("double")), 10_000, 1, scorers=("score", "length"))
+    values = scratch.cut(values)
+    return bootstrap.intervals(values.unionByName(bootstrap.paired_difference(values, "score", "length")), 10_000, strict=False)
