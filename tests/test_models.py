@@ -197,3 +197,9 @@ def test_replicates_without_a_class_have_no_value(spark):
     evals = spark.createDataFrame([(2, "a", 1.0, 1), (2, "b", 2.0, 0)], "t int, task_group string, score double, y int")
     values = {r["rep"]: r["value"] for r in bootstrap.replicates(evals, 20, 1).collect()}
     assert values[-1] == 0.0 and None in values.values()
+
+
+def test_no_models_give_no_scores(spark):
+    steps = spark.createDataFrame(signals(1, 3), STEPS)
+    m = Monitors({"p": ["a"]}, repeats=1).fit(steps, spark.createDataFrame([], "model string, uid string"))
+    assert m.score(steps).columns == ["model", "uid", "step_idx", "score", "p"] and m.score(steps).count() == 0

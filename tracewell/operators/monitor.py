@@ -152,6 +152,9 @@ class Monitors:
         """
         columns, me = self._columns(), self
         self.models = sorted(r[0] for r in members.select("model").distinct().collect())  # a name per model
+        self.kind = dict(members.dtypes)["model"]
+        if not self.models:
+            return self
         learned = self._clean(steps).join(members.select("uid").distinct(), "uid", "left_semi")
         stats = learned.agg(*(f(c).alias(f"{n}_{c}") for c in dict.fromkeys(columns) for n, f in (("mean", F.avg), ("std", F.stddev_pop)))).first()
         self.mean, self.std = (np.array([stats[f"{n}_{c}"] or default for c in columns]) for n, default in (("mean", 0.0), ("std", 1.0)))
@@ -242,8 +245,9 @@ class Monitors:
                 own = {name: z[pair, at] for name, z in streams.items()}
                 yield pd.DataFrame({"model": [me.models[m] for m in k[pair]], "uid": uid[row], "step_idx": idx[row], "score": np.max(list(own.values()), axis=0), **own})
 
-        kind = "string" if isinstance(self.models[0], str) else "long"
-        schema = f"model {kind}, uid string, step_idx int, score double" + "".join(f", `{n}` double" for n in names)
+        schema = f"model {self.kind}, uid string, step_idx int, score double" + "".join(f", `{n}` double" for n in names)
+        if not self.models:
+            return steps.sparkSession.createDataFrame([], schema)
         return self._placed(steps, pairs).mapInPandas(run, schema)
 
 
