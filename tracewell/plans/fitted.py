@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import boosting, bootstrap, folds, labels, metrics, models, prefix, refits, thresholds
+from tracewell.operators import boosting, bootstrap, folds, frozen, labels, metrics, models, prefix, refits, thresholds
 from tracewell.operators.monitor import Lag, Monitors, Reservoir
 from tracewell.plans import scratch
 from tracewell.plans.catalog import _AUC, _RANKED, on_features, on_scores, r6
@@ -181,3 +181,75 @@ def _(runs, evals):
     values = bootstrap.replicates(evals.withColumn("length", F.col("len").cast("double")), 10_000, 1, scorers=("score", "length"))
     values = scratch.cut(values)
     return bootstrap.intervals(values.unionByName(bootstrap.paired_difference(values, "score", "length")), 10_000, strict=False)
+
+
+# Frozen models: learned from one family of runs, saved, read back, and applied to another
+
+
+def _thawed(spark, model):
+    """A model by way of its file."""
+    path = scratch.folder(spark, "model")
+    digest = frozen.save(spark, model, path)
+    back = frozen.load(spark, path, digest)
+    scratch.removed(spark, path)
+    return back
+
+
+_FROZEN = f"""{_POOL}, {_EVALS}, mb AS (SELECT 0 AS model, uid FROM pool), {_FS}, ss AS (SELECT * FROM fs WHERE uid IN (SELECT uid FROM ev)), pr AS (SELECT DISTINCT 0 AS model, uid FROM ev), {_LAG},
+    tp AS (SELECT uid, t, y, max(s.score) AS score FROM sc s JOIN ev USING (uid) WHERE step_idx <= t GROUP BY uid, t, y)"""
+
+
+def _frozen(runs, feats):
+    """(uid, t, y, score) of the runs of llama, by a monitor of qwen's that has been in a file."""
+    rows = scratch.cut(feats.select("uid", "step_idx", *_TWO))
+    members = _pool(runs).select(F.lit(0).alias("model"), "uid")
+    m = lagged().fit(rows, members)
+    back, known = _thawed(rows.sparkSession, m), rows.join(members, "uid", "left_semi")
+    frozen.must_reproduce(frozen.apply(back, known), m.score(known), ["model", "uid", "step_idx"], within=1e-9)
+    evals = scratch.cut(_evals(runs))
+    scores = frozen.apply(back, rows.join(evals.select("uid").distinct(), "uid", "left_semi"))
+    return refits.at_checkpoints(scores, evals, ["model"]).select("uid", "t", "y", "score")
+
+
+@on_features("frozen_scores", f"SELECT * FROM (WITH {_FROZEN} SELECT uid, t, y, round(score, 6) AS score FROM tp)")
+def _(runs, feats):
+    return _frozen(runs, feats).select("uid", "t", "y", r6("score", "score"))
+
+
+_HEADS = f"{_SWEEP}, hd AS (SELECT size || ':' || draw AS model, size, avg(auroc) AS headline FROM sw GROUP BY ALL HAVING count(auroc) = count(*))"
+
+
+def _draws(runs, feats):
+    """(model, uid, t, y, score) of 30 fits of 20 runs each, by way of their file."""
+    rows = scratch.cut(feats.select("uid", "step_idx", *_TWO))
+    drawn = scratch.cut(refits.sized_draws(_pool(runs), (20,), 30, 7))
+    m = _thawed(rows.sparkSession, lagged().fit(rows, drawn.select("model", "uid")))
+    evals = scratch.cut(_evals(runs))
+    scores = frozen.apply(m, rows.join(evals.select("uid").distinct(), "uid", "left_semi"))
+    return scratch.cut(refits.at_checkpoints(scores, evals, ["model"]).select("model", "uid", "t", "y", "score"))
+
+
+_ONE_SIZE = _HEADS.replace("[10, 20, 40]", "[20]")
+
+
+@on_features("frozen_draws", f"SELECT * FROM (WITH {_ONE_SIZE} SELECT count(*) AS draws, round(median(headline), 6) AS median, round(min(headline), 6) AS least, round(max(headline), 6) AS most FROM hd)")
+def _(runs, feats):
+    out = frozen.headline_spread(frozen.over_models(_draws(runs, feats)))
+    return out.select("draws", *(r6(c, c) for c in ("median", "least", "most")))
+
+
+@on_features("frozen_arms")
+def _(runs, feats):
+    """Trees and a monitor that learned from other families, on llama's runs, each run its own unit: 10,000 resamples."""
+    table, rows, names = _prefixes(runs, feats)
+    spark, evals = rows.sparkSession, scratch.cut(_evals(runs))
+    trees = _thawed(spark, boosting.BoostedTrees().fit(rows, names))
+    tested = table.join(evals.select("uid", "t"), ["uid", "t"])
+    scored = frozen.by_arm(evals, {"trees": frozen.apply(trees, tested), "monitor": _frozen(runs, feats)})
+    return frozen.evaluation(scratch.cut(scored), ["trees", "monitor"], 10_000, 1)
+
+
+@on_features("frozen_draws_interval")
+def _(runs, feats):
+    """The median fit's intervals beside the spread over fits."""
+    return frozen.draws_evaluation(_draws(runs, feats), 10_000, 1)
