@@ -1,7 +1,9 @@
 """Online alarms: per run, features and running maxima as its steps arrive.
 
-State per run is small and of fixed size but for the set of calls seen. Steps at or below the last
-one seen are late or repeated, and are passed over. The rows equal those of the batch windows.
+A run's state is one row of fixed size and a map with an entry per different call, so a step reads and
+writes what concerns it and no more, however long the run is. The map needs Spark's RocksDB state
+store, which ``score_stream`` sets for the session. Steps at or below the last one seen are late or
+repeated, and are passed over. The rows equal those of the batch windows.
 """
 
 from __future__ import annotations
@@ -11,49 +13,82 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewell.functions.scalars import call_key
 
 OUT = "uid string, step_idx long, exact_repeat int, steps_since_error long, score double, running_max double, first_alarm boolean"
-STATE = "last long, last_error long, top double, alarmed boolean, seen array<long>"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Alarms(StatefulProcessor):
+    """One run at a time. ``idle_ms`` after its last step, all that is known of a run is dropped."""
+
+    def __init__(self, theta: float, idle_ms: int | None = None):
+        self.theta, self.idle_ms = theta, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "last long, last_error long, top double, alarmed boolean, timer long")
+        self.calls = handle.getMapState("calls", "key long", "step_idx long")
+
+    def _seen(self, key: int, step: int, known: set[int]) -> bool:
+        """Whether the run made this call before; from now on it did. ``known`` are those of this batch."""
+        if key in known:
+            return True
+        known.add(key)
+        if self.calls.containsKey((key,)):
+            return True
+        self.calls.updateValue((key,), (step,))
+        return False
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, last_error, top, alarmed, timer = self.run.get() if self.run.exists() else (-1, -1, None, False, None)
+        known: set[int] = set()
+        steps = sorted((r for f in rows for r in f.itertuples(index=False)), key=lambda r: r.step_idx)
+        out = []
+        for r in steps:
+            if r.step_idx <= last:
+                continue
+            last = int(r.step_idx)
+            repeat = bool(r.call) and self._seen(int(r.key), last, known)
+            if r.call and r.failed:
+                last_error = last
+            score = float(r.score) if pd.notna(r.score) else None
+            if score is not None:
+                top = score if top is None or pd.isna(top) else max(top, score)
+            first = not alarmed and score is not None and score > self.theta
+            alarmed = bool(alarmed or first)
+            out.append((key[0], last, int(repeat), last - last_error, score, top, first))
+        if self.idle_ms is not None:
+            if timer is not None:
+                self.handle.deleteTimer(int(timer))
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.run.update((last, last_error, top, alarmed, timer))
+        yield pd.DataFrame(out, columns=["uid", "step_idx", "exact_repeat", "steps_since_error", "score", "running_max", "first_alarm"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.run.clear()
+        self.calls.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def score_stream(steps: DataFrame, theta: float, score: str = "latency_s", idle: str | None = None) -> DataFrame:
     """Streaming or batch ``steps`` with uid, step_idx, tool_name, args, tool_error and a score column.
 
-    With ``idle`` (``1 hour``), the state of a run that has had no step for so long is dropped.
+    With ``idle`` (``1 hour``), the state of a run that has had no step for so long is dropped; what
+    comes later is a run of its own. Such a query looks at its clock again and again, so it has no end
+    of its own, under ``availableNow`` either. Steps without a uid are one run.
     """
+    steps.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    steps.sparkSession.streams.active  # a session's first use of them starts what state stores report to; batch tables need it, too
     keyed = steps.select("uid", F.col("step_idx").cast("long").alias("step_idx"), F.xxhash64(call_key(F.col("tool_name"), F.col("args"))).alias("key"), F.col("tool_name").isNotNull().alias("call"), F.coalesce("tool_error", F.lit(False)).alias("failed"), F.col(score).cast("double").alias("score"))
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, last_error, top, alarmed, seen = state.get if state.exists else (-1, -1, None, False, [])
-        known = set(seen)
-        rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.step_idx)
-        out = []
-        for r in rows:
-            if r.step_idx <= last:
-                continue
-            last = r.step_idx
-            repeat = bool(r.call) and r.key in known
-            if r.call:
-                known.add(r.key)
-                if r.failed:
-                    last_error = r.step_idx
-            if pd.notna(r.score):
-                top = r.score if top is None or pd.isna(top) else max(top, r.score)
-            first = not alarmed and pd.notna(r.score) and r.score > theta
-            alarmed = alarmed or first
-            out.append((r.uid, r.step_idx, int(repeat), r.step_idx - last_error, r.score, top, first))
-        state.update((last, last_error, top, alarmed, sorted(known)))
-        if idle:
-            state.setTimeoutDuration(idle)
-        yield pd.DataFrame(out, columns=["uid", "step_idx", "exact_repeat", "steps_since_error", "score", "running_max", "first_alarm"])
-
-    return keyed.groupBy("uid").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    return keyed.groupBy("uid").transformWithStateInPandas(Alarms(theta, idle_ms), OUT, "append", "processingTime" if idle else "none")
 
 
 def replay(spark, path: str, schema, files_per_batch: int = 1) -> DataFrame:
