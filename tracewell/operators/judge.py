@@ -113,6 +113,82 @@ def under_budget(calls: DataFrame, cost: str, cap: float, order: str) -> DataFra
     return calls.join(fits, calls[order].cast("double") == fits["__o"], "left_semi")
 
 
+class OverBudget(RuntimeError):
+    """A task that would pay for calls again, more often than was set aside for it."""
+
+
+_KEYS = ", ".join(f"{k} {'int' if k in ('t', 'sample') else 'string'}" for k in CACHE_KEY)
+_RESPONSE = "response struct<text: string, input_tokens: long, output_tokens: long, latency_s: double>"
+
+
+def _paid_once(prompts: DataFrame, client: Callable[[str], dict], attempts: int) -> DataFrame:
+    """Answers to (key, prompt, most), a call each; a failed call fails the task, and a task has ``attempts`` at most."""
+    from pyspark import TaskContext
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        attempt = TaskContext.get().attemptNumber()
+        if attempt >= attempts:
+            raise OverBudget(f"attempt {attempt + 1} of a task whose budget is for {attempts}")
+        for f in frames:
+            responses = []
+            for p in f["prompt"]:
+                began = time.monotonic()
+                r = client(p)
+                responses.append({"text": r["text"], "input_tokens": r.get("input_tokens"), "output_tokens": r.get("output_tokens"), "latency_s": time.monotonic() - began})
+            yield f[[*CACHE_KEY, "most"]].assign(response=responses, attempt=attempt)
+
+    return prompts.select(*CACHE_KEY, "prompt", "most").mapInPandas(ask, f"{_KEYS}, most double, {_RESPONSE}, attempt int")
+
+
+def judged_within(prompts: DataFrame, client: Callable[[str], dict], path: str, cap: float, price_in: float, price_out: float, most_out: int, order: str, attempts: int = 2, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(answers, prompts left): calls in the order of a numeric column, as many as a cap on what they cost allows.
+
+    Calls stop before the cap, not after it. A round takes the first prompts whose greatest cost (as
+    many tokens as the prompt has bytes, and ``most_out`` out), for every attempt that a task may have,
+    fits into what is left; prompts that tie in the order go together. That amount is written to
+    ``path`` before the round's first call, and the answers are before the next round, in which what
+    they did not cost is there again. Attempts before the one that answered count at their greatest
+    cost, and a round that was begun and never finished counts whole, so a query that runs again on the
+    same path goes on with what is left. A task reads a checkpoint, not a shuffle, so no stage runs
+    again, and no more attempts than were set aside for make calls; speculative copies of tasks are
+    refused. A path is for one query at a time. Keys are asked for once, prompts without a place or a
+    text, or with a null in their key, not at all.
+    """
+    from tracewell.plans import scratch
+
+    spark = prompts.sparkSession
+    if spark.conf.get("spark.speculation", "false") == "true":
+        raise ValueError("speculative tasks would pay twice; turn spark.speculation off")
+    keys = list(CACHE_KEY)
+    each = (F.octet_length("prompt") * F.lit(float(price_in)) + F.lit(float(most_out * price_out))).alias("most")
+    asked = prompts.select(*keys, "prompt", F.col(order).cast("double").alias("place"), each).dropna().dropDuplicates(keys)
+    wanted = scratch.cut(asked.withColumn("reserved", F.col("most") * attempts))
+
+    def written(name: str, schema: str) -> DataFrame:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return spark.read.schema(schema).parquet(f"{path}/{name}/*") if there else spark.createDataFrame([], schema)
+
+    def journal() -> tuple[DataFrame, DataFrame]:
+        return written("begun", "round int, amount double"), written("answers", f"round int, {_KEYS}, {_RESPONSE}, attempt int, cost double")
+
+    for _ in range(rounds):
+        begun, done = journal()
+        lost = begun.join(done.select("round").distinct(), "round", "left_anti").agg(F.coalesce(F.sum("amount"), F.lit(0.0))).first()[0]
+        left = cap - lost - done.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
+        now = scratch.cut(under_budget(wanted.join(done.select(*keys), keys, "left_anti"), "reserved", left, "place"))
+        r = now.agg(F.count("*").alias("n"), F.sum("reserved").alias("amount")).first()
+        if not r["n"]:
+            break
+        k = (begun.agg(F.max("round")).first()[0] or 0) + 1
+        spark.createDataFrame([(k, r["amount"])], "round int, amount double").coalesce(1).write.parquet(f"{path}/begun/{k}")
+        paid = F.col("response.input_tokens") * F.lit(float(price_in)) + F.col("response.output_tokens") * F.lit(float(price_out))
+        cost = F.coalesce(paid, "most") + F.col("attempt") * F.col("most")
+        _paid_once(now, client, attempts).select(F.lit(k).alias("round"), *keys, "response", "attempt", cost.alias("cost")).write.parquet(f"{path}/answers/{k}")
+    _, done = journal()
+    return done, prompts.join(done.select(*keys), keys, "left_anti")
+
+
 def label_invariant(prompts: DataFrame, relabelled: DataFrame, keys=("uid", "t")) -> DataFrame:
     """Prompts that differ when only the labels of their runs do: there should be none."""
     other = relabelled.select(*keys, F.col("prompt").alias("__other"))
