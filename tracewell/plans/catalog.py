@@ -642,6 +642,16 @@ def _(runs, rows):
     return judge.run_summary(judge.mean_scores(_answers(rows))).select("n_failed", "n")
 
 
+@on_steps("judge_budget", f"SELECT uid, round(c, 6) AS cost FROM (SELECT uid, c, sum(c) OVER (ORDER BY n) AS total FROM (SELECT uid, strlen(trace) AS n, strlen(trace) * 0.01::DOUBLE + 0.08::DOUBLE AS c FROM ({_TRACE}))) WHERE total <= 300")
+def _(runs, rows):
+    """The shortest prompts first, until 300 are spent: every call costs what was set aside for it."""
+    prompts = _prompts(rows).withColumn("place", F.octet_length("prompt"))
+    stub = lambda p: {"text": "50", "input_tokens": len(p.encode()), "output_tokens": 4}
+    path = scratch.folder(rows.sparkSession, "calls")
+    done, _ = judge.judged_within(prompts, stub, path, 300.0, 0.01, 0.02, 4, "place", attempts=1)
+    return done.select("uid", r6("cost", "cost"))
+
+
 @on_steps("judge_spent", f"SELECT round(sum(tokens * 0.01::DOUBLE + 0.02::DOUBLE), 6) AS spent, count(*) AS n FROM (WITH {_STUB} SELECT * FROM sr)")
 def _(runs, rows):
     return judge.spent(_answers(rows).select("response.*"), 0.01, 0.02).select(r6("spent", "spent"), "n")
