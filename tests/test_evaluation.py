@@ -252,3 +252,17 @@ def test_the_bounds_of_value_ranges_are_taken_once(spark):
     assert "percentile_approx" not in out._jdf.queryExecution().analyzed().toString()
     got = out.toPandas()
     assert (got["n_below"] == got.groupby("g")["x"].rank().astype(int) - 1).all() and (got["n_total"] == 20_000).all()
+
+
+def test_a_headline_draws_its_resamples_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"u{k}", 3, int(rng.integers(0, 2)), f"g{k % 9}", float(rng.integers(0, 7)), float(rng.normal())) for k in range(80)]
+    evals = spark.createDataFrame(rows, "uid string, t int, y int, task_group string, a double, b double")
+    out = bootstrap.headline(evals, 40, 2, "a", "b")
+    assert "MapInPandas" not in out._jdf.queryExecution().analyzed().toString()
+    got = {(r["metric"], r["scorer"], r["set"]): (r["point"], r["lo"], r["hi"]) for r in out.collect()}
+    monkeypatch.setattr(bootstrap, "MOST_UNITS", 0)
+    for name in bootstrap.METRICS:
+        for r in bootstrap.intervals(bootstrap.replicates(evals, 40, 2, name, scorers=("a", "b")), 40).collect():
+            assert got[name, r["scorer"], r["set"]] == pytest.approx((r["point"], r["lo"], r["hi"]))
+    assert ("auprc", "b-a", "mean") in got
