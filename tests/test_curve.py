@@ -136,3 +136,16 @@ def test_clients_read_answers_and_raise_what_can_be_tried_again():
         c("p")
     answers = [(200, b'{"response": "7", "prompt_eval_count": 2, "eval_count": 1}')]
     assert clients.local("http://l", "m", transport=transport)("p") == {"text": "7", "input_tokens": 2, "output_tokens": 1}
+
+
+def test_plans_of_single_groups_are_counted_without_their_rows(spark):
+    from tracewell.operators import folds
+
+    rows = [(f"u{k}", f"g{k * 7 % 11}", "s" if k % 3 else "t", None if k % 4 else "looping") for k in range(90)]
+    runs = spark.createDataFrame(rows, "uid string, task_group string, corpus string, failure_class string")
+    whole = folds.plan_leave_one_group_out(runs, "s", "t", 2, 0.25).groupBy("fold", "monitor", "part").count()
+    out = folds.leave_one_group_out_counts(runs, "s", "t", 2, 0.25)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, whole.collect()))
+    one = spark.createDataFrame([("a", "g1", "s", None), ("b", "g2", "t", None)], runs.schema)
+    with pytest.raises(Exception, match="two task groups"):
+        folds.leave_one_group_out_counts(one, "s", "t", 2, 0.25).collect()
