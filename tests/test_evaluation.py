@@ -266,3 +266,18 @@ def test_a_headline_draws_its_resamples_once(spark, monkeypatch):
         for r in bootstrap.intervals(bootstrap.replicates(evals, 40, 2, name, scorers=("a", "b")), 40).collect():
             assert got[name, r["scorer"], r["set"]] == pytest.approx((r["point"], r["lo"], r["hi"]))
     assert ("auprc", "b-a", "mean") in got
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 50])
+def test_wins_by_blocks_of_units(spark, monkeypatch, size):
+    rng = np.random.default_rng(9)
+    rows = [(3, int(rng.integers(0, 2)), f"g{rng.integers(7)}", float(rng.integers(0, 6))) for _ in range(90)]
+    evals = spark.createDataFrame(rows, "t int, y int, task_group string, score double")
+    monkeypatch.setattr(bootstrap, "SLICE", 5)
+    got = {(r["won"], r["lost"]): r["wins"] for r in bootstrap.win_blocks(bootstrap.unit_counts(evals, "task_group", "t", ["score"]), size).collect()}
+    want = {}
+    for _, y, g, s in rows:
+        for _, z, h, r in rows:
+            if y > z and s >= r:
+                want[g, h] = want.get((g, h), 0) + (1.0 if s > r else 0.5)
+    assert got == want
