@@ -281,3 +281,12 @@ def test_wins_by_blocks_of_units(spark, monkeypatch, size):
             if y > z and s >= r:
                 want[g, h] = want.get((g, h), 0) + (1.0 if s > r else 0.5)
     assert got == want
+
+
+def test_replicates_under_given_weights_are_kept(spark):
+    from tracewell.plans import experiments
+
+    rows = [(f"u{k}", 3, k % 2, f"g{k % 5}", float(k % 7), k % 4) for k in range(40)]
+    evals = spark.createDataFrame(rows, "uid string, t int, y int, task_group string, score double, len int")
+    values = experiments._replicates(evals, "tpr_at_fpr")
+    assert "Window" not in values._jdf.queryExecution().analyzed().toString() and values.count() == 61 * 2
