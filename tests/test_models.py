@@ -203,3 +203,19 @@ def test_no_models_give_no_scores(spark):
     steps = spark.createDataFrame(signals(1, 3), STEPS)
     m = Monitors({"p": ["a"]}, repeats=1).fit(steps, spark.createDataFrame([], "model string, uid string"))
     assert m.score(steps).columns == ["model", "uid", "step_idx", "score", "p"] and m.score(steps).count() == 0
+
+
+def test_histograms_stay_in_tasks(spark, monkeypatch):
+    from pyspark import RDD
+    from tracewell.operators import boosting
+
+    rng = np.random.default_rng(12)
+    rows = [(float(rng.normal()), float(rng.integers(0, 4)) if rng.random() < 0.9 else None, int(rng.random() < 0.5), 1.0, k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, y int, weight double, fold int").repartition(4)
+    monkeypatch.setattr(RDD, "treeReduce", None)  # histograms would come to the driver by it
+    kinds = []
+    for size in (100, 1_000):  # four blocks, in tasks of their own, and one
+        monkeypatch.setattr(boosting, "ROWS", size)
+        m = boosting.BoostedTrees(rounds=6, least=5).fit(df, ["a", "b"], "fold", whole=True)
+        kinds.append([[x.tolist() for x in (*t.feature, *t.bin, *t.left)] for t in m.models])
+    assert kinds[0] == kinds[1] and len(kinds[0]) == 3

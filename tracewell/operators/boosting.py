@@ -2,9 +2,9 @@
 
 Features are cut at up to ``BINS`` quantiles; rows are kept as blocks of bin numbers, a byte a value.
 A level of a tree is one aggregation: each block adds up gradient, hessian and row counts per (model,
-node, feature, bin), sums are combined in a tree of tasks, and what the driver gets is the histogram,
-whose size models, features and bins give, whatever the rows. There the best split of each node is
-found: nulls go to the side where they gain more. A leaf weighs -G / (H + l2).
+node, feature, bin), sums are combined and searched in a task per model, whose histogram has a size that
+features and bins give, whatever the rows, and what the driver gets is the best split of each node:
+nulls go to the side where they gain more. A leaf weighs -G / (H + l2).
 
 Models of folds grow side by side: a row is in all models but that of its own fold, so a round of all
 folds costs as many jobs as a round of one. Blocks with their margins are checkpointed every ``CUT``
@@ -133,12 +133,15 @@ class BoostedTrees:
         def opened(r) -> dict:
             return {"bins": np.frombuffer(r["bins"], np.uint8).reshape(r["n"], -1), "y": np.frombuffer(r["y"]), "w": np.frombuffer(r["w"]), "fold": np.frombuffer(r["fold"], np.int32), "margin": np.tile(np.array(bases)[:, None], (1, r["n"]))}
 
-        # No more tasks than blocks: a round is as many short jobs as a tree has levels.
-        blocks = max(1, -(-own.count() // ROWS))
+        # No more tasks than blocks, or than run at once: a round is as many short jobs as a tree has levels.
+        blocks = max(1, min(-(-own.count() // ROWS), spark.sparkContext.defaultParallelism))
         state = own.coalesce(blocks).mapInPandas(block, "n int, bins binary, y binary, w binary, fold binary").rdd.map(opened).persist()
         if not self.edges:
             return self
-        first, wide = 0, state.getNumPartitions()
+        first = 0
+        used = np.zeros((len(edges), n_bins), bool)  # bins that a feature has
+        for c, e in enumerate(edges):
+            used[c, : len(e) + 1] = used[c, -1] = True
         for r in range(self.rounds):
             if r and r % CUT == 0:
                 # Margins move on, and what they came from is forgotten.
@@ -152,20 +155,13 @@ class BoostedTrees:
             grown = [{"feature": np.zeros((1 << self.depth) - 1, np.int64), "bin": np.full((1 << self.depth) - 1, n_bins), "left": np.ones((1 << self.depth) - 1, bool)} for _ in self.models]
             sums_at: list[dict] = [{} for _ in self.models]
             for level in range(self.depth):
-                task = (self.models, grown, level, first)
-                hist = state.map(lambda b, task=task: _hist(b, *task, n_bins)).treeReduce(lambda a, b: a + b, depth=2 if wide > 16 else 1)
-                for k, now in enumerate(grown):
-                    for j in range(1 << level):
-                        node, own_hist = (1 << level) - 1 + j, hist[k, j]
-                        total = own_hist[0].sum(0)
-                        sums_at[k][node] = total[:2]
-                        split = _best(own_hist, self.l2, self.least) if total[2] else None
-                        below = total
+                for k, found in self._splits(state, grown, level, first, n_bins, used):
+                    for j, (split, total, below) in enumerate(found):
+                        node = (1 << level) - 1 + j
+                        sums_at[k][node] = total
                         if split:
-                            _, f, b, left = split
-                            now["feature"][node], now["bin"][node], now["left"][node] = f, b, left
-                            below = own_hist[f, : b + 1].sum(0) + (own_hist[f, -1] if left else 0)
-                        sums_at[k][2 * node + 1], sums_at[k][2 * node + 2] = below[:2], (total - below)[:2]
+                            grown[k]["feature"][node], grown[k]["bin"][node], grown[k]["left"][node] = split
+                        sums_at[k][2 * node + 1], sums_at[k][2 * node + 2] = below, total - below
             for m, now, at in zip(self.models, grown, sums_at):
                 m.feature.append(now["feature"])
                 m.bin.append(now["bin"])
@@ -177,6 +173,40 @@ class BoostedTrees:
         state.unpersist()
         return self
 
+    def _splits(self, state, grown: list[dict], level: int, first: int, n_bins: int, used: np.ndarray) -> list[tuple]:
+        """(model, per node of the level its split, gradient and hessian, and those of its left side).
+
+        Histograms are added up and searched in tasks, one per model; they don't come to the driver.
+        """
+        models, l2, least = self.models, self.l2, self.least
+
+        def added(blocks) -> Iterator[tuple[int, np.ndarray]]:
+            total = None
+            for b in blocks:
+                one = _hist(b, models, grown, level, first, n_bins)
+                total = one if total is None else total + one
+            for k in range(len(models) if total is not None else 0):
+                yield k, total[k][:, used]
+
+        def searched(own: tuple[int, np.ndarray]) -> tuple[int, list]:
+            found = []
+            hist = np.zeros((len(own[1]), *used.shape, 3))
+            hist[:, used] = own[1]
+            for h in hist:
+                total = h[0].sum(0)
+                split = _best(h, l2, least) if total[2] else None
+                below = total
+                if split:
+                    _, f, b, left = split
+                    below = h[f, : b + 1].sum(0) + (h[f, -1] if left else 0)
+                found.append((split[1:] if split else None, total[:2], below[:2]))
+            return own[0], found
+
+        each = state.mapPartitions(added)
+        if state.getNumPartitions() > 1:
+            each = each.reduceByKey(lambda a, b: a + b, len(models))
+        return each.map(searched).collect()
+
     def _probability(self, x: Column, model: Column) -> Column:
         models = self.models
 

@@ -137,7 +137,7 @@ def evaluation(scored: DataFrame, arms: list[str], n: int, seed: int, unit: str
     Intervals resample runs, as runs of a corpus of its own share no tasks. Where too many resamples
     lack a class, as with a single healthy run, an interval is undefined: its ends are null.
     """
-    values = bootstrap.replicates(scored, n, seed, unit=unit, scorers=tuple(arms))
+    values = scratch.cut(bootstrap.replicates(scored, n, seed, unit=unit, scorers=tuple(arms)))  # a row per replicate, read several times
     return bootstrap.intervals(values, n, strict=False)
 
 
