@@ -219,3 +219,17 @@ def test_histograms_stay_in_tasks(spark, monkeypatch):
         m = boosting.BoostedTrees(rounds=6, least=5).fit(df, ["a", "b"], "fold", whole=True)
         kinds.append([[x.tolist() for x in (*t.feature, *t.bin, *t.left)] for t in m.models])
     assert kinds[0] == kinds[1] and len(kinds[0]) == 3
+
+
+def test_a_batch_of_many_models_is_small(spark, monkeypatch):
+    from tracewell.operators import monitor
+
+    steps = spark.createDataFrame(signals(1, 30), STEPS).coalesce(1)
+    names = spark.createDataFrame([(k, f"h{i}") for k in range(20) for i in range(30)], "model int, uid string")
+    m = Monitors({"p": ["a"]}, repeats=1, predictor=Lag).fit(steps, names)
+    want = {(r["model"], r["uid"], r["step_idx"]): r["score"] for r in m.score(steps).collect()}
+    monkeypatch.setattr(monitor, "SCORED", 400)
+    sizes = [len(rows) * mine.shape[1] for rows, _, mine in m._batches(iter([m._clean(steps).toPandas()]))]
+    assert max(sizes) <= 800 and sum(sizes) == 20 * steps.count()
+    got = {(r["model"], r["uid"], r["step_idx"]): r["score"] for r in m.score(steps).collect()}
+    assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)

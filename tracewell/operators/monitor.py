@@ -20,16 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WASHOUT = 3
-#: Padded steps of runs that go through the predictors together, about.
-STEPS = 20_000
+#: Steps of runs that go through the predictors together, about, and steps times models that score them.
+STEPS, SCORED = 20_000, 200_000
 
 
-def whole_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames of whole runs, of about ``STEPS`` rows, from frames sorted by uid and step."""
+def whole_runs(frames: Iterator[pd.DataFrame], most: int | None = None) -> Iterator[pd.DataFrame]:
+    """Frames of whole runs, of about ``most`` rows, ``STEPS`` if not given, from frames sorted by uid and step."""
     held: list[pd.DataFrame] = []
-    for f in frames:
+    most = most or STEPS
+    for f in (f.iloc[a : a + most] for f in frames for a in range(0, len(f), most)):
         held.append(f)
-        if sum(map(len, held)) >= STEPS:
+        if sum(map(len, held)) >= most:
             rows = pd.concat(held) if len(held) > 1 else f
             # The last run may go on in the next frame.
             ended = (rows["uid"] != rows["uid"].iloc[-1]).to_numpy()
@@ -126,7 +127,8 @@ class Monitors:
 
     def _batches(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Batch, np.ndarray]]:
         """(rows, batch, (runs, models) of booleans)."""
-        for whole in whole_runs(frames):
+        # Many models make many rows of one: what a task holds is bounded by both.
+        for whole in whole_runs(frames, max(1, min(STEPS, SCORED // max(1, len(self.models))))):
             for rows in by_length(whole):
                 b = Batch(rows, np.nan_to_num((rows[self._columns()].to_numpy(float) - self.mean) / self.std))
                 mine = np.ones((len(b.first), len(self.models)), bool)

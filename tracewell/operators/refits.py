@@ -36,7 +36,9 @@ def at_checkpoints(scores: DataFrame, evals: DataFrame, by: list[str]) -> DataFr
 def subset_sweep(steps: DataFrame, draws: DataFrame, evals: DataFrame, monitors: Monitors) -> DataFrame:
     """(size, draw, t, auroc, ...): every draw's monitor on the same test rows, all fitted in one pass over the steps."""
     monitors.fit(steps, draws.select("model", "uid"))
-    tested = steps.join(evals.select("uid").distinct(), "uid", "left_semi")
+    # A step's score depends on nothing after it, so steps after a run's last checkpoint are not scored.
+    last = evals.groupBy("uid").agg(F.max("t").alias("__last"))
+    tested = steps.join(last, "uid").where(F.col("step_idx") <= F.col("__last")).drop("__last")
     found = metrics.auroc(at_checkpoints(monitors.score(tested), evals, ["model"]), ["model", "t"])
     size, draw = (F.split("model", ":")[k].cast("int") for k in (0, 1))
     return found.withColumns({"size": size, "draw": draw}).drop("model")
