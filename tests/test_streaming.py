@@ -101,3 +101,32 @@ def test_batch_tables_and_empty_ones(spark):
     got = sorted(tuple(r)[:4] for r in alarms.score_stream(spark.createDataFrame(rows, SCHEMA), 8.0).collect())
     assert got == sorted(r[:4] for r in expected(rows, 8.0))
     assert alarms.score_stream(spark.createDataFrame([], SCHEMA), 8.0).count() == 0
+
+
+def test_a_new_run_is_not_asked_for_its_calls():
+    import pandas as pd
+
+    class State:
+        def __init__(self, value=None):
+            self.value, self.asked = value, []
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def containsKey(self, key):  # noqa: N802
+            self.asked.append(key)
+            return False
+
+        def updateValue(self, key, value):  # noqa: N802
+            pass
+
+    a = alarms.Alarms(5.0)
+    a.run, a.calls = State(), State()
+    rows = lambda first: iter([pd.DataFrame({"step_idx": [first, first + 1], "key": [7, 7], "call": True, "failed": False, "score": 1.0})])
+    (out,) = a.handleInputRows(("r",), rows(0), None)
+    assert list(out["exact_repeat"]) == [0, 1] and a.calls.asked == []
+    list(a.handleInputRows(("r",), rows(2), None))
+    assert a.calls.asked == [(7,)]

@@ -32,18 +32,19 @@ class Alarms(StatefulProcessor):
         self.run = handle.getValueState("run", "last long, last_error long, top double, alarmed boolean, timer long")
         self.calls = handle.getMapState("calls", "key long", "step_idx long")
 
-    def _seen(self, key: int, step: int, known: set[int]) -> bool:
-        """Whether the run made this call before; from now on it did. ``known`` are those of this batch."""
+    def _seen(self, key: int, step: int, known: set[int], new: bool) -> bool:
+        """Whether the run made this call before; from now on it did. ``known`` are those of this batch; a ``new`` run has no others."""
         if key in known:
             return True
         known.add(key)
-        if self.calls.containsKey((key,)):
+        if not new and self.calls.containsKey((key,)):
             return True
         self.calls.updateValue((key,), (step,))
         return False
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, last_error, top, alarmed, timer = self.run.get() if self.run.exists() else (-1, -1, None, False, None)
+        before = self.run.get()  # each access is a message to the JVM
+        last, last_error, top, alarmed, timer = before or (-1, -1, None, False, None)
         known: set[int] = set()
         steps = sorted((r for f in rows for r in f.itertuples(index=False)), key=lambda r: r.step_idx)
         out = []
@@ -51,7 +52,7 @@ class Alarms(StatefulProcessor):
             if r.step_idx <= last:
                 continue
             last = int(r.step_idx)
-            repeat = bool(r.call) and self._seen(int(r.key), last, known)
+            repeat = bool(r.call) and self._seen(int(r.key), last, known, before is None)
             if r.call and r.failed:
                 last_error = last
             score = float(r.score) if pd.notna(r.score) else None
