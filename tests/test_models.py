@@ -233,3 +233,19 @@ def test_a_batch_of_many_models_is_small(spark, monkeypatch):
     assert max(sizes) <= 800 and sum(sizes) == 20 * steps.count()
     got = {(r["model"], r["uid"], r["step_idx"]): r["score"] for r in m.score(steps).collect()}
     assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_importances_of_all_features_at_once_are_those_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"u{k}", 3, float(a), float(rng.normal()) if k % 5 else None, float(k % 3) if k % 7 else float("nan"), int(a + rng.normal() > 0)) for k, a in enumerate(rng.normal(size=200))]
+    df = spark.createDataFrame(rows, "uid string, t int, a double, b double, c double, y int")
+
+    class Plain:  # features and score alone
+        def __init__(self, m):
+            self.features, self.score = m.features, m.score
+
+    m = models.Logistic(df, ["a", "b", "c"])
+    want = {r["feature"]: r["drop"] for r in models.permutation_importance(Plain(m), df).collect()}
+    found = models.permutation_importance(m, df)
+    assert "__v_" not in found._jdf.queryExecution().analyzed().toString()
+    assert {r["feature"]: r["drop"] for r in found.collect()} == pytest.approx(want)
