@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tracewell.llm import decontaminate, language, packing, substrings
+from tracewell.llm import decontaminate, language, packing, substrings, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,6 +72,42 @@ def test_windows_of_long_texts_keep_their_minimisers(most):
     assert int((past - first).sum()) == len(keys(most))
 
 
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 17])
+def test_hashes_by_blocks_are_those_of_the_whole(monkeypatch, block):
+    monkeypatch.setattr(words, "BLOCK", block)
+    rng, odd, step, whole = random.Random(block), int(words._ODD), int(words._STEP), 1 << 64
+    text = ["".join(rng.choice("aé0") for _ in range(rng.choice([1, 3, 6, 7, 8, 200]))).encode() for _ in range(300)]
+    h = words.Words([b" ".join(text[:100]), b"", b"\t".join(text[100:])]).hashes()
+    assert h.tolist() == words.mix(np.array([sum((b + 1) * odd**k for k, b in enumerate(w)) % whole for w in text], np.uint64)).tolist()
+    for width in (1, 5, 35, 300):
+        runs = [sum(x * step**k for k, x in enumerate(h[a : a + width].tolist())) % whole for a in range(300 - width + 1)]
+        assert words.rolling(h, width).tolist() == words.mix(np.array(runs, np.uint64)).tolist()
+    assert len(words.rolling(h, 301)) == 0 and len(words.Words([b" ", b""]).hashes()) == 0
+
+
+def test_memory_of_hashes_and_packed_strings_is_a_small_multiple_of_the_text():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(250)).encode() for _ in range(4000)]
+    size, ids = sum(map(len, texts)), np.arange(4000)
+    w = substrings.Words(texts)
+    tracemalloc.start()
+    try:
+        substrings.rolling(w.hashes(), 35)
+        held, hashing = tracemalloc.get_traced_memory()
+        del w
+        tracemalloc.reset_peak()
+        sender = substrings._Sender(64, 35)
+        for a in range(0, 4000, 250):
+            sender.add(texts[a : a + 250], ids[a : a + 250], ids[a : a + 250])
+        found = sum(1 for _ in sender.flush())
+        packing = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # What stays are powers of one block; before, they were of the whole text.
+    assert (held < 8 << 20, hashing < 5 * size, packing < 5 * size) == (True, True, True)
+    assert found == 64
+
+
 def test_substrings_with_repeated_rows_ids_and_null_ids(spark):
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
     got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in substrings.report(docs(spark, [a, a, b, a + " x"], [7, 7, 7, None])).collect())

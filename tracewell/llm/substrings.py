@@ -111,14 +111,18 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 class _Sender:
-    """Gathers super-k-mers of a map task, combines equal ones, and packs them by bucket."""
+    """Gathers super-k-mers of a map task, combines equal ones, and packs them by bucket.
+
+    They overlap, so they are kept as places in their texts, and cut out bucket by bucket.
+    """
 
     def __init__(self, buckets: int, window: int):
         self.buckets, self.window = buckets, window
         self.clear()
 
     def clear(self) -> None:
-        self.strings: list[bytes] = []
+        self.raws: list[bytes] = []
+        self.places: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.rows: list[np.ndarray] = []
         self.size = 0
@@ -128,7 +132,8 @@ class _Sender:
         first, past, key = super_kmers(w, self.window)
         if len(first):
             raw, begin, end = _normal(w)
-            self.strings += [raw[a:b] for a, b in zip(begin[first].tolist(), end[past + self.window - 2].tolist())]
+            self.places.append(np.stack((np.full(len(first), len(self.raws)), begin[first], end[past + self.window - 2])))
+            self.raws.append(raw)
             rows = np.zeros(len(first), _ROW)
             doc = w.doc[first]
             rows["id"], rows["tag"], rows["start"], rows["size"] = ids[doc], tags[doc], first - w.first[doc], past - first
@@ -136,25 +141,26 @@ class _Sender:
             self.rows.append(rows)
         self.size += len(w.raw)
 
-    def flush(self) -> tuple[list[tuple[int, bytes]], np.ndarray]:
-        """(bucket, packed strings), and the (id, tag, start, size) known to repeat."""
-        if not self.strings:
+    def flush(self) -> Iterator[tuple[int, bytes, np.ndarray]]:
+        """Each bucket with its packed strings, and the (id, tag, start, size) known to repeat."""
+        if not self.raws:
             self.clear()
-            return [], np.zeros(0, _ROW)
-        keys, rows = np.concatenate(self.keys), np.concatenate(self.rows)
-        place: dict[bytes, int] = {}
-        own = np.fromiter((place.setdefault(s, k) for k, s in enumerate(self.strings)), np.int64, len(self.strings))
-        times = np.bincount(own, minlength=len(own))
-        again = rows[times[own] > 1]
-        sent = np.flatnonzero(times)
-        rows = rows[sent]
-        rows["start"][times[sent] > 1] = _KNOWN
-        bucket = (mix(keys[sent]) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((keys[sent], bucket))
-        edge = np.flatnonzero(np.diff(bucket[order])) + 1
-        out = [(int(bucket[part[0]]), _packed(rows[part], [self.strings[k] for k in sent[part].tolist()])) for part in np.split(order, edge)]
+            return
+        raws, places, keys, rows = self.raws, np.concatenate(self.places, axis=1), np.concatenate(self.keys), np.concatenate(self.rows)
         self.clear()
-        return out, again
+        bucket = (mix(keys) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.lexsort((keys, bucket))
+        edge = np.flatnonzero(np.diff(bucket[order])) + 1
+        for part in np.split(order, edge):
+            # Equal strings share a minimiser, so they are in one bucket.
+            strings = [raws[k][a:b] for k, a, b in places[:, part].T.tolist()]
+            place: dict[bytes, int] = {}
+            own = np.fromiter((place.setdefault(s, k) for k, s in enumerate(strings)), np.int64, len(strings))
+            times = np.bincount(own, minlength=len(own))
+            sent = np.flatnonzero(times)
+            again, kept = rows[part[times[own] > 1]], rows[part[sent]]
+            kept["start"][times[sent] > 1] = _KNOWN
+            yield int(bucket[part[0]]), _packed(kept, [strings[k] for k in sent.tolist()]), again
 
 
 def _spans(rows: np.ndarray, window: int) -> pa.RecordBatch:
@@ -269,9 +275,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sender = _Sender(buckets, window)
 
         def flush():
-            packed, again = sender.flush()
-            for k in range(0, len(packed), 64):
-                yield sent(*zip(*packed[k : k + 64]))
+            packed, again = [], [np.zeros(0, _ROW)]
+            for bucket, blob, known in sender.flush():
+                packed.append((bucket, blob))
+                again.append(known)
+                if len(packed) == 64:
+                    yield sent(*zip(*packed))
+                    packed = []
+            if packed:
+                yield sent(*zip(*packed))
+            again = np.concatenate(again)
             if len(again):
                 yield passed(_spans(again, window))
 

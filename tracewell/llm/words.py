@@ -15,6 +15,9 @@ _ODD_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _STEP_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
+#: Bytes or hashes that a running sum goes over at once. Workers keep powers for so many from one query to the next.
+BLOCK = 1 << 17
+
 
 @functools.lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
@@ -28,6 +31,22 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return _powers(int(base), 1 << max(10, (n - 1).bit_length()))[:n]
 
 
+def _running(x: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Sums of x[:k] times the powers of ``base``, for each k from 0."""
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * powers(base, len(x)), out=total[1:])
+    return total
+
+
+def _polynomial(data: np.ndarray) -> np.uint64:
+    """What the bytes of one word add up to before they are mixed, block by block."""
+    total = 0
+    for a in range(0, len(data), BLOCK):
+        part = int(_running(data[a : a + BLOCK].astype(np.uint64) + np.uint64(1), _ODD)[-1])
+        total += part * pow(int(_ODD), a, 1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
@@ -67,11 +86,21 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial in its bytes, from one running sum."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(_ODD, n), out=total[1:])
-        return mix((total[self.end] - total[self.start]) * powers(_ODD_INV, n)[self.start])
+        """A 64-bit hash of each word: a polynomial in its bytes, from running sums over blocks of words."""
+        out = np.zeros(len(self.start), np.uint64)
+        a = 0
+        while a < len(out):
+            base = int(self.start[a])
+            b = int(np.searchsorted(self.end, base + BLOCK, side="right"))
+            if b == a:  # a word longer than a block
+                out[a] = _polynomial(self.data[base : self.end[a]])
+                a += 1
+                continue
+            total = _running(self.data[base : self.end[b - 1]].astype(np.uint64) + np.uint64(1), _ODD)
+            start, end = self.start[a:b] - base, self.end[a:b] - base
+            out[a:b] = (total[end] - total[start]) * powers(_ODD_INV, len(total))[start]
+            a = b
+        return mix(out)
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b-1 as they stand, white space between them included."""
@@ -80,12 +109,13 @@ class Words:
 
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` consecutive items; shorter by width-1 than ``h``."""
-    n = len(h)
-    if n < width:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * powers(_STEP, n), out=total[1:])
-    return mix((total[width:] - total[:-width]) * powers(_STEP_INV, n)[: n - width + 1])
+    out = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    step = max(BLOCK - width, width)
+    for a in range(0, len(out), step):
+        total = _running(h[a : a + step + width - 1], _STEP)
+        runs = total[width:] - total[:-width]
+        out[a : a + step] = mix(runs * powers(_STEP_INV, len(runs)))
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
