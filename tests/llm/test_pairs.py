@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tracewell.llm import covertree, shared, simhash
+from tracewell.llm import covertree, overlap, shared, simhash
 from tracewell.llm.shared import components
 
 
@@ -236,3 +236,33 @@ def test_all_pairs_of_similar_shingle_sets_link(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.groups(df, width=5, threshold=0.8).collect()}
     assert got == want and want != least_reachable(range(len(texts)), close)
     assert sorted(r["doc_id"] for r in simhash.keep_first(df, width=5).collect()) == sorted(set(want.values()))
+
+
+@pytest.mark.parametrize("least", [0, 2])
+def test_a_family_of_near_copies_links_by_few_pairs(spark, monkeypatch, least):
+    rng, made = random.Random(7), []
+    base, texts = [f"b{k}" for k in range(150)], []
+    for k in range(500):
+        own = list(base)
+        for _ in range(max(least, k % 6)):  # with least > 0, there is no text that is near to most others
+            own[rng.randrange(150)] = f"x{rng.randrange(9999)}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def counted(frame, small=False):
+        out = shared.cut(frame, small)
+        if out.columns == ["a", "b", "u", "v"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(overlap, "cut", counted)
+    monkeypatch.setattr(overlap, "MANY", 2, raising=False)  # all rounds
+    prints = shared.cut(simhash.with_fingerprint(df, width=5))
+    none = spark.createDataFrame([], "u long, v long")
+    found = {r["node"]: r["component"] for r in components(overlap.links(df, prints, none, 5, 0.8)).collect()}
+    home = {r["doc_id"]: r["fp"] for r in prints.collect()}
+    s = [{tuple(w[k : k + 5]) for k in range(146)} for w in map(str.split, texts)]
+    near = [(a, b) for b in range(500) for a in range(b) if len(s[a] & s[b]) >= 0.8 / 1.8 * (len(s[a]) + len(s[b])) - 1e-9]
+    want = least_reachable(set(home.values()), [(home[a], home[b]) for a, b in near])
+    assert {i: found.get(i, i) for i in want} == want
+    assert least or sum(made) <= 10 * len(texts)

@@ -9,9 +9,12 @@ only what is left is decided on whole sets. Which shingles are common is estimat
 order changes the work, never the pairs.
 
 Pairs within a component known already need no check. So the members of a shingle are first held
-against four of them, and after that only against those of other components. Large families of near
-copies come together in the first step; what is left is quadratic only in texts that share a rare
-shingle and still are in different components.
+against four of them, and after that only against those of other components. The four are those with
+the fewest rarer shingles before it: near copies have rare shingles where they were changed, so these
+are the least changed, and most like the rest. As long as many pairs are left and links come, that is
+repeated with four times as many. Members whose place rules out all others of their shingle's group
+are dropped before any pair is made. Large families of near copies come together that way; what is
+left is quadratic only in texts that share a rare shingle early and still are in different components.
 
 Cases: texts of fewer than ``width`` words are one shingle; those without words have no pairs here.
 """
@@ -34,6 +37,8 @@ from tracewell.llm.words import Words, lower_ascii, rolling, slices
 SAMPLED, COMMON, MOST_COMMON = 16, 3, 200_000
 #: Ids and hashes that are broadcast at most.
 MOST_SENT = 500_000
+#: Leaders of a shingle's group in the first round and in the last one; pairs for each member that make another round.
+LEADERS, MOST_LEADERS, MANY = 4, 64, 16
 _CHUNK = 2 << 20
 _EPS = 1e-9
 
@@ -122,6 +127,11 @@ def _possible(threshold: float) -> Column:
     return (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= least) & (F.col("x.component") != F.col("y.component"))
 
 
+def _placed(threshold: float) -> Column:
+    """Whether a member of a shingle can be in a pair that is possible: with the ``smallest`` set of its group, or of its own reach."""
+    return F.col("n") - F.col("pos") >= threshold / (1 + threshold) * (F.col("n") + F.greatest(F.col("smallest"), threshold * F.col("n"))) - _EPS
+
+
 def _enough(threshold: float) -> Column:
     """Whether sets a and b can be similar enough by their prefixes.
 
@@ -189,16 +199,26 @@ def links(docs: DataFrame, prints: DataFrame, known: DataFrame, width: int, thre
         return members.join(found, members["home"] == found["node"], "left").select("h", "sid", "n", "pos", "home", F.coalesce("component", "home").alias("component"))
 
     def undecided(m: DataFrame) -> DataFrame:
-        several = m.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("h")
-        return cut(m.join(several, "h", "left_semi"), small=True)
-
-    m = undecided(now())
-    row, other = F.struct("sid", "n", "pos", "home", "component"), F.struct(F.xxhash64("sid").alias("by"), "sid", "n", "pos", "home", "component")
-    leaders = m.groupBy("h").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min(other).alias("c"), F.max(other).alias("d"))
-    leaders = leaders.select("h", F.explode(F.array("a", "b", F.col("c").dropFields("by"), F.col("d").dropFields("by"))).alias("l")).select("h", "l.*")
-    star = verified(m.alias("x").join(leaders.alias("y"), F.col("x.h") == F.col("y.h")).where((F.col("x.sid") != F.col("y.sid")) & _possible(threshold)))
-    if not star.isEmpty():
+        """Members that a pair of two components can have, by their place and the smallest set of their group."""
+        for _ in range(2):  # what the first turn drops can leave a group with one component
+            groups = m.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("n").alias("smallest")).where("least <> most")
+            m = cut(m.join(groups.select("h", "smallest"), "h").where(_placed(threshold)).drop("smallest"), small=True)
+        return m
+
+    def left(m: DataFrame) -> float:
+        """Pairs of members of different components in a group, for each member."""
+        of = m.groupBy("h", "component").agg(F.count("*").cast("double").alias("k")).groupBy("h").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        rows, pairs = of.agg(F.sum("all"), F.sum(F.col("all") * F.col("all") - F.col("same")) / 2).first()
+        return pairs / rows if rows else 0.0
+
+    m, n = undecided(now()), LEADERS
+    while n <= MOST_LEADERS and (n == LEADERS or left(m) > MANY):
+        by = F.pmod(F.xxhash64("sid"), F.lit(n))  # the same for all shingles, so that they have leaders in common
+        leaders = m.groupBy("h", by.alias("by")).agg(F.min(F.struct("pos", "sid", "n", "home", "component")).alias("l")).select("h", "l.*")
+        star = verified(m.alias("x").join(leaders.alias("y"), F.col("x.h") == F.col("y.h")).where((F.col("x.sid") != F.col("y.sid")) & _possible(threshold)))
+        if star.isEmpty():
+            break
         links = cut(links.unionAll(star), small=True)
-        m = undecided(now())
+        m, n = undecided(now()), 4 * n
     rest = verified(m.alias("x").join(m.alias("y"), F.col("x.h") == F.col("y.h")).where((F.col("x.sid") < F.col("y.sid")) & _possible(threshold)))
     return links.unionAll(rest)
