@@ -130,3 +130,26 @@ def test_a_new_run_is_not_asked_for_its_calls():
     assert list(out["exact_repeat"]) == [0, 1] and a.calls.asked == []
     list(a.handleInputRows(("r",), rows(2), None))
     assert a.calls.asked == [(7,)]
+
+
+def test_runs_share_a_group_and_long_ones_keep_their_calls_apart(spark, tmp_path, monkeypatch):
+    # Before, each run was a group of its own, with a message per call.
+    for name, value in (("SHARES", 2), ("KEPT", 3), ("ROWS", 7), ("WIDER", 3)):
+        monkeypatch.setattr(alarms, name, value)
+    plan = alarms.score_stream(spark.createDataFrame([], SCHEMA), 8.0)
+    assert "share" in plan._jdf.queryExecution().analyzed().toString()
+    parts = [made(1, 12, 0, 6), made(2, 30, 6, 9), [r for r in made(3, 30, 9, 14) if r[0] in ("r1", "r29")], made(4, 33, 14, 16)]
+    parts = [[(None if u == "r2" else u, *rest) for u, *rest in p] for p in parts]
+    source, sink, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    schema = spark.createDataFrame([], SCHEMA).schema
+    updated = []
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        q = drained(spark, source, schema, sink, log)
+        updated.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["stateOperators"]))
+    named = lambda rows: sorted(("" if r[0] is None else r[0], *r[1:]) for r in rows)
+    got = named(tuple(r) for r in spark.read.parquet(sink).collect())
+    want = named((None if r[0] == "" else r[0], *r[1:]) for r in expected([("" if r[0] is None else r[0], *r[1:]) for p in parts for r in p], 8.0))
+    assert [r[:4] + r[6:] for r in got] == [r[:4] + r[6:] for r in want]
+    assert [r[4:6] for r in got] == [pytest.approx(r[4:6]) for r in want]
+    assert updated[2] <= 2 + 2 * 5  # rows of the two runs and their calls, not those of all
