@@ -249,3 +249,24 @@ def test_importances_of_all_features_at_once_are_those_one_by_one(spark):
     found = models.permutation_importance(m, df)
     assert "__v_" not in found._jdf.queryExecution().analyzed().toString()
     assert {r["feature"]: r["drop"] for r in found.collect()} == pytest.approx(want)
+
+
+def test_a_level_is_summed_from_the_margins_of_its_blocks_alone():
+    # Before, every level of every tree went through all trees since the last checkpoint again.
+    rng = np.random.default_rng(8)
+    n, f, n_bins = 400, 5, 9
+    cols, fold = rng.integers(0, n_bins, (f, n)).astype(np.uint8), np.sort(rng.integers(0, 3, n)).astype(np.int32)
+    block = {"bins": cols, "fold": fold, "margin": rng.normal(size=(4, n)), "y": rng.integers(0, 2, n).astype(float), "w": rng.choice([0.5, 1.0], n)}
+    growing = [{"feature": rng.integers(0, f, 7), "bin": rng.integers(0, n_bins, 7), "left": rng.random(7) < 0.5} for _ in range(4)]
+    for level in range(3):
+        want = np.zeros((4, 1 << level, f, n_bins, 3))
+        for k, now in enumerate(growing):
+            for r in np.flatnonzero(fold != k):  # the fourth model is of all rows
+                node = 0
+                for _ in range(level):
+                    v = cols[now["feature"][node], r]
+                    node = 2 * node + (1 if (now["left"][node] if v == n_bins - 1 else v <= now["bin"][node]) else 2)
+                p = 1 / (1 + np.exp(-block["margin"][k, r]))
+                for c in range(f):
+                    want[k, node - (1 << level) + 1, c, cols[c, r]] += block["w"][r] * (p - block["y"][r]), block["w"][r] * p * (1 - p), 1
+        assert np.allclose(boosting._hist(block, growing, level, n_bins), want)

@@ -2,13 +2,13 @@
 
 Features are cut at up to ``BINS`` quantiles; rows are kept as blocks of bin numbers, a byte a value.
 A level of a tree is one aggregation: each block adds up gradient, hessian and row counts per (model,
-node, feature, bin), sums are combined and searched in a task per model, whose histogram has a size that
-features and bins give, whatever the rows, and what the driver gets is the best split of each node:
-nulls go to the side where they gain more. A leaf weighs -G / (H + l2).
+node, feature, bin), sums are combined and searched in a task per model and node, whose histogram has a
+size that features and bins give, whatever the rows, and what the driver gets is the best split of each
+node: nulls go to the side where they gain more. A leaf weighs -G / (H + l2).
 
 Models of folds grow side by side: a row is in all models but that of its own fold, so a round of all
-folds costs as many jobs as a round of one. Blocks with their margins are checkpointed every ``CUT``
-rounds; a task applies only the trees since.
+folds costs as many jobs as a round of one. Blocks keep their margins, which move on by one tree a round,
+and are checkpointed every ``CUT`` rounds.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +43,10 @@ class Trees:
         self.depth, self.base = depth, base
         self.feature, self.bin, self.value, self.left, self.leaf = [], [], [], [], []
 
-    def margins(self, x: np.ndarray, null: np.ndarray, first: int = 0, by: str = "value") -> np.ndarray:
-        """What trees from ``first`` on add up to for rows of values, or of bins."""
-        out, rows, limits = np.zeros(len(x)), np.arange(len(x)), getattr(self, by)
-        for feature, limit, left, leaf in zip(self.feature[first:], limits[first:], self.left[first:], self.leaf[first:]):
+    def margins(self, x: np.ndarray, null: np.ndarray) -> np.ndarray:
+        """What the trees add up to for rows of values."""
+        out, rows = np.zeros(len(x)), np.arange(len(x))
+        for feature, limit, left, leaf in zip(self.feature, self.value, self.left, self.leaf):
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
                 f = feature[node]
@@ -55,26 +56,31 @@ class Trees:
         return out
 
 
-def _hist(block: dict, models: list[Trees], growing: list[dict], level: int, first: int, n_bins: int) -> np.ndarray:
-    """(models, nodes of the level, features, bins, 3) of one block."""
-    bins, null = block["bins"], block["bins"] == n_bins - 1
-    n, f = bins.shape
+def _nodes(cols: np.ndarray, tree: dict, levels: int, n_bins: int) -> np.ndarray:
+    """The node of each row, so many levels down; ``cols`` has a row of bin numbers per feature."""
+    node, rows = np.zeros(cols.shape[1], np.int64), np.arange(cols.shape[1])
+    for _ in range(levels):
+        v = cols[tree["feature"][node], rows]
+        node = 2 * node + 2 - np.where(v == n_bins - 1, tree["left"][node], v <= tree["bin"][node])
+    return node
+
+
+def _hist(block: dict, growing: list[dict], level: int, n_bins: int) -> np.ndarray:
+    """(models, nodes of the level, features, bins, 3) of one block, whose rows lie together by fold."""
+    cols, fold = block["bins"], block["fold"]
     nodes = 1 << level
-    out = np.zeros((len(models), nodes, f, n_bins, 3))
-    cell = np.arange(f) * n_bins + bins
-    for k, m in enumerate(models):
-        mine = block["fold"] != k
-        z = block["margin"][k] + m.margins(bins, null, first, "bin")
-        p = 1 / (1 + np.exp(-z))
+    out = np.zeros((len(growing), nodes, len(cols), n_bins, 3))
+    for k, now in enumerate(growing):
+        p = 1 / (1 + np.exp(-block["margin"][k]))
         g, h = block["w"] * (p - block["y"]), block["w"] * p * (1 - p)
-        node, rows = np.zeros(n, np.int64), np.arange(n)
-        now = growing[k]
-        for _ in range(level):
-            at = now["feature"][node]
-            node = 2 * node + 2 - np.where(null[rows, at], now["left"][node], bins[rows, at] <= now["bin"][node])
-        index = ((node - (nodes - 1))[:, None] * (f * n_bins) + cell)[mine].ravel()
-        for c, v in enumerate((g, h, np.ones(n))):
-            out[k, ..., c] = np.bincount(index, np.repeat(v[mine], f), nodes * f * n_bins).reshape(nodes, f, n_bins)
+        at = (_nodes(cols, now, level, n_bins) - (nodes - 1)) * n_bins
+        a, b = np.searchsorted(fold, [k, k + 1])  # rows of its own fold
+        both = lambda x, a=a, b=b: np.concatenate((x[:a], x[b:])) if b > a else x
+        g, h, at = both(g), both(h), both(at)
+        for f, c in enumerate(cols):  # a feature at a time: its sums stay in the cache
+            index = at + both(c)
+            for i, v in enumerate((g, h, None)):
+                out[k, :, f, :, i] = np.bincount(index, v, nodes * n_bins).reshape(nodes, n_bins)
     return out
 
 
@@ -128,40 +134,42 @@ class BoostedTrees:
                     x = part[names].to_numpy(float).reshape(len(part), len(names))
                     bins = np.stack([np.where(np.isnan(x[:, c]), n_bins - 1, np.searchsorted(e, x[:, c])) for c, e in enumerate(edges)], 1).astype(np.uint8)
                     of = part["fold"].map(number).to_numpy(np.int32) if fold else np.full(len(part), -1, np.int32)
-                    yield pd.DataFrame({"n": [len(part)], "bins": [bins.tobytes()], "y": [part["y"].to_numpy().tobytes()], "w": [part["weight"].to_numpy().tobytes()], "fold": [of.tobytes()]})
+                    by = np.argsort(of, kind="stable")
+                    y, w = (part[c].to_numpy()[by].tobytes() for c in ("y", "weight"))
+                    yield pd.DataFrame({"n": [len(part)], "bins": [np.ascontiguousarray(bins[by].T).tobytes()], "y": [y], "w": [w], "fold": [of[by].tobytes()]})
 
         def opened(r) -> dict:
-            return {"bins": np.frombuffer(r["bins"], np.uint8).reshape(r["n"], -1), "y": np.frombuffer(r["y"]), "w": np.frombuffer(r["w"]), "fold": np.frombuffer(r["fold"], np.int32), "margin": np.tile(np.array(bases)[:, None], (1, r["n"]))}
+            return {"bins": np.frombuffer(r["bins"], np.uint8).reshape(-1, r["n"]), "y": np.frombuffer(r["y"]), "w": np.frombuffer(r["w"]), "fold": np.frombuffer(r["fold"], np.int32), "margin": np.tile(np.array(bases)[:, None], (1, r["n"]))}
 
         # No more tasks than blocks, or than run at once: a round is as many short jobs as a tree has levels.
         blocks = max(1, min(-(-own.count() // ROWS), spark.sparkContext.defaultParallelism))
-        state = own.coalesce(blocks).mapInPandas(block, "n int, bins binary, y binary, w binary, fold binary").rdd.map(opened).persist()
+        state = own.coalesce(blocks).mapInPandas(block, "n int, bins binary, y binary, w binary, fold binary").rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
         if not self.edges:
             return self
-        first = 0
+        depth, before = self.depth, None
         used = np.zeros((len(edges), n_bins), bool)  # bins that a feature has
         for c, e in enumerate(edges):
             used[c, : len(e) + 1] = used[c, -1] = True
         for r in range(self.rounds):
-            if r and r % CUT == 0:
-                # Margins move on, and what they came from is forgotten.
-                sent = spark.sparkContext.broadcast((self.models, first))
-                moved = state.map(lambda b, sent=sent: b | {"margin": np.stack([b["margin"][k] + m.margins(b["bins"], b["bins"] == n_bins - 1, sent.value[1], "bin") for k, m in enumerate(sent.value[0])])}).persist()
-                scratch.folder(spark, "unused")
-                moved.checkpoint()
-                moved.count()
-                state.unpersist()
-                state, first = moved, r
+            if r:
+                # Margins move on by the last tree of each model; what they came from is forgotten.
+                last = list(zip(grown, (m.leaf[-1] for m in self.models)))
+                before, state = state, state.map(lambda b, last=last: b | {"margin": np.stack([z + leaf[_nodes(b["bins"], now, depth, n_bins) - len(now["bin"])] for z, (now, leaf) in zip(b["margin"], last)])}).persist(StorageLevel.MEMORY_AND_DISK)
+                if r % CUT == 0:
+                    scratch.folder(spark, "unused")
+                    state.checkpoint()
             grown = [{"feature": np.zeros((1 << self.depth) - 1, np.int64), "bin": np.full((1 << self.depth) - 1, n_bins), "left": np.ones((1 << self.depth) - 1, bool)} for _ in self.models]
             sums_at: list[dict] = [{} for _ in self.models]
             for level in range(self.depth):
-                for k, found in self._splits(state, grown, level, first, n_bins, used):
-                    for j, (split, total, below) in enumerate(found):
-                        node = (1 << level) - 1 + j
-                        sums_at[k][node] = total
-                        if split:
-                            grown[k]["feature"][node], grown[k]["bin"][node], grown[k]["left"][node] = split
-                        sums_at[k][2 * node + 1], sums_at[k][2 * node + 2] = below, total - below
+                for (k, j), (split, total, below) in self._splits(state, grown, level, n_bins, used):
+                    node = (1 << level) - 1 + j
+                    sums_at[k][node] = total
+                    if split:
+                        grown[k]["feature"][node], grown[k]["bin"][node], grown[k]["left"][node] = split
+                    sums_at[k][2 * node + 1], sums_at[k][2 * node + 2] = below, total - below
+                if before is not None:
+                    before.unpersist()
+                    before = None
             for m, now, at in zip(self.models, grown, sums_at):
                 m.feature.append(now["feature"])
                 m.bin.append(now["bin"])
@@ -173,38 +181,37 @@ class BoostedTrees:
         state.unpersist()
         return self
 
-    def _splits(self, state, grown: list[dict], level: int, first: int, n_bins: int, used: np.ndarray) -> list[tuple]:
-        """(model, per node of the level its split, gradient and hessian, and those of its left side).
+    def _splits(self, state, grown: list[dict], level: int, n_bins: int, used: np.ndarray) -> list[tuple]:
+        """((model, node of the level), (its split, gradient and hessian, those of its left side)).
 
-        Histograms are added up and searched in tasks, one per model; they don't come to the driver.
+        Histograms are added up and searched in tasks, one per model and node; they don't come to the driver.
         """
-        models, l2, least = self.models, self.l2, self.least
+        l2, least = self.l2, self.least
 
-        def added(blocks) -> Iterator[tuple[int, np.ndarray]]:
+        def added(blocks) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
             total = None
             for b in blocks:
-                one = _hist(b, models, grown, level, first, n_bins)
-                total = one if total is None else total + one
-            for k in range(len(models) if total is not None else 0):
-                yield k, total[k][:, used]
-
-        def searched(own: tuple[int, np.ndarray]) -> tuple[int, list]:
-            found = []
-            hist = np.zeros((len(own[1]), *used.shape, 3))
-            hist[:, used] = own[1]
-            for h in hist:
-                total = h[0].sum(0)
-                split = _best(h, l2, least) if total[2] else None
-                below = total
-                if split:
-                    _, f, b, left = split
-                    below = h[f, : b + 1].sum(0) + (h[f, -1] if left else 0)
-                found.append((split[1:] if split else None, total[:2], below[:2]))
-            return own[0], found
+                one = _hist(b, grown, level, n_bins)
+                total = one if total is None else np.add(total, one, out=total)
+            for k in range(len(grown) if total is not None else 0):
+                for j in range(1 << level):
+                    yield (k, j), total[k, j][used]
+
+        def searched(own: tuple[tuple[int, int], np.ndarray]) -> tuple[tuple[int, int], tuple]:
+            h = np.zeros((*used.shape, 3))
+            h[used] = own[1]
+            total = h[0].sum(0)
+            split = _best(h, l2, least) if total[2] else None
+            below = total
+            if split:
+                _, f, b, left = split
+                below = h[f, : b + 1].sum(0) + (h[f, -1] if left else 0)
+            return own[0], (split[1:] if split else None, total[:2], below[:2])
 
         each = state.mapPartitions(added)
         if state.getNumPartitions() > 1:
-            each = each.reduceByKey(lambda a, b: a + b, len(models))
+            nodes = 1 << level
+            each = each.reduceByKey(lambda a, b: a + b, len(grown) * nodes, lambda key: key[0] * nodes + key[1])
         return each.map(searched).collect()
 
     def _probability(self, x: Column, model: Column) -> Column:
