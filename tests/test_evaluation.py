@@ -290,3 +290,11 @@ def test_replicates_under_given_weights_are_kept(spark):
     evals = spark.createDataFrame(rows, "uid string, t int, y int, task_group string, score double, len int")
     values = experiments._replicates(evals, "tpr_at_fpr")
     assert "Window" not in values._jdf.queryExecution().analyzed().toString() and values.count() == 61 * 2
+
+
+def test_names_of_units_come_to_rows_of_wins_and_not_to_pairs(spark):
+    # Before, two joins went over every pair of units.
+    evals = spark.createDataFrame([(2, f"g{k % 5}", k % 2, float(k % 7)) for k in range(40)], "t int, task_group string, y int, score double")
+    out = bootstrap.win_blocks(bootstrap.unit_counts(evals, "task_group", "t", ["score"]), 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate posexplode") < plan.index("Join")
